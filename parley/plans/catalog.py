@@ -1,0 +1,122 @@
+"""Query catalogue over the test tables.
+
+Each entry is ``name -> (builder(spark, sf_dir) -> DataFrame, duckdb_sql | None)``.
+Every query reads whole tables; column names are identical in both forms.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.functions import text as tx
+from parley.operators import profile
+from parley.plans import sqlparts as S
+from parley.sources import corpus as C
+
+Builder = Callable[[SparkSession, str], DataFrame]
+REGISTRY: dict[str, tuple[Builder, str | None]] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn: Builder) -> Builder:
+        REGISTRY[name] = (fn, sql)
+        return fn
+    return deco
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def doc_raw_lines(spark, sf_dir) -> DataFrame:
+    return C.document_raw_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def conv_messages(spark, sf_dir) -> DataFrame:
+    return C.conversation_messages(table(spark, sf_dir, "conversations"))
+
+
+# --- sources and scalar projections -------------------------------------------
+
+@register("plain_lines", f"""
+select source, line_no, {S.strip('text')} as text from ({S.DOC_RAW_LINES}) where {S.strip('text')} <> ''
+""")
+def q_plain_lines(spark, sf_dir):
+    return C.plain_lines(doc_raw_lines(spark, sf_dir))
+
+
+@register("normalize_lines", f"""
+select source, line_no, {S.msg_line('text')} as text from ({S.DOC_RAW_LINES}) where {S.msg_line('text')} <> ''
+""")
+def q_normalize_lines(spark, sf_dir):
+    return C.message_lines(doc_raw_lines(spark, sf_dir))
+
+
+@register("normalize_text", f"""
+select doc_id,
+  regexp_replace(regexp_replace({S.strip_emoji(S.norm_nl('text'))}, '{tx.H_SPACE}', ' ', 'g'),
+                 '(?m)^[{tx.WS_CLASS_NO_NL}]+|[{tx.WS_CLASS_NO_NL}]+$', '', 'g') as text
+from documents
+""")
+def q_normalize_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.normalize_text("text", collapse=True, emoji=True).alias("text"))
+
+
+@register("strip_emoji", f"select doc_id, {S.strip_emoji('text')} as text from documents")
+def q_strip_emoji(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.strip_emoji("text").alias("text"))
+
+
+@register("clean_line", f"select conv_id, turn, {S.clean_line('text')} as text from conversations")
+def q_clean_line(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_line("text").alias("text"))
+
+
+# --- profiling -------------------------------------------------------------------
+
+def _sql_top(items_sql: str, label: str, top: int, min_count: int) -> str:
+    return f"""
+with it as ({items_sql}),
+c as (select item, count(*) as cnt, min({{'s': source, 'l': line_no, 'p': pos}}) as first from it group by item)
+select cast(row_number() over (order by cnt desc, first) as integer) as rank, item as {label}, cnt as count
+from c where cnt >= {max(min_count, 1)} order by cnt desc, first limit {max(top, 0)}
+"""
+
+
+_SQL_DOC_BROWSE = f"select * from ({S.DOC_RAW_LINES}) where text <> ''"
+
+_SQL_TOKENS = lambda lines: f"""
+select source, line_no, lower(unnest(tk)) as item, generate_subscripts(tk, 1) as pos
+from (select source, line_no, regexp_extract_all(text, '{S.WORD}') as tk from ({lines}))
+"""
+_SQL_CHARS = lambda lines: f"""
+select source, line_no, unnest(ch) as item, generate_subscripts(ch, 1) as pos
+from (select source, line_no, string_split(text, '') as ch from ({lines}) where text <> '')
+"""
+
+
+def _top_frame(counts: DataFrame, label: str, top: int, min_count: int) -> DataFrame:
+    t = profile.top_items(counts, top, min_count)
+    return t.select(F.col("rank").cast("int").alias("rank"), F.col("item").alias(label), "count")
+
+
+@register("browse_tokens", _sql_top(_SQL_TOKENS(_SQL_DOC_BROWSE), "token", 50, 1))
+def q_browse_tokens(spark, sf_dir):
+    lines = C.browse_lines(doc_raw_lines(spark, sf_dir))
+    return _top_frame(profile.token_counts(lines), "token", 50, 1)
+
+
+@register("browse_chars", _sql_top(_SQL_CHARS(_SQL_DOC_BROWSE), "char", 50, 1))
+def q_browse_chars(spark, sf_dir):
+    lines = C.browse_lines(doc_raw_lines(spark, sf_dir))
+    return _top_frame(profile.char_counts(lines), "char", 50, 1)
+
+
+@register("browse_min_count", _sql_top(_SQL_TOKENS(S.CONV_MESSAGES), "token", 1000, 25))
+def q_browse_min_count(spark, sf_dir):
+    lines = conv_messages(spark, sf_dir)
+    return _top_frame(profile.token_counts(lines), "token", 1000, 25)
