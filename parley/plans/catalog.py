@@ -120,3 +120,170 @@ def q_browse_chars(spark, sf_dir):
 def q_browse_min_count(spark, sf_dir):
     lines = conv_messages(spark, sf_dir)
     return _top_frame(profile.token_counts(lines), "token", 1000, 25)
+
+
+# --- redaction -------------------------------------------------------------------
+
+@register("redact_email", f"select doc_id, {S.redact_email('text')} as text from documents")
+def q_redact_email(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.redact_email("text").alias("text"))
+
+
+@register("redact_phone", f"select doc_id, {S.redact_phone('text')} as text from documents")
+def q_redact_phone(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.redact_phone("text").alias("text"))
+
+
+@register("redact_address", f"select doc_id, {S.redact_address('text')} as text from documents")
+def q_redact_address(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.redact_address("text").alias("text"))
+
+
+@register("redact_all", f"select doc_id, {S.redact_all('text')} as text from documents")
+def q_redact_all(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.redact("text").alias("text"))
+
+
+# --- inline metadata ---------------------------------------------------------------
+
+def conv_prefixed(spark, sf_dir) -> DataFrame:
+    """Conversation messages with a ``[turn] role: `` prefix."""
+    conv = table(spark, sf_dir, "conversations")
+    msgs = (conv.select(F.col("conv_id").alias("source"), (F.col("turn") + 1).cast("bigint").alias("line_no"),
+                        "role", tx.clean_line("text").alias("text"))
+                .filter(F.col("text") != ""))
+    return msgs.select("source", "line_no",
+                       F.concat(tx.metadata_prefix(F.col("line_no") - 1, F.col("role")), F.col("text")).alias("text"))
+
+
+_m, _s, _t = S.inline_parts(S.strip("text"))
+
+
+@register("inline_metadata", f"""
+select source, line_no, {_m} as msg, {_s} as speaker, {_t} as timestamp from ({S.CONV_PREFIXED})
+""")
+def q_inline_metadata(spark, sf_dir):
+    m = tx.inline_metadata("text")
+    return conv_prefixed(spark, sf_dir).select("source", "line_no", m["msg"].alias("msg"),
+                                               m["speaker"].alias("speaker"), m["timestamp"].alias("timestamp"))
+
+
+@register("window_metadata", f"""
+with p as (select source, line_no, {_m} as msg, {_s} as sp, {_t} as ts from ({S.CONV_PREFIXED})),
+w as (select source, line_no as start_line,
+        lead(line_no, 2) over (partition by source order by line_no) as end_line,
+        [msg, lead(msg, 1) over o, lead(msg, 2) over o] as msgs,
+        [sp, lead(sp, 1) over o, lead(sp, 2) over o] as sps,
+        [ts, lead(ts, 1) over o, lead(ts, 2) over o] as tss
+      from p window o as (partition by source order by line_no))
+select source, start_line, end_line, {S.strip("array_to_string(msgs, chr(10))")} as text,
+  coalesce(sps[1], sps[2], sps[3]) as speaker, coalesce(tss[1], tss[2], tss[3]) as timestamp,
+  sps[1] as start_speaker, sps[3] as end_speaker, tss[1] as start_timestamp, tss[3] as end_timestamp
+from w where end_line is not null
+""")
+def q_window_metadata(spark, sf_dir):
+    from parley.operators import chunk as ch
+    chunks = ch.build_chunks(conv_prefixed(spark, sf_dir), "window", 3)
+    m = tx.clean_for_embedding("text")
+    return chunks.select("source", "start_line", "end_line", *[m[f].alias(f) for f in (
+        "text", "speaker", "timestamp", "start_speaker", "end_speaker", "start_timestamp", "end_timestamp")])
+
+
+# --- chunks and hashes --------------------------------------------------------------
+
+@register("chunk_message", f"""
+select source, line_no as start_line, line_no as end_line, text, sha1(text) || ':' || cast(line_no as varchar) as id
+from ({S.CONV_MESSAGES})
+""")
+def q_chunk_message(spark, sf_dir):
+    from parley.operators import chunk as ch
+    return ch.with_ids(ch.build_chunks(conv_messages(spark, sf_dir), "message"), "message")
+
+
+@register("chunk_window", f"""
+with w as (select source, line_no as start_line, lead(line_no, 3) over o as end_line,
+             text || chr(10) || lead(text, 1) over o || chr(10) || lead(text, 2) over o || chr(10) || lead(text, 3) over o as text
+           from ({S.CONV_MESSAGES}) window o as (partition by source order by line_no))
+select source, start_line, end_line, text,
+  sha1(text) || ':' || cast(start_line as varchar) || '-' || cast(end_line as varchar) as id
+from w where end_line is not null
+""")
+def q_chunk_window(spark, sf_dir):
+    from parley.operators import chunk as ch
+    return ch.with_ids(ch.build_chunks(conv_messages(spark, sf_dir), "window", 4), "window")
+
+
+@register("content_hash", "select doc_id, sha1(text) as content_hash from documents")
+def q_content_hash(spark, sf_dir):
+    from parley.functions import hashing as H
+    return table(spark, sf_dir, "documents").select("doc_id", H.content_hash("text").alias("content_hash"))
+
+
+@register("simhash", f"""
+with s as ({S.simhash_sql('select doc_id, text from documents', 'doc_id', 'text')})
+select k as doc_id, printf('%016x', simhash) as simhash,
+  cast(simhash & 65535 as integer) as band0, cast((simhash >> 16) & 65535 as integer) as band1,
+  cast((simhash >> 32) & 65535 as integer) as band2, cast((simhash >> 48) & 65535 as integer) as band3
+from s
+""")
+def q_simhash(spark, sf_dir):
+    from parley.functions import hashing as H
+    d = table(spark, sf_dir, "documents").select("doc_id", H.simhash64("text").alias("h"))
+    b = H.simhash_bands("h")
+    return d.select("doc_id", H.simhash_hex("h").alias("simhash"), *[b[i].alias(f"band{i}") for i in range(4)])
+
+
+_SQL_DOC_SH = f"""
+with s as ({S.simhash_sql(f"select doc_id, text from documents where {S.strip('text')} <> ''", 'doc_id', 'text')})
+select k as doc_id, simhash from s
+"""
+
+
+@register("near_dup_pairs", f"""
+with sh as ({_SQL_DOC_SH}),
+reps as (select simhash as h, min(doc_id) as node from sh group by simhash),
+b as (select node, h, unnest(list_distinct({S.bands_sql('h')})) as v from reps)
+select distinct x.node as a, y.node as b, bit_count(xor(x.h, y.h)) as distance
+from b x join b y on x.v = y.v and x.node < y.node
+where bit_count(xor(x.h, y.h)) <= 6
+""")
+def q_near_dup_pairs(spark, sf_dir):
+    from parley.functions import hashing as H
+    from parley.operators import dedupe as dd
+    d = table(spark, sf_dir, "documents").filter(tx.strip_ws("text") != "")
+    nodes = (d.select("doc_id", H.simhash64("text").alias("simhash"))
+              .groupBy("simhash").agg(F.min("doc_id").alias("node")))
+    return dd.near_duplicate_pairs(nodes, "node", "simhash", 6)
+
+
+@register("exact_dedupe", """
+select doc_id, sha1(text) as content_hash,
+  doc_id = min(doc_id) over (partition by sha1(text)) as keep
+from documents
+""")
+def q_exact_dedupe(spark, sf_dir):
+    from parley.functions import hashing as H
+    from parley.operators import dedupe as dd
+    d = table(spark, sf_dir, "documents").select("doc_id", H.content_hash("text").alias("content_hash"))
+    return dd.exact_keep(d, "content_hash", ["doc_id"], out="keep").select("doc_id", "content_hash", "keep")
+
+
+@register("fuzzy_dedupe", f"""
+with recursive sh as ({_SQL_DOC_SH}),
+o as (select row_number() over (order by doc_id) as i, doc_id, simhash as h from sh),
+r as (select 0::bigint as i, []::ubigint[] as kept
+      union all
+      select o.i, case when len(list_filter(r.kept, lambda k: bit_count(xor(k, o.h)) <= 6
+                  and len(list_intersect({S.bands_sql('k')}, {S.bands_sql('o.h')})) > 0)) > 0
+             then r.kept else list_append(r.kept, o.h) end
+      from r join o on o.i = r.i + 1),
+k as (select o.doc_id from o join r on r.i = o.i join r p on p.i = o.i - 1 where len(r.kept) > len(p.kept))
+select d.doc_id, d.doc_id in (select doc_id from k) as keep from documents d
+""")
+def q_fuzzy_dedupe(spark, sf_dir):
+    from parley.functions import hashing as H
+    from parley.operators import dedupe as dd
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", H.content_hash("text").alias("content_hash"))
+    d = dd.exact_keep(d, "content_hash", ["doc_id"])
+    d = dd.fuzzy_keep(d, "text", ["doc_id"], 6, eligible_col="exact_keep")
+    return d.select("doc_id", (F.col("exact_keep") & F.col("fuzzy_keep")).alias("keep"))
