@@ -287,3 +287,247 @@ def q_fuzzy_dedupe(spark, sf_dir):
     d = dd.exact_keep(d, "content_hash", ["doc_id"])
     d = dd.fuzzy_keep(d, "text", ["doc_id"], 6, eligible_col="exact_keep")
     return d.select("doc_id", (F.col("exact_keep") & F.col("fuzzy_keep")).alias("keep"))
+
+
+# --- limits, samples, small projections ------------------------------------------------
+
+@register("first_n", f"select source, line_no, text from ({S.CONV_MESSAGES}) order by source, line_no limit 100")
+def q_first_n(spark, sf_dir):
+    from parley.operators.retrieve import first_messages
+    return first_messages(conv_messages(spark, sf_dir), 100)
+
+
+@register("sample_n", f"""
+select source, line_no, text from ({S.CONV_MESSAGES})
+order by md5(concat_ws(':', '1337', cast(source as varchar), cast(line_no as varchar))), source, line_no limit 50
+""")
+def q_sample_n(spark, sf_dir):
+    from parley.operators.retrieve import sample_messages
+    return sample_messages(conv_messages(spark, sf_dir), 50, 1337)
+
+
+@register("preview", f"""
+select doc_id, case when length(p) > 140 then substr(p, 1, 137) || '...' else p end as preview
+from (select doc_id, {S.strip("replace(text, chr(10), ' ')")} as p from documents)
+""")
+def q_preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.preview("text").alias("preview"))
+
+
+@register("clean_answer", f"select conv_id, turn, {S.clean_answer('text')} as answer from conversations")
+def q_clean_answer(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_answer("text").alias("answer"))
+
+
+_STOPS = ["\n", "\nUSER:", "\nYOU:", ". "]
+
+
+def _sql_stops(e: str, start: int) -> str:
+    hits = ", ".join(
+        f"case when instr(substr({e}, {start + 1}), {S.lit(s)}) > 0 then instr(substr({e}, {start + 1}), {S.lit(s)}) + {start} end"
+        for s in _STOPS)
+    return f"list_min([{hits}])"
+
+
+@register("truncate_stops", f"""
+select doc_id, case when {_sql_stops('text', 20)} is not null then substr(text, 1, {_sql_stops('text', 20)} - 1)
+                    else text end as text
+from documents
+""")
+def q_truncate_stops(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.truncate_at_stops(F.col("text"), 20, _STOPS).alias("text"))
+
+
+@register("next_message", S.CONV_NEXT)
+def q_next_message(spark, sf_dir):
+    from parley.operators.reply import corpus_next
+    return corpus_next(conv_messages(spark, sf_dir))
+
+
+# --- embedding and retrieval ----------------------------------------------------------
+
+def conv_store_rows(spark, sf_dir, dim: int = 384) -> DataFrame:
+    """Store rows of the conversation messages (message chunks, exact dedupe)."""
+    from parley.operators import ingest as ing
+    from parley.operators.embed import hashed_embedder
+    flagged = ing.flag_chunks(conv_messages(spark, sf_dir), None, ing.IngestOptions())
+    return ing.store_rows(flagged, ing.IngestOptions(), hashed_embedder(dim))
+
+
+def conv_queries(spark, sf_dir) -> DataFrame:
+    conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    m = C.conversation_messages(conv)
+    return m.select(F.concat_ws(":", F.col("source").cast("string"), F.col("line_no").cast("string")).alias("query_id"),
+                    F.col("text").alias("query"))
+
+
+@register("embed_hashed", f"""
+with v as ({S.hashed_vec(f"select cast(source as varchar) || ':' || cast(line_no as varchar) as key, text from ({S.CONV_MESSAGES})", 'key', 'text')})
+select k as key, bucket, round(w, 6) as value from v
+""")
+def q_embed_hashed(spark, sf_dir):
+    from parley.operators.embed import embed
+    m = conv_messages(spark, sf_dir).select(
+        F.concat_ws(":", F.col("source").cast("string"), F.col("line_no").cast("string")).alias("key"), "text")
+    e = embed(m, "text")
+    return (e.select("key", F.posexplode("embedding").alias("bucket", "value"))
+             .filter(F.col("value") != 0)
+             .select("key", F.col("bucket").cast("int").alias("bucket"),
+                     F.round(F.col("value").cast("double"), 6).alias("value")))
+
+
+@register("knn_exact", """
+with s as (select a.vec_id as query_id, b.vec_id as id,
+                  list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) as score
+           from embeddings a, embeddings b),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s)
+select query_id, cast(rank as integer) as rank, id, round(score, 6) as score from r where rank <= 6
+""")
+def q_knn_exact(spark, sf_dir):
+    from parley.operators.retrieve import blocked_topk
+    e = table(spark, sf_dir, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    c = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return blocked_topk(q, c, 6).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@register("knn_approx")
+def q_knn_approx(spark, sf_dir):
+    from parley.operators.retrieve import knn_approx
+    e = table(spark, sf_dir, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    store = e.select(F.col("vec_id").alias("id"), "embedding")
+    return knn_approx(q, store, 6, nprobe=4).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@register("retrieve_topk", f"""
+select query_id, rank, id, round(score, 6) as score from ({S.conv_hits(S.CONV_QUERIES, 6)})
+""")
+def q_retrieve_topk(spark, sf_dir):
+    from parley.operators.retrieve import retrieve
+    hits = retrieve(conv_queries(spark, sf_dir), conv_store_rows(spark, sf_dir), 6)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@register("rerank_overlap", f"""
+with h as ({S.conv_hits(S.CONV_QUERIES, 20)}),
+q as ({S.CONV_QUERIES}),
+j as (select h.*, list_distinct(regexp_extract_all(lower(q.query), '{S.WORD}')) as a,
+             list_distinct(regexp_extract_all(lower(h.text), '{S.WORD}')) as b
+      from h join q using (query_id)),
+s as (select *, case when len(list_distinct(list_concat(a, b))) > 0
+                     then len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) else 0.0 end as rerank_score
+      from j),
+r as (select *, row_number() over (partition by query_id order by rerank_score desc, rank) as rr from s)
+select query_id, cast(rr as integer) as rank, id, round(score, 6) as score, round(rerank_score, 6) as rerank_score
+from r where rr <= 6
+""")
+def q_rerank_overlap(spark, sf_dir):
+    from parley.operators.retrieve import retrieve
+    hits = retrieve(conv_queries(spark, sf_dir), conv_store_rows(spark, sf_dir), 6, rerank_hits=True,
+                    rerank_top_k=20)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"),
+                       F.round("rerank_score", 6).alias("rerank_score"))
+
+
+_SAMPLE_Q = f"""
+select cast(source as varchar) || ':' || cast(line_no as varchar) as query_id, text as query from ({S.CONV_MESSAGES})
+order by md5(concat_ws(':', '1337', cast(source as varchar), cast(line_no as varchar))), source, line_no limit 20
+"""
+
+
+@register("export_retrieval", f"""
+with h as ({S.conv_hits(_SAMPLE_Q, 5)})
+select q.query_id, q.query, count(h.id) as n_results, string_agg(h.id, ',' order by h.rank) as result_ids
+from ({_SAMPLE_Q}) q left join h using (query_id) group by q.query_id, q.query
+""")
+def q_export_retrieval(spark, sf_dir):
+    from parley.operators.retrieve import export_retrieval
+    ex = export_retrieval(conv_messages(spark, sf_dir), conv_store_rows(spark, sf_dir), samples=20, k=5, seed=1337)
+    return ex.select("query_id", "query", F.size("results").cast("long").alias("n_results"),
+                     F.array_join(F.transform("results", lambda r: r["id"]), ",").alias("result_ids"))
+
+
+# --- replies ------------------------------------------------------------------------------
+
+def _conv_hits(spark, sf_dir, k: int = 6):
+    from parley.operators.retrieve import retrieve
+    return retrieve(conv_queries(spark, sf_dir), conv_store_rows(spark, sf_dir), k)
+
+
+_SQL_USABLE = f"""
+with h as ({S.conv_hits(S.CONV_QUERIES, 6)}),
+n as ({S.CONV_NEXT}),
+u as (select h.*, n.next_text from h join n on n.source = h.source and n.line_no = h.line
+      where n.next_text is not null)
+"""
+
+
+@register("corpus_reply", _SQL_USABLE + f"""
+, c as (select *, {S.clean_answer('next_text')} as reply from u where score >= 0.35),
+f as (select * from c where reply <> '' and reply <> {S.clean_answer('text')}),
+b as (select *, row_number() over (partition by query_id order by score desc, rank) as r from f)
+select query_id, reply, round(score, 6) as reply_score from b where r = 1
+""")
+def q_corpus_reply(spark, sf_dir):
+    from parley.operators.reply import corpus_reply
+    r = corpus_reply(_conv_hits(spark, sf_dir), conv_messages(spark, sf_dir), "hybrid", 0.35)
+    return r.select("query_id", "reply", F.round("reply_score", 6).alias("reply_score"))
+
+
+_FEWSHOT_SQL = _SQL_USABLE + f"""
+, e as (select query_id, rank, {S.clean_answer('text')} as u, {S.clean_answer('next_text')} as a from u where rank <= 6),
+e2 as (select *, row_number() over (partition by query_id order by rank) as n from e where u <> '' and a <> ''),
+ctx as (select query_id, string_agg('USER: ' || u || chr(10) || 'YOU: ' || a, chr(10) || chr(10) order by rank) as ctx
+        from e2 where n <= 3 group by query_id)
+"""
+
+
+def _sql_prompt(template: str) -> str:
+    if template == "minimal":
+        return f"select query_id, 'USER: ' || query || chr(10) || 'YOU: ' as prompt from ({S.CONV_QUERIES})"
+    if template == "scaffold":
+        return (f"select query_id, 'This is a chat. Reply as YOU. Keep it short.' || chr(10) || chr(10) || "
+                f"'USER: ' || query || chr(10) || 'YOU: ' as prompt from ({S.CONV_QUERIES})")
+    return _FEWSHOT_SQL + f"""
+select q.query_id, case when ctx.ctx is not null then ctx.ctx || chr(10) || chr(10) else '' end
+       || 'USER: ' || q.query || chr(10) || 'YOU: ' as prompt
+from ({S.CONV_QUERIES}) q left join ctx using (query_id)
+"""
+
+
+def _prompt_query(template: str):
+    def build(spark, sf_dir):
+        from parley.operators.reply import build_prompt
+        hits = _conv_hits(spark, sf_dir) if template == "few-shot" else None
+        return build_prompt(conv_queries(spark, sf_dir), hits, conv_messages(spark, sf_dir), template)
+    return build
+
+
+register("prompt_minimal", _sql_prompt("minimal"))(_prompt_query("minimal"))
+register("prompt_scaffold", _sql_prompt("scaffold"))(_prompt_query("scaffold"))
+register("prompt_fewshot", _sql_prompt("few-shot"))(_prompt_query("few-shot"))
+
+
+@register("turns_hybrid", _FEWSHOT_SQL + f"""
+, c as (select *, {S.clean_answer('next_text')} as reply from u where score >= 0.35),
+f as (select * from c where reply <> '' and reply <> {S.clean_answer('text')}),
+b as (select query_id, reply from (select *, row_number() over (partition by query_id order by score desc, rank) as r
+                                   from f) where r = 1),
+hc as (select query_id, count(*) as n_retrieved from h group by query_id)
+select q.query_id, q.query as "user",
+       case when b.reply is not null then {S.clean_answer('b.reply')} end as answer,
+       case when b.reply is not null then 'corpus' else 'generate' end as used_strategy,
+       case when b.reply is null then
+         case when ctx.ctx is not null then ctx.ctx || chr(10) || chr(10) else '' end
+         || 'USER: ' || q.query || chr(10) || 'YOU: ' end as prompt,
+       coalesce(hc.n_retrieved, 0) as n_retrieved
+from ({S.CONV_QUERIES}) q left join b using (query_id) left join ctx using (query_id) left join hc using (query_id)
+""")
+def q_turns_hybrid(spark, sf_dir):
+    from parley.operators.reply import turns
+    t = turns(conv_queries(spark, sf_dir), _conv_hits(spark, sf_dir), conv_messages(spark, sf_dir),
+              "hybrid", "few-shot", 0.35)
+    return t.select("query_id", "user", "answer", "used_strategy", "prompt",
+                    F.coalesce(F.size("retrieved"), F.lit(0)).cast("long").alias("n_retrieved"))
