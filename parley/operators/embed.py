@@ -51,7 +51,7 @@ def _bucket_batch(hashes: pa.Array, dim: int) -> pa.Array:
     arr = pa.ListArray.from_arrays(out_offs, pa.array(vecs, type=pa.float32()))
     if hashes.null_count:
         arr = pa.ListArray.from_arrays(out_offs, pa.array(vecs, type=pa.float32()),
-                                       mask=np.asarray(hashes.is_null()))
+                                       mask=hashes.is_null())
     return arr
 
 

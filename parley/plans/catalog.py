@@ -531,3 +531,180 @@ def q_turns_hybrid(spark, sf_dir):
               "hybrid", "few-shot", 0.35)
     return t.select("query_id", "user", "answer", "used_strategy", "prompt",
                     F.coalesce(F.size("retrieved"), F.lit(0)).cast("long").alias("n_retrieved"))
+
+
+# --- language-model corpora ---------------------------------------------------------------
+
+def doc_stream(spark, sf_dir) -> DataFrame:
+    from parley.operators import lm
+    return lm.stream_lines(doc_raw_lines(spark, sf_dir))
+
+
+@register("vocab", f"select c as char, id from ({S.DOC_VOCAB})")
+def q_vocab(spark, sf_dir):
+    from parley.operators import lm
+    return lm.build_vocab(doc_stream(spark, sf_dir))
+
+
+@register("encode", f"""
+with v as ({S.DOC_VOCAB}), e as ({S.DOC_STREAM_CHARS})
+select e.source, e.line_no, count(*) as n_ids, md5(string_agg(cast(v.id as varchar), ',' order by e.pos)) as ids_md5
+from e join v on e.c = v.c group by e.source, e.line_no
+""")
+def q_encode(spark, sf_dir):
+    from parley.operators import lm
+    s = doc_stream(spark, sf_dir)
+    chars = lm.vocab_list(lm.build_vocab(s))
+    e = s.select("source", "line_no", lm.encode_chars("text", chars).alias("ids"))
+    return e.select("source", "line_no", F.size("ids").cast("long").alias("n_ids"),
+                    F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
+@register("decode", f"select source, line_no, text from ({S.DOC_STREAM})")
+def q_decode(spark, sf_dir):
+    from parley.operators import lm
+    s = doc_stream(spark, sf_dir)
+    chars = lm.vocab_list(lm.build_vocab(s))
+    e = s.select("source", "line_no", lm.encode_chars("text", chars).alias("ids"))
+    return e.select("source", "line_no", lm.decode_ids("ids", chars).alias("text"))
+
+
+@register("oov_count", f"""
+with en as (select distinct c from ({S.DOC_STREAM_CHARS}) where source in (select doc_id from documents where lang = 'en')),
+a as (select c from ({S.DOC_STREAM_CHARS}) where c <> '')
+select count(*) filter (where c not in (select c from en)) as oov_chars, count(*) as total_chars from a
+""")
+def q_oov_count(spark, sf_dir):
+    from parley.operators import lm
+    s = doc_stream(spark, sf_dir)
+    en_ids = table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select(F.col("doc_id").alias("source"))
+    chars = lm.vocab_list(lm.build_vocab(s.join(en_ids, "source", "left_semi")))
+    return s.agg(F.sum(lm.oov_count("text", chars)).cast("long").alias("oov_chars"),
+                 F.sum(F.char_length("text")).cast("long").alias("total_chars"))
+
+
+@register("pairs_corpus", f"""
+with m as (select source, line_no, text from ({S.CONV_MESSAGES})),
+l as (select source, line_no, text, lead(text) over (partition by source order by line_no) as nxt,
+             count(*) over (partition by source) as n from m)
+select source, line_no, 'USER: ' || text || chr(10) || 'YOU: ' || nxt || chr(10) || chr(10) as block
+from l where nxt is not null
+union all
+select source, min(line_no) as line_no, 'USER: ' || chr(10) || 'YOU: ' || chr(10) as block
+from l where n < 2 group by source
+""")
+def q_pairs_corpus(spark, sf_dir):
+    from parley.operators import lm
+    return lm.pairs_corpus(conv_messages(spark, sf_dir))
+
+
+def _sql_seq_len(n: str, seq: int = 256) -> str:
+    mr = f"greatest(16, {n} // 8)"
+    return f"(case when {seq} > {mr} then greatest(16, least({seq}, {mr})) else {seq} end)"
+
+
+@register("tail_split", f"""
+with s as ({S.DOC_STREAM}), t as (select sum(length(text)) as n from s),
+p as (select n, cast(floor(n * 0.05) as bigint) as v0, {_sql_seq_len('n')} as seq from t),
+b as (select n, case when v0 < seq + 2 then 0 else v0 end as val from p)
+select s.source, s.line_no, s."offset", cast(length(s.text) as bigint) as length,
+       cast(least(length(s.text), greatest(0, (b.n - b.val) - s."offset")) as bigint) as train_chars,
+       cast(length(s.text) - least(length(s.text), greatest(0, (b.n - b.val) - s."offset")) as bigint) as val_chars
+from s, b
+""")
+def q_tail_split(spark, sf_dir):
+    from parley.operators import lm
+    s = lm.with_offsets(doc_stream(spark, sf_dir))
+    total = lm.stream_total(s)
+    seq, _warn = lm.fit_seq_len(total, 256)
+    out, _val = lm.tail_split(s, total, 0.05, seq)
+    return out.select("source", "line_no", "offset", "length", "train_chars", "val_chars")
+
+
+@register("lm_meta", f"""
+with s as ({S.DOC_STREAM}), t as (select sum(length(text)) as n from s),
+p as (select n, cast(floor(n * 0.05) as bigint) as v0, {_sql_seq_len('n')} as seq from t),
+b as (select n, seq, case when v0 < seq + 2 then 0 else v0 end as val from p)
+select n as chars_total, n - val as chars_train, val as chars_val,
+       (select count(*) from ({S.DOC_VOCAB})) as vocab_size, seq as seq_len from b
+""")
+def q_lm_meta(spark, sf_dir):
+    from parley.operators import lm
+    s = lm.with_offsets(doc_stream(spark, sf_dir))
+    total = lm.stream_total(s)
+    seq, _warn = lm.fit_seq_len(total, 256)
+    _f, val = lm.tail_split(s, total, 0.05, seq)
+    vsize = lm.build_vocab(s).count()
+    meta = lm.corpus_meta(total, total - val, val, vsize, seq)
+    return spark.createDataFrame([tuple(meta.values())],
+                                 "chars_total long, chars_train long, chars_val long, vocab_size long, seq_len long")
+
+
+def _doc_id_lines(spark, sf_dir):
+    from parley.operators import lm
+    s = doc_stream(spark, sf_dir)
+    chars = lm.vocab_list(lm.build_vocab(s))
+    ids = s.select("source", "line_no", lm.encode_chars("text", chars).alias("ids"))
+    ids = lm.with_offsets(ids, length_col="ids")
+    return ids, lm.stream_total(ids)
+
+
+@register("pack_sequences", f"""
+with v as ({S.DOC_VOCAB}), e as ({S.DOC_STREAM_CHARS}),
+f as (select e.pos as p, v.id from e join v on e.c = v.c),
+n as (select (count(*) - 1) // 64 as n from f),
+x as (select p // 64 as seq_id, string_agg(cast(id as varchar), ',' order by p) as x from f
+      where p < (select n from n) * 64 group by 1),
+y as (select (p - 1) // 64 as seq_id, string_agg(cast(id as varchar), ',' order by p) as y from f
+      where p >= 1 and p <= (select n from n) * 64 group by 1)
+select x.seq_id, x.x, y.y from x join y using (seq_id)
+""")
+def q_pack_sequences(spark, sf_dir):
+    from parley.operators import lm
+    ids, total = _doc_id_lines(spark, sf_dir)
+    seqs = lm.pack_sequences(ids, total, 64)
+    return seqs.select("seq_id", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
+
+
+@register("sample_sequences")
+def q_sample_sequences(spark, sf_dir):
+    from parley.operators import lm
+    ids, total = _doc_id_lines(spark, sf_dir)
+    seqs = lm.sample_sequences(ids, total, 256, 64, seed=1337)
+    return seqs.select("seq_id", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
+
+
+@register("heldout_ngram", f"""
+with r as (select source, line_no, pos, c,
+                  substr(chr(10) || chr(10) || text, i, 2) as ctx
+           from (select source, line_no, "offset" + generate_subscripts(cs, 1) - 1 as pos, unnest(cs) as c,
+                        generate_subscripts(cs, 1) as i, text
+                 from (select source, line_no, "offset", text, string_split(text, '') as cs from ({S.DOC_STREAM})))
+           where c <> ''),
+t as (select count(*) as n from r),
+b as (select n, cast(floor(n * 0.05) as bigint) as held from t),
+v as (select distinct c from r, b where pos < b.n - b.held),
+fc as (select min(c) as fc from v),
+oov as (select count(*) as oov from r where c not in (select c from v)),
+m as (select pos,
+             case when c in (select c from v) then c else (select fc from fc) end as c,
+             (case when substr(ctx, 1, 1) in (select c from v) then substr(ctx, 1, 1) else (select fc from fc) end) ||
+             (case when substr(ctx, 2, 1) in (select c from v) then substr(ctx, 2, 1) else (select fc from fc) end) as ctx
+      from r),
+tr as (select m.* from m, b where pos < b.n - b.held),
+te as (select m.* from m, b where pos >= b.n - b.held),
+cc as (select ctx, c, count(*) as n_cc from tr group by all),
+cx as (select ctx, count(*) as n_c from tr group by all),
+sc as (select (coalesce(cc.n_cc, 0) + 0.1) / (coalesce(cx.n_c, 0) + 0.1 * (select count(*) from v)) as p
+       from te left join cc using (ctx, c) left join cx using (ctx)),
+l as (select avg(-ln(p)) as loss from sc)
+select (select held from b) as heldout_chars, (select oov from oov) as oov_chars,
+       round(loss, 6) as loss, round(exp(loss), 6) as perplexity from l
+""")
+def q_heldout_ngram(spark, sf_dir):
+    from parley.operators import lm
+    s = lm.with_offsets(doc_stream(spark, sf_dir))
+    total = lm.stream_total(s)
+    ev = lm.heldout_eval(s, total, order=3, alpha=0.1, heldout_fraction=0.05, seq_len=256)
+    return ev.select("heldout_chars", "oov_chars", F.round("loss", 6).alias("loss"),
+                     F.round("perplexity", 6).alias("perplexity"))
