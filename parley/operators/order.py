@@ -27,20 +27,32 @@ BLOCK = 1 << 20      # line_no values per ranking block (<= rows per window part
 BUCKET = 1 << 16     # rows per halo bucket
 
 
+def running_sum(df: DataFrame, keys: list[str], value: str, out: str, order: str = "line_no",
+                block: int = BLOCK, inclusive: bool = True) -> DataFrame:
+    """Add ``out`` = running sum of ``value`` inside each ``keys`` group in
+    ``order`` order (inclusive of the row unless ``inclusive=False``).
+
+    Two levels: a window inside blocks of ``block`` consecutive ``order`` values
+    (at most ``block`` rows each), plus the sum of all earlier blocks of the same
+    key from the block-total table (``rows / block`` rows)."""
+    d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)))
+    frame = (Window.partitionBy(*keys, "_blk").orderBy(order)
+             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    d = d.withColumn("_in", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    totals = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_t"))
+    w_blk = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_blk), F.lit(0))).drop("_t")
+    return (d.join(offs, on=[*keys, "_blk"], how="inner")
+             .withColumn(out, F.col("_off") + F.col("_in"))
+             .drop("_blk", "_in", "_off"))
+
+
 def dense_seq(df: DataFrame, keys: list[str], order: str = "line_no", out: str = "seq",
               block: int = BLOCK) -> DataFrame:
     """Add ``out`` = dense 0-based position of the row inside its ``keys`` group,
     ordered by the unique integer column ``order``."""
-    blk = F.floor(F.col(order) / F.lit(block))
-    d = df.withColumn("_blk", blk)
-    w_in = Window.partitionBy(*keys, "_blk").orderBy(order)
-    d = d.withColumn("_rk", F.row_number().over(w_in) - 1)
-    counts = d.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n"))
-    w_blk = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_blk), F.lit(0))).drop("_n")
-    return (d.join(offs, on=[*keys, "_blk"], how="inner")
-             .withColumn(out, F.col("_off") + F.col("_rk"))
-             .drop("_blk", "_rk", "_off"))
+    return running_sum(df.withColumn("_one", F.lit(1)), keys, "_one", out, order, block,
+                       inclusive=False).drop("_one")
 
 
 def halo_buckets(df: DataFrame, seq: str = "seq", halo: int = 0, bucket: int = BUCKET) -> DataFrame:

@@ -708,3 +708,75 @@ def q_heldout_ngram(spark, sf_dir):
     ev = lm.heldout_eval(s, total, order=3, alpha=0.1, heldout_fraction=0.05, seq_len=256)
     return ev.select("heldout_chars", "oov_chars", F.round("loss", 6).alias("loss"),
                      F.round("perplexity", 6).alias("perplexity"))
+
+
+# --- chat exports ---------------------------------------------------------------------------
+
+def whatsapp_lines(spark, sf_dir) -> DataFrame:
+    """The conversations rendered as WhatsApp export lines (one source per conversation):
+    a system line, a header per turn with its first line, continuation lines, and a
+    ``<Media omitted>`` line after every fifth turn."""
+    from parley.operators.order import running_sum
+    conv = table(spark, sf_dir, "conversations")
+    day = F.concat_ws("/", (F.col("conv_id") % 12 + 1).cast("string"), (F.col("turn") % 28 + 1).cast("string"), F.lit("24"))
+    tm = F.concat((F.col("turn") % 12 + 1).cast("string"), F.lit(":"), F.lpad(((F.col("turn") * 7) % 60).cast("string"), 2, "0"),
+                  F.when(F.col("turn") % 2 == 0, F.lit(" AM")).otherwise(F.lit(" PM")))
+    media = (F.col("turn") % 5 == 4)
+    t = conv.select("conv_id", "turn", "role", day.alias("d"), tm.alias("tm"),
+                    F.split(tx.normalize_newlines("text"), "\n", -1).alias("ls"))
+    t = t.withColumn("n", F.size("ls") + F.when(media, 1).otherwise(0))
+    t = running_sum(t, ["conv_id"], "n", "cum", order="turn").withColumn("start", F.col("cum") - F.col("n") + 2)
+    head = F.concat(F.col("d"), F.lit(", "), F.col("tm"), F.lit(" - "), F.col("role"), F.lit(": "))
+    body = t.select(F.col("conv_id").alias("source"), "start", head.alias("head"), F.posexplode("ls").alias("i", "l")) \
+        .select("source", (F.col("start") + F.col("i")).cast("bigint").alias("line_no"),
+                F.when(F.col("i") == 0, F.concat("head", "l")).otherwise(F.col("l")).alias("text"))
+    med = t.filter(media).select(F.col("conv_id").alias("source"), (F.col("start") + F.size("ls")).cast("bigint").alias("line_no"),
+                                 F.concat(head, F.lit("<Media omitted>")).alias("text"))
+    sysl = conv.select(F.col("conv_id").alias("source")).distinct().select(
+        "source", F.lit(1).cast("bigint").alias("line_no"),
+        F.lit("1/1/24, 9:00 AM - Messages and calls are end-to-end encrypted.").alias("text"))
+    return body.unionByName(med).unionByName(sysl)
+
+
+@register("whatsapp_parse", S.wa_parse(S.WA_LINES))
+def q_whatsapp_parse(spark, sf_dir):
+    from parley.sources.exports import parse_whatsapp
+    return parse_whatsapp(whatsapp_lines(spark, sf_dir), with_metadata=True)
+
+
+def _json_str(c) -> F.Column:
+    """A JSON string literal of ``c`` (quotes and escapes included)."""
+    j = F.to_json(F.array(c))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+def telegram_docs(spark, sf_dir) -> DataFrame:
+    """The conversations rendered as Telegram JSON exports, one document per
+    conversation: a service message, then one message per turn whose text is a
+    string (even turns) or a list of a string and a ``{type, text}`` fragment."""
+    conv = table(spark, sf_dir, "conversations")
+    date = F.concat(F.lit("2024-"), F.lpad((F.col("conv_id") % 12 + 1).cast("string"), 2, "0"), F.lit("-"),
+                    F.lpad((F.col("turn") % 28 + 1).cast("string"), 2, "0"), F.lit("T"),
+                    F.lpad((F.col("turn") % 24).cast("string"), 2, "0"), F.lit(":00:00"))
+    half = (F.char_length("text") / 2).cast("int")
+    rich = F.concat(F.lit("["), _json_str(F.substring("text", F.lit(1), half)), F.lit(',{"type":"bold","text":'),
+                    _json_str(F.expr("substring(text, cast(char_length(text) / 2 as int) + 1)")), F.lit("}]"))
+    txt = F.when(F.col("turn") % 2 == 0, _json_str(F.col("text"))).otherwise(rich)
+    msg = F.concat(F.lit('{"id":'), (F.col("turn") + 1).cast("string"), F.lit(',"type":"message","date":'),
+                   _json_str(date), F.lit(',"from":'), _json_str(F.col("role")), F.lit(',"text":'), txt, F.lit("}"))
+    msgs = conv.select("conv_id", "turn", msg.alias("m"))
+    docs = msgs.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "m"))).alias("ms"))
+    service = '{"id":0,"type":"service","action":"create_group","text":""}'
+    return docs.select(F.col("conv_id").alias("source"), F.concat(
+        F.lit('{"name":"Conversation","type":"personal_chat","messages":[' + service + ","),
+        F.array_join(F.transform("ms", lambda s: s["m"]), ","), F.lit("]}")).alias("json"))
+
+
+@register("telegram_parse", f"""
+select conv_id as source, cast(turn + 2 as bigint) as line_no,
+       '[' || {S.TG_DATE} || '] ' || role || ': ' || {S.clean_line('text')} as text
+from conversations where {S.clean_line('text')} <> ''
+""")
+def q_telegram_parse(spark, sf_dir):
+    from parley.sources.exports import parse_telegram
+    return parse_telegram(telegram_docs(spark, sf_dir), with_metadata=True)
