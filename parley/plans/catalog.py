@@ -780,3 +780,87 @@ from conversations where {S.clean_line('text')} <> ''
 def q_telegram_parse(spark, sf_dir):
     from parley.sources.exports import parse_telegram
     return parse_telegram(telegram_docs(spark, sf_dir), with_metadata=True)
+
+
+# --- ingest --------------------------------------------------------------------------------
+
+@register("ingest_dry_run", f"""
+with recursive ch as ({S.CONV_WINDOWS4}),
+ex as (select *, row_number() over (partition by sha1(text) order by source, start_line) = 1 as exact_keep from ch),
+el as (select row_number() over (order by source, start_line) as i, source, start_line, text
+       from ex where exact_keep and {S.strip('text')} <> ''),
+sh as ({S.simhash_sql('select i, text from el', 'i', 'text')}),
+{S.greedy_sql('select el.i, sh.simhash as h from el join sh on sh.k = el.i')},
+fl as (select ex.*, exact_keep and el.i is not null and el.i in (select i from gk) as keep
+       from ex left join el using (source, start_line))
+select (select count(*) from ({S.CONV_MESSAGES})) as messages, count(*) as chunks,
+       count(*) filter (where keep) as kept, count(*) - count(*) filter (where keep) as skip_dedupe,
+       0::bigint as skip_existing, count(*) filter (where keep) as would_add,
+       count(*) filter (where keep) - count(*) filter (where keep) - 0 as skip_other,
+       round(1.0 - (count(*) filter (where keep)) / count(*), 6) as dedupe_rate
+from fl
+""")
+def q_ingest_dry_run(spark, sf_dir):
+    from parley.operators import ingest as ing
+    msgs = conv_messages(spark, sf_dir)
+    opts = ing.IngestOptions(chunking="window", window_size=4, exact_dedupe=True, fuzzy_dedupe=True)
+    s = ing.ingest_summary(ing.flag_chunks(msgs, None, opts), msgs)
+    return s.select("messages", "chunks", "kept", "skip_dedupe", "skip_existing", "would_add", "skip_other",
+                    "dedupe_rate")
+
+
+@register("ingest_chunks", f"""
+with ch as (select source, line_no as start_line, line_no as end_line, text from ({S.CONV_MESSAGES})),
+r as (select *, {S.redact_all('text')} as red from ch)
+select source, start_line, end_line, sha1(text) || ':' || cast(end_line as varchar) as id, sha1(red) as content_hash,
+       row_number() over (partition by sha1(red) order by source, start_line) = 1 as keep
+from r
+""")
+def q_ingest_chunks(spark, sf_dir):
+    from parley.operators import ingest as ing
+    opts = ing.IngestOptions(chunking="message", redact=True)
+    f = ing.flag_chunks(conv_messages(spark, sf_dir), None, opts)
+    return f.select("source", "start_line", "end_line", "id", "content_hash", "keep")
+
+
+@register("anti_existing_ids", f"""
+with m as ({S.CONV_MESSAGES}),
+st as (select sha1(text) || ':' || cast(line_no as varchar) as id, sha1(text) as content_hash from m where role = 'assistant'),
+ch as (select source, line_no as start_line, sha1(text) || ':' || cast(line_no as varchar) as id, sha1(text) as h from m),
+ex as (select *, row_number() over (partition by h order by source, start_line) = 1
+                 and h not in (select content_hash from st) as exact_keep from ch)
+select source, start_line, id, id in (select id from st) as existing,
+       exact_keep and id not in (select id from st) as "add"
+from ex
+""")
+def q_anti_existing_ids(spark, sf_dir):
+    from parley.functions import hashing as H
+    from parley.operators import ingest as ing
+    conv = table(spark, sf_dir, "conversations")
+    msgs = conv_messages(spark, sf_dir)
+    asst = C.conversation_messages(conv.filter(F.col("role") == "assistant"))
+    stored = asst.select(H.stable_id("text", "line_no").alias("id"), H.content_hash("text").alias("content_hash"))
+    f = ing.flag_chunks(msgs, None, ing.IngestOptions(), stored=stored)
+    return f.select("source", "start_line", "id", "existing", "add")
+
+
+@register("anti_existing_hash", f"""
+with l as (select source, line_no, {S.strip('text')} as text from ({S.DOC_RAW_LINES}) where {S.strip('text')} <> ''),
+st as (select sha1(text) || ':' || cast(line_no as varchar) as id, sha1(text) as content_hash
+       from l where source in (select doc_id from documents where lang = 'en')),
+ch as (select source, line_no as start_line, sha1(text) || ':' || cast(line_no as varchar) as id, sha1(text) as h from l),
+ex as (select *, row_number() over (partition by h order by source, start_line) = 1
+                 and h not in (select content_hash from st) as exact_keep from ch)
+select source, start_line, exact_keep, id in (select id from st) as existing,
+       exact_keep and id not in (select id from st) as "add"
+from ex
+""")
+def q_anti_existing_hash(spark, sf_dir):
+    from parley.functions import hashing as H
+    from parley.operators import ingest as ing
+    lines = C.plain_lines(doc_raw_lines(spark, sf_dir))
+    en = table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select(F.col("doc_id").alias("source"))
+    stored = lines.join(en, "source", "left_semi").select(H.stable_id("text", "line_no").alias("id"),
+                                                          H.content_hash("text").alias("content_hash"))
+    f = ing.flag_chunks(lines, None, ing.IngestOptions(), stored=stored)
+    return f.select("source", "start_line", "exact_keep", "existing", "add")
