@@ -60,7 +60,23 @@ def simhash64(c) -> Column:
     return simhash_of_hashes(token_hashes(c))
 
 
-_SLICE_TOKENS = 1 << 18  # token hashes voted at once inside one Arrow batch
+_SLICE_TOKENS = 1 << 20  # token hashes voted at once (a 64 MB bit matrix)
+
+
+def _vote_rows(offs: np.ndarray, vals: np.ndarray) -> np.ndarray:
+    """SimHash of every row of one slice: ``offs`` are row offsets into ``vals``."""
+    out = np.zeros(len(offs) - 1, dtype=np.int64)
+    lens = np.diff(offs)
+    nz = lens > 0
+    if not nz.any():
+        return out
+    seg = vals[offs[0]:offs[-1]]
+    starts = offs[:-1][nz] - offs[0]
+    bits = np.unpackbits(seg.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    keep = 2 * ones >= lens[nz][:, None]
+    out[nz] = np.packbits(keep.astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
+    return out
 
 
 def _vote_batch(hashes: pa.Array) -> pa.Array:
@@ -75,19 +91,9 @@ def _vote_batch(hashes: pa.Array) -> pa.Array:
         vals = np.asarray(hashes.values.to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < n_rows:
-            # grow the slice of rows until it holds about _SLICE_TOKENS tokens
             stop = int(np.searchsorted(offs, offs[start] + _SLICE_TOKENS, side="right")) - 1
             stop = min(max(stop, start + 1), n_rows)
-            lo, hi = int(offs[start]), int(offs[stop])
-            seg = vals[lo:hi]
-            bits = np.unpackbits(seg.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            csum = np.zeros((hi - lo + 1, 64), dtype=np.int32)
-            np.cumsum(bits, axis=0, dtype=np.int32, out=csum[1:])
-            rel = offs[start:stop + 1] - lo
-            ones = csum[rel[1:]] - csum[rel[:-1]]
-            counts = (rel[1:] - rel[:-1])[:, None]
-            keep = (2 * ones >= counts) & (counts > 0)
-            out[start:stop] = np.packbits(keep.astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
+            out[start:stop] = _vote_rows(offs[start:stop + 1], vals)
             start = stop
     return pa.array(out, type=pa.int64(), mask=np.asarray(hashes.is_null()))
 

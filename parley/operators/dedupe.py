@@ -19,6 +19,7 @@ Order matters: the first item in ``order_cols`` order wins.
 
 from __future__ import annotations
 
+import logging
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ from parley.functions import hashing as H
 from parley.functions import text as tx
 from parley.session import ensure_checkpoint_dir
 
+_log = logging.getLogger("parley.dedupe")
+
 
 def exact_keep(items: DataFrame, key: str, order_cols: list[str], seen: DataFrame | None = None,
                out: str = "exact_keep") -> DataFrame:
@@ -63,13 +66,17 @@ def _sub_keys(h: F.Column, max_hamming: int) -> F.Column:
 
 
 def near_duplicate_pairs(nodes: DataFrame, node_col: str = "node", hash_col: str = "simhash",
-                         max_hamming: int = H.DEFAULT_MAX_HAMMING) -> DataFrame:
+                         max_hamming: int = H.DEFAULT_MAX_HAMMING, cut: bool = True) -> DataFrame:
     """``(a, b, distance)`` with ``a < b`` for every matching pair of nodes.
 
     ``nodes`` must hold one row per node; equal hashes should be collapsed first
-    (``fuzzy_keep`` does)."""
+    (``fuzzy_keep`` does).  With ``cut`` the narrow node table is checkpointed
+    first, so the hashing upstream runs once for both sides of the self-join."""
     t = int(max_hamming)
     spark = nodes.sparkSession
+    if cut:
+        ensure_checkpoint_dir(spark)
+        nodes = nodes.select(node_col, hash_col).checkpoint(eager=True)
     if t < 0:
         return spark.createDataFrame([], nodes.select(F.col(node_col).alias("a"), F.col(node_col).alias("b"),
                                                       F.lit(0).alias("distance")).schema)
@@ -111,6 +118,7 @@ def greedy_dropped(edges: DataFrame, max_rounds: int | None = None) -> DataFrame
               .join(dropped_now.withColumnRenamed("n", "a"), "a", "left_anti")
               .join(dropped_now.withColumnRenamed("n", "b"), "b", "left_anti")
               .checkpoint(eager=True))
+    _log.info("greedy dedupe settled in %d rounds", rounds)
     if not parts:
         return spark.createDataFrame([], edges.select(F.col("a").alias("n")).schema)
     out = parts[0]
@@ -136,7 +144,7 @@ def fuzzy_keep(items: DataFrame, text_col: str, order_cols: list[str], max_hammi
     else:
         # equal hashes: only the first can survive (hamming 0 matches every later one)
         reps = cand.groupBy("simhash").agg(F.min("node").alias("node")).checkpoint(eager=True)
-        edges = near_duplicate_pairs(reps, "node", "simhash", max_hamming)
+        edges = near_duplicate_pairs(reps, "node", "simhash", max_hamming, cut=False)
         dropped = greedy_dropped(edges)
         kept = reps.join(dropped.withColumnRenamed("n", "node"), "node", "left_anti").select("node")
     kept = kept.select(*[F.col("node")[c].alias(c) for c in order_cols], F.lit(True).alias("_k"))

@@ -28,7 +28,14 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table.  A scan with fewer partitions than cores (one small file of
+    few row groups) is spread round-robin so row-wise work uses every core; a
+    large input already has far more scan partitions and is left as it is."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def doc_raw_lines(spark, sf_dir) -> DataFrame:
