@@ -3,9 +3,10 @@
 A corpus is ordered by ``(source, line_no)``.  A single source may hold a third
 of all rows, so nothing here uses a window partitioned by ``source`` alone:
 
-* ``dense_seq``      dense 0-based row number per key, from a rank inside fixed
-                     blocks of ``line_no`` (bounded partitions) plus a prefix sum
-                     over the (much smaller) block-count table.
+* ``running_sum``    running sum per key: a window inside fixed blocks of
+                     ``line_no`` (bounded partitions) plus a prefix sum over the
+                     (much smaller) block-total table; ``dense_seq`` is the
+                     running count.
 * ``halo_buckets``   cut each key into buckets of ``bucket`` consecutive rows and
                      copy the first ``halo`` rows of every bucket into the previous
                      one, so "next n rows" windows run per bucket.
@@ -17,8 +18,10 @@ of all rows, so nothing here uses a window partitioned by ``source`` alone:
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +62,7 @@ def halo_buckets(df: DataFrame, seq: str = "seq", halo: int = 0, bucket: int = B
     """Add ``_bkt`` (= seq div bucket) and ``_halo``.  Rows whose in-bucket position
     is below ``halo`` are also emitted into the previous bucket with ``_halo`` true,
     so a frame of ``halo + 1`` following rows is complete inside each bucket."""
-    bucket = max(int(bucket), 4 * (int(halo) + 1))
+    bucket = max(int(bucket), int(halo) + 1)
     b = F.floor(F.col(seq) / F.lit(bucket))
     copy = (F.col(seq) % F.lit(bucket) < F.lit(int(halo))) & (b > 0)
     return (df.withColumn("_bkts", F.when(copy, F.array(b, b - 1)).otherwise(F.array(b)))
@@ -69,23 +72,24 @@ def halo_buckets(df: DataFrame, seq: str = "seq", halo: int = 0, bucket: int = B
 
 
 def next_rows(df: DataFrame, keys: list[str], cols: list[str], n: int, order: str = "line_no",
-              name: str = "_win") -> DataFrame:
+              name: str = "_win", block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """For every row, ``name`` = array of structs(cols) of this row and the next
     ``n - 1`` rows of the same key (fewer at the end of the key).  Runs per halo
     bucket, so no key is ever a single task."""
     n = max(1, int(n))
-    s = dense_seq(df, keys, order)
-    h = halo_buckets(s, "seq", halo=n - 1)
+    s = dense_seq(df, keys, order, block=block)
+    h = halo_buckets(s, "seq", halo=n - 1, bucket=bucket)
     w = Window.partitionBy(*keys, "_bkt").orderBy("seq").rowsBetween(0, n - 1)
     return (h.withColumn(name, F.collect_list(F.struct(*[F.col(c) for c in cols])).over(w))
              .filter(~F.col("_halo"))
              .drop("_bkt", "_halo"))
 
 
-def lead_within(df: DataFrame, keys: list[str], col: str, out: str, order: str = "line_no") -> DataFrame:
+def lead_within(df: DataFrame, keys: list[str], col: str, out: str, order: str = "line_no",
+                block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """``out`` = value of ``col`` on the next row of the same key (NULL on the last)."""
-    s = dense_seq(df, keys, order)
-    h = halo_buckets(s, "seq", halo=1)
+    s = dense_seq(df, keys, order, block=block)
+    h = halo_buckets(s, "seq", halo=1, bucket=bucket)
     w = Window.partitionBy(*keys, "_bkt").orderBy("seq")
     return (h.withColumn(out, F.lead(col, 1).over(w))
              .filter(~F.col("_halo"))
@@ -93,15 +97,12 @@ def lead_within(df: DataFrame, keys: list[str], col: str, out: str, order: str =
 
 
 def _partition_cumsum(length_col: str, out: str, offsets_bc):
-    import pyspark
-
     def run(batches):
-        pid = pyspark.TaskContext.get().partitionId()
+        pid = TaskContext.get().partitionId()
         acc = offsets_bc.value.get(pid, 0)
         for rb in batches:
             lens = rb.column(length_col).cast(pa.int64()).fill_null(0)
             cum = pc.cumulative_sum(lens)
-            import numpy as np
             excl = np.asarray(cum) - np.asarray(lens) + acc
             if len(lens):
                 acc = int(acc + np.asarray(cum)[-1])

@@ -64,7 +64,7 @@ def read_text_files(spark: SparkSession, paths) -> DataFrame:
     large exports into many files."""
     if isinstance(paths, str):
         paths = [paths]
-    raw = (spark.read.option("wholetext", "true").text(list(paths))
+    raw = (spark.read.text(list(paths), wholetext=True)
                 .select(F.input_file_name().alias("path"),
                         F.call_function("make_valid_utf8", F.col("value")).alias("value")))
     return lines_of(raw, "path", "value")

@@ -122,7 +122,7 @@ def read_json_docs(spark: SparkSession, paths) -> DataFrame:
     """Whole JSON files as ``(source=path, json)`` (bad bytes replaced)."""
     if isinstance(paths, str):
         paths = [paths]
-    return (spark.read.option("wholetext", "true").text(list(paths))
+    return (spark.read.text(list(paths), wholetext=True)
                  .select(F.input_file_name().alias("source"),
                          F.call_function("make_valid_utf8", F.col("value")).alias("json")))
 
