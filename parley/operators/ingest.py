@@ -31,6 +31,15 @@ class IngestOptions:
     fuzzy_max_hamming: int = 6
     redact: bool = False
     redact_types: list[str] | None = None
+    collapse_whitespace: bool = False
+    strip_emoji: bool = False
+
+
+def messages_of(corpus: DataFrame, o: IngestOptions) -> DataFrame:
+    """S6 + F1 + F4: normalised non-blank messages, first ``max_messages`` of them."""
+    msgs = (corpus.withColumn("text", tx.normalize_message_line("text", o.collapse_whitespace, o.strip_emoji))
+                  .filter(F.col("text") != ""))
+    return first_messages(msgs, o.max_messages)
 
 
 def flag_chunks(corpus: DataFrame, store: ParquetStore | None = None, opts: IngestOptions | None = None,
@@ -41,7 +50,7 @@ def flag_chunks(corpus: DataFrame, store: ParquetStore | None = None, opts: Inge
     ``stored`` (``id, content_hash``) stands in for a store's rows when given."""
     o = opts or IngestOptions()
     mode = ch.chunk_mode(o.chunking)
-    msgs = first_messages(corpus, o.max_messages)
+    msgs = messages_of(corpus, o)
     chunks = ch.with_ids(ch.build_chunks(msgs, mode, o.window_size), mode).withColumnRenamed("text", "raw")
     text = tx.redact(F.col("raw"), o.redact_types) if o.redact else F.col("raw")
     chunks = chunks.withColumn("text", text).withColumn("content_hash", H.content_hash("text"))
@@ -118,7 +127,7 @@ def ingest(corpus: DataFrame, store: ParquetStore, opts: IngestOptions | None =
            embedder: Embedder | None = None, dry_run: bool = False) -> DataFrame:
     """V7: returns the one-row summary; a real run also writes the new rows."""
     o = opts or IngestOptions()
-    msgs = first_messages(corpus, o.max_messages)
+    msgs = messages_of(corpus, o)
     if msgs.isEmpty():
         raise ValueError("No messages found (expected one message per line)")
     if dry_run:

@@ -56,6 +56,8 @@ def _local_topk(k: int, qkey_type: T.DataType, ckey_type: T.DataType):
                                  "score": pd.Series([], dtype="float64")})
         qm = np.stack(qdf["qvec"].to_numpy()).astype(np.float64)
         cm = np.stack(cdf["vec"].to_numpy()).astype(np.float64)
+        if qm.shape[1] != cm.shape[1]:
+            raise ValueError(f"query vectors have {qm.shape[1]} dimensions, stored vectors {cm.shape[1]}")
         scores = qm @ cm.T
         rs = np.round(scores, SCORE_DIGITS)
         ids = cdf["id"].to_numpy()

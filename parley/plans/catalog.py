@@ -405,7 +405,7 @@ def q_knn_approx(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     store = e.select(F.col("vec_id").alias("id"), "embedding")
-    return knn_approx(q, store, 6, nprobe=4).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    return knn_approx(q, store, 6, nprobe=8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @register("retrieve_topk", f"""
@@ -852,7 +852,7 @@ def q_anti_existing_ids(spark, sf_dir):
 
 
 @register("anti_existing_hash", f"""
-with l as (select source, line_no, {S.strip('text')} as text from ({S.DOC_RAW_LINES}) where {S.strip('text')} <> ''),
+with l as (select source, line_no, {S.msg_line('text')} as text from ({S.DOC_RAW_LINES}) where {S.msg_line('text')} <> ''),
 st as (select sha1(text) || ':' || cast(line_no as varchar) as id, sha1(text) as content_hash
        from l where source in (select doc_id from documents where lang = 'en')),
 ch as (select source, line_no as start_line, sha1(text) || ':' || cast(line_no as varchar) as id, sha1(text) as h from l),
@@ -865,7 +865,7 @@ from ex
 def q_anti_existing_hash(spark, sf_dir):
     from parley.functions import hashing as H
     from parley.operators import ingest as ing
-    lines = C.plain_lines(doc_raw_lines(spark, sf_dir))
+    lines = C.message_lines(doc_raw_lines(spark, sf_dir))
     en = table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select(F.col("doc_id").alias("source"))
     stored = lines.join(en, "source", "left_semi").select(H.stable_id("text", "line_no").alias("id"),
                                                           H.content_hash("text").alias("content_hash"))
