@@ -228,24 +228,26 @@ def metadata_prefix(ts, name) -> Column:
 
 
 # B21
+_ROLE_PREFIX = rf"^(?i:you:|user:)[{WS_CLASS}]*"
+
+
 def strip_role_prefix(c) -> Column:
-    t = strip_ws(c)
-    return F.when(
-        F.lower(t).startswith("you:") | F.lower(t).startswith("user:"),
-        F.ltrim(F.regexp_replace(t, r"^(?i:you:|user:)", ""), F.lit(WS_CHARS)),
-    ).otherwise(t)
+    """Strip, then drop a leading ``you:`` / ``user:`` (any case) and the
+    whitespace after it."""
+    return F.regexp_replace(strip_ws(c), _ROLE_PREFIX, "")
 
 
 # B22
 def clean_answer(c) -> Column:
-    """One line, role prefix dropped, cut at the first `` user:`` (else `` you:``)."""
-    t = strip_ws(F.translate(strip_ws(normalize_newlines(c)), "\n", " "))
-    t = strip_role_prefix(t)
-    low = F.lower(t)
-    i_user = F.locate(" user:", low)
-    i_you = F.locate(" you:", low)
-    cut = F.when(i_user > 0, i_user).when(i_you > 0, i_you)
-    return F.when(cut.isNotNull(), F.rtrim(F.substring(t, F.lit(1), cut - 1), F.lit(WS_CHARS))).otherwise(t)
+    """One line, role prefix dropped, cut at the first `` user:`` (else `` you:``).
+
+    Each stage refers to the previous one at most three times, so the regex work
+    per row stays small."""
+    one_line = strip_ws(F.translate(strip_ws(normalize_newlines(c)), "\n", " "))
+    t = F.regexp_replace(one_line, _ROLE_PREFIX, "")
+    cut_user = F.rtrim(F.regexp_replace(t, r"(?is) user:.*$", ""), F.lit(WS_CHARS))
+    cut_you = F.rtrim(F.regexp_replace(t, r"(?is) you:.*$", ""), F.lit(WS_CHARS))
+    return F.when(t.rlike(r"(?i) user:"), cut_user).otherwise(cut_you)
 
 
 # B23

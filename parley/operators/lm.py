@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import text as tx
-from parley.operators.order import global_offsets, lead_within
+from parley.operators.order import global_offsets_total, lead_within
+from parley.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 SMALL_CORPUS_CHARS = 50_000     # warn below this many characters
@@ -192,16 +193,12 @@ def clamp_fraction(f: float) -> float:
 
 
 # L4 (offsets)
-def with_offsets(stream: DataFrame, length_col: str | None = None) -> DataFrame:
-    """Add ``length`` (characters, or ids when ``length_col`` is given) and the
-    global exclusive ``offset`` in stream order."""
+def with_offsets(stream: DataFrame, length_col: str | None = None) -> tuple[DataFrame, int]:
+    """``(stream + length + offset, total)``: ``length`` in characters (or ids when
+    ``length_col`` is given), ``offset`` the global exclusive running sum in stream
+    order, ``total`` the stream length."""
     ln = F.char_length("text") if length_col is None else F.size(length_col)
-    return global_offsets(stream.withColumn("length", ln.cast("long")), ["source", "line_no"], "length")
-
-
-def stream_total(with_off: DataFrame) -> int:
-    r = with_off.agg(F.sum("length").alias("n")).collect()[0]["n"]
-    return int(r or 0)
+    return global_offsets_total(stream.withColumn("length", ln.cast("long")), ["source", "line_no"], "length")
 
 
 # L6 / W8
@@ -285,13 +282,91 @@ def ngram_rows(lines: DataFrame, order: int) -> DataFrame:
     return ex.select((F.col("offset") + F.col("i")).alias("pos"), ctx.alias("ctx"), "c")
 
 
+_CP_BITS = 21
+_CP_MASK = (1 << _CP_BITS) - 1
+_NL = 10
+
+
+def _ngram_counts_kernel(order: int, boundary: int, head: bool, vocab_cps=None, first_cp: int = 0):
+    """mapInArrow kernel over ``(text, offset)`` lines: per batch, the counts of
+    n-gram codes ``c | prev1 << 21 | prev2 << 42`` (contexts restart at each line,
+    padded with newlines) for positions before (head) or from (tail) ``boundary``.
+    The tail form maps out-of-vocabulary code points to ``first_cp`` and reports
+    how many it mapped."""
+    vocab_arr = None if vocab_cps is None else np.asarray(vocab_cps, dtype=np.uint32)
+
+    def run(batches):
+        for rb in batches:
+            cps, offs, _nulls = _codepoints(rb.column("text"))
+            n = len(cps)
+            if n == 0:
+                continue
+            line_of = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+            local = np.arange(n, dtype=np.int64) - offs[:-1][line_of]
+            pos = np.asarray(rb.column("offset").to_numpy(zero_copy_only=False), dtype=np.int64)[line_of] + local
+            sel = pos < boundary if head else pos >= boundary
+            oov = 0
+            if vocab_arr is not None:
+                miss = ~np.isin(cps, vocab_arr)
+                oov = int((miss & sel).sum())
+                cps = np.where(miss, np.uint32(first_cp), cps)
+            code = cps.astype(np.int64)
+            for j in range(1, order):
+                prev = np.full(n, _NL, dtype=np.int64)
+                prev[j:] = cps[:-j]
+                prev[local < j] = _NL
+                code |= prev << (_CP_BITS * j)
+            u, cnt = np.unique(code[sel], return_counts=True)
+            oovs = np.zeros(len(u), dtype=np.int64)
+            if len(u):
+                oovs[0] = oov
+            elif oov:
+                u, cnt, oovs = np.array([-1]), np.array([0]), np.array([oov])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(cnt.astype(np.int64)),
+                                              pa.array(oovs)], names=["code", "n", "oov"])
+    return run
+
+
+_CODES_SCHEMA = T.StructType([T.StructField("code", T.LongType()), T.StructField("n", T.LongType()),
+                              T.StructField("oov", T.LongType())])
+
+
+def _heldout_codes(lines: DataFrame, boundary: int, held: int, order: int, alpha: float) -> DataFrame:
+    """Vectorised form of ``heldout_eval`` for order <= 3."""
+    head = lines.filter(F.col("offset") < boundary).select("text", "offset")
+    tail = lines.filter(F.col("offset") + F.char_length("text") > boundary).select("text", "offset")
+    counts = (head.mapInArrow(_ngram_counts_kernel(order, boundary, True), _CODES_SCHEMA)
+                  .groupBy("code").agg(F.sum("n").alias("n_cc"))
+                  .checkpoint(eager=True))
+    # the vocabulary is bounded by the code space
+    vocab = sorted(r["c"] for r in counts.select(F.col("code").bitwiseAND(F.lit(_CP_MASK)).alias("c"))
+                   .distinct().collect())
+    v_size = len(vocab)
+    test = (tail.mapInArrow(_ngram_counts_kernel(order, boundary, False, vocab, vocab[0]), _CODES_SCHEMA)
+                .groupBy("code").agg(F.sum("n").alias("m"), F.sum("oov").alias("oov")))
+    ctx = counts.groupBy(F.call_function("shiftright", F.col("code"), F.lit(_CP_BITS)).alias("ctx")) \
+                .agg(F.sum("n_cc").alias("n_c"))
+    scored = (test.withColumn("ctx", F.call_function("shiftright", F.col("code"), F.lit(_CP_BITS)))
+                  .join(counts, "code", "left").join(ctx, "ctx", "left")
+                  .select("m", "oov", ((F.coalesce("n_cc", F.lit(0)) + float(alpha)) /
+                                       (F.coalesce("n_c", F.lit(0)) + float(alpha) * v_size)).alias("p")))
+    agg = scored.agg((F.sum(F.col("m") * -F.log("p")) / F.sum("m")).alias("loss"),
+                     F.sum("oov").cast("long").alias("oov_chars"))
+    return agg.select(F.lit(held).cast("long").alias("heldout_chars"), "oov_chars", "loss",
+                      perplexity("loss").alias("perplexity"))
+
+
 def heldout_eval(lines_with_offsets: DataFrame, total: int, order: int = 3, alpha: float = 0.1,
                  heldout_fraction: float = 0.05, seq_len: int = 256) -> DataFrame:
     """``(heldout_chars, oov_chars, loss, perplexity)`` of an add-alpha character
     n-gram model counted on the stream head and scored on its tail.
 
-    Characters absent from the head are out of vocabulary: they are counted over
-    the whole stream and scored as the first vocabulary character (id 0)."""
+    Characters absent from the head are out of vocabulary: they can only occur in
+    the tail, where they are counted and scored as the first vocabulary character
+    (id 0).  Only the counting pass reads the head; everything else reads the
+    lines that reach into the tail.  For order <= 3 the n-grams are 63-bit codes
+    pre-counted per Arrow batch before the shuffle."""
+    ensure_checkpoint_dir(lines_with_offsets.sparkSession)
     use_seq = max(EVAL_MIN_SEQ_LEN, int(seq_len))
     held = int(total * clamp_fraction(heldout_fraction))
     if held < use_seq + 2:
@@ -299,23 +374,28 @@ def heldout_eval(lines_with_offsets: DataFrame, total: int, order: int = 3, alph
     if held <= 0:
         raise ValueError("Heldout split too small for evaluation. Increase the heldout fraction or decrease seq_len.")
     boundary = total - held
-    rows = ngram_rows(lines_with_offsets, order)
-    vocab = rows.filter(F.col("pos") < boundary).select(F.col("c").alias("char")).distinct()
-    v_size = vocab.count()
-    first_char = vocab.agg(F.min("char")).collect()[0][0]
-    # distinct tail characters missing from the head: bounded by the code space
-    oov_chars = [r["c"] for r in rows.filter(F.col("pos") >= boundary).select("c").distinct()
-                 .join(vocab, F.col("c") == F.col("char"), "left_anti").collect()]
-    oov = rows.filter(F.col("c").isin(oov_chars)).count() if oov_chars else 0
-    lines = lines_with_offsets
+    if 1 <= int(order) <= 3:
+        return _heldout_codes(lines_with_offsets, boundary, held, int(order), alpha)
+    spark = lines_with_offsets.sparkSession
+    head_lines = lines_with_offsets.filter(F.col("offset") < boundary)
+    tail_lines = lines_with_offsets.filter(F.col("offset") + F.char_length("text") > boundary)
+    counts = (ngram_rows(head_lines, order).filter(F.col("pos") < boundary)
+              .groupBy("ctx", "c").agg(F.count(F.lit(1)).alias("n_cc"))
+              .checkpoint(eager=True))
+    # the vocabulary is bounded by the code space
+    vocab = sorted(r["c"] for r in counts.select("c").distinct().collect())
+    v_size, first_char = len(vocab), vocab[0]
+    tail = ngram_rows(tail_lines, order).filter(F.col("pos") >= boundary)
+    vocab_df = F.broadcast(spark.createDataFrame([(c,) for c in vocab], "c string"))
+    oov_rows = tail.join(vocab_df, "c", "left_anti").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+    oov_chars = [r["c"] for r in oov_rows]
+    oov = sum(int(r["n"]) for r in oov_rows)
     if oov_chars:
-        lines = lines.withColumn("text", F.translate("text", "".join(oov_chars), first_char * len(oov_chars)))
-    mapped = ngram_rows(lines, order)
-    train = mapped.filter(F.col("pos") < boundary)
-    test = mapped.filter(F.col("pos") >= boundary)
-    big = train.groupBy("ctx", "c").agg(F.count(F.lit(1)).alias("n_cc"))
-    small = train.groupBy("ctx").agg(F.count(F.lit(1)).alias("n_c"))
-    scored = (test.join(big, ["ctx", "c"], "left").join(small, "ctx", "left")
+        tail_lines = tail_lines.withColumn("text", F.translate("text", "".join(oov_chars),
+                                                                  first_char * len(oov_chars)))
+    test = ngram_rows(tail_lines, order).filter(F.col("pos") >= boundary)
+    ctx_counts = counts.groupBy("ctx").agg(F.sum("n_cc").alias("n_c"))
+    scored = (test.join(counts, ["ctx", "c"], "left").join(ctx_counts, "ctx", "left")
                   .select(((F.coalesce("n_cc", F.lit(0)) + float(alpha)) /
                            (F.coalesce("n_c", F.lit(0)) + float(alpha) * v_size)).alias("p")))
     loss = scored.agg(F.avg(-F.log(F.col("p"))).alias("loss"))

@@ -11,9 +11,10 @@ of all rows, so nothing here uses a window partitioned by ``source`` alone:
                      copy the first ``halo`` rows of every bucket into the previous
                      one, so "next n rows" windows run per bucket.
 * ``global_offsets`` exclusive running sum of a length over the whole table in
-                     ``(source, line_no)`` order: range partitioning, per-partition
-                     totals (one number per partition to the driver, like
-                     ``zipWithIndex``), then a running sum inside each partition.
+                     ``(source, line_no)`` order: a window inside line blocks, then
+                     the narrow block-total table range-partitioned with one total
+                     per partition to the driver (like ``zipWithIndex``) and an
+                     Arrow running sum inside each partition.
 """
 
 from __future__ import annotations
@@ -39,15 +40,17 @@ def running_sum(df: DataFrame, keys: list[str], value: str, out: str, order: str
     (at most ``block`` rows each), plus the sum of all earlier blocks of the same
     key from the block-total table (``rows / block`` rows)."""
     d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)))
-    frame = (Window.partitionBy(*keys, "_blk").orderBy(order)
-             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    d = d.withColumn("_in", F.coalesce(F.sum(value).over(frame), F.lit(0)))
-    totals = d.groupBy(*keys, "_blk").agg(F.sum(value).alias("_t"))
+    frame = Window.partitionBy(*keys, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_inc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    d = d.withColumn("_in", F.col("_inc") if inclusive else F.col("_inc") - F.coalesce(F.col(value), F.lit(0)))
+    # block totals read off the windowed rows (the running sum at each block's last
+    # row), so the shuffle by (keys, _blk) is shared and the input is read once
+    totals = d.groupBy(*keys, "_blk").agg(F.max_by("_inc", order).alias("_t"))
     w_blk = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.withColumn("_off", F.coalesce(F.sum("_t").over(w_blk), F.lit(0))).drop("_t")
     return (d.join(offs, on=[*keys, "_blk"], how="inner")
              .withColumn(out, F.col("_off") + F.col("_in"))
-             .drop("_blk", "_in", "_off"))
+             .drop("_blk", "_in", "_inc", "_off"))
 
 
 def dense_seq(df: DataFrame, keys: list[str], order: str = "line_no", out: str = "seq",
@@ -110,22 +113,45 @@ def _partition_cumsum(length_col: str, out: str, offsets_bc):
     return run
 
 
-def global_offsets(df: DataFrame, order_cols: list[str], length_col: str, out: str = "offset",
-                   partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = exclusive running sum of ``length_col`` over the whole table in
-    ``order_cols`` order (the char offset of each line in one logical stream)."""
+def global_offsets_total(df: DataFrame, order_cols: list[str], length_col: str, out: str = "offset",
+                         block: int = BLOCK, partitions: int | None = None) -> tuple[DataFrame, int]:
+    """``(df + out, total)``: ``out`` = exclusive running sum of ``length_col`` over
+    the whole table in ``order_cols`` order (the character offset of each line in
+    one logical stream); ``total`` = the sum of all lengths.
+
+    The last order column must be an integer.  Rows get an exclusive running sum
+    inside blocks of ``block`` consecutive values of it (one window, one shuffle of
+    the table); the narrow block-total table is range-partitioned, each partition
+    sends one number to the driver (as ``zipWithIndex`` does) and an Arrow running
+    sum gives each block its offset."""
     spark = df.sparkSession
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *order_cols).sortWithinPartitions(*order_cols)
-    ranged = ranged.persist()
-    totals = (ranged.groupBy(F.spark_partition_id().alias("pid"))
-                    .agg(F.sum(F.col(length_col).cast("bigint")).alias("n")).collect())
+    *outer, inner = order_cols
+    d = df.withColumn("_blk", F.floor(F.col(inner) / F.lit(block)))
+    w = (Window.partitionBy(*outer, "_blk").orderBy(inner)
+         .rowsBetween(Window.unboundedPreceding, 0))
+    ln = F.coalesce(F.col(length_col).cast("long"), F.lit(0))
+    d = d.withColumn("_inc", F.sum(ln).over(w)).withColumn("_in", F.col("_inc") - ln)
+    blocks = d.groupBy(*outer, "_blk").agg(F.max_by("_inc", inner).alias("_t"))
+    keys = [*outer, "_blk"]
+    ranged = blocks.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).persist()
+    totals = (ranged.groupBy(F.spark_partition_id().alias("pid")).agg(F.sum("_t").alias("n")).collect())
     by_pid = {int(r["pid"]): int(r["n"] or 0) for r in totals}
     offsets, acc = {}, 0
     for pid in range(max(by_pid, default=-1) + 1):
         offsets[pid] = acc
         acc += by_pid.get(pid, 0)
     bc = spark.sparkContext.broadcast(offsets)
-    schema = T.StructType(ranged.schema.fields + [T.StructField(out, T.LongType(), False)])
-    return ranged.mapInArrow(_partition_cumsum(length_col, out, bc), schema)
+    schema = T.StructType(ranged.schema.fields + [T.StructField("_boff", T.LongType(), False)])
+    boffs = ranged.mapInArrow(_partition_cumsum("_t", "_boff", bc), schema).drop("_t")
+    res = (d.join(boffs, keys, "inner")
+            .withColumn(out, F.col("_boff") + F.col("_in"))
+            .drop("_blk", "_inc", "_in", "_boff"))
+    return res, acc
+
+
+def global_offsets(df: DataFrame, order_cols: list[str], length_col: str, out: str = "offset",
+                   partitions: int | None = None) -> DataFrame:
+    """``global_offsets_total`` without the total."""
+    return global_offsets_total(df, order_cols, length_col, out, partitions=partitions)[0]

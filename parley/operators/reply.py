@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.operators.order import lead_within
+from parley.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 STRATEGIES = ("hybrid", "generate", "corpus")
@@ -67,11 +68,12 @@ def _usable(h: DataFrame) -> DataFrame:
 
 # R1
 def corpus_reply(hits: DataFrame, corpus: DataFrame, strategy: str = "hybrid",
-                 min_score: float = DEFAULT_MIN_SCORE) -> DataFrame:
+                 min_score: float = DEFAULT_MIN_SCORE, next_hits: DataFrame | None = None) -> DataFrame:
     """``(query_id, reply, reply_score)``: the cleaned next message of the best
-    usable hit (highest vector score, first in hit order on ties)."""
+    usable hit (highest vector score, first in hit order on ties).  ``next_hits``
+    is ``next_message(hits, corpus)`` when the caller already has it."""
     st = strategy_name(strategy)
-    h = _usable(next_message(hits, corpus))
+    h = _usable(next_hits if next_hits is not None else next_message(hits, corpus))
     if st == "hybrid":
         h = h.filter(F.col("score") >= F.lit(float(min_score)))
     h = (h.withColumn("reply", tx.clean_answer("next_text"))
@@ -87,14 +89,16 @@ def _wrap(user: Column, head: Column | None = None) -> Column:
 
 
 # R2
-def build_prompt(queries: DataFrame, hits: DataFrame, corpus: DataFrame, template: str = "few-shot") -> DataFrame:
+def build_prompt(queries: DataFrame, hits: DataFrame, corpus: DataFrame, template: str = "few-shot",
+                 next_hits: DataFrame | None = None) -> DataFrame:
     """``(query_id, prompt)`` for every query."""
     t = template_name(template)
     if t == "minimal":
         return queries.select("query_id", _wrap(F.col("query")).alias("prompt"))
     if t == "scaffold":
         return queries.select("query_id", _wrap(F.col("query"), F.lit(SCAFFOLD_HEAD)).alias("prompt"))
-    h = _usable(next_message(hits.filter(F.col("rank") <= 2 * MAX_EXAMPLES), corpus))
+    nh = next_hits if next_hits is not None else next_message(hits, corpus)
+    h = _usable(nh.filter(F.col("rank") <= 2 * MAX_EXAMPLES))
     h = (h.withColumn("_u", tx.clean_answer("text")).withColumn("_a", tx.clean_answer("next_text"))
           .filter((F.col("_u") != "") & (F.col("_a") != "")))
     w = Window.partitionBy("query_id").orderBy("rank")
@@ -125,15 +129,20 @@ def turns(queries: DataFrame, hits: DataFrame, corpus: DataFrame, strategy: str
 
     ``prompt`` is set on generate rows; without a generator their answer is NULL."""
     st = strategy_name(strategy)
+    template_name(template)
+    ensure_checkpoint_dir(queries.sparkSession)
+    # the hits and their next messages feed three branches: computed once
+    hits = hits.checkpoint(eager=True)
+    nh = next_message(hits, corpus).checkpoint(eager=True)
     q = queries.select("query_id", F.col("query").alias("user"))
     if st in ("corpus", "hybrid"):
-        q = q.join(corpus_reply(hits, corpus, st, min_score).select("query_id", "reply"), "query_id", "left")
+        q = q.join(corpus_reply(hits, corpus, st, min_score, nh).select("query_id", "reply"), "query_id", "left")
     else:
         q = q.withColumn("reply", F.lit(None).cast("string"))
     used = F.when(F.lit(st == "corpus") | (F.lit(st == "hybrid") & F.col("reply").isNotNull()), F.lit("corpus")) \
         .otherwise(F.lit("generate"))
     q = q.withColumn("used_strategy", used)
-    prompts = build_prompt(queries, hits, corpus, template)
+    prompts = build_prompt(queries, hits, corpus, template, nh)
     q = q.join(prompts, "query_id", "left").withColumn(
         "prompt", F.when(F.col("used_strategy") == "generate", F.col("prompt")))
     gen = generated_answer(F.col("prompt"), generator, stops) if generator is not None else F.lit(None).cast("string")

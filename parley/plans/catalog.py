@@ -358,8 +358,11 @@ def conv_store_rows(spark, sf_dir, dim: int = 384) -> DataFrame:
     """Store rows of the conversation messages (message chunks, exact dedupe)."""
     from parley.operators import ingest as ing
     from parley.operators.embed import hashed_embedder
+    from parley.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     flagged = ing.flag_chunks(conv_messages(spark, sf_dir), None, ing.IngestOptions())
-    return ing.store_rows(flagged, ing.IngestOptions(), hashed_embedder(dim))
+    # the store is a table: materialise it once, as an ingest would
+    return ing.store_rows(flagged, ing.IngestOptions(), hashed_embedder(dim)).checkpoint(eager=True)
 
 
 def conv_queries(spark, sf_dir) -> DataFrame:
@@ -621,8 +624,7 @@ from s, b
 """)
 def q_tail_split(spark, sf_dir):
     from parley.operators import lm
-    s = lm.with_offsets(doc_stream(spark, sf_dir))
-    total = lm.stream_total(s)
+    s, total = lm.with_offsets(doc_stream(spark, sf_dir))
     seq, _warn = lm.fit_seq_len(total, 256)
     out, _val = lm.tail_split(s, total, 0.05, seq)
     return out.select("source", "line_no", "offset", "length", "train_chars", "val_chars")
@@ -637,8 +639,7 @@ select n as chars_total, n - val as chars_train, val as chars_val,
 """)
 def q_lm_meta(spark, sf_dir):
     from parley.operators import lm
-    s = lm.with_offsets(doc_stream(spark, sf_dir))
-    total = lm.stream_total(s)
+    s, total = lm.with_offsets(doc_stream(spark, sf_dir))
     seq, _warn = lm.fit_seq_len(total, 256)
     _f, val = lm.tail_split(s, total, 0.05, seq)
     vsize = lm.build_vocab(s).count()
@@ -652,8 +653,7 @@ def _doc_id_lines(spark, sf_dir):
     s = doc_stream(spark, sf_dir)
     chars = lm.vocab_list(lm.build_vocab(s))
     ids = s.select("source", "line_no", lm.encode_chars("text", chars).alias("ids"))
-    ids = lm.with_offsets(ids, length_col="ids")
-    return ids, lm.stream_total(ids)
+    return lm.with_offsets(ids, length_col="ids")
 
 
 @register("pack_sequences", f"""
@@ -710,8 +710,7 @@ select (select held from b) as heldout_chars, (select oov from oov) as oov_chars
 """)
 def q_heldout_ngram(spark, sf_dir):
     from parley.operators import lm
-    s = lm.with_offsets(doc_stream(spark, sf_dir))
-    total = lm.stream_total(s)
+    s, total = lm.with_offsets(doc_stream(spark, sf_dir))
     ev = lm.heldout_eval(s, total, order=3, alpha=0.1, heldout_fraction=0.05, seq_len=256)
     return ev.select("heldout_chars", "oov_chars", F.round("loss", 6).alias("loss"),
                      F.round("perplexity", 6).alias("perplexity"))

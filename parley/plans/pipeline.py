@@ -57,14 +57,13 @@ def run_pipeline(spark: SparkSession, paths, fmt: str, work_dir: str, *, with_me
     store = ParquetStore(spark, store_root, "messages")
     added = int(ingest_stage(corpus, store, opts or ing.IngestOptions(), embedder))
 
-    stream = lm.with_offsets(lm.stream_lines(corpus))
-    total = lm.stream_total(stream)
+    stream, total = lm.with_offsets(lm.stream_lines(corpus))
     seq, _small = lm.fit_seq_len(total, seq_len)
     vocab = lm.build_vocab(stream)
     chars = lm.vocab_list(vocab)
-    ids = lm.with_offsets(stream.select("source", "line_no", lm.encode_chars("text", chars).alias("ids")),
-                          length_col="ids")
-    lm.pack_sequences(ids, lm.stream_total(ids), seq).write.mode("overwrite").parquet(seq_path)
+    ids, n_ids = lm.with_offsets(stream.select("source", "line_no", lm.encode_chars("text", chars).alias("ids")),
+                                 length_col="ids")
+    lm.pack_sequences(ids, n_ids, seq).write.mode("overwrite").parquet(seq_path)
     try:
         ev = lm.heldout_eval(stream, total, seq_len=seq).first().asDict()
     except ValueError:

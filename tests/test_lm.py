@@ -34,8 +34,7 @@ def test_fit_seq_len_and_split(spark):
     assert lm.fit_seq_len(1000, 256) == (125, True)
     assert lm.fit_seq_len(10, 256) == (16, True)
     assert lm.fit_seq_len(10**6, 256) == (256, False)
-    s = lm.with_offsets(lm.stream_lines(_raw(spark, ["x" * 99, "y" * 99, "z" * 99])))
-    total = lm.stream_total(s)
+    s, total = lm.with_offsets(lm.stream_lines(_raw(spark, ["x" * 99, "y" * 99, "z" * 99])))
     assert total == 300
     out, val = lm.tail_split(s, total, 0.9, 8)           # clamped to 0.5
     assert val == 150
@@ -54,8 +53,9 @@ def test_pairs_corpus(spark):
 def _stream_ids(spark, texts):
     s = lm.stream_lines(_raw(spark, texts))
     chars = lm.vocab_list(lm.build_vocab(s))
-    ids = lm.with_offsets(s.select("source", "line_no", lm.encode_chars("text", chars).alias("ids")), length_col="ids")
+    ids, _n = lm.with_offsets(s.select("source", "line_no", lm.encode_chars("text", chars).alias("ids")), length_col="ids")
     flat = [chars.index(c) for c in "".join(t + "\n" for t in texts)]
+    assert _n == len(flat)
     return ids, flat
 
 
@@ -77,18 +77,19 @@ def test_pack_and_sample_sequences(spark):
         lm.sample_sequences(ids, 5, 3, 10)
 
 
-def test_heldout_eval_matches_python(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_heldout_eval_matches_python(spark, order):
     texts = ["the cat sat on the mat", "the dog sat", "a cat ran", "the end q!"]
-    s = lm.with_offsets(lm.stream_lines(_raw(spark, texts)))
-    total = lm.stream_total(s)
-    r = lm.heldout_eval(s, total, order=3, alpha=0.5, heldout_fraction=0.3, seq_len=8).first()
+    s, total = lm.with_offsets(lm.stream_lines(_raw(spark, texts)))
+    r = lm.heldout_eval(s, total, order=order, alpha=0.5, heldout_fraction=0.3, seq_len=8).first()
     # brute force
+    k = order - 1
     lines = [t + "\n" for t in texts]
     rows, off = [], 0
     for t in lines:
-        pad = "\n\n" + t
+        pad = "\n" * k + t
         for i, c in enumerate(t):
-            rows.append((off + i, pad[i:i + 2], c))
+            rows.append((off + i, pad[i:i + k], c))
         off += len(t)
     held = int(total * 0.3)
     b = total - held

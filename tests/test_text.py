@@ -100,7 +100,8 @@ def test_clean_for_embedding(spark):
 
 
 def test_answers_and_stops(spark):
-    texts = ["You: hi there", "USER:   ok", "fine user: next", "yes you: no", "plain\nline", "  ", "a you: b user: c"]
+    texts = ["You: hi there", "USER:   ok", "fine user: next", "yes you: no", "plain\nline", "  ", "a you: b user: c",
+             "user:you: x", "a\nuser: b", "x USER:y", "you:", " ok you:\n more", "e\r\nf you: g user: h", "noyou: x"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", tx.clean_answer("t").alias("c"), tx.strip_role_prefix("t").alias("s")).collect()
     for r in got:
