@@ -12,9 +12,12 @@ Order matters: the first item in ``order_cols`` order wins.
   also agrees on some pair of byte positions.  Keying on (band value, byte pair,
   their values) keeps every block tiny while losing no pair.
 * fuzzy keep (A6): "drop an item iff an earlier *kept* item matches it" is the
-  greedy lexicographically-first maximal independent set of the match graph; it
-  is computed in rounds over the edge table (lineage cut by ``checkpoint()`` to
-  the shared checkpoint folder).
+  greedy lexicographically-first maximal independent set of the match graph.  It
+  is computed in rounds over block memberships: blocks up to ``HOT_BLOCK``
+  members give explicit edges; larger blocks (one huge cluster of near-copies)
+  never form pairs and are resolved by pivots, the smallest undecided member
+  dropping its near neighbours.  Lineage is cut each round by ``checkpoint()`` to
+  the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -127,6 +130,83 @@ def greedy_dropped(edges: DataFrame, max_rounds: int | None = None) -> DataFrame
     return out
 
 
+def _memberships(nodes: DataFrame, max_hamming: int) -> DataFrame:
+    """``(g, node, h)``: every block key of every node (band value x aligned-byte
+    sub-key); two nodes that match always share at least one block."""
+    key = (F.col("v").cast("long") * F.lit(1 << 23)) + F.col("k").cast("long")
+    return (nodes.select("node", F.col("simhash").alias("h"),
+                         F.explode(F.array_distinct(H.simhash_bands(F.col("simhash")))).alias("v"))
+                 .withColumn("k", F.explode(_sub_keys(F.col("h"), max_hamming)))
+                 .select(key.alias("g"), "node", "h"))
+
+
+HOT_BLOCK = 4096   # blocks above this many members are resolved by pivots, not pairs
+
+
+def greedy_dropped_blocks(nodes: DataFrame, max_hamming: int = H.DEFAULT_MAX_HAMMING,
+                          hot: int = HOT_BLOCK) -> DataFrame:
+    """Nodes dropped by the sequential rule, from block memberships.
+
+    Blocks of at most ``hot`` members yield explicit edges (pairs within the
+    block, Hamming-filtered).  Larger blocks never form pairs: a node may only be
+    kept while it is the smallest undecided member of each large block it is in,
+    and then drops the later undecided members of those blocks within
+    ``max_hamming``.  Each round keeps the nodes with no undecided earlier
+    neighbour by either rule and drops their later neighbours; the smallest
+    undecided node always qualifies, so the loop ends."""
+    t = int(max_hamming)
+    spark = nodes.sparkSession
+    ensure_checkpoint_dir(spark)
+    m = _memberships(nodes, t)
+    sizes = m.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
+    m = m.join(sizes, "g").checkpoint(eager=True)
+    small = m.filter(F.col("_n") <= hot).drop("_n")
+    a, b = small.alias("a"), small.alias("b")
+    e = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.node") < F.col("b.node"))
+                & (H.hamming64(F.col("a.h"), F.col("b.h")) <= t))
+          .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().checkpoint(eager=True))
+    mh = m.filter(F.col("_n") > hot).drop("_n").checkpoint(eager=True)
+    parts, rounds = [], 0
+    has_hot = not mh.isEmpty()
+    while True:
+        if has_hot:
+            has_hot = not mh.isEmpty()
+        if e.isEmpty() and not has_hot:
+            break
+        rounds += 1
+        targets = e.select(F.col("b").alias("n")).distinct()
+        pending = e.select(F.col("a").alias("n"))
+        if has_hot:
+            mins = mh.groupBy("g").agg(F.min("node").alias("p"), F.min_by("h", "node").alias("hp"))
+            not_min = (mh.join(mins, "g").filter(F.col("node") != F.col("p"))
+                         .select(F.col("node").alias("n")).distinct())
+            pending = pending.unionByName(mh.select(F.col("node").alias("n")))
+            kept_now = pending.distinct().join(targets, "n", "left_anti").join(not_min, "n", "left_anti")
+        else:
+            kept_now = pending.distinct().join(targets, "n", "left_anti")
+        kept_now = kept_now.checkpoint(eager=True)
+        dropped_now = e.join(kept_now.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n"))
+        if has_hot:
+            by_block = (mh.join(mins.join(kept_now.withColumnRenamed("n", "p"), "p", "left_semi"), "g")
+                          .filter((F.col("node") > F.col("p")) & (H.hamming64("h", "hp") <= t))
+                          .select(F.col("node").alias("n")))
+            dropped_now = dropped_now.unionByName(by_block)
+        dropped_now = dropped_now.distinct().checkpoint(eager=True)
+        parts.append(dropped_now)
+        decided = kept_now.unionByName(dropped_now)
+        e = (e.join(decided.withColumnRenamed("n", "a"), "a", "left_anti")
+              .join(decided.withColumnRenamed("n", "b"), "b", "left_anti").checkpoint(eager=True))
+        if has_hot:
+            mh = mh.join(decided.withColumnRenamed("n", "node"), "node", "left_anti").checkpoint(eager=True)
+    _log.info("block dedupe settled in %d rounds", rounds)
+    if not parts:
+        return spark.createDataFrame([], nodes.select(F.col("node").alias("n")).schema)
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
 def fuzzy_keep(items: DataFrame, text_col: str, order_cols: list[str], max_hamming: int = H.DEFAULT_MAX_HAMMING,
                eligible_col: str | None = None, out: str = "fuzzy_keep") -> DataFrame:
     """Add boolean ``out``.  Blank texts (and rows with ``eligible_col`` false)
@@ -144,8 +224,7 @@ def fuzzy_keep(items: DataFrame, text_col: str, order_cols: list[str], max_hammi
     else:
         # equal hashes: only the first can survive (hamming 0 matches every later one)
         reps = cand.groupBy("simhash").agg(F.min("node").alias("node")).checkpoint(eager=True)
-        edges = near_duplicate_pairs(reps, "node", "simhash", max_hamming, cut=False)
-        dropped = greedy_dropped(edges)
+        dropped = greedy_dropped_blocks(reps, max_hamming)
         kept = reps.join(dropped.withColumnRenamed("n", "node"), "node", "left_anti").select("node")
     kept = kept.select(*[F.col("node")[c].alias(c) for c in order_cols], F.lit(True).alias("_k"))
     return (items.join(kept, order_cols, "left")

@@ -87,3 +87,38 @@ def test_exact_keep_first_wins(spark):
     seen = df.filter(F.col("text") == "y").select("h")
     got = {(r["source"], r["start_line"]): r["exact_keep"] for r in dd.exact_keep(df, "h", ["source", "start_line"], seen).collect()}
     assert got[("s", 2)] is False
+
+
+def test_block_rounds_equal_edge_rounds(spark):
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(64) for _ in range(12)]
+    hs = []
+    for _ in range(400):
+        h = rnd.choice(base)
+        for _ in range(rnd.randint(0, 8)):
+            h ^= 1 << rnd.randrange(64)
+        hs.append(h)
+    hs = list(dict.fromkeys(hs))
+    nodes = spark.createDataFrame([(i, pyref.signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
+    for t in (2, 6, 9):
+        a = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=0).collect()}
+        a2 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=3).collect()}
+        a3 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t).collect()}
+        assert a == a2 == a3, t
+        b = {r["n"] for r in dd.greedy_dropped(dd.near_duplicate_pairs(nodes, max_hamming=t)).collect()}
+        keep, seen = [], {}
+        for i, h in enumerate(hs):
+            if any(bin(h ^ k).count("1") <= t and set(pyref.bands(h)) & set(pyref.bands(k)) for k in keep):
+                continue
+            keep.append(h)
+        exp = {i for i, h in enumerate(hs)} - {i for i, h in enumerate(hs) if h in set(keep)}
+        assert a == b == exp, t
+
+
+def test_one_big_cluster(spark):
+    # 300 distinct hashes all within distance 2 of each other: one pivot drops the rest
+    base = 0x0F0F_F0F0_1234_5678
+    hs = [base] + [base ^ (1 << i) for i in range(64)] + [base ^ (1 << i) ^ (1 << j) for i in range(8) for j in range(i + 1, 64)][:235]
+    nodes = spark.createDataFrame([(i, pyref.signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
+    dropped = {r["n"] for r in dd.greedy_dropped_blocks(nodes, 6, hot=50).collect()}
+    assert dropped == set(range(1, len(hs)))
