@@ -228,15 +228,20 @@ def first_messages(corpus: DataFrame, n: int | None) -> DataFrame:
 # V6
 def export_retrieval(corpus: DataFrame, store: DataFrame, queries: list[str] | None = None,
                      samples: int = 10, k: int = 5, seed: int | None = None,
-                     embedder: Embedder | None = None) -> DataFrame:
+                     embedder: Embedder | None = None, fail_on_empty: bool = False) -> DataFrame:
     """Retrieval samples ``(query_id, query, results ARRAY<STRUCT<id, score, text, metadata>>)``.
 
     Explicit non-blank ``queries`` replace sampling; otherwise ``samples``
-    messages are drawn (T3)."""
+    messages are drawn (T3).  ``fail_on_empty`` raises when the corpus has no
+    message or no query is left."""
     spark = corpus.sparkSession
+    if fail_on_empty and corpus.isEmpty():
+        raise ValueError("No messages found (expected one message per line)")
     if queries:
         picked = [q for q in (str(x) for x in queries) if q.strip()]
         if not picked:
+            if fail_on_empty:
+                raise ValueError("No non-blank queries given")
             return spark.createDataFrame([], "query_id long, query string")
         qdf = spark.createDataFrame(list(enumerate(picked, start=1)), "query_id long, query string")
     else:

@@ -870,3 +870,39 @@ def q_anti_existing_hash(spark, sf_dir):
                                                           H.content_hash("text").alias("content_hash"))
     f = ing.flag_chunks(lines, None, ing.IngestOptions(), stored=stored)
     return f.select("source", "start_line", "exact_keep", "existing", "add")
+
+
+# --- more report shapes ---------------------------------------------------------------------
+
+@register("browse_report", f"""
+select 'chars' as kind, rank, "char" as item, count from ({_sql_top(_SQL_CHARS(_SQL_DOC_BROWSE), 'char', 10, 2)})
+union all
+select 'tokens' as kind, rank, token as item, count from ({_sql_top(_SQL_TOKENS(_SQL_DOC_BROWSE), 'token', 10, 2)})
+""")
+def q_browse_report(spark, sf_dir):
+    rep = profile.browse_report(C.browse_lines(doc_raw_lines(spark, sf_dir)), "both", 10, 2)
+    parts = []
+    for kind, label in (("chars", "char"), ("tokens", "token")):
+        parts.append(rep.select(F.lit(kind).alias("kind"), F.posexplode(kind).alias("pos", "e"))
+                        .select("kind", (F.col("pos") + 1).cast("int").alias("rank"),
+                                F.col("e")[label].alias("item"), F.col("e")["count"].alias("count")))
+    return parts[0].unionByName(parts[1])
+
+
+@register("stream_corpus", f"""
+select source, line_no, {S.redact_all('text')} || chr(10) as text from ({S.DOC_RAW_LINES})
+""")
+def q_stream_corpus(spark, sf_dir):
+    from parley.operators import lm
+    return lm.stream_lines(doc_raw_lines(spark, sf_dir), redact=True)
+
+
+@register("ingest_examples", f"""
+select start_line, end_line, text from ({S.CONV_WINDOWS4})
+qualify row_number() over (partition by sha1(text) order by source, start_line) = 1
+order by source, start_line limit 5
+""")
+def q_ingest_examples(spark, sf_dir):
+    from parley.operators import ingest as ing
+    opts = ing.IngestOptions(chunking="window", window_size=4)
+    return ing.ingest_examples(ing.flag_chunks(conv_messages(spark, sf_dir), None, opts), 5)

@@ -91,3 +91,13 @@ def test_sample_and_first(spark):
     assert rt.sample_messages(corpus, 50, 7).count() == 20
     assert rt.sample_messages(corpus, -1, 7).count() == 0
     assert [r["line_no"] for r in rt.first_messages(corpus.repartition(3), 3).collect()] == [1, 2, 3]
+
+
+def test_export_fail_on_empty(spark):
+    corpus = spark.createDataFrame([], "source string, line_no long, text string")
+    store = _store(spark, ["x"])
+    with pytest.raises(ValueError):
+        rt.export_retrieval(corpus, store, samples=3, fail_on_empty=True)
+    c2 = spark.createDataFrame([("f", 1, "x")], "source string, line_no long, text string")
+    with pytest.raises(ValueError):
+        rt.export_retrieval(c2, store, queries=[" "], fail_on_empty=True)
