@@ -73,3 +73,24 @@ def test_canonical_sink(spark, tmp_path):
     ex.write_corpus(df, str(out), "text", partitions=1)
     text = "".join(p.read_text() for p in sorted(out.glob("part-*")))
     assert text == "a\nb c\n"
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    from parley.sources.corpus import read_text_files
+    lines = [("x" * (i % 37)) if i % 5 else "" for i in range(3000)]
+    p = tmp_path / "big.txt"
+    p.write_text("\r\n".join(lines[:1500]) + "\r" + "\n".join(lines[1500:]) + "\n", encoding="utf-8")
+    q = tmp_path / "small.txt"
+    q.write_text("a\n\nb", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = read_text_files(spark, [str(p), str(q)])
+        assert df.rdd.getNumPartitions() > 5
+        got = {(r["source"].rsplit("/", 1)[-1], r["line_no"]): r["text"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    raw = p.read_text(encoding="utf-8").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    exp = {("big.txt", i + 1): t for i, t in enumerate(raw) if not (i == len(raw) - 1 and t == "")}
+    exp.update({("small.txt", 1): "a", ("small.txt", 2): "", ("small.txt", 3): "b"})
+    assert got == exp
