@@ -94,7 +94,7 @@ def ingest_summary(flagged: DataFrame, messages: DataFrame | None = None) -> Dat
     agg = agg.withColumn("dedupe_rate", F.when(F.col("chunks") > 0,
                                                F.round(1.0 - F.col("would_add") / F.col("chunks"), 6)))
     if messages is not None:
-        agg = agg.withColumn("messages", F.lit(messages.count()))
+        agg = agg.withColumn("messages", F.lit(messages.count()).cast("long"))
     return agg
 
 

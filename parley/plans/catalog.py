@@ -250,7 +250,7 @@ select k as doc_id, simhash from s
 with sh as ({_SQL_DOC_SH}),
 reps as (select simhash as h, min(doc_id) as node from sh group by simhash),
 b as (select node, h, unnest(list_distinct({S.bands_sql('h')})) as v from reps)
-select distinct x.node as a, y.node as b, bit_count(xor(x.h, y.h)) as distance
+select distinct x.node as a, y.node as b, cast(bit_count(xor(x.h, y.h)) as integer) as distance
 from b x join b y on x.v = y.v and x.node < y.node
 where bit_count(xor(x.h, y.h)) <= 6
 """)
@@ -614,7 +614,7 @@ def _sql_seq_len(n: str, seq: int = 256) -> str:
 
 
 @register("tail_split", f"""
-with s as ({S.DOC_STREAM}), t as (select sum(length(text)) as n from s),
+with s as ({S.DOC_STREAM}), t as (select cast(sum(length(text)) as bigint) as n from s),
 p as (select n, cast(floor(n * 0.05) as bigint) as v0, {_sql_seq_len('n')} as seq from t),
 b as (select n, case when v0 < seq + 2 then 0 else v0 end as val from p)
 select s.source, s.line_no, s."offset", cast(length(s.text) as bigint) as length,
@@ -631,8 +631,8 @@ def q_tail_split(spark, sf_dir):
 
 
 @register("lm_meta", f"""
-with s as ({S.DOC_STREAM}), t as (select sum(length(text)) as n from s),
-p as (select n, cast(floor(n * 0.05) as bigint) as v0, {_sql_seq_len('n')} as seq from t),
+with s as ({S.DOC_STREAM}), t as (select cast(sum(length(text)) as bigint) as n from s),
+p as (select n, cast(floor(n * 0.05) as bigint) as v0, cast({_sql_seq_len('n')} as bigint) as seq from t),
 b as (select n, seq, case when v0 < seq + 2 then 0 else v0 end as val from p)
 select n as chars_total, n - val as chars_train, val as chars_val,
        (select count(*) from ({S.DOC_VOCAB})) as vocab_size, seq as seq_len from b
