@@ -55,8 +55,14 @@ def corpus_next(corpus: DataFrame) -> DataFrame:
 
 # J5
 def next_message(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Add ``next_text`` to each hit with integer metadata ``line`` (NULL otherwise)."""
-    nxt = corpus_next(corpus).withColumnRenamed("source", "_src").withColumnRenamed("line_no", "_line")
+    """Add ``next_text`` to each hit with integer metadata ``line`` (NULL otherwise).
+
+    Only the sources the hits come from are read for next messages (a semi-join
+    on the distinct hit sources), so a small batch of turns does not scan the
+    whole corpus's order."""
+    srcs = hits.select(F.col("metadata.source").alias("_s")).distinct()
+    touched = corpus.join(srcs, F.col("source").cast("string") == F.col("_s"), "left_semi")
+    nxt = corpus_next(touched).withColumnRenamed("source", "_src").withColumnRenamed("line_no", "_line")
     h = (hits.withColumn("_src", F.col("metadata.source"))
              .withColumn("_line", F.col("metadata.line").cast("string").try_cast("bigint")))
     return h.join(nxt, ["_src", "_line"], "left").drop("_src")

@@ -1,9 +1,13 @@
 """Nearest-neighbour retrieval.
 
-Exact k-NN is a blocked nested loop: the corpus is cut into hash blocks of at
-most ``block_rows`` vectors, the queries into blocks of ``query_block_rows``;
-each (query block, corpus block) pair meets in one ``cogroup`` task that does a
-NumPy matrix product and keeps a local top-k, so no pair is ever a row.  A final
+Exact k-NN: when the query matrix is small (a checked count and size), it is
+broadcast and every corpus partition is scored where it lies (``mapInArrow``,
+NumPy), keeping a local top-k with all boundary ties, so the corpus is never
+shuffled.  Otherwise it is a blocked nested loop: the corpus is cut into hash
+blocks of at most ``block_rows`` vectors, the queries into blocks of
+``query_block_rows``; each (query block, corpus block) pair meets in one
+``cogroup`` task that does a NumPy matrix product and keeps a local top-k, so no
+pair is ever a row.  A final
 ``row_number() <= k`` per query (planned with a partial ``WindowGroupLimit``)
 merges the local lists.  Approximate k-NN (IVF) trains ``pyspark.ml`` KMeans on a
 sample, assigns every vector to its cell, probes the ``nprobe`` best cells per
@@ -20,6 +24,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +39,9 @@ DEFAULT_RERANK_POOL = 20    # over-fetch before reranking
 BLOCK_ROWS = 4096           # corpus vectors per scoring block
 QUERY_BLOCK_ROWS = 1024     # query vectors per scoring block
 MAX_BROADCAST_GROUPS = 1 << 16
+MAX_BROADCAST_QUERIES = 8192        # query vectors broadcast to score the corpus in place
+MAX_BROADCAST_QUERY_FLOATS = 1 << 22  # and at most this many floats (32 MB as doubles)
+SCORE_SLICE = 512                   # corpus rows scored at once against all queries
 SCORE_DIGITS = 9            # tie-break precision
 # ---------------------------------------------------------------------------
 
@@ -84,6 +92,71 @@ def _sizes(df: DataFrame, group: str, per_block: int, name: str) -> DataFrame:
               .select(group, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(per_block))).cast("int").alias(name)))
 
 
+def _scan_topk(k: int, bc, qid_type: T.DataType, id_type: T.DataType):
+    """mapInArrow kernel: score every corpus batch against the broadcast query
+    matrix and keep, per query, every candidate whose rounded score reaches the
+    running k-th best (ties included, so the final id tie-break stays exact)."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    qid_arrow, id_arrow = to_arrow_type(qid_type), to_arrow_type(id_type)
+
+    def run(batches):
+        qids, qm = bc.value
+        nq = qm.shape[0]
+        best = np.full((nq, k), -np.inf)
+        kept_q, kept_s, kept_r, kept_id = [], [], [], []
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            vec = rb.column("vec")
+            if isinstance(vec, pa.ChunkedArray):
+                vec = vec.combine_chunks()
+            flat = np.asarray(vec.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+            if flat.size != n * qm.shape[1]:
+                raise ValueError(f"stored vectors must have {qm.shape[1]} dimensions")
+            cm = flat.reshape(n, qm.shape[1])
+            ids = np.asarray(rb.column("id").to_pylist(), dtype=object)
+            for lo in range(0, n, SCORE_SLICE):
+                sc = qm @ cm[lo:lo + SCORE_SLICE].T
+                rs = np.round(sc, SCORE_DIGITS)
+                both = np.concatenate([best, rs], axis=1)
+                best = -np.sort(-both, axis=1)[:, :k]
+                thr = best[:, k - 1]
+                qi, ci = np.nonzero(rs >= thr[:, None])
+                kept_q.append(qi)
+                kept_s.append(sc[qi, ci])
+                kept_r.append(rs[qi, ci])
+                kept_id.append(ids[lo + ci])
+        if not kept_q:
+            return
+        qi = np.concatenate(kept_q)
+        sc = np.concatenate(kept_s)
+        rs = np.concatenate(kept_r)
+        cid = np.concatenate(kept_id)
+        keep = rs >= best[qi, k - 1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(qids[qi[keep]].tolist(), qid_arrow), pa.array(cid[keep].tolist(), id_arrow),
+             pa.array(sc[keep], pa.float64())],
+            names=["query_id", "id", "score"])
+    return run
+
+
+def _broadcast_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Exact top-k with the (size-checked) query matrix broadcast: the corpus is
+    scored where it lies and never shuffled; only k-ish rows per query and
+    partition move to the final merge."""
+    spark = queries.sparkSession
+    rows = queries.select("query_id", "qvec").collect()
+    qids = np.asarray([r["query_id"] for r in rows], dtype=object)
+    qm = np.asarray([r["qvec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    bc = spark.sparkContext.broadcast((qids, qm))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                           T.StructField("id", corpus.schema["id"].dataType),
+                           T.StructField("score", T.DoubleType())])
+    kernel = _scan_topk(k, bc, queries.schema["query_id"].dataType, corpus.schema["id"].dataType)
+    return corpus.select("id", "vec").mapInArrow(kernel, schema)
+
+
 def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, group: str | None = None,
                  block_rows: int = BLOCK_ROWS, query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """Exact top-k by dot product of ``queries(query_id, qvec[, group])`` against
@@ -93,6 +166,17 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, group: str | Non
     k = int(k)
     if k <= 0:
         raise ValueError("k must be > 0")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("id"))
+    if group is None:
+        nq = queries.count()
+        dim = queries.select(F.size("qvec").alias("d")).agg(F.max("d")).first()[0] or 0
+        if nq == 0:
+            return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(corpus.schema["id"].dataType)
+                                  .alias("id"), F.lit(0.0).alias("score")).limit(0)
+        if nq <= MAX_BROADCAST_QUERIES and nq * dim <= MAX_BROADCAST_QUERY_FLOATS:
+            local = _broadcast_topk(queries, corpus, k)
+            return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                         .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
     g = group or "_g"
     if group is None:
         queries = queries.withColumn(g, F.lit(0))
@@ -115,7 +199,6 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, group: str | Non
                            T.StructField("score", T.DoubleType())])
     local = (q.groupBy(g, "_cb", "_qb").cogroup(c.groupBy(g, "_cb", "_qb"))
               .applyInPandas(lambda qd, cd: _local_topk(k, qkey_t, ckey_t)(qd, cd), schema))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("id"))
     return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                  .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
 

@@ -13,16 +13,23 @@ def _vecs(spark, m, name_id, name_vec):
 def test_blocked_knn_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     c = rng.normal(size=(300, 8)).astype(np.float32)
-    c[5] = c[6]                                  # exact tie
+    c[5] = c[6]                                  # exact ties
+    c[100:130] = c[7]
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     q = c[:40]
-    got = rt.blocked_topk(_vecs(spark, q, "query_id", "qvec"), _vecs(spark, c, "id", "vec"), 5,
-                          block_rows=37, query_block_rows=9).collect()
-    got = {(r["query_id"], r["rank"]): r["id"] for r in got}
     s = q.astype(np.float64) @ c.astype(np.float64).T
-    for i in range(len(q)):
-        order = sorted(range(len(c)), key=lambda j: (-round(s[i, j], 9), j))[:5]
-        assert [got[(i, r + 1)] for r in range(5)] == order
+    old = rt.MAX_BROADCAST_QUERIES
+    for limit in (0, old):          # blocked grid, then broadcast scan
+        rt.MAX_BROADCAST_QUERIES = limit
+        try:
+            got = rt.blocked_topk(_vecs(spark, q, "query_id", "qvec"), _vecs(spark, c, "id", "vec").repartition(3), 5,
+                                  block_rows=37, query_block_rows=9).collect()
+        finally:
+            rt.MAX_BROADCAST_QUERIES = old
+        got = {(r["query_id"], r["rank"]): r["id"] for r in got}
+        for i in range(len(q)):
+            order = sorted(range(len(c)), key=lambda j: (-round(s[i, j], 9), j))[:5]
+            assert [got[(i, r + 1)] for r in range(5)] == order
     with pytest.raises(ValueError):
         rt.blocked_topk(_vecs(spark, q, "query_id", "qvec"), _vecs(spark, c, "id", "vec"), 0)
 
