@@ -51,9 +51,20 @@ def _byte(h: F.Column, p: int) -> F.Column:
     return F.call_function("shiftrightunsigned", h, F.lit(8 * p)).bitwiseAND(F.lit(0xFF).cast("bigint")).cast("int")
 
 
-def _sub_keys(h: F.Column, max_hamming: int) -> F.Column:
+FINE_BLOCKS_FROM = 1 << 18   # nodes; below this, band values alone make small blocks
+
+
+def _fine(nodes: DataFrame) -> bool:
+    """Whether to split band-value blocks by aligned bytes: with n random hashes a
+    band value holds about 4n / 65536 nodes, so below ``FINE_BLOCKS_FROM`` nodes
+    the 28-fold sub-keys cost more rows than they save pairs.  Either choice
+    finds exactly the same pairs."""
+    return nodes.count() >= FINE_BLOCKS_FROM
+
+
+def _sub_keys(h: F.Column, max_hamming: int, fine: bool = True) -> F.Column:
     """Aligned-byte block keys that every pair within ``max_hamming`` shares."""
-    need = max(0, min(2, 8 - int(max_hamming)))
+    need = max(0, min(2, 8 - int(max_hamming))) if fine else 0
     if need == 0:
         return F.array(F.lit(0))
     keys = []
@@ -84,9 +95,10 @@ def near_duplicate_pairs(nodes: DataFrame, node_col: str = "node", hash_col: str
         return spark.createDataFrame([], nodes.select(F.col(node_col).alias("a"), F.col(node_col).alias("b"),
                                                       F.lit(0).alias("distance")).schema)
     h = F.col(hash_col)
+    fine = _fine(nodes)
     rows = (nodes.select(F.col(node_col).alias("n"), h.alias("h"),
                          F.explode(F.array_distinct(H.simhash_bands(h))).alias("v"))
-                 .withColumn("k", F.explode(_sub_keys(F.col("h"), t))))
+                 .withColumn("k", F.explode(_sub_keys(F.col("h"), t, fine))))
     a, b = rows.alias("a"), rows.alias("b")
     cond = ((F.col("a.v") == F.col("b.v")) & (F.col("a.k") == F.col("b.k"))
             & (F.col("a.n") < F.col("b.n"))
@@ -130,13 +142,13 @@ def greedy_dropped(edges: DataFrame, max_rounds: int | None = None) -> DataFrame
     return out
 
 
-def _memberships(nodes: DataFrame, max_hamming: int) -> DataFrame:
+def _memberships(nodes: DataFrame, max_hamming: int, fine: bool = True) -> DataFrame:
     """``(g, node, h)``: every block key of every node (band value x aligned-byte
     sub-key); two nodes that match always share at least one block."""
     key = (F.col("v").cast("long") * F.lit(1 << 23)) + F.col("k").cast("long")
     return (nodes.select("node", F.col("simhash").alias("h"),
                          F.explode(F.array_distinct(H.simhash_bands(F.col("simhash")))).alias("v"))
-                 .withColumn("k", F.explode(_sub_keys(F.col("h"), max_hamming)))
+                 .withColumn("k", F.explode(_sub_keys(F.col("h"), max_hamming, fine)))
                  .select(key.alias("g"), "node", "h"))
 
 
@@ -157,7 +169,7 @@ def greedy_dropped_blocks(nodes: DataFrame, max_hamming: int = H.DEFAULT_MAX_HAM
     t = int(max_hamming)
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
-    m = _memberships(nodes, t)
+    m = _memberships(nodes, t, _fine(nodes))
     sizes = m.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
     m = m.join(sizes, "g").checkpoint(eager=True)
     small = m.filter(F.col("_n") <= hot).drop("_n")
@@ -184,14 +196,15 @@ def greedy_dropped_blocks(nodes: DataFrame, max_hamming: int = H.DEFAULT_MAX_HAM
             kept_now = pending.distinct().join(targets, "n", "left_anti").join(not_min, "n", "left_anti")
         else:
             kept_now = pending.distinct().join(targets, "n", "left_anti")
-        kept_now = kept_now.checkpoint(eager=True)
+        # kept_now / dropped_now are cheap to derive from this round's checkpointed
+        # tables; only the shrinking edge and membership tables are written
         dropped_now = e.join(kept_now.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n"))
         if has_hot:
             by_block = (mh.join(mins.join(kept_now.withColumnRenamed("n", "p"), "p", "left_semi"), "g")
                           .filter((F.col("node") > F.col("p")) & (H.hamming64("h", "hp") <= t))
                           .select(F.col("node").alias("n")))
             dropped_now = dropped_now.unionByName(by_block)
-        dropped_now = dropped_now.distinct().checkpoint(eager=True)
+        dropped_now = dropped_now.distinct()
         parts.append(dropped_now)
         decided = kept_now.unionByName(dropped_now)
         e = (e.join(decided.withColumnRenamed("n", "a"), "a", "left_anti")

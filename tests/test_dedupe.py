@@ -71,8 +71,13 @@ def test_pairs_match_brute_force(spark):
         hs.append(h)
     hs = list(dict.fromkeys(hs))
     nodes = spark.createDataFrame([(i, pyref.signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
-    for t in (3, 6, 7, 9):
-        got = {(r["a"], r["b"]) for r in dd.near_duplicate_pairs(nodes, max_hamming=t).collect()}
+    old = dd.FINE_BLOCKS_FROM
+    for t, fine_from in ((3, 0), (6, 0), (6, old), (7, 0), (9, 0)):
+        dd.FINE_BLOCKS_FROM = fine_from
+        try:
+            got = {(r["a"], r["b"]) for r in dd.near_duplicate_pairs(nodes, max_hamming=t).collect()}
+        finally:
+            dd.FINE_BLOCKS_FROM = old
         exp = {(i, j) for i in range(len(hs)) for j in range(i + 1, len(hs))
                if bin(hs[i] ^ hs[j]).count("1") <= t and set(pyref.bands(hs[i])) & set(pyref.bands(hs[j]))}
         assert got == exp, t
@@ -101,8 +106,13 @@ def test_block_rounds_equal_edge_rounds(spark):
     hs = list(dict.fromkeys(hs))
     nodes = spark.createDataFrame([(i, pyref.signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
     for t in (2, 6, 9):
-        a = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=0).collect()}
-        a2 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=3).collect()}
+        old = dd.FINE_BLOCKS_FROM
+        dd.FINE_BLOCKS_FROM = 0
+        try:
+            a = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=0).collect()}
+            a2 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=3).collect()}
+        finally:
+            dd.FINE_BLOCKS_FROM = old
         a3 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t).collect()}
         assert a == a2 == a3, t
         b = {r["n"] for r in dd.greedy_dropped(dd.near_duplicate_pairs(nodes, max_hamming=t)).collect()}
