@@ -13,3 +13,30 @@ def test_every_query_runs_on_smoke_data(spark):
     for name, fn in E.queries().items():
         df = fn(spark, SF001)
         df.write.format("noop").mode("overwrite").save()
+
+
+def _canon(df):
+    def norm(v):
+        if isinstance(v, float):
+            return round(v, 6)
+        if isinstance(v, (list, tuple)):
+            return tuple(norm(x) for x in v)
+        return v
+    cols = sorted(df.columns)
+    return sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    names = ["chunk_window", "next_message", "exact_dedupe", "fuzzy_dedupe", "browse_tokens", "pairs_corpus",
+             "tail_split", "pack_sequences", "whatsapp_parse", "knn_exact", "turns_hybrid", "heldout_ngram"]
+    qs = E.queries()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = {n: _canon(qs[n](spark, SF001)) for n in names}
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        many = {n: _canon(qs[n](spark, SF001)) for n in names}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for n in names:
+        assert one[n] == many[n], n
