@@ -57,7 +57,7 @@ def cosine(a, b) -> Column:
     return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
 
 
-def _local_topk(k: int, qkey_type: T.DataType, ckey_type: T.DataType):
+def _local_topk(k: int):
     def run(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or cdf.empty:
             return pd.DataFrame({"query_id": pd.Series([], dtype=object), "id": pd.Series([], dtype=object),
@@ -193,12 +193,11 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, group: str | Non
                 .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"))
                 .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
                 .select(g, "_cb", "_qb", "query_id", "qvec"))
-    qkey_t = queries.schema["query_id"].dataType
-    ckey_t = corpus.schema["id"].dataType
-    schema = T.StructType([T.StructField("query_id", qkey_t), T.StructField("id", ckey_t),
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                           T.StructField("id", corpus.schema["id"].dataType),
                            T.StructField("score", T.DoubleType())])
     local = (q.groupBy(g, "_cb", "_qb").cogroup(c.groupBy(g, "_cb", "_qb"))
-              .applyInPandas(lambda qd, cd: _local_topk(k, qkey_t, ckey_t)(qd, cd), schema))
+              .applyInPandas(_local_topk(k), schema))
     return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                  .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
 
