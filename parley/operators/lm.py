@@ -257,15 +257,17 @@ def pack_sequences(id_lines: DataFrame, total: int, seq_len: int) -> DataFrame:
 
 
 def sample_sequences(id_lines: DataFrame, total: int, n: int, seq_len: int, seed: int = 1337) -> DataFrame:
-    """``n`` random windows with starts in ``[0, total - seq_len - 1)``."""
+    """``n`` seeded random windows with starts in ``[0, total - seq_len - 1)``:
+    start i = (first 60 bits of ``md5("seed:i")``) mod the range."""
     T_ = int(seq_len)
     max_start = int(total) - (T_ + 1)
     if max_start <= 0:
         raise ValueError(f"Not enough data: need > {T_ + 1} chars, got {total}")
     block = max(4096, 2 * (T_ + 1))
     spark = id_lines.sparkSession
-    starts = spark.range(int(n)).select(
-        F.col("id").alias("seq_id"), F.pmod(F.xxhash64(F.lit(int(seed)), "id"), F.lit(max_start)).alias("start"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(int(seed))), F.col("id").cast("string"))), 1, 15),
+                  16, 10).cast("long")
+    starts = spark.range(int(n)).select(F.col("id").alias("seq_id"), F.pmod(draw, F.lit(max_start)).alias("start"))
     return sequences_at(stream_blocks(id_lines, block), starts, T_, block)
 
 

@@ -673,7 +673,18 @@ def q_pack_sequences(spark, sf_dir):
     return seqs.select("seq_id", F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"))
 
 
-@register("sample_sequences")
+@register("sample_sequences", f"""
+with v as ({S.DOC_VOCAB}), e as ({S.DOC_STREAM_CHARS}),
+f as (select e.pos as p, v.id from e join v on e.c = v.c),
+m as (select count(*) - 65 as max_start from f),
+s as (select i as seq_id, cast((('0x' || substr(md5('1337:' || cast(i as varchar)), 1, 15))::ubigint
+                                 % (select max_start from m)) as bigint) as start
+      from range(256) r(i)),
+w as (select s.seq_id, f.p - s.start as j, f.id from s join f on f.p >= s.start and f.p <= s.start + 64)
+select seq_id, string_agg(cast(id as varchar), ',' order by j) filter (where j < 64) as x,
+       string_agg(cast(id as varchar), ',' order by j) filter (where j >= 1) as y
+from w group by seq_id
+""")
 def q_sample_sequences(spark, sf_dir):
     from parley.operators import lm
     ids, total = _doc_id_lines(spark, sf_dir)
