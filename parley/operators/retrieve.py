@@ -141,12 +141,11 @@ def _scan_topk(k: int, bc, qid_type: T.DataType, id_type: T.DataType):
     return run
 
 
-def _broadcast_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+def _broadcast_topk(queries: DataFrame, corpus: DataFrame, k: int, rows: list) -> DataFrame:
     """Exact top-k with the (size-checked) query matrix broadcast: the corpus is
     scored where it lies and never shuffled; only k-ish rows per query and
     partition move to the final merge."""
     spark = queries.sparkSession
-    rows = queries.select("query_id", "qvec").collect()
     qids = np.asarray([r["query_id"] for r in rows], dtype=object)
     qm = np.asarray([r["qvec"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
     bc = spark.sparkContext.broadcast((qids, qm))
@@ -168,13 +167,15 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, group: str | Non
         raise ValueError("k must be > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("id"))
     if group is None:
-        nq = queries.count()
-        dim = queries.select(F.size("qvec").alias("d")).agg(F.max("d")).first()[0] or 0
-        if nq == 0:
-            return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(corpus.schema["id"].dataType)
-                                  .alias("id"), F.lit(0.0).alias("score")).limit(0)
-        if nq <= MAX_BROADCAST_QUERIES and nq * dim <= MAX_BROADCAST_QUERY_FLOATS:
-            local = _broadcast_topk(queries, corpus, k)
+        # one bounded look at the queries decides between broadcast and grid
+        head = queries.select("query_id", "qvec").limit(MAX_BROADCAST_QUERIES + 1).collect()
+        dim = max((len(r["qvec"] or []) for r in head), default=0)
+        if len(head) <= MAX_BROADCAST_QUERIES and len(head) * dim <= MAX_BROADCAST_QUERY_FLOATS:
+            if not head:
+                return queries.select("query_id", F.lit(0).alias("rank"),
+                                      F.lit(None).cast(corpus.schema["id"].dataType).alias("id"),
+                                      F.lit(0.0).alias("score")).limit(0)
+            local = _broadcast_topk(queries, corpus, k, head)
             return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                          .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
     g = group or "_g"
