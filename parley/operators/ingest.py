@@ -142,3 +142,11 @@ def ingest(corpus: DataFrame, store: ParquetStore, opts: IngestOptions | None =
         return summary.withColumn("added", F.lit(0).cast("long"))
     added = store.add(store_rows(flagged, o, embedder))
     return summary.withColumn("added", F.lit(int(added)).cast("long"))
+
+
+# S14 with V7
+def rebuild_from_corpus(corpus: DataFrame, store: ParquetStore, opts: IngestOptions | None = None,
+                        embedder: Embedder | None = None, confirm: bool = False) -> DataFrame:
+    """Drop this collection's rows (needs ``confirm=True``), then ingest ``corpus``."""
+    store.rebuild(None, confirm=confirm)
+    return ingest(corpus, store, opts, embedder)

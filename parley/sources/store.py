@@ -161,6 +161,12 @@ class ParquetStore:
             staged.write.mode("append").parquet(self._data_path(cur))
         return n
 
+    # X3
+    def query(self, queries: DataFrame, k: int = 6) -> DataFrame:
+        """``queries(query_id, qvec)`` -> hits ``(query_id, rank, id, score, text, metadata)``."""
+        from parley.operators.retrieve import knn
+        return knn(queries, self.read(), k)
+
     # S14
     def rebuild(self, df: DataFrame | None, confirm: bool = False) -> int:
         """Drop this collection's rows and write ``df`` as a fresh version."""

@@ -83,3 +83,16 @@ def test_store_add_upsert_rebuild(spark, tmp_path):
     assert st.rebuild(rows.filter("id = 'b'"), confirm=True) == 1
     with pytest.raises(StoreError):
         st.add(rows.drop("embedding"))
+
+
+def test_rebuild_from_corpus_and_query(spark, tmp_path):
+    st = ParquetStore(spark, str(tmp_path / "rb"))
+    emb = hashed_embedder(16)
+    ing.ingest(_corpus(spark, ["old one", "old two"]), st, ing.IngestOptions(), emb)
+    with pytest.raises(StoreError):
+        ing.rebuild_from_corpus(_corpus(spark, ["new"]), st, embedder=emb)
+    s = ing.rebuild_from_corpus(_corpus(spark, ["new text", "other text"]), st, embedder=emb, confirm=True).first()
+    assert s["added"] == 2 and sorted(r["text"] for r in st.read().collect()) == ["new text", "other text"]
+    q = spark.createDataFrame([("q", "new text")], "query_id string, query string")
+    hits = st.query(q.withColumn("qvec", emb(F.col("query"))), k=1).collect()
+    assert hits[0]["text"] == "new text" and abs(hits[0]["score"] - 1.0) < 1e-6
