@@ -15,7 +15,7 @@ touches one collection only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,7 +133,10 @@ class ParquetStore:
         bad = out.filter(F.col("id").isNull() | F.col("text").isNull() | F.col("embedding").isNull())
         if not bad.isEmpty():
             raise StoreError("ids, texts and embeddings must have equal lengths (a row lacks one)")
-        return out
+        # ids are unique in the store: within one batch the first row per id wins
+        w = Window.partitionBy("id").orderBy(F.col("metadata.source").asc_nulls_last(),
+                                             F.col("metadata.line").asc_nulls_last(), "text")
+        return out.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
     # S9
     def add(self, df: DataFrame, mode: str = "add") -> int:
