@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 # --- fixed values -----------------------------------------------------------
 SCHEMA_VERSION = 1
 FORMATS = {"parquet": "parquet", "chroma": "parquet", "chromadb": "parquet", "chroma-db": "parquet",
-           "table": "table", "catalog": "table"}
+           "table": "table", "catalog": "table", "cassandra": "table", "astra": "table", "astra-db": "table",
+           "astradb": "table"}
 # ---------------------------------------------------------------------------
 
 META_FIELDS = [

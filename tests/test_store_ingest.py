@@ -20,6 +20,7 @@ def test_store_versions(spark, tmp_path):
     other = ParquetStore(spark, str(tmp_path / "s"), "other")
     assert other.version() is None
     assert store_backend("ChromaDB") == "parquet"
+    assert store_backend(" Astra-DB ") == "table"
     with pytest.raises(StoreError):
         store_backend("nope")
 
