@@ -14,6 +14,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
+# Patterns in Python ``re`` syntax, exactly as the reference applies them; the
+# email and address patterns run with re.IGNORECASE.  The Java forms used by
+# Spark are derived below by ``java_regex``.
+EMAIL_PATTERN = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+PHONE_PATTERN = r"\b(?:\+?\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?)?\d{3,4}[\s.-]?\d{3,4}\b"
+ADDRESS_PATTERN = (
+    r"\b\d{1,6}\s+[A-Z0-9][A-Z0-9'\-\.]+(?:\s+[A-Z0-9][A-Z0-9'\-\.]+){0,4}\s+"
+    r"(?:ST|STREET|AVE|AVENUE|RD|ROAD|BLVD|BOULEVARD|DR|DRIVE|LN|LANE|WAY|CT|COURT|PL|PLACE)\b"
+)
+INLINE_META_PATTERN = r"^\[(?P<ts>[^\]]+)\]\s+(?P<speaker>[^:]{1,80}):\s*(?P<msg>.*)$"
+# Runs collapsed inside a line.
+HSPACE_PATTERN = r"[\t\f\v ]+"
+# Emoji code-point ranges removed by strip_emoji.
+EMOJI_CLASS = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]+"
+# Replacement tokens.
+EMAIL_TOKEN, PHONE_TOKEN, ADDRESS_TOKEN = "<EMAIL>", "<PHONE>", "<ADDRESS>"
+# Prompt / reply fixed strings.
+MEDIA_OMITTED = "<Media omitted>"
+PREVIEW_LIMIT = 140
+# ---------------------------------------------------------------------------
+
+# Translation rules from Python ``re`` (str patterns) to Java regex.
 # Python's str.isspace() set (29 code points), as a Java regex class body.
 WS_CLASS = (
     r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -21,9 +43,9 @@ WS_CLASS = (
 )
 # The same 29 characters as a literal set for btrim().
 WS_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "    　"
+    + "\u2028\u2029\u202f\u205f\u3000"
 )
 # Same set without the newline (per-line stripping).
 WS_CLASS_NO_NL = (
@@ -38,22 +60,6 @@ BOUNDARY = rf"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
 DIGIT = r"\p{Nd}"
 # [A-Z] under Python re.IGNORECASE also takes these four code points.
 AZ_CI = r"A-Za-z\x{130}\x{131}\x{17f}\x{212a}"
-# Runs the reference collapses inside a line: [\t\f\v ].
-H_SPACE = r"[\t\x{0c}\x{0b} ]+"
-# Emoji ranges removed by strip_emoji.
-EMOJI_CLASS = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]+"
-# Street suffixes recognised by the address redactor.
-STREET_SUFFIXES = (
-    "ST", "STREET", "AVE", "AVENUE", "RD", "ROAD", "BLVD", "BOULEVARD",
-    "DR", "DRIVE", "LN", "LANE", "WAY", "CT", "COURT", "PL", "PLACE",
-)
-# Replacement tokens.
-EMAIL_TOKEN, PHONE_TOKEN, ADDRESS_TOKEN = "<EMAIL>", "<PHONE>", "<ADDRESS>"
-# Prompt / reply fixed strings.
-MEDIA_OMITTED = "<Media omitted>"
-PREVIEW_LIMIT = 140
-# ---------------------------------------------------------------------------
-
 # Letters that Python's IGNORECASE folds onto an ASCII letter.
 _CASE_EXTRA = {"S": r"\x{17f}", "K": r"\x{212a}", "I": r"\x{130}\x{131}"}
 
@@ -67,19 +73,73 @@ def _ci(word: str) -> str:
     return "".join(out)
 
 
-EMAIL_RE = (
-    rf"{BOUNDARY}[{AZ_CI}0-9._%+\-]+@[{AZ_CI}0-9.\-]+\.[{AZ_CI}]{{2,}}{BOUNDARY}"
-)
-PHONE_RE = (
-    rf"{BOUNDARY}(?:\+?{DIGIT}{{1,3}}[{WS_CLASS}.\-]?)?"
-    rf"(?:\({DIGIT}{{2,4}}\)[{WS_CLASS}.\-]?)?"
-    rf"{DIGIT}{{3,4}}[{WS_CLASS}.\-]?{DIGIT}{{3,4}}{BOUNDARY}"
-)
-_TOKEN = rf"[{AZ_CI}0-9][{AZ_CI}0-9'\-.]+"
-ADDRESS_RE = (
-    rf"{BOUNDARY}{DIGIT}{{1,6}}[{WS_CLASS}]+{_TOKEN}(?:[{WS_CLASS}]+{_TOKEN}){{0,4}}[{WS_CLASS}]+"
-    rf"(?:{'|'.join(_ci(s) for s in STREET_SUFFIXES)}){BOUNDARY}"
-)
+def java_regex(pattern: str, ignorecase: bool = False) -> str:
+    """Rewrite a Python ``re`` pattern (the subset used here) for Java regex:
+    ``\\b \\w \\s \\d \\f \\v``, named groups and IGNORECASE letters get the rules above.
+    ``.``/``$`` need the caller's ``(?d)`` flag when the text may hold ``\\r``."""
+    out, i, n, in_class = [], 0, len(pattern), False
+    while i < n:
+        c = pattern[i]
+        if c == "\\" and i + 1 < n:
+            e = pattern[i + 1]
+            if e == "b" and not in_class:
+                out.append(BOUNDARY)
+            elif e == "d":
+                out.append(DIGIT)
+            elif e == "s":
+                out.append(WS_CLASS if in_class else f"[{WS_CLASS}]")
+            elif e == "w":
+                out.append(W[1:-1] if in_class else W)
+            elif e == "f":
+                out.append(r"\x{0c}")
+            elif e == "v":
+                out.append(r"\x{0b}")
+            else:
+                out.append(c + e)
+            i += 2
+            continue
+        if in_class:
+            if c == "]":
+                in_class = False
+                out.append(c)
+            elif ignorecase and pattern.startswith("A-Z", i):
+                out.append(AZ_CI)
+                i += 3
+                continue
+            elif c == "-" and i + 1 < n and pattern[i + 1] == "]":
+                out.append(r"\-")
+            else:
+                out.append(c)
+            i += 1
+            continue
+        if c == "[":
+            in_class = True
+            out.append(c)
+            if i + 1 < n and pattern[i + 1] == "^":
+                out.append("^")
+                i += 1
+            i += 1
+            continue
+        if pattern.startswith("(?P<", i):
+            j = pattern.index(">", i)
+            out.append("(?<" + pattern[i + 4:j] + ">")
+            i = j + 1
+            continue
+        if ignorecase and c.isascii() and c.isalpha():
+            out.append(_ci(c))
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
+H_SPACE = java_regex(HSPACE_PATTERN)
+EMAIL_RE = java_regex(EMAIL_PATTERN, ignorecase=True)
+PHONE_RE = java_regex(PHONE_PATTERN)
+ADDRESS_RE = java_regex(ADDRESS_PATTERN, ignorecase=True)
+INLINE_META_RE = "(?d)" + java_regex(INLINE_META_PATTERN)
+# the street suffixes, read off the address pattern (used by the SQL twins)
+STREET_SUFFIXES = tuple(ADDRESS_PATTERN.rsplit("(?:", 1)[1].split(")")[0].split("|"))
 
 _REDACT_ALIASES = {
     "email": "email", "emails": "email",
@@ -174,9 +234,6 @@ def redact(c, types=None) -> Column:
 
 
 # B11
-INLINE_META_RE = r"(?d)^\[([^\]]+)\]" + f"[{WS_CLASS}]+" + r"([^:]{1,80}):" + f"[{WS_CLASS}]*" + r"(.*)$"
-
-
 def inline_metadata(c) -> Column:
     """``[ts] Speaker: msg`` -> struct(msg, speaker, ts); otherwise (text, NULL, NULL).
     The input is stripped first."""

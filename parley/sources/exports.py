@@ -25,12 +25,14 @@ PLAIN_FORMATS = ("plain", "txt", "lines")
 WHATSAPP_FORMATS = ("whatsapp", "wa")
 TELEGRAM_FORMATS = ("telegram", "telegram-json", "telegram_json", "tg")
 MEDIA_OMITTED = "<Media omitted>"
+# WhatsApp message header, Python ``re`` syntax: "M/D/YY, h:mm[ AM|PM] - body"
+WA_HEADER_PATTERN = (
+    r"^(?P<date>\d{1,2}/\d{1,2}/\d{2,4}),\s+"
+    r"(?P<time>\d{1,2}:\d{2})(?:\s?(?P<ampm>AM|PM))?\s+-\s+(?P<body>.*)$"
+)
 # ---------------------------------------------------------------------------
 
-_S = f"[{tx.WS_CLASS}]"
-# M/D/YY, h:mm[ AM|PM] - body
-WA_HEADER_RE = (rf"(?d)^({tx.DIGIT}{{1,2}}/{tx.DIGIT}{{1,2}}/{tx.DIGIT}{{2,4}}),{_S}+"
-                rf"({tx.DIGIT}{{1,2}}:{tx.DIGIT}{{2}})(?:{_S}?(AM|PM))?{_S}+-{_S}+(.*)$")
+WA_HEADER_RE = "(?d)" + tx.java_regex(WA_HEADER_PATTERN)
 
 
 class ParseError(ValueError):
