@@ -79,6 +79,11 @@ def read_text_files(spark: SparkSession, paths) -> DataFrame:
                        "text"))
 
 
+def read_corpus(spark: SparkSession, paths, collapse: bool = False, emoji: bool = False) -> DataFrame:
+    """Numbered, normalised, non-blank messages of one-message-per-line files."""
+    return message_lines(read_text_files(spark, paths), collapse, emoji)
+
+
 # the canonical shapes of the test tables -------------------------------------
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:

@@ -94,3 +94,11 @@ def test_line_numbers_across_splits(spark, tmp_path):
     exp = {("big.txt", i + 1): t for i, t in enumerate(raw) if not (i == len(raw) - 1 and t == "")}
     exp.update({("small.txt", 1): "a", ("small.txt", 2): "", ("small.txt", 3): "b"})
     assert got == exp
+
+
+def test_read_corpus(spark, tmp_path):
+    from parley.sources.corpus import read_corpus
+    p = tmp_path / "m.txt"
+    p.write_text("  hi\tthere \n\n\U0001F600 smile\r\nlast", encoding="utf-8")
+    got = [(r["line_no"], r["text"]) for r in read_corpus(spark, str(p), emoji=True).orderBy("line_no").collect()]
+    assert got == [(1, "hi there"), (3, "smile"), (4, "last")]
