@@ -102,3 +102,16 @@ def test_read_corpus(spark, tmp_path):
     p.write_text("  hi\tthere \n\n\U0001F600 smile\r\nlast", encoding="utf-8")
     got = [(r["line_no"], r["text"]) for r in read_corpus(spark, str(p), emoji=True).orderBy("line_no").collect()]
     assert got == [(1, "hi there"), (3, "smile"), (4, "last")]
+
+
+def test_write_samples(spark, tmp_path):
+    df = spark.createDataFrame([("q1", [("a", 0.5, "t", None)])],
+                               "query string, results array<struct<id:string,score:double,text:string,metadata:string>>")
+    ex.write_samples(df, str(tmp_path / "l"), "jsonl")
+    lines = [json.loads(x) for p in (tmp_path / "l").glob("part-*") for x in p.read_text().splitlines()]
+    assert lines == [{"query": "q1", "results": [{"id": "a", "score": 0.5, "text": "t"}]}]
+    ex.write_samples(df, str(tmp_path / "j"), " JSON ")
+    doc = json.loads("".join(p.read_text() for p in (tmp_path / "j").glob("part-*")))
+    assert isinstance(doc, list) and doc[0]["query"] == "q1"
+    with pytest.raises(ValueError):
+        ex.write_samples(df, str(tmp_path / "x"), "csv")
