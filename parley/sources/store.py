@@ -126,42 +126,54 @@ class ParquetStore:
         return self.read().select(F.col("metadata.content_hash").alias("content_hash"))
 
     @staticmethod
-    def _validate(df: DataFrame) -> DataFrame:
+    def _shape(df: DataFrame) -> DataFrame:
+        """Store columns and types; one row per id (the first by source, line)."""
         missing = [f.name for f in STORE_SCHEMA.fields if f.name not in df.columns]
         if missing:
             raise StoreError(f"store rows need columns {missing}")
         out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STORE_SCHEMA.fields])
-        bad = out.filter(F.col("id").isNull() | F.col("text").isNull() | F.col("embedding").isNull())
-        if not bad.isEmpty():
-            raise StoreError("ids, texts and embeddings must have equal lengths (a row lacks one)")
-        # ids are unique in the store: within one batch the first row per id wins
         w = Window.partitionBy("id").orderBy(F.col("metadata.source").asc_nulls_last(),
                                              F.col("metadata.line").asc_nulls_last(), "text")
         return out.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
+    @staticmethod
+    def _check(staged: DataFrame) -> None:
+        bad = staged.filter(F.col("id").isNull() | F.col("text").isNull() | F.col("embedding").isNull())
+        if not bad.isEmpty():
+            raise StoreError("ids, texts and embeddings must have equal lengths (a row lacks one)")
+
+    def _stage(self, rows: DataFrame) -> DataFrame:
+        """Materialise rows once (embeddings are computed a single time), then check."""
+        from parley.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        staged = rows.checkpoint(eager=True)
+        self._check(staged)
+        return staged
+
     # S9
     def add(self, df: DataFrame, mode: str = "add") -> int:
         """Append rows; ``mode='add'`` skips ids already stored, ``'upsert'``
         replaces them.  Returns the number of rows written."""
-        if df.isEmpty():
-            return 0
-        rows = self._validate(df)
+        rows = self._shape(df)
         cur = self._current()
-        if cur is None:
-            cur = 1
-            rows.write.mode("overwrite").parquet(self._data_path(cur))
-            self._set_current(cur)
-            return self.spark.read.parquet(self._data_path(cur)).count()
-        if mode == "upsert":
-            merged = self.read().join(rows.select("id"), "id", "left_anti").unionByName(rows)
-            nxt = cur + 1
-            merged.write.mode("overwrite").parquet(self._data_path(nxt))
-            self._set_current(nxt)
-            return rows.count()
-        new = rows.join(self.ids(), "id", "left_anti")
-        staged = new.checkpoint(eager=True)
+        if cur is not None and mode == "upsert":
+            staged = self._stage(rows)
+            n = staged.count()
+            if n == 0:
+                return 0
+            merged = self.read().join(staged.select("id"), "id", "left_anti").unionByName(staged)
+            merged.write.mode("overwrite").parquet(self._data_path(cur + 1))
+            self._set_current(cur + 1)
+            return n
+        new = rows if cur is None else rows.join(self.ids(), "id", "left_anti")
+        staged = self._stage(new)
         n = staged.count()
-        if n:
+        if n == 0:
+            return 0
+        if cur is None:
+            staged.write.mode("overwrite").parquet(self._data_path(1))
+            self._set_current(1)
+        else:
             staged.write.mode("append").parquet(self._data_path(cur))
         return n
 
@@ -178,7 +190,7 @@ class ParquetStore:
             raise StoreError("rebuild drops every stored row; pass confirm=True")
         cur = self._current() or 0
         nxt = cur + 1
-        rows = self._validate(df) if df is not None else self.spark.createDataFrame([], STORE_SCHEMA)
+        rows = self._stage(self._shape(df)) if df is not None else self.spark.createDataFrame([], STORE_SCHEMA)
         rows.write.mode("overwrite").parquet(self._data_path(nxt))
         self._set_current(nxt)
         self.set_version(SCHEMA_VERSION)
