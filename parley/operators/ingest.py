@@ -18,6 +18,7 @@ from parley.operators import chunk as ch
 from parley.operators import dedupe as dd
 from parley.operators.embed import Embedder, hashed_embedder
 from parley.operators.retrieve import first_messages
+from parley.session import ensure_checkpoint_dir
 from parley.sources.store import METADATA_TYPE, ParquetStore, SCHEMA_VERSION
 
 
@@ -54,6 +55,11 @@ def flag_chunks(corpus: DataFrame, store: ParquetStore | None = None, opts: Inge
     chunks = ch.with_ids(ch.build_chunks(msgs, mode, o.window_size), mode).withColumnRenamed("text", "raw")
     text = tx.redact(F.col("raw"), o.redact_types) if o.redact else F.col("raw")
     chunks = chunks.withColumn("text", text).withColumn("content_hash", H.content_hash("text"))
+    if o.exact_dedupe or o.fuzzy_dedupe:
+        # the dedupe steps read the chunks more than once (winners, then the rows
+        # themselves): write them once instead of re-running the chunking windows
+        ensure_checkpoint_dir(chunks.sparkSession)
+        chunks = chunks.checkpoint(eager=True)
     if stored is None and store is not None:
         r = store.read()
         stored = r.select("id", F.col("metadata.content_hash").alias("content_hash"))
