@@ -917,3 +917,24 @@ def q_ingest_examples(spark, sf_dir):
     from parley.operators import ingest as ing
     opts = ing.IngestOptions(chunking="window", window_size=4)
     return ing.ingest_examples(ing.flag_chunks(conv_messages(spark, sf_dir), None, opts), 5)
+
+
+@register("label_centroid_cosine", """
+with ex as (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as pos from embeddings),
+c as (select label, list(m order by pos) as cent
+      from (select label, pos, avg(x::DOUBLE) as m from ex group by all) group by label)
+select e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], c.cent), 6) as cosine
+from embeddings e join c using (label)
+""")
+def q_label_centroid_cosine(spark, sf_dir):
+    """Each vector's cosine similarity to the mean vector of its label.
+    Centroids come from a partial aggregate per (label, dimension), so a label
+    holding a third of all rows costs one row per partition and dimension."""
+    from parley.operators.retrieve import cosine
+    e = table(spark, sf_dir, "embeddings")
+    per_dim = (e.select("label", F.posexplode("embedding").alias("pos", "x"))
+                .groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
+    cent = (per_dim.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("_c"))
+                   .select("label", F.transform("_c", lambda s: s["m"]).alias("cent")))
+    return (e.join(cent, "label")
+             .select("vec_id", "label", F.round(cosine("embedding", "cent"), 6).alias("cosine")))
