@@ -115,3 +115,89 @@ def test_write_samples(spark, tmp_path):
     assert isinstance(doc, list) and doc[0]["query"] == "q1"
     with pytest.raises(ValueError):
         ex.write_samples(df, str(tmp_path / "x"), "csv")
+
+
+def test_whatsapp_random_exports_match_python(spark):
+    import random
+    import pyref
+    rnd = random.Random(13)
+
+    def header():
+        d = f"{rnd.randint(1, 12)}/{rnd.randint(1, 31)}/{rnd.choice(['24', '2024', '7'])}"
+        t = f"{rnd.randint(1, 12)}:{rnd.randint(0, 59):02d}"
+        ap = rnd.choice(["", " AM", "PM", " PM", " AM"])
+        sp = rnd.choice([" ", "  ", "\t"])
+        return f"{d},{sp}{t}{ap} - "
+
+    def body():
+        r = rnd.random()
+        if r < 0.1:
+            return "Messages are end-to-end encrypted"
+        if r < 0.2:
+            return f"{rnd.choice(['Ann', 'Bo b'])}: <Media omitted>"
+        if r < 0.25:
+            return "Ann:   "
+        return f"{rnd.choice(['Ann', ' Bob ', 'C: D'])}:{rnd.choice([' ', ''])}{rnd.choice(['hi', 'a  b', 'x: y', ' 🙂 '])}"
+
+    sources = []
+    for s in range(30):
+        lines = []
+        for _ in range(rnd.randint(0, 25)):
+            r = rnd.random()
+            if r < 0.5:
+                lines.append(header() + body())
+            elif r < 0.6:
+                lines.append("")
+            elif r < 0.7:
+                lines.append(" " + header() + "indented")
+            else:
+                lines.append(rnd.choice(["more text", "  spaced  out ", "\t", "12/1/24 no comma", "é"]))
+        sources.append(lines)
+    rows = [(f"s{s}", i + 1, t) for s, lines in enumerate(sources) for i, t in enumerate(lines)]
+    df = spark.createDataFrame(rows, "source string, line_no long, text string").repartition(3)
+    for meta in (False, True):
+        got = {}
+        for r in ex.parse_whatsapp(df, with_metadata=meta).collect():
+            got.setdefault(r["source"], []).append((r["line_no"], r["text"]))
+        for s, lines in enumerate(sources):
+            exp = pyref.whatsapp(lines, meta)
+            assert [t for _, t in sorted(got.get(f"s{s}", []))] == exp, (s, meta)
+
+
+def test_telegram_random_exports_match_python(spark):
+    import random
+    import pyref
+    rnd = random.Random(21)
+
+    def text():
+        r = rnd.random()
+        if r < 0.3:
+            return rnd.choice(["hi", "  a \n b ", "", "🙂 x"])
+        if r < 0.7:
+            return [rnd.choice(["a", " b ", {"type": "bold", "text": "B"}, {"type": "link"}, {"text": 5}, 7, None,
+                                {"text": "  t  "}, ["nested"]]) for _ in range(rnd.randint(0, 4))]
+        return rnd.choice([None, 42, {"text": "obj"}, True])
+
+    docs = []
+    for s in range(20):
+        msgs = []
+        for i in range(rnd.randint(0, 12)):
+            m = {"id": i, "text": text()}
+            r = rnd.random()
+            if r < 0.6:
+                m["type"] = "message"
+            elif r < 0.75:
+                m["type"] = rnd.choice(["service", 3, "Message"])
+            if rnd.random() < 0.7:
+                m["date"] = rnd.choice(["2024-01-02T03:04:05", " ", 17])
+            if rnd.random() < 0.7:
+                m["from"] = rnd.choice(["Ann", "  Bob ", "", None])
+            msgs.append(m if rnd.random() > 0.05 else rnd.choice(["str", 5]))
+        docs.append({"name": f"c{s}", "messages": msgs})
+    df = spark.createDataFrame([(f"d{s}", json.dumps(d)) for s, d in enumerate(docs)], "source string, json string")
+    for meta in (False, True):
+        got = {}
+        for r in ex.parse_telegram(df, with_metadata=meta).collect():
+            got.setdefault(r["source"], []).append((r["line_no"], r["text"]))
+        for s, d in enumerate(docs):
+            assert [t for _, t in sorted(got.get(f"d{s}", []))] == pyref.telegram(d, meta), (s, meta)
