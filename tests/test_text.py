@@ -118,3 +118,24 @@ def test_metadata_prefix(spark):
     df = spark.createDataFrame([("2024-01-01", "Ann"), (" ", "Bob"), ("d", " ")], "d string, n string")
     got = [r[0] for r in df.select(tx.metadata_prefix("d", "n")).collect()]
     assert got == ["[2024-01-01] Ann: ", "Bob: ", "[d] "]
+
+
+def test_clean_for_embedding_random(spark):
+    rnd = random.Random(17)
+    parts = ["[", "]", ":", " ", "\t", "[12/1/24, 9:00 AM]", "Ann", "Bob ", "msg", "x:y", "[]", "\xa0", "é", "  "]
+
+    def line():
+        if rnd.random() < 0.4:
+            return f"{rnd.choice(['', ' '])}[{rnd.choice(['t1', ' 2 ', '1/2/24, 9:00 PM', ''])}]" \
+                   f"{rnd.choice([' ', '  ', ''])}{rnd.choice(['Ann', 'B b', '', 'n' * 85])}:" \
+                   f"{rnd.choice([' ', ''])}{rnd.choice(['hi', '', ' a: b ', '[x] y: z'])}"
+        return "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 6)))
+
+    texts = ["\n".join(line() for _ in range(rnd.randint(1, 4))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", tx.clean_for_embedding("t").alias("c")).collect()
+    fields = ("speaker", "timestamp", "start_speaker", "end_speaker", "start_timestamp", "end_timestamp")
+    for r in got:
+        text, meta = pyref.clean_for_embedding(texts[r["i"]])
+        assert r["c"]["text"] == text, texts[r["i"]]
+        assert {f: r["c"][f] for f in fields if r["c"][f] is not None} == meta, texts[r["i"]]
