@@ -139,3 +139,21 @@ def test_clean_for_embedding_random(spark):
         text, meta = pyref.clean_for_embedding(texts[r["i"]])
         assert r["c"]["text"] == text, texts[r["i"]]
         assert {f: r["c"][f] for f in fields if r["c"][f] is not None} == meta, texts[r["i"]]
+
+
+def test_stops_preview_answer_random(spark):
+    rnd = random.Random(23)
+    alphabet = ["a", "b", " ", "\n", "USER:", "YOU:", "you:", " user:", ".", "é", "\r\n", "\t"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    texts += ["x" * n for n in (139, 140, 141, 200)]
+    stops = ["\n", "\nUSER:", "\nYOU:", "b."]
+    df = spark.createDataFrame([(i, t, rnd.randint(0, 10)) for i, t in enumerate(texts)], "i int, t string, s int")
+    got = df.select("i", "s", tx.truncate_at_stops("t", F.col("s"), stops).alias("cut"),
+                    tx.preview("t").alias("p"), tx.clean_answer("t").alias("a")).collect()
+    for r in got:
+        t, start = texts[r["i"]], r["s"]
+        hits = [j for j in (t.find(x, start) for x in stops) if j != -1]
+        assert r["cut"] == (t[:min(hits)] if hits else t)
+        p = t.replace("\n", " ").strip()
+        assert r["p"] == (p[:137] + "..." if len(p) > 140 else p)
+        assert r["a"] == pyref.clean_answer(t), repr(t)
