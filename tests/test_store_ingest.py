@@ -97,3 +97,33 @@ def test_rebuild_from_corpus_and_query(spark, tmp_path):
     q = spark.createDataFrame([("q", "new text")], "query_id string, query string")
     hits = st.query(q.withColumn("qvec", emb(F.col("query"))), k=1).collect()
     assert hits[0]["text"] == "new text" and abs(hits[0]["score"] - 1.0) < 1e-6
+
+
+def test_flag_chunks_random_match_python(spark):
+    import random
+    import pyref
+    from parley.functions import hashing as H
+    rnd = random.Random(41)
+    vocab = ["hi", "hello there", "ok", "see you", "call 415-555-1234", "a@b.com", "  ", "", "hi", "w1 w2 w3"]
+    for trial in range(6):
+        lines = [rnd.choice(vocab) + rnd.choice(["", " ", "  x"]) for _ in range(rnd.randint(3, 30))]
+        mode = rnd.choice(["message", "window"])
+        opts = dict(mode=mode, n=rnd.randint(1, 4), max_messages=rnd.choice([None, 8]), exact=rnd.random() < 0.8,
+                    fuzzy=rnd.random() < 0.5, t=rnd.choice([3, 6, 10]), redact=rnd.random() < 0.5)
+        # stored ids: half of the ids a first run over the same lines would add
+        _s, first_ids = pyref.ingest_plan(lines, [], **opts)
+        stored = sorted(first_ids)[: len(first_ids) // 2]
+        exp, exp_add = pyref.ingest_plan(lines, stored, **opts)
+        corpus = _corpus(spark, lines)
+        io = ing.IngestOptions(chunking=mode, window_size=opts["n"], max_messages=opts["max_messages"],
+                               exact_dedupe=opts["exact"], fuzzy_dedupe=opts["fuzzy"],
+                               fuzzy_max_hamming=opts["t"], redact=opts["redact"])
+        stored_df = spark.createDataFrame([(i, i.split(":", 1)[0]) for i in stored] or [("none", "none")],
+                                          "id string, content_hash string")
+        if not stored:
+            stored_df = stored_df.limit(0)
+        flagged = ing.flag_chunks(corpus, None, io, stored=stored_df)
+        got = ing.ingest_summary(flagged, ing.messages_of(corpus, io)).first()
+        for k in ("messages", "chunks", "kept", "skip_existing", "would_add"):
+            assert got[k] == exp[k], (trial, k, opts)
+        assert {r["id"] for r in flagged.filter("add").collect()} == exp_add, (trial, opts)
