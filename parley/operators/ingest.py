@@ -55,9 +55,10 @@ def flag_chunks(corpus: DataFrame, store: ParquetStore | None = None, opts: Inge
     chunks = ch.with_ids(ch.build_chunks(msgs, mode, o.window_size), mode).withColumnRenamed("text", "raw")
     text = tx.redact(F.col("raw"), o.redact_types) if o.redact else F.col("raw")
     chunks = chunks.withColumn("text", text).withColumn("content_hash", H.content_hash("text"))
-    if o.exact_dedupe or o.fuzzy_dedupe:
+    if o.fuzzy_dedupe or (o.exact_dedupe and mode == "window"):
         # the dedupe steps read the chunks more than once (winners, then the rows
         # themselves): write them once instead of re-running the chunking windows
+        # (message chunks are a plain projection and cheap to recompute)
         ensure_checkpoint_dir(chunks.sparkSession)
         chunks = chunks.checkpoint(eager=True)
     if stored is None and store is not None:
