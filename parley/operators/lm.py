@@ -81,6 +81,7 @@ def build_vocab(lines: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def vocab_list(vocab: DataFrame) -> list[str]:
+    """The vocabulary in id order (at most 0x110000 entries, one per code point)."""
     rows = vocab.orderBy("id").collect()
     return [r["char"] for r in rows]
 
