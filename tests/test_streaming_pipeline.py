@@ -49,3 +49,20 @@ def test_pipeline(spark, tmp_path):
     run_pipeline(spark, str(p), "plain", str(tmp_path / "work2"), embedder=hashed_embedder(16), seq_len=32,
                  ingest_stage=lambda c, s, o, e: seen.append(c.count()) or 0)
     assert seen == [400]
+
+
+def test_pipeline_whatsapp_with_metadata(spark, tmp_path):
+    p = tmp_path / "wa.txt"
+    rows = []
+    for i in range(300):
+        rows.append(f"1/{i % 28 + 1}/24, {i % 12 + 1}:{i % 60:02d} PM - {'Ann' if i % 2 else 'Bob'}: message {i} here")
+        if i % 7 == 0:
+            rows.append(f"continued {i}")
+    p.write_text("\n".join(rows), encoding="utf-8")
+    res = run_pipeline(spark, str(p), "whatsapp", str(tmp_path / "w"), with_metadata=True,
+                       embedder=hashed_embedder(16), seq_len=32)
+    assert res.messages == 300 and res.added == 300
+    st = ParquetStore(spark, res.store_path.rsplit("/", 1)[0])
+    r = st.read().filter("metadata.line = 1").first()
+    assert r["text"] == "message 0 here continued 0" and r["metadata"]["speaker"] == "Bob"
+    assert r["metadata"]["timestamp"] == "1/1/24, 1:00 PM"
