@@ -114,3 +114,24 @@ def test_perplexity_edges(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (1000.0,), (float("inf"),)], "l double")
     got = [r[0] for r in df.select(lm.perplexity("l")).collect()]
     assert abs(got[0] - math.e) < 1e-12 and math.isnan(got[1]) and got[2] == float("inf") and math.isnan(got[3])
+
+
+def test_pairs_corpus_random(spark):
+    import random
+    rnd = random.Random(3)
+    sources = {f"s{i}": [rnd.choice(["a", " b ", "", "  ", "c d", "\t", "e"]) for _ in range(rnd.randint(0, 9))]
+               for i in range(15)}
+    df = spark.createDataFrame([(s, i + 1, t) for s, ls in sources.items() for i, t in enumerate(ls)],
+                               "source string, line_no long, text string").repartition(3)
+    got = {}
+    for r in lm.pairs_corpus(df).collect():
+        got.setdefault(r["source"], []).append((r["line_no"], r["block"]))
+    for s, ls in sources.items():
+        lines = [x.strip() for x in ls if x.strip()]
+        if not lines:
+            exp = ""
+        elif len(lines) < 2:
+            exp = "USER: \nYOU: \n"
+        else:
+            exp = "".join(f"USER: {lines[i]}\nYOU: {lines[i + 1]}\n\n" for i in range(len(lines) - 1))
+        assert "".join(b for _, b in sorted(got.get(s, []))) == exp, s
