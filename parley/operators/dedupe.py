@@ -177,9 +177,10 @@ def greedy_dropped_blocks(nodes: DataFrame, max_hamming: int = H.DEFAULT_MAX_HAM
     e = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.node") < F.col("b.node"))
                 & (H.hamming64(F.col("a.h"), F.col("b.h")) <= t))
           .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().checkpoint(eager=True))
-    mh = m.filter(F.col("_n") > hot).drop("_n").checkpoint(eager=True)
+    hot_rows = m.filter(F.col("_n") > hot).drop("_n")
+    has_hot = not hot_rows.isEmpty()
+    mh = hot_rows.checkpoint(eager=True) if has_hot else hot_rows
     parts, rounds = [], 0
-    has_hot = not mh.isEmpty()
     while True:
         if has_hot:
             has_hot = not mh.isEmpty()
