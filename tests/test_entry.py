@@ -40,3 +40,10 @@ def test_results_do_not_depend_on_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     for n in names:
         assert one[n] == many[n], n
+
+
+def test_checkpoint_folder_comes_from_the_session(spark):
+    from parley.session import CHECKPOINT_CONF, ensure_checkpoint_dir
+    conf = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
+    got = ensure_checkpoint_dir(spark)
+    assert conf and conf.rstrip("/").split(":")[-1] in got
