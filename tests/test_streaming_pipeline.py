@@ -66,3 +66,19 @@ def test_pipeline_whatsapp_with_metadata(spark, tmp_path):
     r = st.read().filter("metadata.line = 1").first()
     assert r["text"] == "message 0 here continued 0" and r["metadata"]["speaker"] == "Bob"
     assert r["metadata"]["timestamp"] == "1/1/24, 1:00 PM"
+
+
+def test_ingest_stream_window_mode_and_empty_batch(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    # one file per micro-batch: windows form within a micro-batch
+    spark.createDataFrame([("f", i, f"line {i}") for i in range(1, 6)], CORPUS_DDL).coalesce(1) \
+        .write.parquet(str(src / "b1"))
+    spark.createDataFrame([("f", 9, "   ")], CORPUS_DDL).coalesce(1).write.parquet(str(src / "b2"))
+    st = ParquetStore(spark, str(tmp_path / "store"))
+    stream = spark.readStream.schema(CORPUS_DDL).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    opts = ing.IngestOptions(chunking="window", window_size=2)
+    q = ingest_stream(stream, st, str(tmp_path / "ck"), opts, embedder=hashed_embedder(8), available_now=True)
+    q.awaitTermination(120)
+    got = sorted((r["metadata"]["start_line"], r["metadata"]["end_line"]) for r in st.read().collect())
+    assert got == [(1, 2), (2, 3), (3, 4), (4, 5)]
