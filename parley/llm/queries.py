@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import read_table
+from parley.llm.mixture import MIX_SQL, mix
 from parley.llm.tokens import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,7 +17,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
 # name -> (query, DuckDB twin or None)
 REGISTRY = {
     "op2_token_counts": (op2_token_counts, None),
+    "op10_mixture": (op10_mixture, MIX_SQL),
 }
