@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.common import read_table
 from parley.llm.mixture import MIX_SQL, mix
+from parley.llm.quality_rules import RULES_SQL, apply_policy, build_ledger
 from parley.llm.tokens import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -17,6 +18,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = build_ledger(read_table(spark, sf_dir, "documents"))
+    base = apply_policy(ledger, "base", "passed")
+    return apply_policy(base.withColumn("base_failed", ~base["passed"]).drop("passed"), "v2")
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
@@ -24,5 +31,6 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 # name -> (query, DuckDB twin or None)
 REGISTRY = {
     "op2_token_counts": (op2_token_counts, None),
+    "op5_quality_rules": (op5_quality_rules, RULES_SQL),
     "op10_mixture": (op10_mixture, MIX_SQL),
 }
