@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from parley.llm.common import read_table
 from parley.llm.mixture import MIX_SQL, mix
 from parley.llm.quality_rules import RULES_SQL, apply_policy, build_ledger
+from parley.llm.simhash_balls import hex_fingerprint, near_duplicates
 from parley.llm.tokens import count_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -24,6 +25,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(base.withColumn("base_failed", ~base["passed"]).drop("passed"), "v2")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = near_duplicates(read_table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", hex_fingerprint(marked["fp"]).alias("fingerprint"), "component_id")
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
@@ -32,5 +38,6 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op2_token_counts": (op2_token_counts, None),
     "op5_quality_rules": (op5_quality_rules, RULES_SQL),
+    "op8_simhash": (op8_simhash, None),
     "op10_mixture": (op10_mixture, MIX_SQL),
 }
