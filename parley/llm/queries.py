@@ -4,8 +4,10 @@ tables, apply an operator with production parameters and derive the result colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parley.llm.common import read_table
+from parley.llm.decontaminate import HITS_SQL, find_hits
 from parley.llm.mixture import MIX_SQL, mix
 from parley.llm.quality_rules import RULES_SQL, apply_policy, build_ledger
 from parley.llm.simhash_balls import hex_fingerprint, near_duplicates
@@ -30,6 +32,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", hex_fingerprint(marked["fp"]).alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = find_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
@@ -39,5 +47,6 @@ REGISTRY = {
     "op2_token_counts": (op2_token_counts, None),
     "op5_quality_rules": (op5_quality_rules, RULES_SQL),
     "op8_simhash": (op8_simhash, None),
+    "op9_decontaminate": (op9_decontaminate, HITS_SQL),
     "op10_mixture": (op10_mixture, MIX_SQL),
 }
