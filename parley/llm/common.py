@@ -47,6 +47,11 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _BLOCK = 512
 
 
@@ -55,17 +60,24 @@ def running_totals(values: Column) -> Column:
 
     Two levels (totals inside blocks of 512, then block offsets), so the repeated
     copying of a growing array stays small for very long arrays."""
+    none = F.array().cast("array<bigint>")
+
     def scan(arr):
-        return F.aggregate(arr, F.array().cast("array<bigint>"),
-                           lambda acc, v: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0).cast("bigint")) + v)))
+        return F.aggregate(arr, none, lambda acc, v: F.concat(
+            acc, F.array(F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(F.lit(0).cast("bigint")) + v)))
+
+    def blocked(vals):
+        starts = F.sequence(F.lit(1), F.size(vals), F.lit(_BLOCK))
+        blocks = F.transform(starts, lambda s: scan(F.slice(vals, s, _BLOCK)))
+        return let(blocks, lambda bs: let(
+            scan(F.transform(bs, lambda b: F.element_at(b, -1))),
+            lambda ends: F.flatten(F.transform(bs, lambda b, i: F.transform(
+                b, lambda v: v + F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0).cast("bigint")))))))
+
+    return let(values, lambda vals: F.when(F.size(vals) <= _BLOCK, scan(vals)).otherwise(blocked(vals)))
+
 
-    short = F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(scan(values))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(_BLOCK))
-    blocks = F.transform(starts, lambda s: scan(F.slice(values, s, _BLOCK)))
-    ends = scan(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    long = F.flatten(F.transform(blocks, lambda b, i: F.transform(
-        b, lambda v: v + F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.element_at(ends, i)))))
-    return F.when(F.size(values) <= _BLOCK, short).otherwise(long)
+SPANS = "array<struct<start:bigint,end:bigint,found:string>>"
 
 
 def found_spans(text: Column, pattern: str) -> Column:
@@ -75,9 +87,21 @@ def found_spans(text: Column, pattern: str) -> Column:
     ``split`` gives the gaps around the matches that ``regexp_extract_all`` gives,
     and running totals of gap and match lengths are the positions.  The pattern
     must not match the empty string."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found,
-                       lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
-    return F.when(F.size(found) > 0, F.zip_with(running_totals(steps), found, lambda e, m: F.struct(
-        (e - F.length(m)).alias("start"), e.alias("end"), m.alias("found"))))
+    def placed(found):
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found,
+                           lambda g, m: (F.length(g) + F.length(m)).cast("bigint"))
+        return F.zip_with(running_totals(steps), found, lambda e, m: F.struct(
+            (e - F.length(m)).alias("start"), e.alias("end"), m.alias("found")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+               lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(SPANS)))
+
+
+def spans_text(spans: Column) -> Column:
+    """``kind:start:end`` of every span, comma-joined in the order given."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")

@@ -111,10 +111,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
     starts = F.array_distinct(F.flatten(F.transform(places(F.col("grams")), lambda p: F.when(
         last >= 0, F.sequence(F.greatest(p - (window - k), F.lit(0)), F.least(p, last)))
         .otherwise(F.array().cast("array<int>")))))
-    tried = [F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(window).alias("n"), _gram(F.col("words"), s, window).alias("gram")))]
-    for n in lengths:
-        tried.append(F.transform(places(_gram_hashes(F.col("words"), n)), lambda s, n=n: F.struct(
-            s.alias("start"), F.lit(n).alias("n"), _gram(F.col("words"), s, n).alias("gram"))))
+
+    def at_places(found: Column, n: int) -> Column:
+        return F.transform(found, lambda s: F.struct(
+            s.alias("start"), F.lit(n).alias("n"), _gram(F.col("words"), s, n).alias("gram")))
+
+    tried = [at_places(starts, window)]
+    tried += [at_places(places(_gram_hashes(F.col("words"), n)), n) for n in lengths]
     tried = again.select("doc_id", "text_key", F.explode(F.concat(*tried)).alias("w")).select("doc_id", "text_key", "w.*")
     hits = materialise(tried.join(grams.select("n", "gram").distinct(), ["n", "gram"]).distinct(), "decon-hits")
 

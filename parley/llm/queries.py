@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import read_table
+from parley.llm.common import count_kind, read_table, scratch_path, spans_text
 from parley.llm.decontaminate import HITS_SQL, find_hits
 from parley.llm.mixture import MIX_SQL, mix
 from parley.llm.quality_rules import RULES_SQL, apply_policy, build_ledger
+from parley.llm.secret_scan import BASE_KINDS, BlobLedger, findings_by_path, scan
 from parley.llm.simhash_balls import hex_fingerprint, near_duplicates
 from parley.llm.tokens import count_tokens
 
@@ -21,6 +22,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    ledger = BlobLedger(spark, scratch_path(spark, "blob-ledger"))
+    scan(docs, ledger)
+    found = findings_by_path(docs, ledger, ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    counts = [count_kind(F.col("spans"), k).alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
+                        spans_text(F.col("spans")).alias("spans"), "blob")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = build_ledger(read_table(spark, sf_dir, "documents"))
     base = apply_policy(ledger, "base", "passed")
@@ -45,6 +57,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 # name -> (query, DuckDB twin or None)
 REGISTRY = {
     "op2_token_counts": (op2_token_counts, None),
+    "op3_secrets": (op3_secrets, None),
     "op5_quality_rules": (op5_quality_rules, RULES_SQL),
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, HITS_SQL),
