@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import count_kind, read_table, scratch_path, spans_text
 from parley.llm.decontaminate import HITS_SQL, find_hits
+from parley.llm.langid import held_out, learn, predict_languages
 from parley.llm.mixture import MIX_SQL, mix
 from parley.llm.quality_rules import RULES_SQL, apply_policy, build_ledger
 from parley.llm.secret_scan import BASE_KINDS, BlobLedger, findings_by_path, scan
@@ -39,6 +40,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(base.withColumn("base_failed", ~base["passed"]).drop("passed"), "v2")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    langs, logp = learn(docs.filter(~held_out()))
+    predicted = predict_languages(docs, langs, logp)
+    return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = near_duplicates(read_table(spark, sf_dir, "documents"))
     return marked.select("doc_id", hex_fingerprint(marked["fp"]).alias("fingerprint"), "component_id")
@@ -59,6 +67,7 @@ REGISTRY = {
     "op2_token_counts": (op2_token_counts, None),
     "op3_secrets": (op3_secrets, None),
     "op5_quality_rules": (op5_quality_rules, RULES_SQL),
+    "op6_language": (op6_language, None),
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, HITS_SQL),
     "op10_mixture": (op10_mixture, MIX_SQL),
