@@ -10,6 +10,8 @@ from parley.llm.common import count_kind, read_table, scratch_path, spans_text
 from parley.llm.decontaminate import HITS_SQL, find_hits
 from parley.llm.langid import held_out, learn, predict_languages
 from parley.llm.mixture import MIX_SQL, mix
+from parley.llm.quality_model import fit, score
+from parley.llm.quality_model import held_out as quality_held_out
 from parley.llm.quality_rules import RULES_SQL, apply_policy, build_ledger
 from parley.llm.secret_scan import BASE_KINDS, BlobLedger, findings_by_path, scan
 from parley.llm.simhash_balls import hex_fingerprint, near_duplicates
@@ -34,6 +36,18 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans_text(F.col("spans")).alias("spans"), "blob")
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """The rule model, fitted on labelled rows outside the held-out fold."""
+    labels = read_table(spark, sf_dir, "labels")
+    return fit(docs, labels.filter(~quality_held_out()))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score(docs, quality_model(spark, docs, sf_dir), ["doc_id"])
+    return scored.select("doc_id", quality_held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = build_ledger(read_table(spark, sf_dir, "documents"))
     base = apply_policy(ledger, "base", "passed")
@@ -66,6 +80,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op2_token_counts": (op2_token_counts, None),
     "op3_secrets": (op3_secrets, None),
+    "op4_quality_classifier": (op4_quality_classifier, None),
     "op5_quality_rules": (op5_quality_rules, RULES_SQL),
     "op6_language": (op6_language, None),
     "op8_simhash": (op8_simhash, None),
