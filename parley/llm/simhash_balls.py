@@ -9,11 +9,13 @@ hashing runs on the two 32-bit halves: of 4 differing bits one half holds at mos
 (pigeonhole), so a ball of radius 1 per half, 2 x 33 variants, loses no pair.  What meets
 at a variant is then handled without ever listing the pairs of a large group:
 
-* two fingerprints: one candidate pair, read off ``min`` and ``max``;
-* up to ``CROWD``: the pairs of a list of bounded length;
-* more: these fingerprints emit their whole-word balls.  All members of such a variant
-  are within ``radius`` of each other, so a star around the smallest holds every link
-  that matters to the components.
+* two or three fingerprints: their pairs, read off ``min``, ``max`` and the xor of all;
+* more: a star from the smallest to those within ``radius`` of it.  Where the stars
+  together leave all fingerprints of a variant in one component, nothing more can be
+  gained there; elsewhere up to ``CROWD`` fingerprints are compared within one row, and beyond
+  that these fingerprints emit their whole-word balls.  All
+  members of a whole-word variant are within ``radius`` of each other, so a star around
+  the smallest holds every link that matters to the components.
 
 Equal fingerprints are one node, whatever the number of their documents.  Components come
 from alternating large and small stars, each round written to the shared folder.
@@ -41,7 +43,8 @@ SEED = 42
 SHINGLE = 4
 RADIUS = 4
 BLOCKS = 2
-CROWD = 64
+CROWD = 1024
+BROADCAST_GROUPS = 500_000   # rows of 28 bytes that one broadcast may hold
 _VOTES = 1 << 17   # shingle hashes voted on at once (8 MB of bits)
 
 
@@ -106,25 +109,43 @@ def _near(a: str, b: str, radius: int) -> Column:
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
-    """(a, b), a < b: links between distinct fingerprints that give the same components
-    as all pairs within ``radius`` bits."""
+    """(a, b): links between distinct fingerprints that give the same components as all
+    pairs within ``radius`` bits."""
     if radius // blocks % 2 and blocks > 1:
         raise ValueError("the radius within a block must be even, or blocks must be 1")
     if blocks == 1:
         return _stars(fps, radius)
     met = materialise(emitted(fps, blocks, radius).groupBy("block", "variant")
-                      .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+                      .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x"))
                       .filter("n > 1"), "ball-met")
-    twos = met.filter("n = 2").select("a", "b").filter(_near("a", "b", radius))
-    groups = met.filter("n > 2").select("block", "variant", "n")
-    members = materialise(emitted(fps, blocks, radius).join(groups, ["block", "variant"]), "ball-members")
-    listed = (members.filter(F.col("n") <= crowd).groupBy("block", "variant")
-              .agg(F.array_sort(F.collect_list("fp")).alias("all")))
-    pairs = (listed.select("all", F.posexplode("all").alias("i", "a"))
-             .select("a", F.explode(F.slice("all", F.col("i") + 2, F.lit(crowd))).alias("b"))
-             .filter(_near("a", "b", radius)))
-    hot = members.filter(F.col("n") > crowd).select("fp").distinct()
-    return twos.unionAll(pairs).unionAll(_stars(hot, radius)).distinct()
+    third = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
+    few = met.filter("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(F.struct("a", "b"))).otherwise(F.array(
+        F.struct("a", "b"), F.struct(F.col("a"), third.alias("b")), F.struct(third.alias("a"), F.col("b"))))).alias("p")).select("p.*")
+    groups = met.filter("n > 3").select("block", "variant", "n", "a")
+    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
+    members = materialise(emitted(fps, blocks, radius).join(groups, ["block", "variant"])
+                          .withColumnRenamed("fp", "b"), "ball-members")
+    first = materialise(few.unionAll(members.select("a", "b")).filter("a <> b").filter(_near("a", "b", radius)).distinct(), "ball-links")
+
+    roots = components(first)
+    placed = members.select("block", "variant", "n", F.col("b").alias("fp")).join(
+        roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = materialise(placed, "ball-placed")
+    open_groups = (placed.groupBy("block", "variant").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                   .filter("lo <> hi").select("block", "variant"))
+    left = materialise(placed.join(open_groups, ["block", "variant"], "left_semi"), "ball-open")
+    listed = (left.filter(F.col("n") <= crowd).groupBy("block", "variant")
+              .agg(F.array_sort(F.collect_list(F.struct("root", "fp"))).alias("all")))
+    # sorted by component: a fingerprint is compared, inside its row, with those behind it that
+    # are of another component; only links become rows
+    behind = F.filter(F.slice("all", F.col("i") + 2, F.lit(crowd)), lambda o: (o["root"] != F.col("one.root")) & (
+        F.bit_count(o["fp"].bitwiseXOR(F.col("one.fp"))) <= radius))
+    pairs = (listed.select("all", F.posexplode("all").alias("i", "one"))
+             .select(F.col("one.fp").alias("a"), F.explode(F.transform(behind, lambda o: o["fp"])).alias("b")))
+    hot = left.filter(F.col("n") > crowd).select("fp").distinct()
+    return (roots.select(F.col("root").alias("a"), F.col("node").alias("b")).filter("a <> b")
+            .unionAll(pairs).unionAll(_stars(hot, radius)).distinct())
 
 
 def _stars(fps: DataFrame, radius: int) -> DataFrame:
