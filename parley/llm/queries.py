@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parley.llm.common import count_kind, read_table, scratch_path, spans_text
 from parley.llm.decontaminate import HITS_SQL, find_hits
 from parley.llm.langid import held_out, learn, predict_languages
+from parley.llm.licenses import find_licenses
 from parley.llm.mixture import MIX_SQL, mix
 from parley.llm.quality_model import fit, score
 from parley.llm.quality_model import held_out as quality_held_out
@@ -61,6 +62,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = near_duplicates(read_table(spark, sf_dir, "documents"))
     return marked.select("doc_id", hex_fingerprint(marked["fp"]).alias("fingerprint"), "component_id")
@@ -83,6 +88,7 @@ REGISTRY = {
     "op4_quality_classifier": (op4_quality_classifier, None),
     "op5_quality_rules": (op5_quality_rules, RULES_SQL),
     "op6_language": (op6_language, None),
+    "op7_licenses": (op7_licenses, None),
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, HITS_SQL),
     "op10_mixture": (op10_mixture, MIX_SQL),
