@@ -11,6 +11,7 @@ from parley.llm.decontaminate import HITS_SQL, find_hits
 from parley.llm.langid import held_out, learn, predict_languages
 from parley.llm.licenses import find_licenses
 from parley.llm.mixture import MIX_SQL, mix
+from parley.llm.pii import KINDS, find_pii, in_order
 from parley.llm.quality_model import fit, score
 from parley.llm.quality_model import held_out as quality_held_out
 from parley.llm.quality_rules import RULES_SQL, apply_policy, build_ledger
@@ -21,6 +22,15 @@ from parley.llm.tokens import count_tokens
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(read_table(spark, sf_dir, "documents"))
+    base = in_order(F.col("base"))
+    every = in_order(F.concat("base", "added"))
+    counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
+                        spans_text(every).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
@@ -83,6 +93,7 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # name -> (query, DuckDB twin or None)
 REGISTRY = {
+    "op1_pii": (op1_pii, None),
     "op2_token_counts": (op2_token_counts, None),
     "op3_secrets": (op3_secrets, None),
     "op4_quality_classifier": (op4_quality_classifier, None),
