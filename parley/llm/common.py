@@ -32,6 +32,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_KEYS = 1_000_000   # short key rows that one broadcast may hold
+
+
+def checked_broadcast(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``keys``, marked for broadcast if it has at most ``most`` rows; else it is left to a
+    shuffle join.  ``keys`` must be cheap to read (a written table)."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def space_words(text: Column) -> Column:
     """Words of a text (runs outside ASCII white space); null gives no words."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

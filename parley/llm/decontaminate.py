@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import ascii_lower, materialise
+from parley.llm.common import ascii_lower, checked_broadcast, materialise
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -93,9 +93,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
                            F.explode(F.concat(kept, F.array(F.lit(None).cast("bigint")))).alias("kept"))
     prints = prints.withColumn("hash", F.coalesce("kept", F.xxhash64("doc_id", "text_key")))
     keys = hashes.select("hash").distinct().withColumn("found", F.lit(True))
-    if keys.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
-        keys = F.broadcast(keys)
-    met = materialise(prints.join(keys, "hash", "left").filter(F.col("kept").isNull() | F.col("found"))
+    met = materialise(prints.join(checked_broadcast(keys, BROADCAST_HASHES), "hash", "left").filter(F.col("kept").isNull() | F.col("found"))
                       .select("doc_id", "text_key", "n_words", "kept"), "decon-met")
 
     seen = (met.filter(F.col("kept").isNotNull()).groupBy("doc_id", "text_key").agg(F.collect_set("kept").alias("met"))
@@ -141,9 +139,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
 
 
 def drop_contaminated(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The documents without a hit."""
-    bad = marked.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_key"]), "left_anti")
+    """The documents without a hit; ``marked`` is the result of ``find_hits`` for ``docs``."""
+    bad = materialise(marked.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(),
+                      "decon-bad")
+    return docs.join(checked_broadcast(bad), docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_key"]),
+                     "left_anti")
 
 
 HITS_SQL = r"""

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import found_spans, let
+from parley.llm.common import checked_broadcast, found_spans, let, materialise
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 # -------------------------------------------------------------------------------
 
+BROADCAST_BLOBS = 100_000    # blobs with findings, span lists of some hundred bytes, in one broadcast
 BASE_KINDS = ("assign", "access", "hex")
 RULES = (
     Rule("assign", 1, ASSIGN, r"(?i:passw|secret|token|api_?key)", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6),
@@ -137,10 +138,11 @@ def findings_by_path(versions: DataFrame, ledger: BlobLedger, keys: list[str], r
     return paths.join(per_blob, "blob", "left").withColumn("spans", F.coalesce("spans", none))
 
 
-def redact(docs: DataFrame, found: DataFrame, keys: list[str], mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """``docs`` with every found span replaced; ``found`` as of ``findings_by_path``."""
-    blobs = found.filter(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]).withColumnsRenamed(
-        {"blob": "_blob", "spans": "_spans"})
+    blobs = materialise(found.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+                        .dropDuplicates(["_blob"]), "secret-blobs")
+    blobs = checked_broadcast(blobs, BROADCAST_BLOBS)
     # overlapping spans are taken together; what lies between them stays
     parts = F.aggregate("_spans", F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit("").alias("out")), lambda acc, s: F.when(
         s["start"] >= acc["upto"], F.struct(s["end"].alias("upto"), F.concat(

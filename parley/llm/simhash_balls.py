@@ -33,11 +33,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import materialise
+from parley.llm.common import checked_broadcast, materialise
 
 SEED = 42
 SHINGLE = 4
@@ -122,9 +122,7 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, crowd: int
     few = met.filter("n <= 3").select(F.explode(F.when(F.col("n") == 2, F.array(F.struct("a", "b"))).otherwise(F.array(
         F.struct("a", "b"), F.struct(F.col("a"), third.alias("b")), F.struct(third.alias("a"), F.col("b"))))).alias("p")).select("p.*")
     groups = met.filter("n > 3").select("block", "variant", "n", "a")
-    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        groups = F.broadcast(groups)
-    members = materialise(emitted(fps, blocks, radius).join(groups, ["block", "variant"])
+    members = materialise(emitted(fps, blocks, radius).join(checked_broadcast(groups, BROADCAST_GROUPS), ["block", "variant"])
                           .withColumnRenamed("fp", "b"), "ball-members")
     first = materialise(few.unionAll(members.select("a", "b")).filter("a <> b").filter(_near("a", "b", radius)).distinct(), "ball-links")
 
@@ -208,7 +206,15 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(spark: SparkSession, docs: DataFrame, marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id names their component (one per component)."""
-    first = marked.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(first["_keep"]), "left_semi")
+def keep_first(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One document of each component: the one whose id names it.  ``marked`` is the result
+    of ``near_duplicates`` for ``docs``.  Rows that repeat an id are one document where
+    their fingerprints are linked; documents without an id are kept if all ids of their
+    component are null."""
+    marked = materialise(marked.select(F.col(id_col).alias("_id"), "component_id"), "simhash-marked")
+    gone = materialise(marked.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct(), "simhash-gone")
+    kept = docs.join(checked_broadcast(gone), docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    ids = marked.filter("_id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    if not ids:
+        return kept
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
