@@ -11,8 +11,8 @@ candidate are added.
 No labels exist for candidates, so the trees learn from the base spans of the corpus
 itself, rendered anew in place with their context: positives in looser forms (other
 separators, no plus sign, written-out marks), negatives with broken checks (a changed
-digit, too many digits, an octet out of range), and candidates as they stand that are no
-base span count as negatives too.  The sample is bounded, ``TRAIN_SPANS`` of each sort by
+digit, an octet out of range, a missing part), and candidates as they stand that are no base
+span and pass no check of their kind.  The sample is bounded, ``TRAIN_SPANS`` of each sort by
 hash; where it has under ``LEAST_SPANS`` positives or negatives, nothing is added.
 
 Everything runs as column expressions and Spark ML; the fitted trees are compiled into
@@ -139,9 +139,9 @@ def features(spans: DataFrame) -> DataFrame:
         "n_spaces": F.length(found) - F.length(F.translate(found, " ", "")),
         "n_marks": F.length(found) - F.length(F.translate(found, "()[]./_-@", "")),
         "plus": found.startswith("+") | found.startswith("00"), "parens": found.contains("("),
-        "checksum": luhn(digits_of(found)),
-        "octets": F.regexp_replace(found, "[^0-9]+", ".").rlike(_OCTET),
-        "top_level": F.lower(found).rlike(r"[a-z0-9](?:\.|\x20?[(\[]?dot[)\]]?\x20?)[a-z]{2,10}$"),
+        "checksum": (kind == "card") & luhn(digits_of(found)),
+        "octets": (kind == "ip") & F.regexp_replace(found, "[^0-9]+", ".").rlike(_OCTET),
+        "top_level": (kind == "email") & F.lower(found).rlike(r"[a-z0-9](?:\.|\x20?[(\[]?dot[)\]]?\x20?)[a-z]{2,10}$"),
         "left_letter": before.rlike(r"\p{L}$"), "left_digit": before.rlike(r"[0-9][.,:/-]?$"),
         "right_letter": after.rlike(r"^\p{L}"), "right_digit": after.rlike(r"^[.,:/-]?[0-9]"),
         "says_mail": before.rlike("mail|contact|write|correo|courriel"), "says_phone": before.rlike("phone|tel|call|mobil|fax"),
@@ -181,7 +181,11 @@ def training_spans(scanned: DataFrame, most: int = TRAIN_SPANS) -> DataFrame:
     part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)).alias("part")
     out = some_base.select("kind", loose.alias("found"), "before", "after", F.lit(1.0).alias("label"), part)
     out = out.unionByName(some_base.select("kind", broken.alias("found"), "before", "after", F.lit(0.0).alias("label"), part))
-    return out.unionByName(some(free, "free").select(*columns, F.lit(0.0).alias("label"), part)).filter("found is not null")
+    # of the candidates as they stand, those that pass a check of their kind are left out: they may
+    # well be personal data, so they teach nothing
+    checked = (F.col("checksum") + F.col("octets") + F.col("top_level") + F.when(k == "phone", F.col("plus") + F.col("parens")).otherwise(0)) > 0
+    doubtful = features(some(free, "free")).filter(~checked)
+    return out.unionByName(doubtful.select(*columns, F.lit(0.0).alias("label"), part)).filter("found is not null")
 
 
 def _free(spans: str, taken: str) -> Column:
