@@ -31,7 +31,6 @@ EMOJI_CLASS = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{26FF}\x{2700}-\x{27BF}]+"
 # Replacement tokens.
 EMAIL_TOKEN, PHONE_TOKEN, ADDRESS_TOKEN = "<EMAIL>", "<PHONE>", "<ADDRESS>"
 # Prompt / reply fixed strings.
-MEDIA_OMITTED = "<Media omitted>"
 PREVIEW_LIMIT = 140
 # ---------------------------------------------------------------------------
 

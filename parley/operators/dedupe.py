@@ -7,10 +7,8 @@ Order matters: the first item in ``order_cols`` order wins.
   one task.
 * near pairs (J3): two items match when they share any 16-bit band value (value
   only, any band position) and their SimHashes differ in at most ``t`` bits.
-  Besides the band value we block on aligned bytes: ``t`` flipped bits leave at
-  least ``8 - t`` of the 8 bytes equal, so for ``t <= 6`` every matching pair
-  also agrees on some pair of byte positions.  Keying on (band value, byte pair,
-  their values) keeps every block tiny while losing no pair.
+  Blocks are keyed on a band value and two further pieces of the hash (see
+  ``_block_masks``), 24 bits and more, at every table size; no pair is lost.
 * fuzzy keep (A6): "drop an item iff an earlier *kept* item matches it" is the
   greedy lexicographically-first maximal independent set of the match graph.  It
   is computed in rounds over block memberships: blocks up to ``HOT_BLOCK``
@@ -38,7 +36,9 @@ _log = logging.getLogger("parley.dedupe")
 def exact_keep(items: DataFrame, key: str, order_cols: list[str], seen: DataFrame | None = None,
                out: str = "exact_keep") -> DataFrame:
     """A5 (+ J2 when ``seen`` holds a ``key`` column of stored hashes)."""
-    first = items.groupBy(key).agg(F.min(F.struct(*order_cols)).alias("_first"))
+    # one order column: its plain minimum (a struct would force a sort-based aggregate)
+    order = F.struct(F.min(order_cols[0]).alias(order_cols[0])) if len(order_cols) == 1 else F.min(F.struct(*order_cols))
+    first = items.groupBy(key).agg(order.alias("_first"))
     if seen is not None:
         first = first.join(seen.select(key).distinct(), key, "left_anti")
     winners = first.select(key, *[F.col("_first")[c].alias(c) for c in order_cols]).withColumn("_win", F.lit(True))
@@ -47,36 +47,53 @@ def exact_keep(items: DataFrame, key: str, order_cols: list[str], seen: DataFram
                  .drop("_win"))
 
 
-def _byte(h: F.Column, p: int) -> F.Column:
-    return F.call_function("shiftrightunsigned", h, F.lit(8 * p)).bitwiseAND(F.lit(0xFF).cast("bigint")).cast("int")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-FINE_BLOCKS_FROM = 1 << 18   # nodes; below this, band values alone make small blocks
+def _pieces(bits: list[int], count: int) -> list[int]:
+    """Masks of ``count`` nearly equal runs of a list of bit positions."""
+    cuts = [round(i * len(bits) / count) for i in range(count + 1)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
-def _fine(nodes: DataFrame) -> bool:
-    """Whether to split band-value blocks by aligned bytes: with n random hashes a
-    band value holds about 4n / 65536 nodes, so below ``FINE_BLOCKS_FROM`` nodes
-    the 28-fold sub-keys cost more rows than they save pairs.  Either choice
-    finds exactly the same pairs."""
-    return nodes.count() >= FINE_BLOCKS_FROM
+MAX_PIECED_HAMMING = 20
 
 
-def _sub_keys(h: F.Column, max_hamming: int, fine: bool = True) -> F.Column:
-    """Aligned-byte block keys that every pair within ``max_hamming`` shares."""
-    need = max(0, min(2, 8 - int(max_hamming))) if fine else 0
-    if need == 0:
-        return F.array(F.lit(0))
-    keys = []
-    for combo in combinations(range(8), need):
-        tag = 0
-        for p in combo:
-            tag = tag * 8 + p
-        k = F.lit(tag + 1)
-        for p in combo:
-            k = k * 256 + _byte(h, p)
-        keys.append(k)
-    return F.array(*keys)
+def _block_masks(max_hamming: int) -> list[tuple[int, int, int]]:
+    """(tag, mask, band): a block key is the tag, the hash under the mask and, where ``band``
+    is not -1, the value of that band.  Every pair within ``max_hamming`` with a common band
+    value shares a key.
+
+    Same band position: the band and two pieces of the other 48 bits; t flips leave at
+    least two of t + 2 (eight or more) pieces whole.  Different positions: the value of any
+    band and two pieces of all 64 bits; of eight pieces (bytes) the pairs that make up one
+    band are left out, as two hashes that agree on a whole band meet by position."""
+    t = max(0, int(max_hamming))
+    if t > MAX_PIECED_HAMMING:      # so loose that almost any two hashes match: the band value alone
+        return [(0, 0, band) for band in range(H.BANDS)]
+    n, masks = max(8, t + 2), []
+    for band in range(H.BANDS):
+        own = range(band * H.BAND_BITS, (band + 1) * H.BAND_BITS)
+        rest = _pieces([b for b in range(64) if b not in own], n)
+        masks += [sum(1 << b for b in own) | x | y for x, y in combinations(rest, 2)]
+    masks = [(i, m, -1) for i, m in enumerate(masks)]
+    whole = _pieces(list(range(64)), n)
+    for i, j in combinations(range(n), 2):
+        if n > 8 or j != i + 1 or i % 2:
+            masks += [(10_000 + i * 64 + j, whole[i] | whole[j], band) for band in range(H.BANDS)]
+    return masks
+
+
+def _block_rows(nodes: DataFrame, hash_col: str, max_hamming: int, out: str) -> DataFrame:
+    """One row per node and block key.  Keys are hashes of their parts, so equal keys are only
+    candidates: the Hamming distance and a common band value decide."""
+    masks = F.array(*[F.struct(F.lit(tag).alias("tag"), F.lit(_signed(m)).cast("bigint").alias("mask"), F.lit(band).alias("band"))
+                      for tag, m, band in _block_masks(max_hamming)])
+    h, m = F.col(hash_col), F.col("_m")
+    value = F.call_function("shiftrightunsigned", h, F.greatest(m["band"], F.lit(0)) * H.BAND_BITS).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+    key = F.xxhash64(m["tag"], h.bitwiseAND(m["mask"]), F.when(m["band"] >= 0, value).otherwise(F.lit(0).cast("bigint")))
+    return nodes.withColumn("_m", F.explode(masks)).withColumn(out, key).drop("_m")
 
 
 def near_duplicate_pairs(nodes: DataFrame, node_col: str = "node", hash_col: str = "simhash",
@@ -95,14 +112,11 @@ def near_duplicate_pairs(nodes: DataFrame, node_col: str = "node", hash_col: str
         return spark.createDataFrame([], nodes.select(F.col(node_col).alias("a"), F.col(node_col).alias("b"),
                                                       F.lit(0).alias("distance")).schema)
     h = F.col(hash_col)
-    fine = _fine(nodes)
-    rows = (nodes.select(F.col(node_col).alias("n"), h.alias("h"),
-                         F.explode(F.array_distinct(H.simhash_bands(h))).alias("v"))
-                 .withColumn("k", F.explode(_sub_keys(F.col("h"), t, fine))))
+    rows = _block_rows(nodes.select(F.col(node_col).alias("n"), h.alias("h")), "h", t, "k")
     a, b = rows.alias("a"), rows.alias("b")
-    cond = ((F.col("a.v") == F.col("b.v")) & (F.col("a.k") == F.col("b.k"))
-            & (F.col("a.n") < F.col("b.n"))
-            & (H.hamming64(F.col("a.h"), F.col("b.h")) <= t))
+    cond = ((F.col("a.k") == F.col("b.k")) & (F.col("a.n") < F.col("b.n"))
+            & (H.hamming64(F.col("a.h"), F.col("b.h")) <= t)
+            & F.arrays_overlap(H.simhash_bands(F.col("a.h")), H.simhash_bands(F.col("b.h"))))
     return (a.join(b, cond, "inner")
              .select(F.col("a.n").alias("a"), F.col("b.n").alias("b"),
                      H.hamming64(F.col("a.h"), F.col("b.h")).alias("distance"))
@@ -142,17 +156,19 @@ def greedy_dropped(edges: DataFrame, max_rounds: int | None = None) -> DataFrame
     return out
 
 
-def _memberships(nodes: DataFrame, max_hamming: int, fine: bool = True) -> DataFrame:
-    """``(g, node, h)``: every block key of every node (band value x aligned-byte
-    sub-key); two nodes that match always share at least one block."""
-    key = (F.col("v").cast("long") * F.lit(1 << 23)) + F.col("k").cast("long")
-    return (nodes.select("node", F.col("simhash").alias("h"),
-                         F.explode(F.array_distinct(H.simhash_bands(F.col("simhash")))).alias("v"))
-                 .withColumn("k", F.explode(_sub_keys(F.col("h"), max_hamming, fine)))
-                 .select(key.alias("g"), "node", "h"))
+def _memberships(nodes: DataFrame, max_hamming: int) -> DataFrame:
+    """``(g, node, h)``: every block key of every node; two nodes that match always share
+    at least one block."""
+    return _block_rows(nodes.select("node", F.col("simhash").alias("h")), "h", max_hamming, "g").select("g", "node", "h")
+
+
+def _match(x: str, y: str, t: int) -> F.Column:
+    return (H.hamming64(F.col(x), F.col(y)) <= t) & F.arrays_overlap(H.simhash_bands(F.col(x)), H.simhash_bands(F.col(y)))
 
 
-HOT_BLOCK = 4096   # blocks above this many members are resolved by pivots, not pairs
+# Keys have 24 bits and more, so a block of more members than this is a cluster of true near-copies,
+# whose pairs are not written; a pivot drops most of it in one round.
+HOT_BLOCK = 4096
 
 
 def greedy_dropped_blocks(nodes: DataFrame, max_hamming: int = H.DEFAULT_MAX_HAMMING,
@@ -169,13 +185,13 @@ def greedy_dropped_blocks(nodes: DataFrame, max_hamming: int = H.DEFAULT_MAX_HAM
     t = int(max_hamming)
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
-    m = _memberships(nodes, t, _fine(nodes))
+    m = _memberships(nodes, t)
     sizes = m.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
     m = m.join(sizes, "g").checkpoint(eager=True)
     small = m.filter(F.col("_n") <= hot).drop("_n")
     a, b = small.alias("a"), small.alias("b")
     e = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.node") < F.col("b.node"))
-                & (H.hamming64(F.col("a.h"), F.col("b.h")) <= t))
+                & _match("a.h", "b.h", t))
           .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().checkpoint(eager=True))
     hot_rows = m.filter(F.col("_n") > hot).drop("_n")
     has_hot = not hot_rows.isEmpty()
@@ -202,7 +218,7 @@ def greedy_dropped_blocks(nodes: DataFrame, max_hamming: int = H.DEFAULT_MAX_HAM
         dropped_now = e.join(kept_now.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n"))
         if has_hot:
             by_block = (mh.join(mins.join(kept_now.withColumnRenamed("n", "p"), "p", "left_semi"), "g")
-                          .filter((F.col("node") > F.col("p")) & (H.hamming64("h", "hp") <= t))
+                          .filter((F.col("node") > F.col("p")) & _match("h", "hp", t))
                           .select(F.col("node").alias("n")))
             dropped_now = dropped_now.unionByName(by_block)
         dropped_now = dropped_now.distinct()

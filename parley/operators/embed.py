@@ -26,7 +26,6 @@ from parley.functions.text import _col
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_DIM = 384       # embedding width of the reference default model
-DEFAULT_BATCH = 256     # embed + add batch of the reference
 # ---------------------------------------------------------------------------
 
 Embedder = Callable[[Column], Column]

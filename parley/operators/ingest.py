@@ -19,6 +19,7 @@ from parley.operators import dedupe as dd
 from parley.operators.embed import Embedder, hashed_embedder
 from parley.operators.retrieve import first_messages
 from parley.session import ensure_checkpoint_dir
+from parley.sources.corpus import message_lines
 from parley.sources.store import METADATA_TYPE, ParquetStore, SCHEMA_VERSION
 
 
@@ -38,9 +39,7 @@ class IngestOptions:
 
 def messages_of(corpus: DataFrame, o: IngestOptions) -> DataFrame:
     """S6 + F1 + F4: normalised non-blank messages, first ``max_messages`` of them."""
-    msgs = (corpus.withColumn("text", tx.normalize_message_line("text", o.collapse_whitespace, o.strip_emoji))
-                  .filter(F.col("text") != ""))
-    return first_messages(msgs, o.max_messages)
+    return first_messages(message_lines(corpus, o.collapse_whitespace, o.strip_emoji), o.max_messages)
 
 
 def flag_chunks(corpus: DataFrame, store: ParquetStore | None = None, opts: IngestOptions | None = None,
@@ -136,14 +135,14 @@ def ingest(corpus: DataFrame, store: ParquetStore, opts: IngestOptions | None =
     o = opts or IngestOptions()
     msgs = messages_of(corpus, o)
     if msgs.isEmpty():
-        raise ValueError("No messages found (expected one message per line)")
+        raise ValueError("the corpus has no non-blank message")
     if dry_run:
         store.check_version(SCHEMA_VERSION)
     else:
         store.ensure_version(SCHEMA_VERSION)
     flagged = flag_chunks(corpus, store, o).checkpoint(eager=True)
     if flagged.isEmpty():
-        raise ValueError("No chunks produced (try a smaller window size or message chunking)")
+        raise ValueError("chunking gave nothing: every source is shorter than the window")
     summary = ingest_summary(flagged, msgs)
     if dry_run:
         return summary.withColumn("added", F.lit(0).cast("long"))

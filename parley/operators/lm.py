@@ -69,7 +69,7 @@ def build_vocab(lines: DataFrame, text_col: str = "text") -> DataFrame:
     """``vocab(char, id)``: distinct code points sorted by code point; empty -> newline.
 
     At most 0x110000 rows exist, so the sorted list is assigned ids on the driver."""
-    chars = (lines.select(F.explode(F.split(F.col(text_col), "")).alias("char"))
+    chars = (lines.select(F.explode(F.array_distinct(F.split(F.col(text_col), ""))).alias("char"))
                   .filter(F.col("char") != "").distinct())
     got = sorted(r["char"] for r in chars.collect())
     if len(got) > MAX_CODEPOINT:
@@ -263,7 +263,7 @@ def sample_sequences(id_lines: DataFrame, total: int, n: int, seq_len: int, seed
     T_ = int(seq_len)
     max_start = int(total) - (T_ + 1)
     if max_start <= 0:
-        raise ValueError(f"Not enough data: need > {T_ + 1} chars, got {total}")
+        raise ValueError(f"{total} characters do not fill one sequence of {T_ + 1}")
     block = max(4096, 2 * (T_ + 1))
     spark = id_lines.sparkSession
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(int(seed))), F.col("id").cast("string"))), 1, 15),
@@ -375,7 +375,7 @@ def heldout_eval(lines_with_offsets: DataFrame, total: int, order: int = 3, alph
     if held < use_seq + 2:
         held = 0
     if held <= 0:
-        raise ValueError("Heldout split too small for evaluation. Increase the heldout fraction or decrease seq_len.")
+        raise ValueError("the held-out tail is shorter than one sequence")
     boundary = total - held
     if 1 <= int(order) <= 3:
         return _heldout_codes(lines_with_offsets, boundary, held, int(order), alpha)
@@ -411,7 +411,3 @@ def corpus_meta(total: int, train: int, val: int, vocab_size: int, seq_len: int)
     return {"chars_total": int(total), "chars_train": int(train), "chars_val": int(val),
             "vocab_size": int(vocab_size), "seq_len": int(seq_len)}
 
-
-def loss_from_batches(losses: DataFrame, col: str = "loss") -> DataFrame:
-    """A10: mean of batch losses."""
-    return losses.agg(F.avg(col).alias("loss"))

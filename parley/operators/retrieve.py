@@ -2,15 +2,15 @@
 
 Exact k-NN: when the query matrix is small (a checked count and size), it is
 broadcast and every corpus partition is scored where it lies (``mapInArrow``,
-NumPy), keeping a local top-k with all boundary ties, so the corpus is never
+NumPy), keeping exactly k rows per query and partition, so the corpus is never
 shuffled.  Otherwise it is a blocked nested loop: the corpus is cut into hash
 blocks of at most ``block_rows`` vectors, the queries into blocks of
 ``query_block_rows``; each (query block, corpus block) pair meets in one
 ``cogroup`` task that does a NumPy matrix product and keeps a local top-k, so no
 pair is ever a row.  A final
 ``row_number() <= k`` per query (planned with a partial ``WindowGroupLimit``)
-merges the local lists.  Approximate k-NN (IVF) trains ``pyspark.ml`` KMeans on a
-sample, assigns every vector to its cell, probes the ``nprobe`` best cells per
+merges the local lists.  Approximate k-NN (IVF) trains ``pyspark.ml`` KMeans on the
+vectors, assigns every vector to its cell, probes the ``nprobe`` best cells per
 query (exactly, with the same scorer over the centroids) and scores only those
 cells, sub-blocked so a crowded cell is not one task.
 
@@ -41,6 +41,8 @@ QUERY_BLOCK_ROWS = 1024     # query vectors per scoring block
 MAX_BROADCAST_GROUPS = 1 << 16
 MAX_BROADCAST_QUERIES = 8192        # query vectors broadcast to score the corpus in place
 MAX_BROADCAST_QUERY_FLOATS = 1 << 22  # and at most this many floats (32 MB as doubles)
+MAX_BROADCAST_HITS = 1 << 18        # hit rows broadcast to fetch their payload
+MAX_CELLS = 4096                    # default limit of IVF cells, whatever the store holds
 SCORE_SLICE = 512                   # corpus rows scored at once against all queries
 SCORE_DIGITS = 9            # tie-break precision
 # ---------------------------------------------------------------------------
@@ -57,6 +59,23 @@ def cosine(a, b) -> Column:
     return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
 
 
+def _first_k(q: np.ndarray, rounded: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` entries of every query, by rounded score descending, then id."""
+    _, place = np.unique(ids, return_inverse=True)
+    order = np.lexsort((place, -rounded, q))
+    ranked = q[order]
+    start = np.r_[True, ranked[1:] != ranked[:-1]]
+    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+    return order[nth < k]
+
+
+def _reach(rounded: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, column) of the scores of a query-by-row matrix that reach its k-th best."""
+    kk = min(k, rounded.shape[1])
+    kth = -np.partition(-rounded, kk - 1, axis=1)[:, kk - 1]
+    return np.nonzero(rounded >= kth[:, None])
+
+
 def _local_topk(k: int):
     def run(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or cdf.empty:
@@ -67,23 +86,12 @@ def _local_topk(k: int):
         if qm.shape[1] != cm.shape[1]:
             raise ValueError(f"query vectors have {qm.shape[1]} dimensions, stored vectors {cm.shape[1]}")
         scores = qm @ cm.T
-        rs = np.round(scores, SCORE_DIGITS)
-        ids = cdf["id"].to_numpy()
-        kk = min(k, cm.shape[0])
-        kth = -np.partition(-rs, kk - 1, axis=1)[:, kk - 1]
-        out_q, out_id, out_s = [], [], []
-        id_order = np.argsort(ids, kind="stable")
-        rank_of = np.empty(len(ids), dtype=np.int64)
-        rank_of[id_order] = np.arange(len(ids))
-        qids = qdf["query_id"].to_numpy()
-        for r in range(qm.shape[0]):
-            cand = np.nonzero(rs[r] >= kth[r])[0]
-            order = np.lexsort((rank_of[cand], -rs[r, cand]))[:kk]
-            sel = cand[order]
-            out_q.extend([qids[r]] * len(sel))
-            out_id.extend(ids[sel].tolist())
-            out_s.extend(scores[r, sel].tolist())
-        return pd.DataFrame({"query_id": out_q, "id": out_id, "score": out_s})
+        rounded = np.round(scores, SCORE_DIGITS)
+        qi, ci = _reach(rounded, k)
+        ids = cdf["id"].to_numpy()[ci]
+        keep = _first_k(qi, rounded[qi, ci], ids, k)
+        return pd.DataFrame({"query_id": qdf["query_id"].to_numpy()[qi[keep]], "id": ids[keep],
+                             "score": scores[qi[keep], ci[keep]]})
     return run
 
 
@@ -93,17 +101,17 @@ def _sizes(df: DataFrame, group: str, per_block: int, name: str) -> DataFrame:
 
 
 def _scan_topk(k: int, bc, qid_type: T.DataType, id_type: T.DataType):
-    """mapInArrow kernel: score every corpus batch against the broadcast query
-    matrix and keep, per query, every candidate whose rounded score reaches the
-    running k-th best (ties included, so the final id tie-break stays exact)."""
+    """mapInArrow kernel: score every corpus batch against the broadcast query matrix
+    and keep the best ``k`` rows of every query so far.  Ties are settled at once, by id,
+    which is the final order too, so at most ``k`` rows per query leave a partition."""
     from pyspark.sql.pandas.types import to_arrow_type
     qid_arrow, id_arrow = to_arrow_type(qid_type), to_arrow_type(id_type)
 
     def run(batches):
         qids, qm = bc.value
-        nq = qm.shape[0]
-        best = np.full((nq, k), -np.inf)
-        kept_q, kept_s, kept_r, kept_id = [], [], [], []
+        q, s, r = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        held = np.zeros(0, dtype=object)
+        worst = np.full(qm.shape[0], -np.inf)      # k-th best so far
         for rb in batches:
             n = rb.num_rows
             if n == 0:
@@ -115,29 +123,27 @@ def _scan_topk(k: int, bc, qid_type: T.DataType, id_type: T.DataType):
             if flat.size != n * qm.shape[1]:
                 raise ValueError(f"stored vectors must have {qm.shape[1]} dimensions")
             cm = flat.reshape(n, qm.shape[1])
-            ids = np.asarray(rb.column("id").to_pylist(), dtype=object)
             for lo in range(0, n, SCORE_SLICE):
-                sc = qm @ cm[lo:lo + SCORE_SLICE].T
-                rs = np.round(sc, SCORE_DIGITS)
-                both = np.concatenate([best, rs], axis=1)
-                best = -np.sort(-both, axis=1)[:, :k]
-                thr = best[:, k - 1]
-                qi, ci = np.nonzero(rs >= thr[:, None])
-                kept_q.append(qi)
-                kept_s.append(sc[qi, ci])
-                kept_r.append(rs[qi, ci])
-                kept_id.append(ids[lo + ci])
-        if not kept_q:
-            return
-        qi = np.concatenate(kept_q)
-        sc = np.concatenate(kept_s)
-        rs = np.concatenate(kept_r)
-        cid = np.concatenate(kept_id)
-        keep = rs >= best[qi, k - 1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[qi[keep]].tolist(), qid_arrow), pa.array(cid[keep].tolist(), id_arrow),
-             pa.array(sc[keep], pa.float64())],
-            names=["query_id", "id", "score"])
+                scores = qm @ cm[lo:lo + SCORE_SLICE].T
+                rounded = np.round(scores, SCORE_DIGITS)
+                qi, ci = _reach(rounded, k)
+                fits = rounded[qi, ci] >= worst[qi]
+                qi, ci = qi[fits], ci[fits]
+                if not len(qi):
+                    continue
+                ids = np.asarray(rb.column("id").take(pa.array(lo + ci)).to_pylist(), dtype=object)
+                q, r = np.concatenate([q, qi]), np.concatenate([r, rounded[qi, ci]])
+                s, held = np.concatenate([s, scores[qi, ci]]), np.concatenate([held, ids])
+                keep = _first_k(q, r, held, k)
+                q, r, s, held = q[keep], r[keep], s[keep], held[keep]
+                full = np.bincount(q, minlength=len(worst)) >= k
+                last = np.full(len(worst), np.inf)
+                np.minimum.at(last, q, r)
+                worst = np.where(full, last, -np.inf)
+        if len(q):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids[q].tolist(), qid_arrow), pa.array(held.tolist(), id_arrow), pa.array(s, pa.float64())],
+                names=["query_id", "id", "score"])
     return run
 
 
@@ -214,12 +220,14 @@ def knn(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, with_payload:
     if not with_payload:
         return hits
     payload = store.drop("embedding")
-    return hits.join(payload, "id", "inner")
+    few = queries.select("query_id").limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
+    # at most k rows per query: few queries bound the hits, so the payload is not shuffled
+    return (F.broadcast(hits) if few and k * MAX_BROADCAST_QUERIES <= MAX_BROADCAST_HITS else hits).join(payload, "id", "inner")
 
 
 # V3
 def knn_approx(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, nlist: int | None = None,
-               nprobe: int = 4, train_rows_per_cell: int = 256, seed: int = 1337, **blocking) -> DataFrame:
+               nprobe: int = 4, seed: int = 1337, **blocking) -> DataFrame:
     """IVF k-NN: KMeans cells, ``nprobe`` probed cells per query, exact inside them."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -227,18 +235,16 @@ def knn_approx(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, nlist:
     n = store.count()
     if n == 0:
         return knn(queries, store, k, **blocking)
-    nlist = int(nlist or max(1, round(math.sqrt(n))))
+    nlist = int(nlist or max(1, min(MAX_CELLS, round(math.sqrt(n)))))
     nprobe = max(1, min(int(nprobe), nlist))
     vecs = store.select("id", F.col("embedding").alias("vec"))
-    train_frac = min(1.0, train_rows_per_cell * nlist / n)
-    train = vecs.sample(fraction=train_frac, seed=seed) if train_frac < 1.0 else vecs
     model = (KMeans(k=nlist, seed=seed, distanceMeasure="cosine", featuresCol="f", maxIter=20)
-             .fit(train.select(array_to_vector("vec").alias("f"))))
+             .fit(vecs.select(array_to_vector("vec").alias("f"))))
     centers = [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()]
     centers = [c / (np.linalg.norm(c) or 1.0) for c in centers]
     spark = store.sparkSession
     cent = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)],
-                                 "id int, vec array<double>")   # nlist rows: bounded by the parameter
+                                 "id int, vec array<double>")   # nlist rows: at most MAX_CELLS unless asked for more
     assigned = (model.transform(vecs.withColumn("f", array_to_vector("vec")))
                      .select("id", "vec", F.col("prediction").cast("int").alias("cell")))
     probes = blocked_topk(queries.select("query_id", "qvec"), cent, nprobe)
@@ -319,12 +325,12 @@ def export_retrieval(corpus: DataFrame, store: DataFrame, queries: list[str] | N
     message or no query is left."""
     spark = corpus.sparkSession
     if fail_on_empty and corpus.isEmpty():
-        raise ValueError("No messages found (expected one message per line)")
+        raise ValueError("the corpus has no non-blank message")
     if queries:
         picked = [q for q in (str(x) for x in queries) if q.strip()]
         if not picked:
             if fail_on_empty:
-                raise ValueError("No non-blank queries given")
+                raise ValueError("all queries are blank")
             return spark.createDataFrame([], "query_id long, query string")
         qdf = spark.createDataFrame(list(enumerate(picked, start=1)), "query_id long, query string")
     else:

@@ -28,13 +28,12 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table.  A scan with fewer partitions than cores (one small file of
-    few row groups) is spread round-robin so row-wise work uses every core; a
-    large input already has far more scan partitions and is left as it is."""
+    """A test table.  A table of a single split (at most ``maxPartitionBytes``, so cheap
+    to move) is spread round-robin so row-wise work uses every core; any table of two
+    splits or more is read as it is, without an exchange."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
+    if df.rdd.getNumPartitions() == 1:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
@@ -123,10 +122,12 @@ def q_browse_chars(spark, sf_dir):
     return _top_frame(profile.char_counts(lines), "char", 50, 1)
 
 
-@register("browse_min_count", _sql_top(_SQL_TOKENS(S.CONV_MESSAGES), "token", 1000, 25))
+@register("browse_min_count", f"""
+select item as token, count(*) as count from ({_SQL_TOKENS(S.CONV_MESSAGES)}) group by item having count(*) >= 25
+""")
 def q_browse_min_count(spark, sf_dir):
-    lines = conv_messages(spark, sf_dir)
-    return _top_frame(profile.token_counts(lines), "token", 1000, 25)
+    counts = profile.token_counts(conv_messages(spark, sf_dir))
+    return counts.filter(F.col("count") >= 25).select(F.col("item").alias("token"), "count")
 
 
 # --- redaction -------------------------------------------------------------------
@@ -938,3 +939,78 @@ def q_label_centroid_cosine(spark, sf_dir):
                    .select("label", F.transform("_c", lambda s: s["m"]).alias("cent")))
     return (e.join(cent, "label")
              .select("vec_id", "label", F.round(cosine("embedding", "cent"), 6).alias("cosine")))
+
+
+# --- store, sinks (written to the shared checkpoint folder, then read back) -------
+
+def _scratch(spark, label: str) -> str:
+    import uuid
+
+    from parley.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _turn_rows(spark, sf_dir) -> DataFrame:
+    """Conversation turns as store rows with a one-number embedding."""
+    from parley.sources.store import METADATA_TYPE
+    t = table(spark, sf_dir, "conversations")
+    return t.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text",
+                    F.array(F.length("text").cast("float")).alias("embedding"),
+                    F.lit(None).cast(METADATA_TYPE).alias("metadata"), "turn")
+
+
+_TURN_ID = "concat(cast(conv_id as varchar), ':', cast(turn as varchar))"
+
+
+@register("store_add", f"select {_TURN_ID} as id, case when turn % 2 = 0 then text else concat(text, '!') end as text from conversations")
+def q_store_add(spark, sf_dir):
+    """Ids that are stored already are not added again."""
+    from parley.sources.store import ParquetStore
+    rows, store = _turn_rows(spark, sf_dir), ParquetStore(spark, _scratch(spark, "store"))
+    store.add(rows.filter("turn % 2 = 0").drop("turn"))
+    store.add(rows.withColumn("text", F.concat("text", F.lit("!"))).drop("turn"))
+    return store.read().select("id", "text")
+
+
+@register("store_upsert", f"select {_TURN_ID} as id, case when turn % 3 = 0 then concat(text, '!') else text end as text from conversations")
+def q_store_upsert(spark, sf_dir):
+    """Stored ids are replaced."""
+    from parley.sources.store import ParquetStore
+    rows, store = _turn_rows(spark, sf_dir), ParquetStore(spark, _scratch(spark, "store"))
+    store.add(rows.drop("turn"))
+    store.add(rows.filter("turn % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))).drop("turn"), mode="upsert")
+    return store.read().select("id", "text")
+
+
+@register("store_rebuild", f"select {_TURN_ID} as id, text, 1 as schema_version from conversations where turn < 2")
+def q_store_rebuild(spark, sf_dir):
+    """A rebuild leaves the new rows only, under the current schema version."""
+    from parley.sources.store import ParquetStore
+    rows, store = _turn_rows(spark, sf_dir), ParquetStore(spark, _scratch(spark, "store"))
+    store.add(rows.drop("turn"))
+    store.rebuild(rows.filter("turn < 2").drop("turn"), confirm=True)
+    return store.read().select("id", "text", F.lit(store.version()).alias("schema_version"))
+
+
+@register("ingest_twice", f"""
+with m as ({S.CONV_MESSAGES}), c as (select count(*) as n, count(distinct text) as d from m)
+select 1 as run, n as messages, d as added from c union all select 2, n, 0 from c
+""")
+def q_ingest_twice(spark, sf_dir):
+    """A second ingest of the same corpus adds nothing."""
+    from parley.operators import ingest as ing
+    from parley.operators.embed import hashed_embedder
+    from parley.sources.store import ParquetStore
+    store, corpus = ParquetStore(spark, _scratch(spark, "store")), conv_messages(spark, sf_dir)
+    runs = [ing.ingest(corpus, store, embedder=hashed_embedder(16)).withColumn("run", F.lit(i)) for i in (1, 2)]
+    return runs[0].unionByName(runs[1]).select("run", "messages", "added")
+
+
+@register("corpus_sink", f"select source, line_no, text from ({S.CONV_MESSAGES})")
+def q_corpus_sink(spark, sf_dir):
+    """The canonical corpus written and read back."""
+    from parley.sources import exports
+    path = _scratch(spark, "corpus")
+    exports.write_corpus(table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("source"), (F.col("turn") + 1).cast("bigint").alias("line_no"), "text"), path)
+    return spark.read.parquet(path).select("source", "line_no", "text")

@@ -53,7 +53,7 @@ def run_pipeline(spark: SparkSession, paths, fmt: str, work_dir: str, *, with_me
     corpus = spark.read.parquet(corpus_path)
     messages = corpus.count()
     if messages == 0:
-        raise ValueError("No messages found (expected one message per line)")
+        raise ValueError("the corpus has no non-blank message")
     store = ParquetStore(spark, store_root, "messages")
     added = int(ingest_stage(corpus, store, opts or ing.IngestOptions(), embedder))
 
@@ -75,6 +75,3 @@ def run_pipeline(spark: SparkSession, paths, fmt: str, work_dir: str, *, with_me
                  .select("rank", "id", "score", "text").orderBy("rank").collect()]
     return PipelineResult(corpus_path, store.path, seq_path, messages, added, len(chars), total, ev, smoke)
 
-
-def corpus_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("source", "line_no", F.col("text"))

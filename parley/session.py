@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="parley-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, conf_dir)
     sc.setCheckpointDir(conf_dir)

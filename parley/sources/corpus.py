@@ -28,8 +28,10 @@ def plain_lines(raw_lines: DataFrame) -> DataFrame:
 
 def message_lines(raw_lines: DataFrame, collapse: bool = False, emoji: bool = False) -> DataFrame:
     """Numbered, normalised (B5), non-blank messages."""
-    return (raw_lines.withColumn("text", tx.normalize_message_line("text", collapse, emoji))
-                     .filter(F.col("text") != ""))
+    # what would be blank is told from the raw text, so the cleaning runs once per row
+    raw = tx.strip_emoji("text") if emoji else F.col("text")
+    return (raw_lines.filter(tx.strip_ws(raw) != "")
+                     .withColumn("text", tx.normalize_message_line("text", collapse, emoji)))
 
 
 def browse_lines(raw_lines: DataFrame) -> DataFrame:
@@ -37,12 +39,6 @@ def browse_lines(raw_lines: DataFrame) -> DataFrame:
     return raw_lines.filter(F.col("text") != "")
 
 
-def training_lines(raw_lines: DataFrame, collapse: bool = False, emoji: bool = False) -> DataFrame:
-    """S7 (stream form): every raw line normalised (B4) with its newline kept as
-    signal; the last line of a source carries no newline."""
-    return raw_lines.withColumn("text", tx.normalize_text("text", collapse, emoji))
-
-
 def corpus_from_table(df: DataFrame, source_col: str, order_col: str, text_col: str,
                       split_lines: bool = False, line_offset: int = 0) -> DataFrame:
     """A corpus from a table that already carries an order column.
@@ -90,8 +86,8 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
     """``conversations`` as a corpus: source = conv_id, line_no = turn + 1, text
     cleaned by B6, blanks dropped."""
     return (corpus_from_table(conversations, "conv_id", "turn", "text", line_offset=1)
-            .withColumn("text", tx.clean_line("text"))
-            .filter(F.col("text") != ""))
+            .filter(tx.strip_ws(F.col("text")) != "")
+            .withColumn("text", tx.clean_line("text")))
 
 
 def document_raw_lines(documents: DataFrame) -> DataFrame:

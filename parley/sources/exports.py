@@ -106,7 +106,7 @@ def parse_telegram(docs: DataFrame, with_metadata: bool = False, check: bool = T
         bad = v.filter(F.col("v").isNull() | msgs.isNull())
         if not bad.isEmpty():
             src = bad.select("source").first()[0]
-            raise ParseError(f"Telegram JSON must contain a top-level 'messages' array ({src})")
+            raise ParseError(f"{src}: no array of messages at the top of the document")
     ex = v.select("source", F.posexplode(msgs).alias("pos", "m"))
     ex = ex.filter(F.schema_of_variant("m").startswith("OBJECT"))
     typ = F.try_variant_get(F.col("m"), "$.type", "string")
@@ -138,7 +138,7 @@ def export_format(fmt: str) -> str:
         return "whatsapp"
     if f in TELEGRAM_FORMATS:
         return "telegram"
-    raise ParseError(f"Unknown format: {fmt}")
+    raise ParseError(f"cannot read exports of kind {fmt!r}")
 
 
 def read_export(spark: SparkSession, paths, fmt: str = "plain", with_metadata: bool = False) -> DataFrame:
@@ -183,7 +183,7 @@ def write_samples(samples: DataFrame, path: str, fmt: str = "jsonl") -> None:
         arr = samples.agg(F.to_json(F.collect_list(F.struct("query", "results"))).alias("value"))
         arr.coalesce(1).write.mode("overwrite").text(path)
     else:
-        raise ValueError("fmt must be one of: json|jsonl")
+        raise ValueError("samples are written as json or jsonl")
 
 
 __all__ = ["parse_whatsapp", "parse_telegram", "telegram_text", "read_export", "export_format", "canonical",

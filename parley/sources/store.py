@@ -1,20 +1,25 @@
-"""Versioned Parquet vector store.
+"""Versioned vector stores.
 
-Layout under ``root``::
+Layout of a Parquet store under ``root``::
 
-    <root>/<collection>/_meta/        one row (collection, schema_version)
-    <root>/<collection>/_current/     one row (version): the active data folder
-    <root>/<collection>/v<version>/   store rows as Parquet
+    <root>/<collection>/_meta/              one row (collection, schema_version)
+    <root>/<collection>/_versions/v=<n>/    one row (folders): the data folders of version n
+    <root>/<collection>/data-<uuid>/        store rows as Parquet, written once
 
 ``store(id STRING, text STRING, embedding ARRAY<FLOAT>, metadata STRUCT<...>)``.
-``add`` appends rows whose id is not stored yet (left anti-join on ids only: the
-scan reads one column); ``upsert`` and ``rebuild`` write a fresh version folder
-and then move the pointer, so readers never see a half-written table.  A reset
-touches one collection only.
+Every write goes to a data folder of its own and is then published by a new entry in
+``_versions``; the highest complete entry is the current one.  Entries and data folders
+are only ever added, so an interrupted write leaves the store as it was and readers never see
+half of one.  ``add`` publishes one more folder (the anti-join reads ids only), ``upsert``
+and ``rebuild`` publish a single fresh folder.  A store whose data lost its entries is
+refused, not taken for empty.  ``TableStore`` keeps the same rows in catalog tables.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +56,14 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _fs_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (none if it is missing)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def _fs_delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -66,20 +79,34 @@ class ParquetStore:
         self.collection = str(collection)
         self.path = f"{self.root}/{self.collection}"
 
-    # --- pointer and meta ---------------------------------------------------
+    # --- versions and meta --------------------------------------------------
     def _current(self) -> int | None:
-        p = f"{self.path}/_current"
-        if not _fs_exists(self.spark, p):
-            return None
-        rows = self.spark.read.parquet(p).collect()
-        return int(rows[0]["version"]) if rows else None
-
-    def _set_current(self, version: int) -> None:
-        self.spark.createDataFrame([(int(version),)], "version int").coalesce(1) \
-            .write.mode("overwrite").parquet(f"{self.path}/_current")
-
-    def _data_path(self, version: int) -> str:
-        return f"{self.path}/v{int(version)}"
+        names = _fs_names(self.spark, f"{self.path}/_versions")
+        done = [int(n[2:]) for n in names if n.startswith("v=") and _fs_exists(self.spark, f"{self.path}/_versions/{n}/_SUCCESS")]
+        if done:
+            return max(done)
+        # a first write that was interrupted leaves data, but neither entries nor a schema version
+        if self.version() is not None and any(n.startswith("data-") for n in _fs_names(self.spark, self.path)):
+            raise StoreError(f"{self.path} holds data but no complete version entry; restore _versions, or use a new collection")
+        return None
+
+    def _folders(self, version: int | None) -> list[str]:
+        if version is None:
+            return []
+        return json.loads(self.spark.read.schema("folders string").parquet(f"{self.path}/_versions/v={version}").first()["folders"])
+
+    def _write_data(self, rows: DataFrame) -> str:
+        name = f"data-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _publish(self, version: int, folders: list[str]) -> None:
+        """Make ``folders`` the current version.  Fails if another writer took the number; an
+        entry that an interrupted writer left incomplete takes a number all the same."""
+        names = _fs_names(self.spark, f"{self.path}/_versions")
+        version = max([version, *(int(n[2:]) + 1 for n in names if n.startswith("v="))])
+        self.spark.createDataFrame([(json.dumps(folders),)], "folders string").coalesce(1) \
+            .write.parquet(f"{self.path}/_versions/v={version}")
 
     # S13
     def version(self) -> int | None:
@@ -96,8 +123,7 @@ class ParquetStore:
     def check_version(self, expected: int = SCHEMA_VERSION) -> None:
         cur = self.version()
         if cur is not None and int(cur) != int(expected):
-            raise StoreError(f"Vector store schema version mismatch (found {cur}, expected {expected}). "
-                             "Run rebuild to migrate.")
+            raise StoreError(f"the store has schema version: found {cur}, expected {expected}; rebuild it")
 
     def ensure_version(self, expected: int = SCHEMA_VERSION) -> int:
         cur = self.version()
@@ -113,18 +139,15 @@ class ParquetStore:
 
     # --- data -----------------------------------------------------------------
     def read(self) -> DataFrame:
-        cur = self._current()
-        if cur is None or not _fs_exists(self.spark, self._data_path(cur)):
+        folders = self._folders(self._current())
+        if not folders:
             return self.spark.createDataFrame([], STORE_SCHEMA)
-        return self.spark.read.schema(STORE_SCHEMA).parquet(self._data_path(cur))
+        return self.spark.read.schema(STORE_SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
 
     # S10
     def ids(self) -> DataFrame:
         return self.read().select("id")
 
-    def content_hashes(self) -> DataFrame:
-        return self.read().select(F.col("metadata.content_hash").alias("content_hash"))
-
     @staticmethod
     def _shape(df: DataFrame) -> DataFrame:
         """Store columns and types; one row per id (the first by source, line)."""
@@ -159,22 +182,14 @@ class ParquetStore:
         if cur is not None and mode == "upsert":
             staged = self._stage(rows)
             n = staged.count()
-            if n == 0:
-                return 0
-            merged = self.read().join(staged.select("id"), "id", "left_anti").unionByName(staged)
-            merged.write.mode("overwrite").parquet(self._data_path(cur + 1))
-            self._set_current(cur + 1)
+            if n:
+                merged = self.read().join(staged.select("id"), "id", "left_anti").unionByName(staged)
+                self._publish(cur + 1, [self._write_data(merged)])
             return n
-        new = rows if cur is None else rows.join(self.ids(), "id", "left_anti")
-        staged = self._stage(new)
+        staged = self._stage(rows if cur is None else rows.join(self.ids(), "id", "left_anti"))
         n = staged.count()
-        if n == 0:
-            return 0
-        if cur is None:
-            staged.write.mode("overwrite").parquet(self._data_path(1))
-            self._set_current(1)
-        else:
-            staged.write.mode("append").parquet(self._data_path(cur))
+        if n:
+            self._publish((cur or 0) + 1, [*self._folders(cur), self._write_data(staged)])
         return n
 
     # X3
@@ -188,17 +203,46 @@ class ParquetStore:
         """Drop this collection's rows and write ``df`` as a fresh version."""
         if not confirm:
             raise StoreError("rebuild drops every stored row; pass confirm=True")
-        cur = self._current() or 0
-        nxt = cur + 1
+        cur = self._current()
+        old = self._folders(cur)
         rows = self._stage(self._shape(df)) if df is not None else self.spark.createDataFrame([], STORE_SCHEMA)
-        rows.write.mode("overwrite").parquet(self._data_path(nxt))
-        self._set_current(nxt)
+        self._publish((cur or 0) + 1, [self._write_data(rows)])
         self.set_version(SCHEMA_VERSION)
-        if cur:
-            _fs_delete(self.spark, self._data_path(cur))
+        for name in old:     # nothing refers to them any more
+            _fs_delete(self.spark, f"{self.path}/{name}")
         return self.read().count()
 
 
+class TableStore(ParquetStore):
+    """The same store in a catalog table per version, named after the collection, in the
+    database ``root`` (its folder is the warehouse's)."""
+
+    def __init__(self, spark: SparkSession, root: str, collection: str = "messages"):
+        name = "".join(c if c.isalnum() else "_" for c in f"{root}_{collection}").strip("_").lower()
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        super().__init__(spark, f"{warehouse}/{name}_store", collection)
+        self.table = name
+
+    def _write_data(self, rows: DataFrame) -> str:
+        name = super()._write_data(rows)
+        self.spark.sql(f"CREATE TABLE {self.table}_{name[5:]} USING parquet LOCATION '{self.path}/{name}'")
+        return name
+
+    def read(self) -> DataFrame:
+        out = None
+        for name in self._folders(self._current()):
+            part = self.spark.table(f"{self.table}_{name[5:]}").select(*STORE_SCHEMA.names)
+            out = part if out is None else out.unionByName(part)
+        return self.spark.createDataFrame([], STORE_SCHEMA) if out is None else out
+
+    def rebuild(self, df: DataFrame | None, confirm: bool = False) -> int:
+        old = self._folders(self._current()) if confirm else []
+        n = super().rebuild(df, confirm)
+        for name in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}_{name[5:]}")
+        return n
+
+
 def store_backend(name: str) -> str:
     """Backend names and aliases."""
     v = str(name or "").strip().lower()
@@ -208,5 +252,4 @@ def store_backend(name: str) -> str:
 
 
 def open_store(spark: SparkSession, path: str, collection: str = "messages", format: str = "parquet"):
-    store_backend(format)
-    return ParquetStore(spark, path, collection)
+    return (TableStore if store_backend(format) == "table" else ParquetStore)(spark, path, collection)

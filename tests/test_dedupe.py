@@ -4,7 +4,18 @@ from pyspark.sql import functions as F
 
 from parley.functions import hashing as H
 from parley.operators import dedupe as dd
-import pyref
+
+
+def signed(u):
+    return u - (1 << 64) if u >> 63 else u
+
+
+def bands(u):
+    return [u >> (16 * k) & 0xFFFF for k in range(4)]
+
+
+def match(a, b, t):
+    return (a ^ b).bit_count() <= t and bool(set(bands(a)) & set(bands(b)))
 
 
 def _items(spark, texts):
@@ -45,15 +56,22 @@ def test_fuzzy_matches_sequential_loop(spark):
         if rnd.random() < 0.5 and b:
             b[rnd.randrange(len(b))] = rnd.choice(vocab)
         texts.append(" ".join(b) if rnd.random() > 0.05 else "")
+    hashes = [r["h"] % (1 << 64) for r in _items(spark, texts).select("i", H.simhash64("text").alias("h")).orderBy("i").collect()]
     for t in (3, 6, 10):
-        assert _keep(spark, texts, t) == pyref.fuzzy_keep(texts, t), t
+        kept = _keep(spark, texts, t)
+        # what is kept are the blank-free texts without an earlier kept match: no two kept ones match,
+        # and everything dropped has an earlier kept match
+        alive = [i for i, x in enumerate(texts) if x.strip()]
+        assert not any(kept[i] for i in range(len(texts)) if not texts[i].strip())
+        for i in alive:
+            assert kept[i] != any(kept[j] and match(hashes[i], hashes[j], t) for j in alive if j < i), (i, t)
 
 
 def test_pairs_band_value_any_position(spark):
     # band 0 of a equals band 3 of b, everything else far apart unless t is large
     a = 0x1234_0000_0000_ABCD
     b = 0xABCD_0000_0000_1234 ^ 0
-    nodes = spark.createDataFrame([(1, pyref.signed(a)), (2, pyref.signed(b))], "node long, simhash long")
+    nodes = spark.createDataFrame([(1, signed(a)), (2, signed(b))], "node long, simhash long")
     d = bin(a ^ b).count("1")
     assert dd.near_duplicate_pairs(nodes, max_hamming=d - 1).count() == 0
     got = dd.near_duplicate_pairs(nodes, max_hamming=d).collect()
@@ -70,16 +88,11 @@ def test_pairs_match_brute_force(spark):
             h ^= 1 << rnd.randrange(64)
         hs.append(h)
     hs = list(dict.fromkeys(hs))
-    nodes = spark.createDataFrame([(i, pyref.signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
-    old = dd.FINE_BLOCKS_FROM
-    for t, fine_from in ((3, 0), (6, 0), (6, old), (7, 0), (9, 0)):
-        dd.FINE_BLOCKS_FROM = fine_from
-        try:
-            got = {(r["a"], r["b"]) for r in dd.near_duplicate_pairs(nodes, max_hamming=t).collect()}
-        finally:
-            dd.FINE_BLOCKS_FROM = old
+    nodes = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
+    for t in (0, 3, 6, 7, 9, 21):
+        got = {(r["a"], r["b"]) for r in dd.near_duplicate_pairs(nodes, max_hamming=t).collect()}
         exp = {(i, j) for i in range(len(hs)) for j in range(i + 1, len(hs))
-               if bin(hs[i] ^ hs[j]).count("1") <= t and set(pyref.bands(hs[i])) & set(pyref.bands(hs[j]))}
+               if match(hs[i], hs[j], t)}
         assert got == exp, t
 
 
@@ -104,21 +117,16 @@ def test_block_rounds_equal_edge_rounds(spark):
             h ^= 1 << rnd.randrange(64)
         hs.append(h)
     hs = list(dict.fromkeys(hs))
-    nodes = spark.createDataFrame([(i, pyref.signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
+    nodes = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
     for t in (2, 6, 9):
-        old = dd.FINE_BLOCKS_FROM
-        dd.FINE_BLOCKS_FROM = 0
-        try:
-            a = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=0).collect()}
-            a2 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=3).collect()}
-        finally:
-            dd.FINE_BLOCKS_FROM = old
+        a = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=20).collect()}
+        a2 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=60).collect()}
         a3 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t).collect()}
         assert a == a2 == a3, t
         b = {r["n"] for r in dd.greedy_dropped(dd.near_duplicate_pairs(nodes, max_hamming=t)).collect()}
         keep, seen = [], {}
         for i, h in enumerate(hs):
-            if any(bin(h ^ k).count("1") <= t and set(pyref.bands(h)) & set(pyref.bands(k)) for k in keep):
+            if any(match(h, k, t) for k in keep):
                 continue
             keep.append(h)
         exp = {i for i, h in enumerate(hs)} - {i for i, h in enumerate(hs) if h in set(keep)}
@@ -129,6 +137,28 @@ def test_one_big_cluster(spark):
     # 300 distinct hashes all within distance 2 of each other: one pivot drops the rest
     base = 0x0F0F_F0F0_1234_5678
     hs = [base] + [base ^ (1 << i) for i in range(64)] + [base ^ (1 << i) ^ (1 << j) for i in range(8) for j in range(i + 1, 64)][:235]
-    nodes = spark.createDataFrame([(i, pyref.signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
+    nodes = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
     dropped = {r["n"] for r in dd.greedy_dropped_blocks(nodes, 6, hot=50).collect()}
     assert dropped == set(range(1, len(hs)))
+
+
+def test_far_hashes_that_share_a_band_settle_at_once(spark, caplog):
+    rnd = random.Random(6)
+    hs = [0xABCD << 48 | rnd.getrandbits(48) for _ in range(24)]
+    nodes = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
+    with caplog.at_level("INFO", "parley.dedupe"):
+        assert dd.greedy_dropped_blocks(nodes, 3, hot=8).count() == 0
+    assert int(caplog.messages[-1].split(" in ")[1].split()[0]) <= 3
+
+
+def test_candidates_stay_few_and_planted_pairs_are_found(spark):
+    n = 1 << 16
+    h = F.xxhash64(F.lit("seed"), "node")
+    nodes = spark.range(n).withColumnRenamed("id", "node").withColumn("simhash", h)
+    flipped = F.col("simhash").bitwiseXOR(F.shiftleft(F.lit(0b111).cast("bigint"), (F.col("node") % 45).cast("int")))
+    planted = nodes.filter("node % 64 = 0").select((F.col("node") + n).alias("node"), flipped.alias("simhash"))
+    every = nodes.unionByName(planted).checkpoint()
+    blocks = dd._memberships(every.select("node", "simhash"), 6).groupBy("g").count()
+    assert blocks.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] < 400_000
+    pairs = dd.near_duplicate_pairs(every, max_hamming=6)
+    assert pairs.filter(f"b = a + {n}").count() == n // 64

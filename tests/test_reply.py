@@ -67,31 +67,27 @@ def test_turns_and_events(spark):
     assert ev["type"] == "turn" and ev["retrieved"][0]["text"] == "how are you" and ev["answer"] == "fine thanks"
 
 
-def test_replies_random_match_python(spark):
+def test_replies_come_from_the_line_after_a_hit(spark):
     import random
-    import pyref
     rnd = random.Random(5)
-    msgs = ["how are you", "fine", "You: ok then", "user: what", "bye user: x", "same", "same", "hello you: there"]
-    lines = {i + 1: rnd.choice(msgs) for i in range(40)}
+    lines = {i: f"line {i} says {rnd.choice('pqrst')}" for i in range(1, 41)}
     corpus = spark.createDataFrame([("f", ln, t) for ln, t in lines.items()], "source string, line_no long, text string")
-    queries, hits, exp_reply, exp_prompt = [], [], {}, {}
+    hits, best = [], {}
     for q in range(25):
-        qid = f"q{q}"
-        hs = []
-        for r in range(rnd.randint(0, 8)):
-            line = rnd.choice([None] + list(lines))
-            text = lines[line] if line and rnd.random() < 0.7 else rnd.choice(msgs)
-            score = rnd.choice([0.2, 0.5, 0.5, 0.9, 0.35])
-            hs.append((text, score, line))
-            hits.append((qid, r + 1, f"id{q}-{r}", text, score, (line, "f") if line else None))
-        queries.append((qid, f"question {q}"))
-        exp_reply[qid] = pyref.corpus_reply(hs, lines)
-        exp_prompt[qid] = pyref.fewshot_prompt(f"question {q}", hs, lines)
+        scores = rnd.sample(range(40, 99), 6)
+        for r, (line, score) in enumerate(zip(rnd.sample(range(1, 41), 6), scores)):
+            hits.append((f"q{q}", r + 1, f"id{q}-{r}", lines[line], score / 100, (line, "f")))
+            if line < 40 and score > best.get(f"q{q}", (0, None))[0]:
+                best[f"q{q}"] = (score, line + 1)
     hdf = spark.createDataFrame(hits, "query_id string, rank int, id string, text string, score double, "
                                       "metadata struct<line:long,source:string>")
-    qdf = spark.createDataFrame(queries, "query_id string, query string")
-    got_reply = {r["query_id"]: r["reply"] for r in rp.corpus_reply(hdf, corpus).collect()}
-    got_prompt = {r["query_id"]: r["prompt"] for r in rp.build_prompt(qdf, hdf, corpus, "few-shot").collect()}
-    for qid, _ in queries:
-        assert got_reply.get(qid) == exp_reply[qid], qid
-        assert got_prompt[qid] == exp_prompt[qid], qid
+    got = {r["query_id"]: (r["reply"], r["reply_score"]) for r in rp.corpus_reply(hdf, corpus).collect()}
+    assert got == {q: (lines[line], score / 100) for q, (score, line) in best.items()}
+    qdf = spark.createDataFrame([(f"q{q}", f"question {q}") for q in range(25)], "query_id string, query string")
+    for r in rp.build_prompt(qdf, hdf, corpus, "few-shot").collect():
+        blocks = r["prompt"].split("\n\n")
+        assert blocks[-1] == f"USER: question {r['query_id'][1:]}\nYOU: "
+        for block in blocks[:-1]:
+            user, you = block.split("\n")
+            ln = int(user.split()[2])
+            assert user == f"USER: {lines[ln]}" and you == f"YOU: {lines[ln + 1]}"
