@@ -155,7 +155,7 @@ def test_candidates_stay_few_and_planted_pairs_are_found(spark):
     n = 1 << 16
     h = F.xxhash64(F.lit("seed"), "node")
     nodes = spark.range(n).withColumnRenamed("id", "node").withColumn("simhash", h)
-    flipped = F.col("simhash").bitwiseXOR(F.shiftleft(F.lit(0b111).cast("bigint"), (F.col("node") % 45).cast("int")))
+    flipped = F.col("simhash").bitwiseXOR(F.call_function("shiftleft", F.lit(7).cast("bigint"), (F.col("node") % 45).cast("int")))
     planted = nodes.filter("node % 64 = 0").select((F.col("node") + n).alias("node"), flipped.alias("simhash"))
     every = nodes.unionByName(planted).checkpoint()
     blocks = dd._memberships(every.select("node", "simhash"), 6).groupBy("g").count()

@@ -118,7 +118,7 @@ def test_write_samples(spark, tmp_path):
 
 
 def test_whatsapp_headers(spark):
-    heads = ["1/2/24, 9:00 - ", "11/22/2024,  12:59 PM - ", "1/2/7, 9:00PM - ", "1/2/24,\t9:00 AM - "]
+    heads = ["1/2/24, 9:00 - ", "11/22/2024,  12:59 PM - ", "1/2/07, 9:00PM - ", "1/2/24,\t9:00 AM - "]
     lines, want = [], []
     for i, h in enumerate(heads * 50):
         lines.append(f"{h}P{i}: text {i}")
