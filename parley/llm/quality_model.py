@@ -92,12 +92,13 @@ class RuleModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, trees: int = TREES,
-        depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
+        depth: int = DEPTH, lasso: float = LASSO, text_col: str = "text") -> RuleModel:
     """Fit on at most ``rows`` labelled documents (doc_id, text) x (doc_id, label)."""
     known = labels.select("doc_id", F.col(label).cast("double").alias("label")).filter("label is not null and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(rows)   # at most ``rows`` short rows
-    sample = materialise(statistics(docs.join(F.broadcast(sample), "doc_id"), ["label"]), "quality-sample")
+    sample = materialise(statistics(docs.select("doc_id", text_col).join(F.broadcast(sample), "doc_id"), ["label"], text_col),
+                         "quality-sample")
     seen = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
     if not seen["n"]:
         return RuleModel(0.0, (), ())
