@@ -156,11 +156,11 @@ def training_spans(scanned: DataFrame, most: int = TRAIN_SPANS) -> DataFrame:
     and wide candidates that are none; at most about ``most`` of each, by hash."""
     base = scanned.select("doc_id", F.explode("base").alias("s")).select("doc_id", "s.*")
     free = scanned.select("doc_id", F.explode(_free("wide", "base")).alias("s")).select("doc_id", "s.*")
-    counts = {name: df.count() for name, df in (("base", base), ("free", free))}
+    counts = scanned.agg(F.sum(F.size("base")).alias("base"), F.sum(F.size("wide")).alias("free")).first().asDict()
 
     def some(df: DataFrame, name: str) -> DataFrame:
         key = F.pmod(F.xxhash64(F.lit(name), "doc_id", "start", "end"), F.lit(1 << 30))
-        return df.filter(key < int((1 << 30) * min(1.0, most / max(1, counts[name])))).withColumn("key", key)
+        return df.filter(key < int((1 << 30) * min(1.0, most / max(1, counts[name] or 0)))).withColumn("key", key)
 
     some_base = some(base, "base")
     f, k, key = F.col("found"), F.col("kind"), F.col("key")
@@ -238,7 +238,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
         return scanned.select("doc_id", base.alias("base"), F.filter(F.array(row), lambda s: F.lit(False)).alias("added"))
     cut = F.element_at(F.create_map(*[F.lit(x) for kv in model.thresholds.items() for x in kv]), F.col("kind"))
     free = scanned.select("row", F.explode(_free("wide", "base")).alias("s")).select("row", "s.*")
-    scored = features(free).withColumn("p", model.margin()).filter(F.col("p") >= cut)
+    # features and score are written before anything filters on them: a filter would be pushed
+    # down with a copy of every feature at every split of the trees
+    measured = materialise(features(free), "pii-features")
+    scored = materialise(measured.select("row", "kind", "start", "end", "found", model.margin().alias("p")), "pii-scores")
+    scored = scored.filter(F.col("p") >= cut)
     # a candidate gives way to an overlapping one of higher score (of equal ones, the earlier
     # kind); generators overlap each other only, so neighbours in order of start tell
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
