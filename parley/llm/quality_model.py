@@ -32,6 +32,7 @@ TREES = 24
 DEPTH = 3
 LASSO = 0.0003
 THRESHOLD = 0.3
+FIT_TASKS = 2
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -99,6 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     sample = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(rows)   # at most ``rows`` short rows
     sample = materialise(statistics(docs.select("doc_id", text_col).join(F.broadcast(sample), "doc_id"), ["label"], text_col),
                          "quality-sample")
+    sample = sample.coalesce(FIT_TASKS)    # the fit runs hundreds of short jobs over a few thousand short rows
     seen = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
     if not seen["n"]:
         return RuleModel(0.0, (), ())
