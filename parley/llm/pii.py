@@ -38,6 +38,7 @@ LEAST_SPANS = 30
 PRECISION = 0.95
 ROUNDS = 12
 DEPTH = 4
+FIT_TASKS = 2
 CONTEXT = 24      # characters looked at on either side
 
 # The four base patterns.  Where one begins with a run, it starts at the border of
@@ -213,7 +214,8 @@ def fit(scanned: DataFrame, precision: float = PRECISION) -> SpanModel:
     ones = int(seen["ones"] or 0)
     if ones < LEAST_SPANS or seen["n"] - ones < LEAST_SPANS:
         return SpanModel([], [], {})
-    vectors = sample.filter("part <> 0").select("label", array_to_vector(F.array(*FEATURES)).alias("x"))
+    # some thousand short rows, over which the fit runs many short jobs
+    vectors = sample.coalesce(FIT_TASKS).filter("part <> 0").select("label", array_to_vector(F.array(*FEATURES)).alias("x"))
     if vectors.select("label").distinct().count() < 2:
         return SpanModel([], [], {})
     fitted = GBTClassifier(featuresCol="x", labelCol="label", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=11).fit(vectors)
