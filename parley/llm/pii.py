@@ -4,16 +4,20 @@ Base spans come from four strict patterns with exact checks; they always stay.
 generators propose further, overlapping spans: obfuscated or spaced forms, numbers whose
 checks fail, numbers without their usual marks.  Gradient-boosted trees score every
 candidate from its format (lengths, separators, checksums) and its context (neighbouring
-characters, words before it); a threshold per kind is calibrated on held-out candidates to
-``PRECISION``, and selected candidates that overlap no base span and no better
-candidate are added.
+characters, words before it); a threshold per kind is calibrated to ``PRECISION`` on all
+spans and candidates that the trees were not fitted on, and selected candidates that overlap
+no base span and no better candidate are added.
 
 No labels exist for candidates, so the trees learn from the base spans of the corpus
 itself, rendered anew in place with their context: positives in looser forms (other
 separators, no plus sign, written-out marks), negatives with broken checks (a changed
 digit, an octet out of range, a missing part), and candidates as they stand that are no base
-span and pass no check of their kind.  The sample is bounded, ``TRAIN_SPANS`` of each sort by
-hash; where it has under ``LEAST_SPANS`` positives or negatives, nothing is added.
+span and pass no check of their kind.  The trees are fitted on at most about ``TRAIN_SPANS`` of
+each kind and sort, by hash, so a kind is taught however rare it is beside the others; where
+all kinds together have under ``LEAST_SPANS`` positives or negatives, nothing is added.  A kind
+with under ``LEAST_SPANS`` positives to calibrate on takes the threshold of all kinds together.
+Nothing is added of a kind that has no base span at all, or whose scores nowhere reach
+``PRECISION``.
 
 Everything runs as column expressions and Spark ML; the fitted trees are compiled into
 columns.  Texts are read once, and only those that hold a digit or an @ look for spans.
@@ -39,6 +43,7 @@ PRECISION = 0.95
 ROUNDS = 12
 DEPTH = 4
 FIT_TASKS = 2
+SCORE_BINS = 4096   # of the score, per kind, for the calibration
 CONTEXT = 24      # characters looked at on either side
 
 # The four base patterns.  Where one begins with a run, it starts at the border of
@@ -152,18 +157,20 @@ def features(spans: DataFrame) -> DataFrame:
     return spans.select("*", *[told[f].cast("double").alias(f) for f in FEATURES])
 
 
-def training_spans(scanned: DataFrame, most: int = TRAIN_SPANS) -> DataFrame:
-    """(kind, found, before, after, label, part): base spans in looser and in broken forms,
-    and wide candidates that are none; at most about ``most`` of each, by hash."""
-    base = scanned.select("doc_id", F.explode("base").alias("s")).select("doc_id", "s.*")
-    free = scanned.select("doc_id", F.explode(_free("wide", "base")).alias("s")).select("doc_id", "s.*")
-    counts = scanned.agg(F.sum(F.size("base")).alias("base"), F.sum(F.size("wide")).alias("free")).first().asDict()
+def _drawn_by(*salt: str) -> list[Column]:
+    """``key`` that samples are drawn by, and ``part``: documents of part 0 are never fitted on."""
+    return [F.pmod(F.xxhash64(*map(F.lit, salt), "doc_id", "start", "end"), F.lit(1 << 30)).alias("key"),
+            F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)).alias("part")]
 
-    def some(df: DataFrame, name: str) -> DataFrame:
-        key = F.pmod(F.xxhash64(F.lit(name), "doc_id", "start", "end"), F.lit(1 << 30))
-        return df.filter(key < int((1 << 30) * min(1.0, most / max(1, counts[name] or 0)))).withColumn("key", key)
 
-    some_base = some(base, "base")
+def free_spans(scanned: DataFrame) -> DataFrame:
+    """(doc_id, row, kind, start, end, found, before, after): wide candidates that overlap no base span."""
+    return scanned.select("doc_id", "row", F.explode(_free("wide", "base")).alias("s")).select("doc_id", "row", "s.*")
+
+
+def rendered_spans(scanned: DataFrame) -> DataFrame:
+    """(kind, found, before, after, sort, label, key, part): all base spans in looser and in broken forms."""
+    base = scanned.select("doc_id", F.explode("base").alias("s")).select("doc_id", "s.*").select("*", *_drawn_by("base"))
     f, k, key = F.col("found"), F.col("kind"), F.col("key")
     digit = F.pmod(F.substring(digits_of(f), -1, 1).try_cast("int") + 1 + key % 9, F.lit(10)).cast("string")
     loose = F.when(k == "email", F.element_at(F.array(
@@ -178,15 +185,18 @@ def training_spans(scanned: DataFrame, most: int = TRAIN_SPANS) -> DataFrame:
     broken = broken.when(k == "ip", F.concat(F.lit("7"), F.lpad(F.regexp_extract(f, "^[0-9]+", 0), 2, "0"), F.regexp_extract(f, r"\..*$", 0)))
     broken = broken.when(k == "card", F.concat(F.expr("substring(found, 1, length(found) - 1)"), digit))
     broken = broken.otherwise(F.expr("substring(found, 2, 8)"))
-    columns = ["kind", "found", "before", "after"]
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)).alias("part")
-    out = some_base.select("kind", loose.alias("found"), "before", "after", F.lit(1.0).alias("label"), part)
-    out = out.unionByName(some_base.select("kind", broken.alias("found"), "before", "after", F.lit(0.0).alias("label"), part))
-    # of the candidates as they stand, those that pass a check of their kind are left out: they may
-    # well be personal data, so they teach nothing
-    checked = (F.col("checksum") + F.col("octets") + F.col("top_level") + F.when(k == "phone", F.col("plus") + F.col("parens")).otherwise(0)) > 0
-    doubtful = features(some(free, "free")).filter(~checked)
-    return out.unionByName(doubtful.select(*columns, F.lit(0.0).alias("label"), part)).filter("found is not null")
+    forms = F.explode(F.array(F.struct(F.lit("loose").alias("sort"), loose.alias("found"), F.lit(1.0).alias("label")),
+                              F.struct(F.lit("broken").alias("sort"), broken.alias("found"), F.lit(0.0).alias("label"))))
+    return base.select("kind", "before", "after", "key", "part", forms.alias("f")).select(
+        "kind", "f.found", "before", "after", "f.sort", "f.label", "key", "part").filter("found is not null")
+
+
+def doubtful(free: DataFrame) -> DataFrame:
+    """Of ``free`` (candidates with features) those that pass no check of their kind: the others
+    may well be personal data, so they teach nothing."""
+    checked = (F.col("checksum") + F.col("octets") + F.col("top_level")
+               + F.when(F.col("kind") == "phone", F.col("plus") + F.col("parens")).otherwise(0)) > 0
+    return free.filter(~checked).select("kind", *FEATURES, F.lit("free").alias("sort"), F.lit(0.0).alias("label"), *_drawn_by("free"))
 
 
 def _free(spans: str, taken: str) -> Column:
@@ -208,24 +218,52 @@ class SpanModel:
         return 1 / (1 + F.exp(-2 * out))
 
 
-def fit(scanned: DataFrame, precision: float = PRECISION) -> SpanModel:
-    sample = materialise(features(training_spans(scanned)), "pii-sample")
-    seen = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).first()
-    ones = int(seen["ones"] or 0)
-    if ones < LEAST_SPANS or seen["n"] - ones < LEAST_SPANS:
+def calibrate(held: DataFrame, taught: dict[str, int], precision: float = PRECISION) -> dict[str, float]:
+    """Of each kind in ``taught``, the lowest score from which on the share of positives of
+    ``held`` (kind, label, p) is at least ``precision``, told from totals per bin of the score;
+    for kinds with under ``LEAST_SPANS`` positives there, the same over all kinds."""
+    bins = (held.groupBy("kind", F.floor(F.col("p") * SCORE_BINS).alias("bin"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones"), F.min("p").alias("p")))
+    # short: at most SCORE_BINS + 1 rows of each kind
+    bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.min("p").alias("p"))
+                            .withColumn("kind", F.lit("all")))
+    down = Window.partitionBy("kind").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.sum("ones").over(down) / F.sum("n").over(down) >= precision
+    seen = {r["kind"]: r for r in bins.withColumn("cut", F.when(reached, F.col("p"))).groupBy("kind")
+            .agg(F.sum("ones").alias("ones"), F.min("cut").alias("cut")).collect()}    # one row per kind
+    out = {}
+    for kind in taught:
+        own = seen.get(kind)
+        told = own if own is not None and own["ones"] >= LEAST_SPANS else seen.get("all")
+        if told is not None and told["cut"] is not None:
+            out[kind] = max(0.5, told["cut"])
+    return out
+
+
+def fit(scanned: DataFrame, free: DataFrame, precision: float = PRECISION) -> SpanModel:
+    """The model of the base spans of ``scanned`` and of ``free``, its free spans with features."""
+    rendered = materialise(features(rendered_spans(scanned)), "pii-rendered")
+    columns = ["kind", "sort", "label", "key", "part", *FEATURES]
+    spans = rendered.select(*columns).unionByName(doubtful(free).select(*columns))
+    counts = spans.groupBy("kind", "sort").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("part") != 0, 1)).alias("fit")).collect()
+    taught = {r["kind"]: r["n"] for r in counts if r["sort"] == "loose"}
+    ones = sum(taught.values())
+    if ones < LEAST_SPANS or sum(r["n"] for r in counts) - ones < LEAST_SPANS:
         return SpanModel([], [], {})
+    share = F.lit(0)
+    for r in counts:
+        upto = int((1 << 30) * min(1.0, TRAIN_SPANS / max(1, r["fit"])))
+        share = F.when((F.col("kind") == r["kind"]) & (F.col("sort") == r["sort"]), F.lit(upto)).otherwise(share)
+    drawn = (F.col("part") != 0) & (F.col("key") < share)
+    sample = materialise(spans.filter(drawn).select("label", *FEATURES), "pii-sample")
     # some thousand short rows, over which the fit runs many short jobs
-    vectors = sample.coalesce(FIT_TASKS).filter("part <> 0").select("label", array_to_vector(F.array(*FEATURES)).alias("x"))
+    vectors = sample.coalesce(FIT_TASKS).select("label", array_to_vector(F.array(*FEATURES)).alias("x"))
     if vectors.select("label").distinct().count() < 2:
         return SpanModel([], [], {})
     fitted = GBTClassifier(featuresCol="x", labelCol="label", maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=11).fit(vectors)
     model = SpanModel(tree_leaves(fitted), list(fitted.treeWeights), {})
-    # lowest score from which on the held-out share of positives is at least ``precision``
-    held = sample.filter("part = 0").select("kind", "label", model.margin().alias("p"))
-    down = Window.partitionBy("kind").orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)
-    cuts = (held.withColumn("share", F.avg("label").over(down)).filter(F.col("share") >= precision)
-            .groupBy("kind").agg(F.min("p").alias("cut")).collect())    # one row per kind
-    model.thresholds = {r["kind"]: max(0.5, r["cut"]) for r in cuts}
+    held = materialise(spans.filter(~drawn).select("kind", "label", model.margin().alias("p")), "pii-held")
+    model.thresholds = calibrate(held, taught, precision)
     return model
 
 
@@ -233,17 +271,16 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added) of every document: arrays of spans (kind, start, end, found),
     in order of kind as listed, then start."""
     scanned = materialise(read_spans(docs), "pii-spans")
-    model = fit(scanned)
+    # features and score are written before anything filters on them: a filter would be pushed
+    # down with a copy of every feature at every split of the trees
+    free = materialise(features(free_spans(scanned)), "pii-features")
+    model = fit(scanned, free)
     row = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), ("start", "bigint"), ("end", "bigint"), ("found", "string"))])
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
     if not model.trees or not model.thresholds:
         return scanned.select("doc_id", base.alias("base"), F.filter(F.array(row), lambda s: F.lit(False)).alias("added"))
     cut = F.element_at(F.create_map(*[F.lit(x) for kv in model.thresholds.items() for x in kv]), F.col("kind"))
-    free = scanned.select("row", F.explode(_free("wide", "base")).alias("s")).select("row", "s.*")
-    # features and score are written before anything filters on them: a filter would be pushed
-    # down with a copy of every feature at every split of the trees
-    measured = materialise(features(free), "pii-features")
-    scored = materialise(measured.select("row", "kind", "start", "end", "found", model.margin().alias("p")), "pii-scores")
+    scored = materialise(free.select("row", "kind", "start", "end", "found", model.margin().alias("p")), "pii-scores")
     scored = scored.filter(F.col("p") >= cut)
     # a candidate gives way to an overlapping one of higher score (of equal ones, the earlier
     # kind); generators overlap each other only, so neighbours in order of start tell

@@ -63,6 +63,27 @@ def test_pii_method_adds_loose_forms(spark):
         assert not got[d[0]].added
 
 
+def test_pii_method_keeps_rare_kinds(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    octet = lambda: r.randint(1, 255)
+    rows = [(i, " ".join(f"{prose(3)} {word()}@{word()}.com" for _ in range(100)), "en", "s", 0) for i in range(400)]
+    rows += [(500 + i, f"{prose(6)} {octet()}.{octet()}.{octet()}.{octet()} {prose(6)}", "en", "s", 0) for i in range(24)]
+    rows += [(1000 + i, f"{prose(6)} {octet()}[.]{octet()}[.]{octet()}[.]{octet()} {prose(6)}", "en", "s", 0) for i in range(8)]
+    got = pii_op.find_pii(frame(spark, rows)).filter("doc_id >= 1000").collect()
+    assert len(got) == 8 and all([s.kind for s in r.added] == ["ip"] for r in got)
+
+
+def test_pii_cuts_of_rare_kinds(spark):
+    held = [("email", float(i % 20 != 0), 0.9) for i in range(400)] + [("email", 0.0, 0.2)] * 400
+    held += [("phone", 0.0, 0.95)] * 40 + [("phone", 1.0, 0.7)] * 40 + [("ip", 1.0, 0.99), ("ip", 0.0, 0.1)]
+    got = pii_op.calibrate(spark.createDataFrame(held * 9, "kind string, label double, p double").filter("kind <> 'phone'"), {"email": 1, "ip": 1, "card": 1})
+    assert got == {"email": 0.9, "ip": 0.9, "card": 0.9}      # too few of ip and card: the cut of all kinds
+    got = pii_op.calibrate(spark.createDataFrame(held, "kind string, label double, p double"), {"phone": 1, "email": 1})
+    assert got == {"email": 0.9}      # no cut gives phone its precision
+
+
 def pii_sorted(spans):
     return sorted(spans, key=lambda s: (pii_op.KINDS.index(s.kind), s.start))
 
