@@ -57,9 +57,9 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # wide generators: at least as loose as their base
+_AT, _DOT, _PART = r"(?:@|[(\[]at[)\]]|\x20at\x20)", r"\x20?(?:\.|[(\[]dot[)\]]|\x20dot\x20)", r"\x20?[A-Za-z0-9-]{1,63}+"
 WIDE = {
-    "email": rf"[{_LOCAL}]{{1,64}}+\x20?(?:@|[(\[]at[)\]]|\x20at\x20)\x20?[A-Za-z0-9-]{{1,63}}+"
-             r"(?:\x20?(?:\.|[(\[]dot[)\]]|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}+){1,4}+",
+    "email": rf"[{_LOCAL}]{{1,64}}+\x20?{_AT}{_PART}(?:{_DOT}{_PART}){{1,4}}+",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\)|\x20\.\x20|-)[0-9]{1,3}+){3}",
     "card": r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){11,18}",
     "phone": r"(?<![0-9])(?:\+|00)?[0-9(](?:[\x20()./-]{0,2}[0-9]){6,14}",
@@ -103,7 +103,8 @@ def read_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, row, base, wide): base spans and wide candidates of every text, the latter
     with the characters around them.  ``row`` numbers the rows of the written table."""
     text = F.col("_t")
-    marks = {"email": text.contains("@") | text.rlike(r"[(\[]at[)\]]|\x20at\x20.{1,64}\x20dot\x20"), "ip": text.rlike(r"[0-9](?:\.|\[\.\]|\(\.\)|\x20\.\x20|-)[0-9]"),
+    # what every match of the wide generator contains
+    marks = {"email": text.rlike(_AT + _PART + _DOT + _PART), "ip": text.rlike(r"[0-9](?:\.|\[\.\]|\(\.\)|\x20\.\x20|-)[0-9]"),
              "card": text.rlike(r"[0-9](?:[\x20./_-]{0,2}[0-9]){11}"), "phone": text.rlike(r"[0-9](?:[\x20()./-]{0,2}[0-9]){6}")}
 
     def around(spans: Column) -> Column:

@@ -84,6 +84,15 @@ def test_pii_cuts_of_rare_kinds(spark):
     assert got == {"email": 0.9}      # no cut gives phone its precision
 
 
+def test_pii_gate_lets_every_taught_form_through(spark):
+    forms = ["bob@example.com", "bob at example.com", "bob (at) example (dot) com", "bob at example (dot) com", "bob at example [dot] com",
+             "bob[at]example.com", "bob at example dot com", "bob at mail.example dot org", "bob at " + "x" * 63 + " dot org"]
+    got = pii_op.read_spans(frame(spark, [(i, f"ask\n{t}\nfor it", "en", "s", 0) for i, t in enumerate(forms)])).collect()
+    assert {r.doc_id: [s.found for s in r.wide if s.kind == "email"] for r in got} == {i: [t] for i, t in enumerate(forms)}
+    none = ["met at noon", "at 5", "at home dot", "no mark.at all"]
+    assert not any(r.wide for r in pii_op.read_spans(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(none)])).collect())
+
+
 def pii_sorted(spans):
     return sorted(spans, key=lambda s: (pii_op.KINDS.index(s.kind), s.start))
 
