@@ -189,32 +189,40 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) of every document; component_id is the smallest id that is
-    reachable over links of at most ``radius`` differing bits."""
-    prints = materialise(docs.select(F.col(id_col), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
-    classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-classes")
+    """(id, fp, component_id, text_hash, keeper_hash) of every document; component_id is the
+    smallest id that is reachable over links of at most ``radius`` differing bits, and
+    keeper_hash the (smallest) hash of a text that has this id there: two components may have
+    the same smallest id where ids repeat."""
+    prints = materialise(docs.select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("text_hash"),
+                                     fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
+    # in order of id, null ids last
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash")))
+    classes = materialise(prints.groupBy("fp").agg(first.alias("first")), "simhash-classes")
     roots = components(links(classes.select("fp"), radius, blocks))
-    # smallest id of each component of two or more fingerprints
+    # first document of each component of two or more fingerprints
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    linked = linked.join(least, "root").select("fp", "least_id")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(materialise(named, "simhash-named"), "fp").select(id_col, "fp", "component_id")
+    least = linked.groupBy("root").agg(F.min("first").alias("least"))
+    linked = linked.join(least, "root").select("fp", "least")
+    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    named = named.select("fp", F.col("first.id").alias("component_id"), F.col("first.hash").alias("keeper_hash"))
+    return prints.join(materialise(named, "simhash-named"), "fp").select(id_col, "fp", "component_id", "text_hash", "keeper_hash")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_first(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def keep_first(docs: DataFrame, marked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component: the one whose id names it.  ``marked`` is the result
-    of ``near_duplicates`` for ``docs``.  Rows that repeat an id are one document where
-    their fingerprints are linked; documents without an id are kept if all ids of their
+    of ``near_duplicates`` for ``docs``.  Rows are told by id and hash of the text, so rows that
+    repeat an id, or have none, are judged each by its own component; of linked rows with the
+    same smallest id one stays, and a document without an id stays only where all ids of its
     component are null."""
-    marked = materialise(marked.select(F.col(id_col).alias("_id"), "component_id"), "simhash-marked")
-    gone = materialise(marked.filter(~F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct(), "simhash-gone")
-    kept = docs.join(checked_broadcast(gone), docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    ids = marked.filter("_id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    if not ids:
-        return kept
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    stays = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("keeper_hash"))
+    marked = materialise(marked.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays")), "simhash-marked")
+    gone = materialise(marked.filter("not stays").select("_id", "_hash").distinct(), "simhash-gone")
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
+    kept = rows.join(checked_broadcast(gone), rows[id_col].eqNullSafe(gone["_id"]) & (rows["_text_hash"] == gone["_hash"]), "left_anti")
+    if marked.filter("stays").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, "_text_hash"])
+    return kept.drop("_text_hash")

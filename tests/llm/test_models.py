@@ -75,6 +75,24 @@ def test_simhash_empty_table_and_nulls(spark):
     assert sorted(i for i in ids if i is not None) == sorted({r["component_id"] for r in marked.collect() if r["component_id"] is not None})
 
 
+def test_keep_first_judges_rows(spark):
+    r = random.Random(12)
+    base = [prose(r, 160) for _ in range(9)]
+    like = lambda t: t.replace(" ", "  ")     # another text with the same fingerprint
+    rows = [(5, base[0]), (None, like(base[0])), (None, base[1]), (None, base[2]), (None, like(base[2])),
+            (7, base[3]), (9, like(base[3])), (12, base[3]), (3, base[4]), (7, like(base[4])),
+            (20, base[5]), (20, base[6]), (30, base[7]), (30, base[7]), (30, like(base[7])), (31, base[8]), (31, base[8])]
+    docs = [(i, t, "en", "s", 0) for i, t in rows]
+    df = frame(spark, docs)
+    kept = simhash_balls.keep_first(df, simhash_balls.near_duplicates(df))
+    got = sorted((x["doc_id"] is None, x["doc_id"] or 0, fingerprint(x["text"])) for x in kept.collect())
+    prints = dict(enumerate(fingerprint(t) for _, t in rows))
+    groups: dict[int, list] = {}
+    for n, root in least_reachable(prints).items():
+        groups.setdefault(root, []).append((rows[n][0] is None, rows[n][0] or 0, prints[n]))
+    assert len(groups) == 9 and got == sorted(min(g) for g in groups.values()) and kept.columns == df.columns
+
+
 def bench_items(r):
     items = [(i, prose(r, n)) for i, n in enumerate((15, 30, 10, 9, 4, 1, 12, 60))]
     return [*items, (20, None), (21, "  ..."), (22, items[0][1].upper()), (None, "unnamed item " + items[1][1]), (1, items[6][1])]
