@@ -2,8 +2,9 @@
 
 Texts and license templates are hashed to five-word shingles.  Templates are small, so every
 window of theirs is indexed; texts are cut into overlapping windows of the same widths (a
-power of two of shingles, at most ``MAX_WIDTH`` and no more than the template has) with a
-step of half a width.  A window's sketch is ``BANDS`` bands of ``ROWS_PER_BAND`` minima; a text window
+power of two of shingles, at most ``MAX_WIDTH``, and so that width and step together are at most
+one more than the template has) with a step of half a width, so every copy of a template holds a
+whole text window at any offset.  A window's sketch is ``BANDS`` bands of ``ROWS_PER_BAND`` minima; a text window
 inside a copied passage equals a template window and collides for certain, and one with
 similarity s collides with probability ``1 - (1 - s ** ROWS_PER_BAND) ** BANDS`` (0.97 at 0.8 for one
 window; an occurrence has several).  Around every collision the exact containment
@@ -94,7 +95,15 @@ def _bands(shingles: Column, start: Column, width: int) -> Column:
 
 
 def _width(n_shingles: int) -> int:
-    return min(MAX_WIDTH, 1 << (n_shingles.bit_length() - 1))
+    """The widest of which a text window lies whole in any run of ``n_shingles``, whatever its offset."""
+    width = min(MAX_WIDTH, 1 << (n_shingles.bit_length() - 1))
+    while width + _step(width) - 1 > n_shingles:
+        width //= 2
+    return width
+
+
+def _step(width: int) -> int:
+    return max(1, width // 2)
 
 
 def find_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -127,7 +136,7 @@ def find_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, thr
     index = index.select("template", "n", "b.width", "b.band", "b.key").distinct()
 
     held = rows.filter(F.size("shingles") > 0)
-    sketch = [F.when(F.size("shingles") >= w, F.flatten(_windows(F.col("shingles"), F.size("shingles") - w, max(1, w // 2), w)))
+    sketch = [F.when(F.size("shingles") >= w, F.flatten(_windows(F.col("shingles"), F.size("shingles") - w, _step(w), w)))
               .otherwise(F.array().cast("array<struct<width:int,band:int,key:bigint,start:int>>")) for w in widths]
     windows = held.select("row", F.explode(F.concat(*sketch)).alias("b")).select("row", "b.*")
     # regions of three template lengths around a collision, one per template length of text

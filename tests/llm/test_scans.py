@@ -195,6 +195,21 @@ def test_licenses_against_all_regions(spark, docs):
     assert licenses.find_licenses(spark, frame(spark, docs), ()).filter("n_licenses > 0").count() == 0
 
 
+def test_license_copies_at_any_offset(spark):
+    for n in range(1, 100):
+        width = licenses._width(n)
+        assert all(any(s + width <= o + n for s in range(o, o + n) if s % licenses._step(width) == 0) for o in range(8)), n
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshr") for _ in range(5)) for _ in range(n))
+    rows, names = [], {}
+    for name, t in licenses.TEMPLATES:
+        for k in range(1600 if name == "Apache-2.0" else 64):
+            names[len(rows)] = name
+            rows.append((len(rows), f"{prose(12 + k % 8)} {t} {prose(12)}", "en", "s", 0))
+    got = licenses.find_licenses(spark, frame(spark, rows)).select("doc_id", "licenses").collect()
+    assert [(x.doc_id, x.licenses) for x in got if x.licenses != names[x.doc_id]] == []
+
+
 def test_counts_of_kinds(spark):
     df = spark.createDataFrame([(["a", "b", "a"],)], "k array<string>").select(F.transform("k", lambda k: F.struct(k.alias("kind"))).alias("s"))
     assert df.select(count_kind(F.col("s"), "a").alias("n")).first()["n"] == 2
