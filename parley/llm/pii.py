@@ -64,6 +64,7 @@ WIDE = {
     "card": r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){11,18}",
     "phone": r"(?<![0-9])(?:\+|00)?[0-9(](?:[\x20()./-]{0,2}[0-9]){6,14}",
 }
+LONGEST = 64 + 1 + 4 + 1 + 63 + 4 * (1 + 5 + 1 + 63)   # of a wide match: an e-mail address
 _OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 
 
@@ -268,6 +269,17 @@ def fit(scanned: DataFrame, free: DataFrame, precision: float = PRECISION) -> Sp
     return model
 
 
+def unbeaten(scored: DataFrame) -> DataFrame:
+    """The candidates (row, start, end, p, place, ...) that overlap none of higher score (of equal
+    ones, of an earlier kind).  No candidate is longer than ``LONGEST``, so all that overlap one
+    start within that distance."""
+    near = Window.partitionBy("row").orderBy("start").rangeBetween(-LONGEST, LONGEST)
+    rivals = F.collect_list(F.struct("start", "end", "p", "place")).over(near)
+    beaten = F.exists("rivals", lambda o: (o["start"] < F.col("end")) & (F.col("start") < o["end"]) & (
+        (o["p"] > F.col("p")) | ((o["p"] == F.col("p")) & (o["place"] < F.col("place")))))
+    return scored.withColumn("rivals", rivals).filter(~beaten).drop("rivals")
+
+
 def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added) of every document: arrays of spans (kind, start, end, found),
     in order of kind as listed, then start."""
@@ -283,14 +295,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     cut = F.element_at(F.create_map(*[F.lit(x) for kv in model.thresholds.items() for x in kv]), F.col("kind"))
     scored = materialise(free.select("row", "kind", "start", "end", "found", model.margin().alias("p")), "pii-scores")
     scored = scored.filter(F.col("p") >= cut)
-    # a candidate gives way to an overlapping one of higher score (of equal ones, the earlier
-    # kind); generators overlap each other only, so neighbours in order of start tell
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    near = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(-len(KINDS), len(KINDS))
-    rivals = F.collect_list(F.struct("start", "end", "p", place.alias("place"))).over(near)
-    beaten = F.exists("rivals", lambda o: (o["start"] < F.col("end")) & (F.col("start") < o["end"]) & (
-        (o["p"] > F.col("p")) | ((o["p"] == F.col("p")) & (o["place"] < F.col("place")))))
-    added = (scored.withColumn("place", place).withColumn("rivals", rivals).filter(~beaten)
+    added = (unbeaten(scored.withColumn("place", place))
              .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "start", "end", "kind", "found"))).alias("added")))
     added = added.select(F.col("row").alias("_row"), F.transform("added", lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"))).alias("added"))

@@ -93,6 +93,15 @@ def test_pii_gate_lets_every_taught_form_through(spark):
     assert not any(r.wide for r in pii_op.read_spans(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(none)])).collect())
 
 
+def test_pii_rivals_of_long_candidates(spark):
+    r = random.Random(9)
+    rows = [(0, 0, 240, 0.9, 1)] + [(0, 10 + 20 * i, 24 + 20 * i, 0.8 if i < 9 else 0.95, 4) for i in range(10)] + [(0, 300, 310, 0.6, 4)]
+    rows += [(n, a, a + r.choice([9, 15, 60, pii_op.LONGEST]), r.choice([0.6, 0.7, 0.8]), r.randint(1, 4)) for n in (1, 2) for a in r.sample(range(3000), 60)]
+    got = pii_op.unbeaten(spark.createDataFrame(rows, "row bigint, start bigint, end bigint, p double, place int")).collect()
+    want = [x for x in rows if not any(o[0] == x[0] and o[1] < x[2] and x[1] < o[2] and (o[3] > x[3] or (o[3] == x[3] and o[4] < x[4])) for o in rows)]
+    assert sorted(map(tuple, got)) == sorted(want) and [x[1] for x in want if x[0] == 0] == [190, 300]
+
+
 def pii_sorted(spans):
     return sorted(spans, key=lambda s: (pii_op.KINDS.index(s.kind), s.start))
 
