@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.llm.common import count_kind, read_table, scratch_path, spans_text
 from parley.llm.decontaminate import HITS_SQL, find_hits
+from parley.llm.divergence import AUDIT_SQL, audit
 from parley.llm.fingerprints import compare_with_next
 from parley.llm.langid import held_out, learn, predict_languages
 from parley.llm.licenses import find_licenses
@@ -92,6 +93,10 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read_table(spark, sf_dir, "documents"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(read_table(spark, sf_dir, "documents"))
 
@@ -108,5 +113,6 @@ REGISTRY = {
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, HITS_SQL),
     "op10_mixture": (op10_mixture, MIX_SQL),
+    "op12_divergence": (op12_divergence, AUDIT_SQL),
     "op13_fingerprints": (op13_fingerprints, None),
 }
