@@ -20,6 +20,7 @@ from parley.llm.quality_rules import RULES_SQL, apply_policy, build_ledger
 from parley.llm.secret_scan import BASE_KINDS, BlobLedger, findings_by_path, scan
 from parley.llm.simhash_balls import hex_fingerprint, near_duplicates
 from parley.llm.tokens import count_tokens
+from parley.llm.vector_codes import CODES_SQL, compress
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -93,6 +94,10 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read_table(spark, sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ REGISTRY = {
     "op8_simhash": (op8_simhash, None),
     "op9_decontaminate": (op9_decontaminate, HITS_SQL),
     "op10_mixture": (op10_mixture, MIX_SQL),
+    "op11_vector_codes": (op11_vector_codes, CODES_SQL),
     "op12_divergence": (op12_divergence, AUDIT_SQL),
     "op13_fingerprints": (op13_fingerprints, None),
 }
