@@ -7,23 +7,26 @@ Order matters: the first item in ``order_cols`` order wins.
   one task.
 * near pairs (J3): two items match when they share any 16-bit band value (value
   only, any band position) and their SimHashes differ in at most ``t`` bits.
-  Blocks are keyed on a band value and two further pieces of the hash (see
-  ``_block_masks``), 24 bits and more, at every table size; no pair is lost.
+* blocks: items are first keyed on their (at most four) band values.  Keys are
+  counted; a key of one item is never written, a key of up to ``SMALL_BLOCK`` items
+  is a block to compare.  The items of a larger one are re-keyed: the hash is cut
+  into ``t + LEVELS`` pieces, of which ``t`` flips leave ``LEVELS`` whole, so a
+  matching pair still meets when one more common piece joins the key, and again,
+  up to ``LEVELS`` times.  No pair is lost, and rows are only spent where
+  hashes crowd.
 * fuzzy keep (A6): "drop an item iff an earlier *kept* item matches it" is the
   greedy lexicographically-first maximal independent set of the match graph.  It
-  is computed in rounds over block memberships: blocks up to ``HOT_BLOCK``
-  members give explicit edges; larger blocks (one huge cluster of near-copies)
-  never form pairs and are resolved by pivots, the smallest undecided member
-  dropping its near neighbours.  Lineage is cut each round by ``checkpoint()`` to
+  is computed in rounds: small blocks give explicit edges; blocks that stay large
+  through all levels (true near-copies) are worked off from the front, the first
+  ``FRONT`` undecided members of each against one another, those that are kept
+  against the rest of the block.  Lineage is cut each round by ``checkpoint()`` to
   the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 import logging
-from itertools import combinations
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import hashing as H
@@ -57,43 +60,43 @@ def _pieces(bits: list[int], count: int) -> list[int]:
     return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
-MAX_PIECED_HAMMING = 20
+SMALL_BLOCK = 1024   # members that are compared with one another: cheaper than more rows
+LEVELS = 4           # pieces that may be added to a crowded key
+FRONT = 256          # members of a hot block that are settled among themselves in a round
+
 
+def _refining_masks(max_hamming: int) -> list[int]:
+    """Masks of the pieces of the hash, ``t + LEVELS`` of them as far as there are bits."""
+    return _pieces(list(range(64)), min(64, max(0, int(max_hamming)) + LEVELS))
 
-def _block_masks(max_hamming: int) -> list[tuple[int, int, int]]:
-    """(tag, mask, band): a block key is the tag, the hash under the mask and, where ``band``
-    is not -1, the value of that band.  Every pair within ``max_hamming`` with a common band
-    value shares a key.
 
-    Same band position: the band and two pieces of the other 48 bits; t flips leave at
-    least two of t + 2 (eight or more) pieces whole.  Different positions: the value of any
-    band and two pieces of all 64 bits; of eight pieces (bytes) the pairs that make up one
-    band are left out, as two hashes that agree on a whole band meet by position."""
+def _blocks(nodes: DataFrame, max_hamming: int, small: int = SMALL_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``(blocks, hot)``, each ``(g, node, h)``: the members of blocks of 2 to ``small``, and of
+    those that are larger after all refinement.  Two nodes that match share a block of either
+    kind.  ``g`` is a hash of what a block has in common; a collision only adds candidates."""
     t = max(0, int(max_hamming))
-    if t > MAX_PIECED_HAMMING:      # so loose that almost any two hashes match: the band value alone
-        return [(0, 0, band) for band in range(H.BANDS)]
-    n, masks = max(8, t + 2), []
-    for band in range(H.BANDS):
-        own = range(band * H.BAND_BITS, (band + 1) * H.BAND_BITS)
-        rest = _pieces([b for b in range(64) if b not in own], n)
-        masks += [sum(1 << b for b in own) | x | y for x, y in combinations(rest, 2)]
-    masks = [(i, m, -1) for i, m in enumerate(masks)]
-    whole = _pieces(list(range(64)), n)
-    for i, j in combinations(range(n), 2):
-        if n > 8 or j != i + 1 or i % 2:
-            masks += [(10_000 + i * 64 + j, whole[i] | whole[j], band) for band in range(H.BANDS)]
-    return masks
-
-
-def _block_rows(nodes: DataFrame, hash_col: str, max_hamming: int, out: str) -> DataFrame:
-    """One row per node and block key.  Keys are hashes of their parts, so equal keys are only
-    candidates: the Hamming distance and a common band value decide."""
-    masks = F.array(*[F.struct(F.lit(tag).alias("tag"), F.lit(_signed(m)).cast("bigint").alias("mask"), F.lit(band).alias("band"))
-                      for tag, m, band in _block_masks(max_hamming)])
-    h, m = F.col(hash_col), F.col("_m")
-    value = F.call_function("shiftrightunsigned", h, F.greatest(m["band"], F.lit(0)) * H.BAND_BITS).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
-    key = F.xxhash64(m["tag"], h.bitwiseAND(m["mask"]), F.when(m["band"] >= 0, value).otherwise(F.lit(0).cast("bigint")))
-    return nodes.withColumn("_m", F.explode(masks)).withColumn(out, key).drop("_m")
+    masks = _refining_masks(t)
+    levels = max(0, len(masks) - t)
+    # level 0: the distinct band values of a node; ``last`` is the last piece in the key
+    rows = nodes.select(F.explode(F.array_distinct(H.simhash_bands("simhash"))).alias("v"), "node", F.col("simhash").alias("h")) \
+                .select(F.xxhash64("v").alias("g"), "node", "h", F.lit(-1).alias("last"))
+    found = []
+    for level in range(levels + 1):
+        sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        met = rows.join(sizes, "g").checkpoint(eager=True)
+        found.append(met.filter(F.col("n") <= small).select("g", "node", "h"))
+        crowded = met.filter(F.col("n") > small).drop("n")
+        if level == levels or crowded.isEmpty():
+            break
+        # the next piece; enough pieces must follow for the levels to come
+        room = len(masks) - (levels - level - 1)
+        pieces = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(_signed(m)).cast("bigint").alias("mask")) for i, m in enumerate(masks[:room])])
+        rows = crowded.withColumn("_p", F.explode(F.filter(pieces, lambda p: p["i"] > F.col("last")))).select(
+            F.xxhash64("g", "_p.i", F.col("h").bitwiseAND(F.col("_p.mask"))).alias("g"), "node", "h", F.col("_p.i").alias("last"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out, crowded.select("g", "node", "h")
 
 
 def near_duplicate_pairs(nodes: DataFrame, node_col: str = "node", hash_col: str = "simhash",
@@ -111,16 +114,20 @@ def near_duplicate_pairs(nodes: DataFrame, node_col: str = "node", hash_col: str
     if t < 0:
         return spark.createDataFrame([], nodes.select(F.col(node_col).alias("a"), F.col(node_col).alias("b"),
                                                       F.lit(0).alias("distance")).schema)
-    h = F.col(hash_col)
-    rows = _block_rows(nodes.select(F.col(node_col).alias("n"), h.alias("h")), "h", t, "k")
-    a, b = rows.alias("a"), rows.alias("b")
-    cond = ((F.col("a.k") == F.col("b.k")) & (F.col("a.n") < F.col("b.n"))
-            & (H.hamming64(F.col("a.h"), F.col("b.h")) <= t)
-            & F.arrays_overlap(H.simhash_bands(F.col("a.h")), H.simhash_bands(F.col("b.h"))))
-    return (a.join(b, cond, "inner")
-             .select(F.col("a.n").alias("a"), F.col("b.n").alias("b"),
-                     H.hamming64(F.col("a.h"), F.col("b.h")).alias("distance"))
-             .distinct())
+    blocks, hot = _blocks(nodes.select(F.col(node_col).alias("node"), F.col(hash_col).alias("simhash")), t)
+    return (_block_pairs(blocks.unionByName(hot), t)
+            .select("a", "b", H.hamming64(F.col("ha"), F.col("hb")).alias("distance")).distinct())
+
+
+def _match(x, y, t: int) -> F.Column:
+    return (H.hamming64(x, y) <= t) & F.arrays_overlap(H.simhash_bands(x), H.simhash_bands(y))
+
+
+def _block_pairs(rows: DataFrame, t: int) -> DataFrame:
+    """``(g, a, ha, b, hb)`` of the matching pairs inside the blocks, ``a`` before ``b``."""
+    a = rows.select("g", F.col("node").alias("a"), F.col("h").alias("ha"))
+    b = rows.select("g", F.col("node").alias("b"), F.col("h").alias("hb"))
+    return a.join(b, "g").filter((F.col("a") < F.col("b")) & _match(F.col("ha"), F.col("hb"), t))
 
 
 def greedy_dropped(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -156,84 +163,61 @@ def greedy_dropped(edges: DataFrame, max_rounds: int | None = None) -> DataFrame
     return out
 
 
-def _memberships(nodes: DataFrame, max_hamming: int) -> DataFrame:
-    """``(g, node, h)``: every block key of every node; two nodes that match always share
-    at least one block."""
-    return _block_rows(nodes.select("node", F.col("simhash").alias("h")), "h", max_hamming, "g").select("g", "node", "h")
-
-
-def _match(x: str, y: str, t: int) -> F.Column:
-    return (H.hamming64(F.col(x), F.col(y)) <= t) & F.arrays_overlap(H.simhash_bands(F.col(x)), H.simhash_bands(F.col(y)))
-
-
-# Keys have 24 bits and more, so a block of more members than this is a cluster of true near-copies,
-# whose pairs are not written; a pivot drops most of it in one round.
-HOT_BLOCK = 4096
-
-
 def greedy_dropped_blocks(nodes: DataFrame, max_hamming: int = H.DEFAULT_MAX_HAMMING,
-                          hot: int = HOT_BLOCK) -> DataFrame:
-    """Nodes dropped by the sequential rule, from block memberships.
-
-    Blocks of at most ``hot`` members yield explicit edges (pairs within the
-    block, Hamming-filtered).  Larger blocks never form pairs: a node may only be
-    kept while it is the smallest undecided member of each large block it is in,
-    and then drops the later undecided members of those blocks within
-    ``max_hamming``.  Each round keeps the nodes with no undecided earlier
-    neighbour by either rule and drops their later neighbours; the smallest
-    undecided node always qualifies, so the loop ends."""
+                          small: int = SMALL_BLOCK, front: int = FRONT) -> DataFrame:
+    """Nodes dropped by the sequential rule, from ``nodes(node, simhash)``.
+
+    Blocks of at most ``small`` members yield explicit edges.  Of every hot block the
+    first ``front`` undecided members are paired in each round; a node is kept once it has
+    no undecided earlier neighbour by an edge and lies in the front of all its hot blocks,
+    and then drops its later neighbours, by edges and throughout those blocks.  The
+    smallest undecided node always qualifies, so the loop ends."""
     t = int(max_hamming)
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
-    m = _memberships(nodes, t)
-    sizes = m.groupBy("g").agg(F.count(F.lit(1)).alias("_n"))
-    m = m.join(sizes, "g").checkpoint(eager=True)
-    small = m.filter(F.col("_n") <= hot).drop("_n")
-    a, b = small.alias("a"), small.alias("b")
-    e = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.node") < F.col("b.node"))
-                & _match("a.h", "b.h", t))
-          .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().checkpoint(eager=True))
-    hot_rows = m.filter(F.col("_n") > hot).drop("_n")
-    has_hot = not hot_rows.isEmpty()
-    mh = hot_rows.checkpoint(eager=True) if has_hot else hot_rows
-    parts, rounds = [], 0
+    blocks, hot = _blocks(nodes, t, small)
+    e = _block_pairs(blocks, t).select("a", "b").distinct().checkpoint(eager=True)
+    hot = hot.checkpoint(eager=True)
+    dropped, rounds = [], 0
     while True:
-        if has_hot:
-            has_hot = not mh.isEmpty()
-        if e.isEmpty() and not has_hot:
+        has_hot = not hot.isEmpty()
+        if not has_hot and e.isEmpty():
             break
         rounds += 1
-        targets = e.select(F.col("b").alias("n")).distinct()
+        edges = e
         pending = e.select(F.col("a").alias("n"))
         if has_hot:
-            mins = mh.groupBy("g").agg(F.min("node").alias("p"), F.min_by("h", "node").alias("hp"))
-            not_min = (mh.join(mins, "g").filter(F.col("node") != F.col("p"))
-                         .select(F.col("node").alias("n")).distinct())
-            pending = pending.unionByName(mh.select(F.col("node").alias("n")))
-            kept_now = pending.distinct().join(targets, "n", "left_anti").join(not_min, "n", "left_anti")
-        else:
-            kept_now = pending.distinct().join(targets, "n", "left_anti")
+            nth = F.row_number().over(Window.partitionBy("g").orderBy("node"))
+            lead = hot.withColumn("_nth", nth).filter(F.col("_nth") <= front).drop("_nth").checkpoint(eager=True)
+            edges = e.unionByName(_block_pairs(lead, t).select("a", "b"))
+            behind = hot.join(lead.select("g", "node"), ["g", "node"], "left_anti").select(F.col("node").alias("n"))
+            pending = pending.unionByName(hot.select(F.col("node").alias("n"))).join(behind.distinct(), "n", "left_anti")
+        kept_now = pending.distinct().join(edges.select(F.col("b").alias("n")).distinct(), "n", "left_anti")
+        if has_hot:
+            kept_now = kept_now.checkpoint(eager=True)
         # kept_now / dropped_now are cheap to derive from this round's checkpointed
         # tables; only the shrinking edge and membership tables are written
         dropped_now = e.join(kept_now.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n"))
         if has_hot:
-            by_block = (mh.join(mins.join(kept_now.withColumnRenamed("n", "p"), "p", "left_semi"), "g")
-                          .filter((F.col("node") > F.col("p")) & _match("h", "hp", t))
-                          .select(F.col("node").alias("n")))
-            dropped_now = dropped_now.unionByName(by_block)
+            front_kept = lead.join(kept_now.withColumnRenamed("n", "node"), "node", "left_semi") \
+                             .select("g", F.col("node").alias("_p"), F.col("h").alias("_hp"))
+            near = hot.join(front_kept, "g").filter((F.col("node") > F.col("_p")) & _match(F.col("h"), F.col("_hp"), t))
+            dropped_now = dropped_now.unionByName(near.select(F.col("node").alias("n")))
         dropped_now = dropped_now.distinct()
-        parts.append(dropped_now)
+        if has_hot:
+            dropped_now = dropped_now.checkpoint(eager=True)
+        dropped.append(dropped_now)
         decided = kept_now.unionByName(dropped_now)
         e = (e.join(decided.withColumnRenamed("n", "a"), "a", "left_anti")
               .join(decided.withColumnRenamed("n", "b"), "b", "left_anti").checkpoint(eager=True))
         if has_hot:
-            mh = mh.join(decided.withColumnRenamed("n", "node"), "node", "left_anti").checkpoint(eager=True)
+            hot = hot.join(decided.withColumnRenamed("n", "node"), "node", "left_anti").checkpoint(eager=True)
     _log.info("block dedupe settled in %d rounds", rounds)
-    if not parts:
+    if not dropped:
         return spark.createDataFrame([], nodes.select(F.col("node").alias("n")).schema)
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
+    out = dropped[0]
+    for more in dropped[1:]:
+        out = out.unionByName(more)
     return out
 
 

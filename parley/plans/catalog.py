@@ -28,12 +28,16 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table.  A table of a single split (at most ``maxPartitionBytes``, so cheap
-    to move) is spread round-robin so row-wise work uses every core; any table of two
-    splits or more is read as it is, without an exchange."""
+    """A test table, its rows over all cores.
+
+    A row group is read by one task, however many splits its file has.  Where a table of
+    fewer files than cores has its rows in fewer tasks than cores (seen from the file
+    footers: the scan reads no column), they are spread round-robin; any other table is
+    read as it is, without an exchange."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if df.rdd.getNumPartitions() == 1:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df.select(F.spark_partition_id().alias("task")).distinct().count() < cores:
+        df = df.repartition(cores)
     return df
 
 

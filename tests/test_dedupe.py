@@ -119,8 +119,8 @@ def test_block_rounds_equal_edge_rounds(spark):
     hs = list(dict.fromkeys(hs))
     nodes = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
     for t in (2, 6, 9):
-        a = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=20).collect()}
-        a2 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, hot=60).collect()}
+        a = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, small=3, front=4).collect()}
+        a2 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t, small=20).collect()}
         a3 = {r["n"] for r in dd.greedy_dropped_blocks(nodes, t).collect()}
         assert a == a2 == a3, t
         b = {r["n"] for r in dd.greedy_dropped(dd.near_duplicate_pairs(nodes, max_hamming=t)).collect()}
@@ -138,17 +138,46 @@ def test_one_big_cluster(spark):
     base = 0x0F0F_F0F0_1234_5678
     hs = [base] + [base ^ (1 << i) for i in range(64)] + [base ^ (1 << i) ^ (1 << j) for i in range(8) for j in range(i + 1, 64)][:235]
     nodes = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
-    dropped = {r["n"] for r in dd.greedy_dropped_blocks(nodes, 6, hot=50).collect()}
+    dropped = {r["n"] for r in dd.greedy_dropped_blocks(nodes, 6, small=50, front=10).collect()}
     assert dropped == set(range(1, len(hs)))
 
 
-def test_far_hashes_that_share_a_band_settle_at_once(spark, caplog):
+def _rounds(caplog):
+    return int(caplog.messages[-1].split(" in ")[1].split()[0])
+
+
+def test_far_hashes_that_share_bits_settle_at_once(spark, caplog):
+    """24 hashes that share 16 or 28 bits and are far apart: no pair, hardly a round."""
     rnd = random.Random(6)
-    hs = [0xABCD << 48 | rnd.getrandbits(48) for _ in range(24)]
+    for common, t in ((16, 3), (28, 6)):
+        hs = [(0xABCDEF1 << 36 >> (28 - common) << (28 - common)) | rnd.getrandbits(64 - common) for _ in range(24)]
+        nodes = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
+        far = {(i, j) for i in range(24) for j in range(i) if match(hs[i], hs[j], t)}
+        with caplog.at_level("INFO", "parley.dedupe"):
+            assert dd.greedy_dropped_blocks(nodes, t, small=8).count() == len({i for i, _ in far})
+        assert _rounds(caplog) <= 3
+
+
+def test_a_hot_block_of_far_members_is_kept_by_the_front(spark, caplog):
+    """Hashes with 44 common bits, at pairwise distance above t: a block through all levels."""
+    code = [w for w in range(1 << 12) if w.bit_count() % 4 == 0][:200]
+    hs = [0xFEDCBA98765 << 20 | w << 4 for w in code]
     nodes = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hs)], "node long, simhash long")
+    keep = []
+    for h in hs:
+        if not any(match(h, k, 2) for k in keep):
+            keep.append(h)
     with caplog.at_level("INFO", "parley.dedupe"):
-        assert dd.greedy_dropped_blocks(nodes, 3, hot=8).count() == 0
-    assert int(caplog.messages[-1].split(" in ")[1].split()[0]) <= 3
+        got = {r["n"] for r in dd.greedy_dropped_blocks(nodes, 2, small=6, front=64).collect()}
+    assert got == {i for i, h in enumerate(hs) if h not in set(keep)} and _rounds(caplog) <= 12
+
+
+def test_lone_keys_are_not_written(spark):
+    """Far hashes: no row for a key of one member, whatever the level."""
+    nodes = spark.range(3000).withColumnRenamed("id", "node").withColumn("simhash", F.xxhash64(F.lit("far"), "node"))
+    blocks, hot = dd._blocks(nodes.checkpoint(), 6)
+    assert hot.count() == 0 and blocks.count() < 4 * 3000
+    assert blocks.groupBy("g").count().agg(F.min("count"), F.max("count")).first()[0] >= 2
 
 
 def test_candidates_stay_few_and_planted_pairs_are_found(spark):
@@ -158,7 +187,9 @@ def test_candidates_stay_few_and_planted_pairs_are_found(spark):
     flipped = F.col("simhash").bitwiseXOR(F.call_function("shiftleft", F.lit(7).cast("bigint"), (F.col("node") % 45).cast("int")))
     planted = nodes.filter("node % 64 = 0").select((F.col("node") + n).alias("node"), flipped.alias("simhash"))
     every = nodes.unionByName(planted).checkpoint()
-    blocks = dd._memberships(every.select("node", "simhash"), 6).groupBy("g").count()
-    assert blocks.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0] < 400_000
+    blocks, hot = dd._blocks(every, 6)
+    assert hot.count() == 0
+    found = blocks.groupBy("g").count().agg(F.sum("count"), F.sum(F.expr("count * (count - 1) / 2"))).first()
+    assert found[0] < 12 * n and found[1] < 40 * n        # rows written and pairs compared
     pairs = dd.near_duplicate_pairs(every, max_hamming=6)
     assert pairs.filter(f"b = a + {n}").count() == n // 64
