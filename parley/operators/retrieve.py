@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from parley.functions import text as tx
 from parley.functions.text import _col
 from parley.operators.embed import Embedder, hashed_embedder
+from parley.operators.order import first_rows
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_K = 6               # neighbours per chat turn
@@ -309,9 +310,7 @@ def sample_messages(corpus: DataFrame, n: int, seed: int | None = 1337) -> DataF
 # T2
 def first_messages(corpus: DataFrame, n: int | None) -> DataFrame:
     """First ``n`` messages in corpus order (negative -> 0); None -> all."""
-    if n is None:
-        return corpus
-    return corpus.orderBy("source", "line_no").limit(max(0, int(n)))
+    return corpus if n is None else first_rows(corpus, n)
 
 
 # V6

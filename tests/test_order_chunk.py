@@ -33,17 +33,17 @@ def test_chunk_ids(spark):
     assert ids == [(hashlib.sha1(b"a\nb").hexdigest() + ":1-2",)]
 
 
-def test_halo_buckets_equal_plain_windows(spark):
+def test_next_rows_equal_plain_windows(spark):
     rnd = random.Random(11)
     data = []
     for s in range(4):
         ln = 0
         for _ in range(rnd.randint(0, 40)):
-            ln += rnd.randint(1, 3)
+            ln += rnd.choice([1, 1, 2, 3, 17])      # some blocks are missing, some hold one row
             data.append((f"s{s}", ln, f"t{s}-{ln}"))
     df = spark.createDataFrame(data, "source string, line_no long, text string").repartition(3)
-    for n in (1, 2, 3, 5):
-        got = od.next_rows(df, ["source"], ["line_no", "text"], n, block=4, bucket=5)
+    for n in (1, 2, 3, 5, 11):
+        got = od.next_rows(df, ["source"], ["line_no", "text"], n, block=4)
         got = {(r["source"], r["line_no"]): [x["text"] for x in r["_win"]] for r in got.collect()}
         by = {}
         for s, ln, t in sorted(data):
@@ -53,7 +53,7 @@ def test_halo_buckets_equal_plain_windows(spark):
             i = by[s].index(t)
             exp[(s, ln)] = by[s][i:i + n]
         assert got == exp
-    lead = od.lead_within(df, ["source"], "text", "nxt", block=3, bucket=2)
+    lead = od.lead_within(df, ["source"], "text", "nxt", block=3)
     got = {(r["source"], r["line_no"]): r["nxt"] for r in lead.collect()}
     for (s, ln), v in got.items():
         seq = by[s]
@@ -85,3 +85,36 @@ def test_global_offsets(spark):
     for s, ln, t in sorted(data):
         assert got[(s, ln)] == acc
         acc += len(t)
+
+
+def test_running_last(spark):
+    rnd = random.Random(3)
+    data = [(s, ln, rnd.choice([None, None, None, ln])) for s in ("a", "b") for ln in range(1, 40, rnd.choice([1, 3]))]
+    df = spark.createDataFrame(data, "source string, line_no long, v long").repartition(3)
+    for inclusive in (True, False):
+        got = {(r["source"], r["line_no"]): r["last"] for r in od.running_last(df, ["source"], "v", "last", block=5, inclusive=inclusive).collect()}
+        last = {}
+        for s, ln, v in data:
+            seen = last.get(s)
+            last[s] = seen if v is None else v
+            assert got[s, ln] == (last[s] if inclusive else seen)
+
+
+def test_first_rows_is_a_filter(spark):
+    data = [(s, ln, f"{s}{ln}") for s in (None, "a", "b", "c") for ln in range(2, 90, 3)]
+    df = spark.createDataFrame(data, "source string, line_no long, text string").repartition(5)
+    ordered = sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    for n in (-1, 0, 1, 29, 30, 58, 87, len(data) // 2, len(data) - 1, len(data), 10_000):
+        out = od.first_rows(df, n, block=16)
+        assert sorted((r["text"] for r in out.collect())) == sorted(r[2] for r in ordered[:max(n, 0)])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "Window" not in plan
+
+
+def test_windows_move_the_text_once(spark):
+    c = spark.range(2000).select((F.col("id") % 3).alias("source"), F.col("id").alias("line_no"), F.col("id").cast("string").alias("text"))
+    df = ch.build_chunks(c, "window", 4)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # the rows' own exchange, then the first rows of later blocks: cut to n - 1 a block before they move
+    assert plan.count("Exchange hashpartitioning(source") - plan.count("WindowGroupLimit [source") // 2 <= 3
+    assert "WindowGroupLimit" in plan and df.count() == 3 * 666 - 9 + 2
