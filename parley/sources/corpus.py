@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
+from parley.operators.joins import broadcast_checked
+from parley.session import ensure_checkpoint_dir
 
 
 def lines_of(df: DataFrame, source_col: str, text_col: str) -> DataFrame:
@@ -52,25 +54,28 @@ def corpus_from_table(df: DataFrame, source_col: str, order_col: str, text_col:
                      F.col(text_col).alias("text"))
 
 
-def read_text_files(spark: SparkSession, paths) -> DataFrame:
+def read_text_files(spark: SparkSession, paths, line_sep: str | None = None) -> DataFrame:
     """Raw lines of text files: ``(source=path, line_no, text)``, 1-based line
     numbers counting blank lines, bad bytes replaced.
 
     Files are read split by split (a huge export is many tasks; ``\n``, ``\r\n``
-    and ``\r`` all end a line).  A row's number is its position inside its split
-    (low bits of ``monotonically_increasing_id``) plus the line count of the
-    earlier splits of the same file, from the narrow one-row-per-split table."""
+    and ``\r`` all end a line, or ``line_sep`` alone).  A row's number is its position inside
+    its split (low bits of ``monotonically_increasing_id``) plus the line count of the
+    earlier splits of the same file, from the one-row-per-split table, which is counted
+    once and sent to the rows where it is small."""
     if isinstance(paths, str):
         paths = [paths]
-    raw = spark.read.text(list(paths)).select(
+    reader = spark.read if line_sep is None else spark.read.option("lineSep", line_sep)
+    raw = reader.text(list(paths)).select(
         F.input_file_name().alias("source"), F.input_file_block_start().alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"),
         F.call_function("make_valid_utf8", F.col("value")).alias("text"))
     raw = raw.withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
     splits = raw.groupBy("source", "_blk").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("source").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    return (raw.join(splits, ["source", "_blk"], "inner")
+    ensure_checkpoint_dir(spark)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n").checkpoint(eager=True)
+    return (raw.join(broadcast_checked(splits), ["source", "_blk"], "inner")
                .select("source", (F.col("_before") + F.col("_pos") - F.col("_first") + 1).cast("bigint").alias("line_no"),
                        "text"))
 

@@ -1,6 +1,8 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from parley.sources import exports as ex
 from conftest import rows
@@ -56,6 +58,8 @@ def test_telegram_errors(spark, tmp_path):
     p.write_text('{"messages": {"a": 1}}', encoding="utf-8")
     with pytest.raises(ex.ParseError):
         ex.read_export(spark, str(p), "telegram").collect()
+    with pytest.raises(ex.ParseError):
+        ex.parse_telegram(ex.read_json_docs(spark, str(p))).collect()
     with pytest.raises(ex.ParseError):
         ex.export_format("csv")
 
@@ -111,8 +115,18 @@ def test_write_samples(spark, tmp_path):
     lines = [json.loads(x) for p in (tmp_path / "l").glob("part-*") for x in p.read_text().splitlines()]
     assert lines == [{"query": "q1", "results": [{"id": "a", "score": 0.5, "text": "t"}]}]
     ex.write_samples(df, str(tmp_path / "j"), " JSON ")
-    doc = json.loads("".join(p.read_text() for p in (tmp_path / "j").glob("part-*")))
+    doc = json.loads("".join(p.read_text() for p in sorted((tmp_path / "j").glob("part-*"))))
     assert isinstance(doc, list) and doc[0]["query"] == "q1"
+    many = df.crossJoin(spark.range(500)).withColumn("query", F.concat("query", F.lit(" ],[\n"), "id")).drop("id").repartition(6)
+    for rows_ in (many, many.limit(1), many.limit(0)):
+        out = tmp_path / f"m{rows_.count()}"
+        ex.write_samples(rows_, str(out), "json")
+        doc = json.loads("".join(p.read_text() for p in sorted(out.glob("part-*"))))
+        assert sorted(x["query"] for x in doc) == sorted(r["query"] for r in rows_.collect())
+        assert json.loads((out / "_manifest.json").read_text())["rows"] == len(doc)
+        back = ex.read_samples(spark, str(out), df._jdf.schema().toDDL(), "json")
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, rows_.collect()))
+    assert len(list((tmp_path / "m500").glob("part-*"))) > 1
     with pytest.raises(ValueError):
         ex.write_samples(df, str(tmp_path / "x"), "csv")
 
@@ -138,3 +152,61 @@ def test_telegram_text_forms(spark):
     msgs = [{"id": i, "type": "message", "text": t} for i, (t, _) in enumerate(cases)] + [{"id": 90, "type": "service", "text": "gone"}, "odd", 5]
     df = spark.createDataFrame([("d", json.dumps({"name": "c", "messages": msgs}))], "source string, json string")
     assert [r[0] for r in rows(ex.parse_telegram(df).orderBy("line_no"), "text")] == [w for _, w in cases if w is not None]
+
+
+def _read_in_splits(spark, path, size, fn):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        return fn()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_telegram_file_in_many_splits_equals_the_whole_document(spark, tmp_path):
+    r = random.Random(5)
+    odd = ['}', '{', '"', '\\', '},{', '"messages": [', ']', '[', ',', ' \u00e9 ', '\n', '{"a":1}', 'x', '\\"', '😀', "\\}"]
+    word = lambda: "".join(r.choice(odd + list("abc ")) for _ in range(r.randint(0, 12)))
+    def message(i):
+        text = r.choice([word(), [word(), {"type": "bold", "text": word()}, 3, None], {"no": [word()]}, None, 7])
+        m = {"id": i, "type": r.choice(["message", "message", "service", None]), "date": word(), "from": word(), "text": text,
+             "extra": {"messages": [{"text": word()}], "deep": [[{"x": word()}], []]}}
+        return m if r.random() < 0.8 else {k: v for k, v in m.items() if r.random() < 0.7}
+    entries = lambda n: [message(i) if r.random() < 0.8 else r.choice([word(), 5, None, True, [word(), {"text": "in a list"}], [], {}, [[], [1]]]) for i in range(n)]
+    docs = {
+        "plain": json.dumps({"name": word(), "type": "chat", "messages": entries(120)}),
+        "spread": json.dumps({"about": {"messages": [1, {"text": "no"}]}, "list": [[{"messages": [{"text": "no"}]}]], "messages": entries(80),
+                              "tail": {"x": [{"messages": [3]}]}, "end": ["messages", 1]}, indent=2, ensure_ascii=False),
+        "empty": '{"messages": []}', "first": '{"messages":[{"text":"one"}]}\n', "strings": '{"messages": ["}", "{", {"text": "two }{ "}, "x"] }',
+    }
+    for name, doc in docs.items():
+        (tmp_path / f"{name}.json").write_text(doc, encoding="utf-8")
+    want = ex.parse_telegram(ex.read_json_docs(spark, str(tmp_path)), True)
+    want = sorted(tuple(x) for x in want.collect())
+    for size in (97, 1000, 1 << 27):
+        got = _read_in_splits(spark, tmp_path, size, lambda: sorted(tuple(x) for x in ex.read_export(spark, str(tmp_path), "tg", True).collect()))
+        assert got == want and len(got) > 30
+    pieces = _read_in_splits(spark, tmp_path, 1000, lambda: ex.read_text_files(spark, str(tmp_path), line_sep="}").rdd.getNumPartitions())
+    assert pieces > 20
+
+
+def test_telegram_file_with_a_broken_message(spark, tmp_path):
+    p = tmp_path / "bad.json"
+    p.write_text('{"messages": [{"text": "ok"}, {"text": nonsense}]}', encoding="utf-8")
+    with pytest.raises(Exception, match="MALFORMED"):
+        ex.read_export(spark, str(p), "telegram").collect()
+
+
+def test_dropped_island_leaves_before_the_gather(spark):
+    """A notice followed by very many lines: they never reach the aggregate."""
+    n = 300_000
+    lines = spark.range(n).select(F.lit("x").alias("source"), (F.col("id") + 3).alias("line_no"), F.concat(F.lit("line "), "id").alias("text"))
+    head = spark.createDataFrame([("x", 1, "1/2/24, 9:00 - A: first"), ("x", 2, "1/2/24, 9:01 - a notice"), ("x", n + 5, "1/2/24, 9:02 - B: last")],
+                                 "source string, line_no long, text string")
+    out = ex.parse_whatsapp(head.unionByName(lines).repartition(6))
+    assert sorted(tuple(r) for r in out.collect()) == [("x", 1, "first"), ("x", n + 5, "last")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    gather = plan.index("collect_list")
+    assert "_of" in plan[gather:] and plan[gather:].index("Filter") < plan[gather:].index("Window")
