@@ -221,18 +221,13 @@ def greedy_dropped_blocks(nodes: DataFrame, max_hamming: int = H.DEFAULT_MAX_HAM
     return out
 
 
-def fuzzy_keep(items: DataFrame, text_col: str, order_cols: list[str], max_hamming: int = H.DEFAULT_MAX_HAMMING,
-               eligible_col: str | None = None, out: str = "fuzzy_keep") -> DataFrame:
-    """Add boolean ``out``.  Blank texts (and rows with ``eligible_col`` false)
-    are dropped and never match anything."""
+def fuzzy_keep_hashes(items: DataFrame, simhash: F.Column, order_cols: list[str], max_hamming: int = H.DEFAULT_MAX_HAMMING,
+                      out: str = "fuzzy_keep") -> DataFrame:
+    """A6 over hashes: add boolean ``out``.  Rows whose ``simhash`` is null are dropped and
+    never match anything."""
     ensure_checkpoint_dir(items.sparkSession)
-    elig = tx.strip_ws(F.col(text_col)) != ""
-    if eligible_col is not None:
-        elig = elig & F.col(eligible_col)
     # narrow table of candidates, hashed once and cut from the lineage
-    cand = (items.filter(elig)
-                 .select(F.struct(*order_cols).alias("node"), H.simhash64(F.col(text_col)).alias("simhash"))
-                 .checkpoint(eager=True))
+    cand = items.select(F.struct(*order_cols).alias("node"), simhash.alias("simhash")).filter("simhash is not null").checkpoint(eager=True)
     if int(max_hamming) < 0:
         kept = cand.select("node")
     else:
@@ -244,3 +239,13 @@ def fuzzy_keep(items: DataFrame, text_col: str, order_cols: list[str], max_hammi
     return (items.join(kept, order_cols, "left")
                  .withColumn(out, F.coalesce(F.col("_k"), F.lit(False)))
                  .drop("_k"))
+
+
+def fuzzy_keep(items: DataFrame, text_col: str, order_cols: list[str], max_hamming: int = H.DEFAULT_MAX_HAMMING,
+               eligible_col: str | None = None, out: str = "fuzzy_keep") -> DataFrame:
+    """Add boolean ``out``.  Blank texts (and rows with ``eligible_col`` false)
+    are dropped and never match anything."""
+    elig = tx.strip_ws(F.col(text_col)) != ""
+    if eligible_col is not None:
+        elig = elig & F.col(eligible_col)
+    return fuzzy_keep_hashes(items, F.when(elig, H.simhash64(F.col(text_col))), order_cols, max_hamming, out)

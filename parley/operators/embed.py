@@ -26,6 +26,7 @@ from parley.functions.text import _col
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_DIM = 384       # embedding width of the reference default model
+DEFAULT_BATCH = 256     # texts embedded at a time
 # ---------------------------------------------------------------------------
 
 Embedder = Callable[[Column], Column]
@@ -55,21 +56,27 @@ def _bucket_batch(hashes: pa.Array, dim: int) -> pa.Array:
 
 
 @lru_cache(maxsize=None)
-def _bucket_udf(dim: int):
-    return F.arrow_udf(lambda h: _bucket_batch(h, dim), T.ArrayType(T.FloatType()))
+def _bucket_udf(dim: int, batch: int):
+    def run(hashes: pa.Array) -> pa.Array:
+        # a few rows at a time: the counts of a slice are a dense matrix
+        parts = [_bucket_batch(hashes.slice(at, batch), dim) for at in range(0, max(len(hashes), 1), batch)]
+        return pa.concat_arrays(parts)
+    return F.arrow_udf(run, T.ArrayType(T.FloatType()))
 
 
-def hashed_embedder(dim: int = DEFAULT_DIM) -> Embedder:
-    """Default embedder: hashed word counts, unit length (all-zero for no token)."""
-    dim = int(dim)
+def hashed_embedder(dim: int = DEFAULT_DIM, batch: int = DEFAULT_BATCH) -> Embedder:
+    """Default embedder: hashed word counts, unit length (all-zero for no token), ``batch`` texts
+    at a time."""
+    dim, batch = int(dim), max(1, int(batch))
 
     def embed_col(c) -> Column:
-        return _bucket_udf(dim)(token_hashes(_col(c)))
+        return _bucket_udf(dim, batch)(token_hashes(_col(c)))
     return embed_col
 
 
 def embed(df: DataFrame, text_col: str = "text", embedder: Embedder | None = None,
-          out: str = "embedding") -> DataFrame:
-    """V1: add ``out`` = embedder(text)."""
-    embedder = embedder or hashed_embedder()
+          out: str = "embedding", batch: int | None = None) -> DataFrame:
+    """V1: add ``out`` = embedder(text).  ``batch`` sets how many texts the default embedder takes
+    at a time; an embedder that is passed in has a batch size of its own."""
+    embedder = embedder or hashed_embedder(batch=batch or DEFAULT_BATCH)
     return df.withColumn(out, embedder(F.col(text_col)))

@@ -54,33 +54,35 @@ def flag_chunks(corpus: DataFrame, store: ParquetStore | None = None, opts: Inge
     chunks = ch.with_ids(ch.build_chunks(msgs, mode, o.window_size), mode).withColumnRenamed("text", "raw")
     text = tx.redact(F.col("raw"), o.redact_types) if o.redact else F.col("raw")
     chunks = chunks.withColumn("text", text).withColumn("content_hash", H.content_hash("text"))
-    if o.fuzzy_dedupe or (o.exact_dedupe and mode == "window"):
-        # the dedupe steps read the chunks more than once (winners, then the rows
-        # themselves): write them once instead of re-running the chunking windows
-        # (message chunks are a plain projection and cheap to recompute)
-        ensure_checkpoint_dir(chunks.sparkSession)
-        chunks = chunks.checkpoint(eager=True)
+    # written once; every check runs on a narrow table of keys and hashes, whose flags are
+    # joined back in the end, so the texts are moved once
+    ensure_checkpoint_dir(chunks.sparkSession)
+    chunks = chunks.checkpoint(eager=True)
+    order = ["source", "start_line"]
+    narrow = chunks.select(*order, "id", "content_hash")
+    if o.fuzzy_dedupe:
+        blank = tx.strip_ws(F.col("text")) == ""
+        narrow = chunks.select(*order, "id", "content_hash", F.when(~blank, H.simhash64("text")).alias("_simhash")).checkpoint(eager=True)
     if stored is None and store is not None:
         r = store.read()
         stored = r.select("id", F.col("metadata.content_hash").alias("content_hash"))
-    order = ["source", "start_line"]
     if o.exact_dedupe:
         seen = stored.select("content_hash") if stored is not None else None
-        chunks = dd.exact_keep(chunks, "content_hash", order, seen=seen)
+        narrow = dd.exact_keep(narrow, "content_hash", order, seen=seen)
     else:
-        chunks = chunks.withColumn("exact_keep", F.lit(True))
+        narrow = narrow.withColumn("exact_keep", F.lit(True))
     if o.fuzzy_dedupe:
-        chunks = dd.fuzzy_keep(chunks, "text", order, o.fuzzy_max_hamming,
-                               eligible_col="exact_keep" if o.exact_dedupe else None)
+        narrow = dd.fuzzy_keep_hashes(narrow, F.when(F.col("exact_keep"), F.col("_simhash")), order, o.fuzzy_max_hamming)
     else:
-        chunks = chunks.withColumn("fuzzy_keep", F.lit(True))
-    chunks = chunks.withColumn("keep", F.col("exact_keep") & F.col("fuzzy_keep"))
+        narrow = narrow.withColumn("fuzzy_keep", F.lit(True))
+    narrow = narrow.withColumn("keep", F.col("exact_keep") & F.col("fuzzy_keep"))
     if stored is not None:
         ids = stored.select("id").distinct().withColumn("existing", F.lit(True))
-        chunks = chunks.join(ids, "id", "left").withColumn("existing", F.coalesce("existing", F.lit(False)))
+        narrow = narrow.join(ids, "id", "left").withColumn("existing", F.coalesce("existing", F.lit(False)))
     else:
-        chunks = chunks.withColumn("existing", F.lit(False))
-    return chunks.withColumn("add", F.col("keep") & ~F.col("existing"))
+        narrow = narrow.withColumn("existing", F.lit(False))
+    flags = narrow.select(*order, "exact_keep", "fuzzy_keep", "keep", "existing", (F.col("keep") & ~F.col("existing")).alias("add"))
+    return chunks.join(flags, order)
 
 
 def ingest_summary(flagged: DataFrame, messages: DataFrame | None = None) -> DataFrame:

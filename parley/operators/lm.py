@@ -202,6 +202,26 @@ def with_offsets(stream: DataFrame, length_col: str | None = None) -> tuple[Data
     return global_offsets_total(stream.withColumn("length", ln.cast("long")), ["source", "line_no"], "length")
 
 
+# L4
+def encode_corpus(stream: DataFrame, vocab_chars: list[str]) -> tuple[DataFrame, int]:
+    """``(source, line_no, ids, length, offset)`` of every line, and the number of ids.
+
+    A stream of fewer than two ids is too short for a sequence: the ids of two newlines stand
+    for it, as one line (none if the vocabulary has no newline)."""
+    ids = stream.select("source", "line_no", encode_chars("text", vocab_chars).alias("ids"))
+    out, total = with_offsets(ids, length_col="ids")
+    if total >= 2:
+        return out, total
+    newline = [vocab_chars.index("\n")] * 2 if "\n" in vocab_chars else []
+    schema = out.schema
+    row = {"ids": newline, "length": len(newline), "offset": 0, "line_no": 1}
+    return stream.sparkSession.createDataFrame([tuple(row.get(f.name) for f in schema.fields)] if newline else [], schema_nullable(schema)), len(newline)
+
+
+def schema_nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+
+
 # L6 / W8
 def tail_split(with_off: DataFrame, total: int, val_fraction: float = 0.05, seq_len: int = 256) -> tuple[DataFrame, int]:
     """Per line: ``train_chars`` and ``val_chars`` of a tail split at character

@@ -33,14 +33,14 @@ STOPS = ["\n", "\nUSER:", "\nYOU:"]
 def strategy_name(s: str | None) -> str:
     v = str(s or "").strip().lower()
     if v not in STRATEGIES:
-        raise ValueError("reply strategy must be one of: hybrid|generate|corpus")
+        raise ValueError(f"no way to reply {s!r}: hybrid, generate or corpus")
     return v
 
 
 def template_name(t: str | None) -> str:
     v = str(t or "few-shot").strip().lower()
     if v not in TEMPLATES:
-        raise ValueError("prompt template must be one of: minimal|scaffold|few-shot")
+        raise ValueError(f"no prompt layout {t!r}: minimal, scaffold or few-shot")
     return TEMPLATES[v]
 
 
@@ -54,12 +54,16 @@ def corpus_next(corpus: DataFrame) -> DataFrame:
 
 
 # J5
-def next_message(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+def next_message(hits: DataFrame, corpus: DataFrame, cut: bool = True) -> DataFrame:
     """Add ``next_text`` to each hit with integer metadata ``line`` (NULL otherwise).
 
-    Only the sources the hits come from are read for next messages (a semi-join
+    The hits are read twice, so with ``cut`` they are written first and their retrieval
+    runs once.  Only the sources the hits come from are read for next messages (a semi-join
     on the distinct hit sources), so a small batch of turns does not scan the
     whole corpus's order."""
+    if cut:
+        ensure_checkpoint_dir(hits.sparkSession)
+        hits = hits.checkpoint(eager=True)
     srcs = hits.select(F.col("metadata.source").alias("_s")).distinct()
     touched = corpus.join(srcs, F.col("source").cast("string") == F.col("_s"), "left_semi")
     nxt = corpus_next(touched).withColumnRenamed("source", "_src").withColumnRenamed("line_no", "_line")
@@ -130,16 +134,17 @@ def generated_answer(prompt: Column, generator, stops: list[str] | None = None)
 # R3 + R5
 def turns(queries: DataFrame, hits: DataFrame, corpus: DataFrame, strategy: str = "hybrid",
           template: str = "few-shot", min_score: float = DEFAULT_MIN_SCORE, generator=None,
-          stops: list[str] | None = None) -> DataFrame:
+          stops: list[str] | None = None, redact_replies: bool = False) -> DataFrame:
     """``(query_id, user, answer, used_strategy, prompt, retrieved)``.
 
-    ``prompt`` is set on generate rows; without a generator their answer is NULL."""
+    ``prompt`` is set on generate rows; without a generator their answer is NULL.  Replies come
+    from the corpus as it is; ``redact_replies`` redacts the answers."""
     st = strategy_name(strategy)
     template_name(template)
     ensure_checkpoint_dir(queries.sparkSession)
     # the hits and their next messages feed three branches: computed once
     hits = hits.checkpoint(eager=True)
-    nh = next_message(hits, corpus).checkpoint(eager=True)
+    nh = next_message(hits, corpus, cut=False).checkpoint(eager=True)
     q = queries.select("query_id", F.col("query").alias("user"))
     if st in ("corpus", "hybrid"):
         q = q.join(corpus_reply(hits, corpus, st, min_score, nh).select("query_id", "reply"), "query_id", "left")
@@ -153,7 +158,8 @@ def turns(queries: DataFrame, hits: DataFrame, corpus: DataFrame, strategy: str
         "prompt", F.when(F.col("used_strategy") == "generate", F.col("prompt")))
     gen = generated_answer(F.col("prompt"), generator, stops) if generator is not None else F.lit(None).cast("string")
     out = F.when(F.col("used_strategy") == "corpus", F.coalesce("reply", F.lit(""))).otherwise(gen)
-    q = q.withColumn("answer", tx.clean_answer(out))
+    answer = tx.clean_answer(out)
+    q = q.withColumn("answer", tx.redact(answer) if redact_replies else answer)
     cols = [c for c in ("text", "score", "metadata") if c in hits.columns]
     ret = (hits.groupBy("query_id")
                .agg(F.sort_array(F.collect_list(F.struct("rank", *cols))).alias("_r"))
@@ -168,3 +174,8 @@ def turn_events(turns_df: DataFrame) -> DataFrame:
     """One JSON object per line: ``{type, user, answer, used_strategy, retrieved}``."""
     return turns_df.select(F.to_json(F.struct(F.lit("turn").alias("type"), "user", "answer", "used_strategy",
                                               "retrieved")).alias("value"))
+
+
+def write_turns(turns_df: DataFrame, path: str, mode: str = "append") -> None:
+    """Turn events as files of JSON lines under ``path``; appended by default, as a chat goes on."""
+    turn_events(turns_df).write.mode(mode).text(path)

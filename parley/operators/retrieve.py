@@ -3,16 +3,19 @@
 Exact k-NN: when the query matrix is small (a checked count and size), it is
 broadcast and every corpus partition is scored where it lies (``mapInArrow``,
 NumPy), keeping exactly k rows per query and partition, so the corpus is never
-shuffled.  Otherwise it is a blocked nested loop: the corpus is cut into hash
-blocks of at most ``block_rows`` vectors, the queries into blocks of
-``query_block_rows``; each (query block, corpus block) pair meets in one
+shuffled.  Otherwise the corpus is cut into cells, each a ball around a centroid
+(``quantise``): every query is scored against its nearest cell first, and then only against
+the cells whose ball can still hold a score that beats its k-th (``pruned_topk``), exact for any
+cells.  Inside a cell, (query block, corpus block) pairs meet in one
 ``cogroup`` task that does a NumPy matrix product and keeps a local top-k, so no
-pair is ever a row.  A final
-``row_number() <= k`` per query (planned with a partial ``WindowGroupLimit``)
-merges the local lists.  Approximate k-NN (IVF) trains ``pyspark.ml`` KMeans on the
-vectors, assigns every vector to its cell, probes the ``nprobe`` best cells per
-query (exactly, with the same scorer over the centroids) and scores only those
-cells, sub-blocked so a crowded cell is not one task.
+pair is ever a row.  A final ``row_number() <= k`` per query (planned with a partial
+``WindowGroupLimit``) merges the local lists.
+
+Approximate k-NN probes the ``nprobe`` best cells per query and scores only those.
+Cells come from a two-level quantiser: a few parents over a sample, then the cells
+inside each parent, all of them rows of a written table whose size follows the store.
+``nprobe`` is set by measurement: the number of cells at which a sample of stored
+vectors finds the wanted share of its exact neighbours.
 
 Scores are cosine similarities of unit vectors (dot products), in DOUBLE; ties are
 broken by ``round(score, 9)`` descending, then id ascending.
@@ -21,6 +24,7 @@ broken by ``round(score, 9)`` descending, then id ascending.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,7 @@ from parley.functions import text as tx
 from parley.functions.text import _col
 from parley.operators.embed import Embedder, hashed_embedder
 from parley.operators.order import first_rows
+from parley.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_K = 6               # neighbours per chat turn
@@ -43,7 +48,11 @@ MAX_BROADCAST_GROUPS = 1 << 16
 MAX_BROADCAST_QUERIES = 8192        # query vectors broadcast to score the corpus in place
 MAX_BROADCAST_QUERY_FLOATS = 1 << 22  # and at most this many floats (32 MB as doubles)
 MAX_BROADCAST_HITS = 1 << 18        # hit rows broadcast to fetch their payload
-MAX_CELLS = 4096                    # default limit of IVF cells, whatever the store holds
+MAX_BROADCAST_CELL_FLOATS = 1 << 26 # centroid floats sent to every task (256 MB); more go by a join
+SAMPLE_PER_CELL = 64                # training vectors per cell (a sample; every vector is assigned)
+MAX_CHILDREN = 1024                 # cells of one parent
+RECALL = 0.95                       # share of exact neighbours that ``nprobe`` is set for, on a sample
+RECALL_SAMPLE = 256                 # vectors of that sample
 SCORE_SLICE = 512                   # corpus rows scored at once against all queries
 SCORE_DIGITS = 9            # tie-break precision
 # ---------------------------------------------------------------------------
@@ -185,10 +194,8 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, group: str | Non
             local = _broadcast_topk(queries, corpus, k, head)
             return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                          .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
-    g = group or "_g"
-    if group is None:
-        queries = queries.withColumn(g, F.lit(0))
-        corpus = corpus.withColumn(g, F.lit(0))
+        return pruned_topk(queries, corpus, k, block_rows=block_rows, query_block_rows=query_block_rows)
+    g = group
     sizes = (_sizes(corpus, g, block_rows, "_nc")
              .join(_sizes(queries, g, query_block_rows, "_nq"), g, "inner"))
     n_groups = sizes.count()
@@ -226,36 +233,225 @@ def knn(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, with_payload:
     return (F.broadcast(hits) if few and k * MAX_BROADCAST_QUERIES <= MAX_BROADCAST_HITS else hits).join(payload, "id", "inner")
 
 
+# --- cells ---------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Cells:
+    """``table(cell BIGINT, parent INT, vec ARRAY<DOUBLE>)``, written; ``parents`` the matrix of the
+    parents' unit vectors (row = parent), None for cells that were given without."""
+    table: DataFrame
+    parents: np.ndarray | None = None
+
+
+def given_cells(table: DataFrame) -> Cells:
+    """Cells from a table ``(cell, vec)``."""
+    ensure_checkpoint_dir(table.sparkSession)
+    return Cells(table.select(F.col("cell").cast("bigint").alias("cell"), F.lit(0).alias("parent"),
+                              F.col("vec").cast("array<double>").alias("vec")).checkpoint(eager=True))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm > 0, norm, 1.0)
+
+
+def _spherical_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """k unit centroids of unit vectors; a centroid that loses its vectors is dropped."""
+    x = _unit(x)
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:k]]
+    for _ in range(rounds):
+        best = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, best, x)
+        centres = _unit(sums[np.bincount(best, minlength=len(centres)) > 0])
+    return centres
+
+
+def quantise(corpus: DataFrame, nlist: int | None = None, seed: int = 1337, rounds: int = 20) -> Cells:
+    """Cells for ``corpus(id, vec)``: about ``nlist``, by default the root of its size.
+
+    Parents (the root of ``nlist``) are trained on a sample of ``SAMPLE_PER_CELL`` vectors for
+    each of them; the cells of a parent, its share of ``nlist``, on the sampled vectors that
+    are nearest to it, ``SAMPLE_PER_CELL`` for each cell, in one task per parent."""
+    spark = corpus.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = corpus.count()
+    nlist = max(1, min(int(nlist or round(math.sqrt(n))), max(n, 1)))
+    k1 = max(1, round(math.sqrt(nlist)))
+    share = min(1.0, SAMPLE_PER_CELL * nlist / max(n, 1))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)
+    sample = corpus.filter(drawn & F.col("vec").isNotNull()).select("id", F.col("vec").cast("array<double>").alias("vec")).checkpoint(eager=True)
+    # at most about SAMPLE_PER_CELL x k1 vectors, k1 the fourth root of the store
+    seeds = sample.orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id").limit(SAMPLE_PER_CELL * k1).collect()
+    table_type = "cell bigint, parent int, vec array<double>"
+    if not seeds:
+        return Cells(spark.createDataFrame([], table_type))
+    parents = _spherical_means(np.array([r["vec"] for r in seeds]), k1, rounds, seed)
+
+    def train(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_h", kind="stable")
+        k = min(MAX_CHILDREN, max(1, round(nlist * int(pdf["_all"].iloc[0]) / int(pdf["_sampled"].iloc[0]))))
+        centres = _spherical_means(np.stack(pdf["vec"].to_numpy())[:SAMPLE_PER_CELL * k], k, rounds, seed)
+        parent = int(key[0])
+        return pd.DataFrame({"cell": parent * (1 << 32) + np.arange(len(centres), dtype=np.int64), "parent": parent, "vec": list(centres)})
+
+    placed = sample.mapInArrow(_nearest(parents, np.arange(len(parents))),
+                               _placed_schema(sample.schema["id"].dataType)).checkpoint(eager=True)
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_all"))
+    sampled = placed.count()
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy("_h", "id"))
+    rows = placed.withColumn("_h", F.xxhash64(F.lit(seed + 2), "id")).withColumn("_n", nth) \
+                 .filter(F.col("_n") <= SAMPLE_PER_CELL * min(MAX_CHILDREN, nlist)) \
+                 .join(F.broadcast(sizes), "cell").withColumn("_sampled", F.lit(sampled))
+    table = rows.select("cell", "vec", "_h", "_all", "_sampled").groupBy("cell").applyInPandas(train, table_type)
+    return Cells(table.checkpoint(eager=True), parents)
+
+
+def _placed_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("id", id_type), T.StructField("vec", T.ArrayType(T.DoubleType())),
+                         T.StructField("cell", T.LongType()), T.StructField("far", T.DoubleType())])
+
+
+def _nearest(matrix: np.ndarray, names: np.ndarray):
+    """mapInArrow kernel: (id, vec) -> (id, vec, the name of the row of the matrix with the highest
+    score, the distance to it); equal scores (rounded) go to the first row."""
+    def run(batches):
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            vec = rb.column("vec")
+            x = np.asarray(vec.flatten(), dtype=np.float64).reshape(rb.num_rows, -1)
+            best = np.concatenate([np.round(x[a:a + SCORE_SLICE] @ matrix.T, SCORE_DIGITS).argmax(axis=1) for a in range(0, len(x), SCORE_SLICE)])
+            far = np.linalg.norm(x - matrix[best], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())),
+                 pa.array(names[best].astype(np.int64)), pa.array(far)], names=["id", "vec", "cell", "far"])
+    return run
+
+
+def assign_cells(corpus: DataFrame, cells: Cells) -> DataFrame:
+    """``(id, vec, cell, far)``: every vector of ``corpus(id, vec)`` with its nearest cell and the
+    distance to that centroid; written.
+
+    The centroids are sent to the tasks while they are small (checked), and are joined to the
+    vectors block by block beyond that."""
+    spark = corpus.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = corpus.select("id", F.col("vec").cast("array<double>").alias("vec")).filter(F.col("vec").isNotNull())
+    id_type = rows.schema["id"].dataType
+    dim = (cells.table.select(F.size("vec")).first() or [0])[0]
+    fits = cells.table.limit(MAX_BROADCAST_CELL_FLOATS // max(dim, 1) + 1).count() <= MAX_BROADCAST_CELL_FLOATS // max(dim, 1)
+    if fits:
+        held = cells.table.orderBy("cell").collect()
+        if not held:
+            return rows.select("id", "vec", F.lit(None).cast("bigint").alias("cell"), F.lit(None).cast("double").alias("far")).limit(0)
+        matrix, names = np.array([r["vec"] for r in held]), np.array([r["cell"] for r in held])
+        return rows.mapInArrow(_nearest(matrix, names), _placed_schema(id_type)).checkpoint(eager=True)
+    best = blocked_topk(rows.select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"), F.lit(0).alias("_g")),
+                        cells.table.select(F.col("cell").alias("id"), "vec", F.lit(0).alias("_g")), 1, group="_g")
+    placed = rows.join(best.select(F.col("query_id").alias("id"), F.col("id").alias("cell")), "id") \
+                 .join(cells.table.select("cell", F.col("vec").alias("_c")), "cell")
+    far = F.sqrt(F.aggregate(F.zip_with("vec", "_c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    return placed.select("id", "vec", "cell", far.alias("far")).checkpoint(eager=True)
+
+
+def _merge(local: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("id"))
+    return (local.select("query_id", "id", "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                 .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
+
+
+def topk_in_cells(probed: DataFrame, assigned: DataFrame, k: int, **blocking) -> DataFrame:
+    """Exact top-k of ``probed(query_id, qvec, cell)`` within the cells that each query probes."""
+    return _merge(blocked_topk(probed, assigned.select("id", "vec", "cell"), k, group="cell", **blocking), k)
+
+
+# J4
+def cells_that_matter(queries: DataFrame, assigned: DataFrame, cells: Cells, k: int, **blocking) -> tuple[DataFrame, DataFrame]:
+    """``(first, rest)``: the top-k of every query in its nearest cell ``(query_id, rank, id, score)``,
+    and the ``(query_id, qvec, cell)`` of all other cells whose ball can hold a score as high as
+    its k-th there: ``q . centroid + |q| radius`` bounds every score in a cell."""
+    ensure_checkpoint_dir(queries.sparkSession)
+    balls = assigned.groupBy("cell").agg(F.max("far").alias("radius")).join(cells.table.select("cell", "vec"), "cell").orderBy("cell").collect()
+    names = np.array([r["cell"] for r in balls], dtype=np.int64)
+    centres, radius = np.array([r["vec"] for r in balls]), np.array([r["radius"] for r in balls])
+    q_type = queries.schema["query_id"].dataType
+
+    def probe(batches):       # the nearest cell, and the bound of every cell
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            x = np.asarray(rb.column("qvec").flatten(), dtype=np.float64).reshape(rb.num_rows, -1)
+            best = (x @ centres.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([rb.column("query_id"), rb.column("qvec"), pa.array(names[best])], names=["query_id", "qvec", "cell"])
+
+    def bound(batches):
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            x = np.asarray(rb.column("qvec").flatten(), dtype=np.float64).reshape(rb.num_rows, -1)
+            most = x @ centres.T + np.linalg.norm(x, axis=1)[:, None] * radius
+            # rounding of scores and bounds is far below this margin
+            hit = most >= rb.column("kth").fill_null(-np.inf).to_numpy(zero_copy_only=False)[:, None] - 10.0 ** (1 - SCORE_DIGITS)
+            hit &= names[None, :] != rb.column("nearest").to_numpy()[:, None]
+            row, cell = np.nonzero(hit)
+            yield pa.RecordBatch.from_arrays([rb.column("query_id").take(pa.array(row)), rb.column("qvec").take(pa.array(row)), pa.array(names[cell])],
+                                             names=["query_id", "qvec", "cell"])
+
+    schema = T.StructType([T.StructField("query_id", q_type), T.StructField("qvec", queries.schema["qvec"].dataType), T.StructField("cell", T.LongType())])
+    nearest = queries.select("query_id", "qvec").mapInArrow(probe, schema).checkpoint(eager=True)
+    first = topk_in_cells(nearest, assigned, k, **blocking).checkpoint(eager=True)
+    kth = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    rest = nearest.withColumnRenamed("cell", "nearest").join(kth, "query_id", "left").mapInArrow(bound, schema)
+    return first, rest
+
+
+def pruned_topk(queries: DataFrame, corpus: DataFrame, k: int, cells: Cells | None = None, **blocking) -> DataFrame:
+    """Exact top-k of ``queries(query_id, qvec)`` (ids unique) against ``corpus(id, vec)``, for query
+    tables of any size: cells that cannot hold a hit are not scored."""
+    cells = cells or quantise(corpus)
+    dim = (cells.table.select(F.size("vec")).first() or [0])[0]
+    if cells.table.count() * dim > MAX_BROADCAST_CELL_FLOATS:      # bounds for so many cells go to no task: score all blocks
+        return blocked_topk(queries.withColumn("_g", F.lit(0)), corpus.withColumn("_g", F.lit(0)), k, group="_g", **blocking)
+    if cells.table.isEmpty():
+        return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(corpus.schema["id"].dataType).alias("id"),
+                              F.lit(0.0).alias("score")).limit(0)
+    assigned = assign_cells(corpus, cells)
+    first, rest = cells_that_matter(queries, assigned, cells, k, **blocking)
+    more = blocked_topk(rest, assigned.select("id", "vec", "cell"), k, group="cell", **blocking)
+    return _merge(first.select("query_id", "id", "score").unionByName(more.select("query_id", "id", "score")), k)
+
+
 # V3
-def knn_approx(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, nlist: int | None = None,
-               nprobe: int = 4, seed: int = 1337, **blocking) -> DataFrame:
-    """IVF k-NN: KMeans cells, ``nprobe`` probed cells per query, exact inside them."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def probes_for_recall(corpus: DataFrame, assigned: DataFrame, cells: Cells, k: int, recall: float = RECALL,
+                      sample: int = RECALL_SAMPLE, seed: int = 1337) -> int:
+    """The number of cells to probe so that a sample of stored vectors finds the share ``recall`` of
+    its exact ``k`` neighbours (itself left out)."""
+    drawn = corpus.filter(F.col("vec").isNotNull()).orderBy(F.xxhash64(F.lit(seed + 3), "id"), "id").limit(sample) \
+                  .select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")).checkpoint(eager=True)
+    exact = blocked_topk(drawn, assigned.select("id", "vec"), k + 1).filter(F.col("query_id") != F.col("id"))
+    cell_of = assigned.select("id", F.col("cell"))
+    ranked = blocked_topk(drawn, cells.table.select(F.col("cell").alias("id"), "vec"), max(1, cells.table.count()))
+    rank = exact.select("query_id", "id").join(cell_of, "id").join(
+        ranked.select("query_id", F.col("id").alias("cell"), F.col("rank").alias("probe")), ["query_id", "cell"])
+    got = rank.agg(F.expr(f"percentile_disc({float(recall)}) within group (order by probe)").alias("n")).first()["n"]
+    return max(1, int(got or 1))
 
-    n = store.count()
-    if n == 0:
-        return knn(queries, store, k, **blocking)
-    nlist = int(nlist or max(1, min(MAX_CELLS, round(math.sqrt(n)))))
-    nprobe = max(1, min(int(nprobe), nlist))
+
+def knn_approx(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, nlist: int | None = None,
+               nprobe: int | None = None, seed: int = 1337, recall: float = RECALL, cells: Cells | None = None, **blocking) -> DataFrame:
+    """Approximate k-NN: the ``nprobe`` best cells per query, exact inside them.  Without ``nprobe``,
+    as many as a sample needs for ``recall``."""
     vecs = store.select("id", F.col("embedding").alias("vec"))
-    model = (KMeans(k=nlist, seed=seed, distanceMeasure="cosine", featuresCol="f", maxIter=20)
-             .fit(vecs.select(array_to_vector("vec").alias("f"))))
-    centers = [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()]
-    centers = [c / (np.linalg.norm(c) or 1.0) for c in centers]
-    spark = store.sparkSession
-    cent = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)],
-                                 "id int, vec array<double>")   # nlist rows: at most MAX_CELLS unless asked for more
-    assigned = (model.transform(vecs.withColumn("f", array_to_vector("vec")))
-                     .select("id", "vec", F.col("prediction").cast("int").alias("cell")))
-    probes = blocked_topk(queries.select("query_id", "qvec"), cent, nprobe)
+    cells = cells or quantise(vecs, nlist, seed)
+    if cells.table.isEmpty():
+        return knn(queries, store, k, **blocking)
+    assigned = assign_cells(vecs, cells)
+    nprobe = int(nprobe) if nprobe else probes_for_recall(vecs, assigned, cells, k, recall, seed=seed)
+    probes = blocked_topk(queries.select("query_id", "qvec"), cells.table.select(F.col("cell").alias("id"), "vec"), max(1, nprobe))
     probed = (probes.select("query_id", F.col("id").alias("cell"))
                     .join(queries.select("query_id", "qvec"), "query_id"))
-    local = blocked_topk(probed, assigned, k, group="cell", **blocking)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", SCORE_DIGITS)), F.asc("id"))
-    hits = (local.drop("rank").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                 .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
-    return hits.join(store.drop("embedding"), "id", "inner")
+    return topk_in_cells(probed, assigned, k, **blocking).join(store.drop("embedding"), "id", "inner")
 
 
 # V4 default scorer

@@ -407,13 +407,53 @@ def q_knn_exact(spark, sf_dir):
     return blocked_topk(q, c, 6).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def _vector_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "embeddings")
+    return (e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")),
+            e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"))
+
+
+@register("knn_pruned", """
+with s as (select a.vec_id as query_id, b.vec_id as id,
+                  list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) as score
+           from embeddings a, embeddings b),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s)
+select query_id, cast(rank as integer) as rank, id, round(score, 6) as score from r where rank <= 6
+""")
+def q_knn_pruned(spark, sf_dir):
+    """Exact k-NN by cells, as for query tables too large to broadcast."""
+    from parley.operators.retrieve import pruned_topk
+    q, c = _vector_tables(spark, sf_dir)
+    return pruned_topk(q, c.drop("label"), 6).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @register("knn_approx")
 def q_knn_approx(spark, sf_dir):
+    """V3: cells trained on the table, probes by measured recall (random training: no twin; see
+    knn_approx_given and pytest's recall)."""
     from parley.operators.retrieve import knn_approx
-    e = table(spark, sf_dir, "embeddings")
-    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
-    store = e.select(F.col("vec_id").alias("id"), "embedding")
-    return knn_approx(q, store, 6, nprobe=8).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    q, c = _vector_tables(spark, sf_dir)
+    store = c.select("id", F.col("vec").alias("embedding"))
+    return knn_approx(q, store, 6).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@register("knn_approx_given", """
+with c as (select label as cell, arg_min(embedding, vec_id)::DOUBLE[] as vec from embeddings group by label),
+d as (select e.vec_id, c.cell, round(list_dot_product(e.embedding::DOUBLE[], c.vec), 9) as score from embeddings e, c),
+o as (select *, row_number() over (partition by vec_id order by score desc, cell) as n from d),
+s as (select o.vec_id as query_id, b.vec_id as id, list_dot_product(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) as score
+      from o join o b on b.cell = o.cell and b.n = 1 join embeddings q on q.vec_id = o.vec_id join embeddings x on x.vec_id = b.vec_id
+      where o.n <= 3),
+r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s)
+select query_id, cast(rank as integer) as rank, id, round(score, 6) as score from r where rank <= 6
+""")
+def q_knn_approx_given(spark, sf_dir):
+    """V3 with given cells: the first vector of every label is a centroid, three cells are probed."""
+    from parley.operators.retrieve import given_cells, knn_approx
+    q, c = _vector_tables(spark, sf_dir)
+    cells = given_cells(c.groupBy(F.col("label").alias("cell")).agg(F.min_by("vec", "id").alias("vec")))
+    hits = knn_approx(q, c.select("id", F.col("vec").alias("embedding")), 6, nprobe=3, cells=cells)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @register("retrieve_topk", f"""
@@ -657,8 +697,7 @@ def _doc_id_lines(spark, sf_dir):
     from parley.operators import lm
     s = doc_stream(spark, sf_dir)
     chars = lm.vocab_list(lm.build_vocab(s))
-    ids = s.select("source", "line_no", lm.encode_chars("text", chars).alias("ids"))
-    return lm.with_offsets(ids, length_col="ids")
+    return lm.encode_corpus(s, chars)
 
 
 @register("pack_sequences", f"""

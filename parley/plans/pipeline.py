@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from parley.operators import ingest as ing
 from parley.operators import lm
@@ -42,36 +41,49 @@ def _ingest(corpus, store, opts, embedder):
     return ing.ingest(corpus, store, opts, embedder).first()["added"]
 
 
+def _sequences(stream, seq_len, path):
+    """(vocabulary size, characters, sequence length); writes the packed sequences."""
+    spark = stream.sparkSession
+    offsets, total = lm.with_offsets(stream)
+    seq, _small = lm.fit_seq_len(total, seq_len)
+    chars = lm.vocab_list(lm.build_vocab(offsets))
+    ids, n_ids = lm.encode_corpus(stream, chars)
+    lm.pack_sequences(ids, n_ids, seq).write.mode("overwrite").parquet(path)
+    return len(chars), total, seq
+
+
+def _evaluate(stream, seq_len):
+    offsets, total = lm.with_offsets(stream)
+    try:
+        return lm.heldout_eval(offsets, total, seq_len=seq_len).first().asDict()
+    except ValueError:      # a corpus that leaves nothing to hold out
+        return {}
+
+
+def _smoke(spark, store, prompt, k, embedder):
+    q = spark.createDataFrame([("smoke", prompt)], "query_id string, query string")
+    return [r.asDict() for r in retrieve(q, store.read(), k, embedder=embedder)
+            .select("rank", "id", "score", "text").orderBy("rank").collect()]
+
+
 def run_pipeline(spark: SparkSession, paths, fmt: str, work_dir: str, *, with_metadata: bool = False,
                  opts: ing.IngestOptions | None = None, embedder=None, seq_len: int = 256,
                  smoke_prompt: str | None = None, k: int = 6,
-                 parse: Callable = _parse, ingest_stage: Callable = _ingest) -> PipelineResult:
+                 parse: Callable = _parse, write: Callable = ex.write_corpus, ingest_stage: Callable = _ingest,
+                 sequences_stage: Callable = _sequences, evaluate_stage: Callable = _evaluate,
+                 smoke_stage: Callable = _smoke) -> PipelineResult:
     ensure_checkpoint_dir(spark)
     work = work_dir.rstrip("/")
     corpus_path, store_root, seq_path = f"{work}/corpus", f"{work}/store", f"{work}/sequences"
-    ex.write_corpus(parse(spark, paths, fmt, with_metadata), corpus_path)
+    write(parse(spark, paths, fmt, with_metadata), corpus_path)
     corpus = spark.read.parquet(corpus_path)
     messages = corpus.count()
     if messages == 0:
         raise ValueError("the corpus has no non-blank message")
     store = ParquetStore(spark, store_root, "messages")
     added = int(ingest_stage(corpus, store, opts or ing.IngestOptions(), embedder))
-
-    stream, total = lm.with_offsets(lm.stream_lines(corpus))
-    seq, _small = lm.fit_seq_len(total, seq_len)
-    vocab = lm.build_vocab(stream)
-    chars = lm.vocab_list(vocab)
-    ids, n_ids = lm.with_offsets(stream.select("source", "line_no", lm.encode_chars("text", chars).alias("ids")),
-                                 length_col="ids")
-    lm.pack_sequences(ids, n_ids, seq).write.mode("overwrite").parquet(seq_path)
-    try:
-        ev = lm.heldout_eval(stream, total, seq_len=seq).first().asDict()
-    except ValueError:
-        ev = {}
-    smoke: list = []
-    if smoke_prompt:
-        q = spark.createDataFrame([("smoke", smoke_prompt)], "query_id string, query string")
-        smoke = [r.asDict() for r in retrieve(q, store.read(), k, embedder=embedder)
-                 .select("rank", "id", "score", "text").orderBy("rank").collect()]
-    return PipelineResult(corpus_path, store.path, seq_path, messages, added, len(chars), total, ev, smoke)
-
+    stream = lm.stream_lines(corpus)
+    vocab_size, total, seq = sequences_stage(stream, seq_len, seq_path)
+    scored = evaluate_stage(stream, seq)
+    smoke = smoke_stage(spark, store, smoke_prompt, k, embedder) if smoke_prompt else []
+    return PipelineResult(corpus_path, store.path, seq_path, messages, added, vocab_size, total, scored, smoke)

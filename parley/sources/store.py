@@ -2,22 +2,27 @@
 
 Layout of a Parquet store under ``root``::
 
-    <root>/<collection>/_meta/              one row (collection, schema_version)
-    <root>/<collection>/_versions/v=<n>/    one row (folders): the data folders of version n
+    <root>/<collection>/_commits/<n>.json   commit n: schema version, data folders
     <root>/<collection>/data-<uuid>/        store rows as Parquet, written once
 
 ``store(id STRING, text STRING, embedding ARRAY<FLOAT>, metadata STRUCT<...>)``.
-Every write goes to a data folder of its own and is then published by a new entry in
-``_versions``; the highest complete entry is the current one.  Entries and data folders
-are only ever added, so an interrupted write leaves the store as it was and readers never see
-half of one.  ``add`` publishes one more folder (the anti-join reads ids only), ``upsert``
-and ``rebuild`` publish a single fresh folder.  A store whose data lost its entries is
-refused, not taken for empty.  ``TableStore`` keeps the same rows in catalog tables.
+Every write goes to a data folder of its own and is then published by one commit record,
+which holds all there is to know about a version; the highest commit is the current one.
+A record is written aside and renamed to the next number, which fails if that exists:
+a writer who comes second looks again at what is stored and tries the next number, so
+concurrent writers lose nothing and add no id twice.  An interrupted write leaves the store
+as it was.  Commits and data folders are only ever added, and a reader keeps its folders until
+``vacuum`` removes those that no recent commit names.  ``add`` commits one more folder (the
+anti-join reads ids only), ``upsert`` and ``rebuild`` a single fresh one.  A store whose data
+lost its commits is refused, not taken for empty.  ``TableStore`` keeps the same rows in
+catalog tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,27 +54,42 @@ class StoreError(ValueError):
     pass
 
 
-def _fs_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+class Conflict(Exception):
+    """Another writer committed first."""
+
+
+COMMIT_TRIES = 20
+
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-def _fs_names(spark: SparkSession, path: str) -> list[str]:
+
+def fs_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder (none if it is missing)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def _fs_delete(spark: SparkSession, path: str) -> None:
+def _fs_put(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Write a small file as a whole, or raise ``Conflict`` if the name is taken."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p):
-        fs.delete(p, True)
+    fs, target = _fs(spark, f"{folder}/{name}")
+    aside = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+    except Exception:
+        fs.delete(aside, False)
+        if fs.exists(target):
+            raise Conflict(name) from None
+        raise
 
 
 class ParquetStore:
@@ -79,46 +99,75 @@ class ParquetStore:
         self.collection = str(collection)
         self.path = f"{self.root}/{self.collection}"
 
-    # --- versions and meta --------------------------------------------------
-    def _current(self) -> int | None:
-        names = _fs_names(self.spark, f"{self.path}/_versions")
-        done = [int(n[2:]) for n in names if n.startswith("v=") and _fs_exists(self.spark, f"{self.path}/_versions/{n}/_SUCCESS")]
-        if done:
-            return max(done)
-        # a first write that was interrupted leaves data, but neither entries nor a schema version
-        if self.version() is not None and any(n.startswith("data-") for n in _fs_names(self.spark, self.path)):
-            raise StoreError(f"{self.path} holds data but no complete version entry; restore _versions, or use a new collection")
+    # --- commits ------------------------------------------------------------
+    def _commits(self) -> list[int]:
+        names = fs_names(self.spark, f"{self.path}/_commits")
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _entry(self, number: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/_commits/{number:020d}.json", wholetext=True).first()[0])
+
+    def _head(self) -> dict | None:
+        """The current commit, None for a store that has nothing."""
+        found = self._commits()
+        if found:
+            return self._entry(found[-1])
+        if any(n.startswith("data-") for n in fs_names(self.spark, self.path)):
+            raise StoreError(f"{self.path} holds data but no commits; restore _commits, or use a new collection")
         return None
 
-    def _folders(self, version: int | None) -> list[str]:
-        if version is None:
-            return []
-        return json.loads(self.spark.read.schema("folders string").parquet(f"{self.path}/_versions/v={version}").first()["folders"])
+    def _commit(self, parent: dict | None, folders: list[str], schema_version: int) -> None:
+        """Publish ``folders`` as the version after ``parent``, or raise ``Conflict``."""
+        number = (parent["commit"] if parent else 0) + 1
+        entry = {"commit": number, "collection": self.collection, "schema_version": int(schema_version), "folders": folders}
+        _fs_put(self.spark, f"{self.path}/_commits", f"{number:020d}.json", json.dumps(entry))
+
+    def _publish(self, build) -> dict:
+        """Commit ``build(head) -> (folders, schema_version)``; built anew if another writer was first."""
+        for _ in range(COMMIT_TRIES):
+            head = self._head()
+            folders, schema_version = build(head)
+            try:
+                self._commit(head, folders, schema_version)
+                return self._entry((head["commit"] if head else 0) + 1)
+            except Conflict:
+                continue
+        raise StoreError(f"{self.path}: other writers were first {COMMIT_TRIES} times")
+
+    def _open(self) -> dict:
+        """The current commit; a new store gets an empty first one before any data is written."""
+        return self._head() or self._publish(lambda head: (head["folders"], head["schema_version"]) if head else ([], SCHEMA_VERSION))
 
     def _write_data(self, rows: DataFrame) -> str:
         name = f"data-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
         return name
 
-    def _publish(self, version: int, folders: list[str]) -> None:
-        """Make ``folders`` the current version.  Fails if another writer took the number; an
-        entry that an interrupted writer left incomplete takes a number all the same."""
-        names = _fs_names(self.spark, f"{self.path}/_versions")
-        version = max([version, *(int(n[2:]) + 1 for n in names if n.startswith("v="))])
-        self.spark.createDataFrame([(json.dumps(folders),)], "folders string").coalesce(1) \
-            .write.parquet(f"{self.path}/_versions/v={version}")
+    def _drop_data(self, name: str) -> None:
+        fs, p = _fs(self.spark, f"{self.path}/{name}")
+        fs.delete(p, True)
+
+    def vacuum(self, keep: int = 10, older_than_hours: float = 168.0) -> list[str]:
+        """Delete data folders that none of the last ``keep`` commits names and that are older
+        than any reader or unfinished writer is expected to be.  Returns their names."""
+        found = self._commits()[-max(1, int(keep)):]
+        used = {f for n in found for f in self._entry(n)["folders"]}
+        gone = []
+        fs, p = _fs(self.spark, self.path)
+        for status in fs.listStatus(p) if found else []:
+            name = status.getPath().getName()
+            if name.startswith("data-") and name not in used and status.getModificationTime() < (time.time() - older_than_hours * 3600) * 1000:
+                self._drop_data(name)
+                gone.append(name)
+        return gone
 
     # S13
     def version(self) -> int | None:
-        p = f"{self.path}/_meta"
-        if not _fs_exists(self.spark, p):
-            return None
-        rows = self.spark.read.parquet(p).filter(F.col("collection") == self.collection).collect()
-        return int(rows[0]["schema_version"]) if rows else None
+        head = self._head()
+        return int(head["schema_version"]) if head else None
 
     def set_version(self, version: int = SCHEMA_VERSION) -> None:
-        self.spark.createDataFrame([(self.collection, int(version))], "collection string, schema_version int") \
-            .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_meta")
+        self._publish(lambda head: (head["folders"] if head else [], version))
 
     def check_version(self, expected: int = SCHEMA_VERSION) -> None:
         cur = self.version()
@@ -135,15 +184,17 @@ class ParquetStore:
 
     def info(self) -> dict:
         return {"schema_version": SCHEMA_VERSION, "collection": self.collection, "path": self.path,
-                "found_version": self.version(), "data_version": self._current()}
+                "found_version": self.version(), "data_version": (self._head() or {}).get("commit")}
 
     # --- data -----------------------------------------------------------------
-    def read(self) -> DataFrame:
-        folders = self._folders(self._current())
+    def _rows(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], STORE_SCHEMA)
         return self.spark.read.schema(STORE_SCHEMA).parquet(*[f"{self.path}/{f}" for f in folders])
 
+    def read(self) -> DataFrame:
+        return self._rows((self._head() or {"folders": []})["folders"])
+
     # S10
     def ids(self) -> DataFrame:
         return self.read().select("id")
@@ -178,19 +229,25 @@ class ParquetStore:
         """Append rows; ``mode='add'`` skips ids already stored, ``'upsert'``
         replaces them.  Returns the number of rows written."""
         rows = self._shape(df)
-        cur = self._current()
-        if cur is not None and mode == "upsert":
-            staged = self._stage(rows)
-            n = staged.count()
-            if n:
-                merged = self.read().join(staged.select("id"), "id", "left_anti").unionByName(staged)
-                self._publish(cur + 1, [self._write_data(merged)])
-            return n
-        staged = self._stage(rows if cur is None else rows.join(self.ids(), "id", "left_anti"))
-        n = staged.count()
-        if n:
-            self._publish((cur or 0) + 1, [*self._folders(cur), self._write_data(staged)])
-        return n
+        head = self._open()
+        if mode != "upsert" and head["folders"]:
+            rows = rows.join(self._rows(head["folders"]).select("id"), "id", "left_anti")
+        staged, seen, written = self._stage(rows), head["commit"], 0
+        if staged.isEmpty():
+            return 0
+
+        def build(now):
+            nonlocal written
+            if mode == "upsert":
+                written = staged.count()
+                kept = self._rows(now["folders"]).join(staged.select("id"), "id", "left_anti")
+                return [self._write_data(kept.unionByName(staged) if now["folders"] else staged)], now["schema_version"]
+            # rows of a writer who was first since the look above
+            new = staged if now["commit"] == seen or not now["folders"] else staged.join(self._rows(now["folders"]).select("id"), "id", "left_anti")
+            written = new.count()
+            return [*now["folders"], *([self._write_data(new)] if written else [])], now["schema_version"]
+        self._publish(build)
+        return written
 
     # X3
     def query(self, queries: DataFrame, k: int = 6) -> DataFrame:
@@ -203,22 +260,21 @@ class ParquetStore:
         """Drop this collection's rows and write ``df`` as a fresh version."""
         if not confirm:
             raise StoreError("rebuild drops every stored row; pass confirm=True")
-        cur = self._current()
-        old = self._folders(cur)
         rows = self._stage(self._shape(df)) if df is not None else self.spark.createDataFrame([], STORE_SCHEMA)
-        self._publish((cur or 0) + 1, [self._write_data(rows)])
-        self.set_version(SCHEMA_VERSION)
-        for name in old:     # nothing refers to them any more
-            _fs_delete(self.spark, f"{self.path}/{name}")
-        return self.read().count()
+        self._open()
+        fresh = self._write_data(rows)
+        self._publish(lambda head: ([fresh], SCHEMA_VERSION))     # the old folders stay for those who read them
+        return rows.count()
 
 
 class TableStore(ParquetStore):
-    """The same store in a catalog table per version, named after the collection, in the
-    database ``root`` (its folder is the warehouse's)."""
+    """The same store with its data in catalog tables, one per write, named after root and
+    collection (their folder is the warehouse's)."""
 
     def __init__(self, spark: SparkSession, root: str, collection: str = "messages"):
-        name = "".join(c if c.isalnum() else "_" for c in f"{root}_{collection}").strip("_").lower()
+        plain = "".join(c if c.isalnum() else "_" for c in f"{root}_{collection}").strip("_").lower()
+        # names that only differ in what a table name cannot hold stay apart
+        name = f"{plain}_{hashlib.sha1(f'{root}/{collection}'.encode()).hexdigest()[:8]}"
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         super().__init__(spark, f"{warehouse}/{name}_store", collection)
         self.table = name
@@ -228,26 +284,23 @@ class TableStore(ParquetStore):
         self.spark.sql(f"CREATE TABLE {self.table}_{name[5:]} USING parquet LOCATION '{self.path}/{name}'")
         return name
 
-    def read(self) -> DataFrame:
+    def _drop_data(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}_{name[5:]}")
+        super()._drop_data(name)
+
+    def _rows(self, folders: list[str]) -> DataFrame:
         out = None
-        for name in self._folders(self._current()):
+        for name in folders:
             part = self.spark.table(f"{self.table}_{name[5:]}").select(*STORE_SCHEMA.names)
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], STORE_SCHEMA) if out is None else out
 
-    def rebuild(self, df: DataFrame | None, confirm: bool = False) -> int:
-        old = self._folders(self._current()) if confirm else []
-        n = super().rebuild(df, confirm)
-        for name in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}_{name[5:]}")
-        return n
-
 
 def store_backend(name: str) -> str:
     """Backend names and aliases."""
     v = str(name or "").strip().lower()
     if v not in FORMATS:
-        raise StoreError("vector backend must be one of: parquet|table")
+        raise StoreError(f"no store of kind {name!r}: parquet or table")
     return FORMATS[v]
 
 

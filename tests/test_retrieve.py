@@ -39,11 +39,47 @@ def test_ivf_recall(spark):
     q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     store = e.select(F.col("vec_id").alias("id"), "embedding")
     exact = {(r["query_id"], r["id"]) for r in rt.knn(q, store, 6, with_payload=False).collect()}
-    full = {(r["query_id"], r["id"]) for r in rt.knn_approx(q, store, 6, nlist=22, nprobe=22).collect()}
+    full = {(r["query_id"], r["id"]) for r in rt.knn_approx(q, store, 6, nlist=22, nprobe=1000).collect()}
     assert full == exact
-    half = {(r["query_id"], r["id"]) for r in rt.knn_approx(q, store, 6, nlist=22, nprobe=11).collect()}
-    recall = len(exact & half) / len(exact)
-    assert recall >= 0.85, recall
+    found = {(r["query_id"], r["id"]) for r in rt.knn_approx(q, store, 6).collect()}      # probes by measured recall
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def _clusters(n, dim, around, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(around, dim))
+    x = centres[rng.integers(0, around, n)] + 0.05 * rng.normal(size=(n, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_pruned_topk_skips_cells_and_is_exact(spark):
+    c = _clusters(600, 12, 9, 4)
+    c[:80] = c[0]                                # a crowd of equal vectors
+    q = np.concatenate([c[:40], _clusters(20, 12, 4, 5)])
+    q[50] = 0
+    corpus, queries = _vecs(spark, c, "id", "vec").repartition(3).cache(), _vecs(spark, q, "query_id", "qvec")
+    s = q.astype(np.float64) @ c.astype(np.float64).T
+    want = {(i, n + 1): j for i in range(len(q)) for n, j in enumerate(sorted(range(len(c)), key=lambda j: (-round(s[i, j], 9), j))[:7])}
+    cells = rt.quantise(corpus, 30)
+    few = rt.given_cells(corpus.filter("id < 3").select(F.col("id").alias("cell"), "vec"))
+    for given in (cells, few):
+        got = rt.pruned_topk(queries, corpus, 7, given, block_rows=50, query_block_rows=16).collect()
+        assert {(r["query_id"], r["rank"]): r["id"] for r in got} == want
+    assigned = rt.assign_cells(corpus, cells)
+    n_cells = assigned.select("cell").distinct().count()
+    _first, rest = rt.cells_that_matter(queries, assigned, cells, 7)
+    skipped = 1 - (rest.count() + len(q)) / (len(q) * n_cells)
+    assert skipped > 0.5 and n_cells >= 9, (skipped, n_cells)
+    assert rt.pruned_topk(queries, corpus.limit(0), 7).count() == 0
+    old = rt.MAX_BROADCAST_CELL_FLOATS
+    rt.MAX_BROADCAST_CELL_FLOATS = 24            # centroids that go to no task
+    try:
+        joined = {r["id"]: r["cell"] for r in rt.assign_cells(corpus, cells).collect()}
+        got = rt.pruned_topk(queries, corpus, 7, cells, block_rows=50, query_block_rows=16).collect()
+    finally:
+        rt.MAX_BROADCAST_CELL_FLOATS = old
+    assert joined == {r["id"]: r["cell"] for r in assigned.collect()}
+    assert {(r["query_id"], r["rank"]): r["id"] for r in got} == want
 
 
 def test_cosine_and_overlap(spark):
@@ -97,7 +133,7 @@ def test_sample_and_first(spark):
     assert a == b and len(set(a)) == 5
     assert rt.sample_messages(corpus, 50, 7).count() == 20
     assert rt.sample_messages(corpus, -1, 7).count() == 0
-    assert [r["line_no"] for r in rt.first_messages(corpus.repartition(3), 3).collect()] == [1, 2, 3]
+    assert sorted(r["line_no"] for r in rt.first_messages(corpus.repartition(3), 3).collect()) == [1, 2, 3]
 
 
 def test_export_fail_on_empty(spark):

@@ -137,24 +137,61 @@ def _rows(spark, pairs):
         "id", "text", "embedding", F.lit(None).cast(METADATA_TYPE).alias("metadata"))
 
 
-def test_lost_or_interrupted_version_entries_lose_no_rows(spark, tmp_path):
+def test_lost_commits_or_interrupted_writes_lose_no_rows(spark, tmp_path):
     st = ParquetStore(spark, str(tmp_path / "st"))
     st.ensure_version()
     assert st.add(_rows(spark, [("a", "x"), ("b", "y")])) == 2
-    # an interrupted write: data without an entry, and an entry without its end mark
+    # an interrupted write: data without a commit, and a record that was not renamed
     st._write_data(_rows(spark, [("z", "half")]))
-    (tmp_path / "st" / "messages" / "_versions" / "v=2").mkdir()
+    commits = tmp_path / "st" / "messages" / "_commits"
+    (commits / ".half").write_text("{")
     assert sorted(r["id"] for r in st.read().collect()) == ["a", "b"]
     assert st.add(_rows(spark, [("b", "again"), ("c", "w")])) == 1
     assert st.add(_rows(spark, [("a", "new")]), mode="upsert") == 1
     assert {r["id"]: r["text"] for r in st.read().collect()} == {"a": "new", "b": "y", "c": "w"}
-    (tmp_path / "st" / "messages" / "_versions").rename(tmp_path / "kept")
+    commits.rename(tmp_path / "kept")
     with pytest.raises(StoreError):
         st.add(_rows(spark, [("d", "v")]))
     with pytest.raises(StoreError):
         st.read()
-    (tmp_path / "kept").rename(tmp_path / "st" / "messages" / "_versions")
-    assert st.read().count() == 3
+    (tmp_path / "kept").rename(commits)
+    assert st.read().count() == 3 and st.version() == 1
+
+
+class _Late(ParquetStore):
+    """Lets another writer commit between its look at the store and its own commit."""
+    meanwhile = None
+
+    def _write_data(self, rows):
+        name = super()._write_data(rows)
+        act, self.meanwhile = self.meanwhile, None
+        if act:
+            act()
+        return name
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    slow, fast = _Late(spark, str(tmp_path)), ParquetStore(spark, str(tmp_path))
+    fast.add(_rows(spark, [("a", "a")]))
+    slow.meanwhile = lambda: fast.add(_rows(spark, [("b", "fast"), ("c", "fast")]))
+    assert slow.add(_rows(spark, [("b", "slow"), ("d", "slow")])) == 1            # b is stored by now
+    assert {r["id"]: r["text"] for r in fast.read().collect()} == {"a": "a", "b": "fast", "c": "fast", "d": "slow"}
+    slow.meanwhile = lambda: fast.add(_rows(spark, [("e", "fast")]))
+    assert slow.add(_rows(spark, [("a", "slow"), ("e", "slow")]), mode="upsert") == 2
+    assert {r["id"]: r["text"] for r in fast.read().collect()} == {"a": "slow", "b": "fast", "c": "fast", "d": "slow", "e": "slow"}
+    slow.meanwhile = lambda: fast.set_version(7)
+    assert slow.add(_rows(spark, [("f", "slow")])) == 1 and fast.version() == 7     # the version is part of the commit
+
+
+def test_readers_keep_their_folders_until_vacuum(spark, tmp_path):
+    st = ParquetStore(spark, str(tmp_path))
+    st.add(_rows(spark, [("a", "x")]))
+    reading = st.read()
+    st.rebuild(_rows(spark, [("b", "y")]), confirm=True)
+    assert [r["id"] for r in reading.collect()] == ["a"]
+    assert st.vacuum(keep=1) == [] and st.vacuum(keep=5, older_than_hours=0) == []
+    assert len(st.vacuum(keep=1, older_than_hours=-1)) == 1
+    assert [r["id"] for r in st.read().collect()] == ["b"]
 
 
 def test_table_backend(spark, tmp_path):
@@ -163,6 +200,8 @@ def test_table_backend(spark, tmp_path):
     assert st.add(_rows(spark, [("a", "x")])) == 1 and st.add(_rows(spark, [("a", "x"), ("b", "y")])) == 1
     assert sorted(r["id"] for r in st.read().collect()) == ["a", "b"]
     assert st.rebuild(_rows(spark, [("c", "z")]), confirm=True) == 1
+    assert [r["id"] for r in st.read().collect()] == ["c"] and len(st.vacuum(keep=1, older_than_hours=-1)) == 2
+    assert TableStore(spark, "a-b", "c").table != TableStore(spark, "a_b", "c").table
     assert type(open_store(spark, str(tmp_path), format="chroma")) is ParquetStore
     with pytest.raises(StoreError):
         open_store(spark, str(tmp_path), format="sqlite")
