@@ -11,6 +11,13 @@ input:
 * mixture       the documents (without text) that the mix takes, with their copies.
 
 All but the last return the columns of documents.
+
+Defined cases: a null text is an empty one for every stage, and stays null; empty texts have
+fingerprint zero, so of those that the quality stage keeps one stays; rows with a null or a
+repeated id are judged each by its own text, and equal rows by equal rules (of near copies one
+row stays); columns besides those of documents pass through all stages but the last, whatever
+their names; an empty table gives no rows, and so does one that the quality stage rejects as a whole.
+Without usable labels every score is 0.5, and every document passes the quality stage.
 """
 
 from __future__ import annotations
@@ -26,7 +33,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").filter(~quality_model.held_out())
     model = quality_model.fit(docs, labels)
     packed = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
-    return quality_model.score(packed, model, ["_doc"]).filter("predicted = 1").select("_doc.*")
+    # written before the filter: pushed below the statistics, it would copy each of them
+    # into every rule condition
+    scored = materialise(quality_model.score(packed, model, ["_doc"]).select("_doc", "predicted"), "scored")
+    return scored.filter("predicted = 1").select("_doc.*")
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,3 +240,128 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     assert set(mixed) <= set(clean) and all(r["copies"] in (1, 2, 3) for r in mixed.values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dups", "benchmark", "secrets", "mixture"]
     assert json.dumps(sorted(mixed)) == json.dumps(sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()))
+
+
+def test_pipeline_defined_cases(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, equal rows, clashing columns, empty tables."""
+    import corpus_pipeline
+    r = random.Random(21)
+    rows = awkward([prose(r, 60) for _ in range(6)])
+    rows += [(50, prose(r, 70), None, None, None), (50, prose(r, 70), None, None, None)]          # one id, two texts
+    for name, docs in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        frame(spark, docs).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(bench_items(r), ITEMS).write.parquet(str(folder / "benchmark.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        got = spark.read.parquet(str(folder / "documents.parquet"))
+        columns, kept = got.columns, []
+        for stage, fn in corpus_pipeline.STAGES:
+            got = corpus_pipeline.materialise(fn(spark, got, str(folder)), f"cases-{stage}")
+            kept.append([x.asDict() for x in got.collect()])
+            assert stage == "mixture" or got.columns == columns
+        if not docs:
+            assert all(k == [] for k in kept)
+            continue
+        quality, near = kept[0], kept[1]
+        assert sorted(map(str, quality)) == sorted(map(str, (x.asDict() for x in frame(spark, rows).collect())))
+        # one row of each group of linked fingerprints: the blank texts, the two long ones, the repeats
+        prints = dict(enumerate(fingerprint(x["text"]) for x in quality))
+        assert sorted(fingerprint(x["text"]) for x in near) == sorted({prints[i] for i in set(least_reachable(prints).values())}) or \
+            len(near) == len(set(least_reachable(prints).values()))
+        assert sum(x["doc_id"] == 50 for x in near) == 2 and sum(x["text"] is None or not x["text"].strip() for x in near) == 1
+        assert len(kept[3]) == len(kept[2]) <= len(near) and sorted(x["doc_id"] or -1 for x in kept[4]) == sorted(
+            x["doc_id"] or -1 for x in kept[4] if x["copies"] > 0)
+
+
+def test_rules_are_walked_as_written(spark):
+    """Scores against a plain walk of the rules over plain statistics."""
+    import math
+    import re
+    space = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def statistics(t):
+        t = t or ""
+        words, lines = space.findall(t), t.split("\n")
+        n, c = max(len(words), 1), max(len(t) - sum(ch in " \t\n\x0b\x0c\r" for ch in t), 1)
+        many = lambda chars: sum(ch in chars for ch in t)
+        return [math.log(n), c / n, math.log1p(len(set(words))) / math.log1p(n), n / len(lines), len(set(lines)) / len(lines),
+                many("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / c, many("0123456789") / c, many("#*$%&^~=_\\@") / c, many("|") / n, many("!?") / n,
+                many(".,;:") / n, many("<>{}[]()") / c]
+
+    r = random.Random(17)
+    docs = awkward(["".join(r.choice("aB1 |!.,(#\n") for _ in range(r.randint(1, 90))) for _ in range(60)])
+    plain = [statistics(d[1]) for d in docs]
+    paths = []
+    for _ in range(25):
+        path = []
+        for _ in range(r.randint(1, 4)):
+            f = r.randrange(len(quality_model.STATISTICS))
+            path.append((f, r.random() < 0.5, r.choice(plain)[f] + 1e-7))
+        paths.append(tuple(path))
+    weights = [r.uniform(-2, 2) for _ in paths]
+    got = quality_model.score(frame(spark, docs), quality_model.RuleModel(0.3, tuple(weights), tuple(paths)), ["doc_id"])
+    want = []
+    for d, x in zip(docs, plain):
+        margin = 0.3 + sum(w for w, p in zip(weights, paths) if all(x[f] <= t if low else x[f] > t for f, low, t in p))
+        score = 1 / (1 + math.exp(-margin))
+        want.append((d[0] is None, d[0] or 0, round(score, 9), int(score >= 0.3)))
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0, round(x["score"], 9), x["predicted"]) for x in got.collect()) == sorted(want)
+
+
+def test_mixtures_against_plain_em():
+    """Proportions, likelihood and the penalised choice against loops over words."""
+    import math
+
+    import numpy as np
+    r = random.Random(23)
+    langs = ["aa", "bb", "cc"]
+    words = [f"{x}{y}" for x in ("ban", "tor", "quil", "mes") for y in ("a", "el", "ix")]
+    logp = np.log(np.random.default_rng(5).dirichlet(np.ones(langid.BUCKETS) * 0.05, 3).T + 1e-9)
+    model = langid.MixtureModel(langs, logp)
+    like = {w: [sum(logp[b][k] for b in langid.trigram_buckets([w])[0]) for k in range(3)] for w in words}
+
+    def em(text, allowed):
+        share = [1 / len(allowed) if k in allowed else 0.0 for k in range(3)]
+        for _ in range(langid.MAX_ROUNDS):
+            new = [0.0] * 3
+            for w in text:
+                p = [share[k] * math.exp(like[w][k] - max(like[w])) for k in range(3)]
+                for k in range(3):
+                    new[k] += p[k] / max(sum(p), 1e-300) / len(text)
+            done = max(abs(a - b) for a, b in zip(new, share)) < 1e-4
+            share = new
+            if done:
+                break
+        total = sum(math.log(max(sum(share[k] * math.exp(like[w][k] - max(like[w])) for k in range(3)), 1e-300)) + max(like[w]) for w in text)
+        return share, total
+
+    texts = [[r.choice(words) for _ in range(r.choice([1, 3, 12, 40]))] for _ in range(40)]
+    for text, (lang, score, sets) in zip(texts, model.predict([" ".join(t) for t in texts])):
+        every, _ = em(text, range(3))
+        alone = [sum(like[w][k] for w in text) for k in range(3)]
+        chosen, best = {max(range(3), key=lambda k: alone[k])}, max(alone)
+        share = [1.0 if k in chosen else 0.0 for k in range(3)]
+        order = sorted(range(3), key=lambda k: -every[k])
+        if max(every) < 1 - 1e-3:
+            for k in (2, 3):
+                got, fit = em(text, order[:k])
+                fine = langid.PENALTY * math.log(len(text) + 1)
+                if fit - fine * (k - 1) <= best - fine * (len(chosen) - 1):
+                    break
+                chosen, share, best = set(order[:k]), got, fit
+        assert {x.split(":")[0] for x in sets.split(",")} == {langs[k] for k in chosen}
+        assert lang == langs[max(range(3), key=lambda k: share[k])] and score == pytest.approx(max(share), abs=2e-3)
+
+
+def test_letters_are_letters(spark):
+    import regex
+    texts = ["\u00bd \u00b2 \u2167 \u0663 12_3", "\u00bd\u00e9\u2167", "x\u00b2y z_w 3d", "\u65e5\u672c \u0e01\u0e34 \u1d2c \u01c5", "\u24b6 \u3007 \u4e00"]
+    assert [sum(langid.words_of(t), []) for t in texts] == [regex.findall(r"\p{L}+", t.lower()) for t in texts]
+    got = langid.predict_languages(frame(spark, [(1, texts[0], None, None, 0), (2, texts[1], None, None, 0)]), *langid.learn(
+        frame(spark, [(i, "some words of one language", "en", None, 0) for i in range(4)])))
+    assert {x["doc_id"]: x["lang_pred"] for x in got.collect()} == {1: "und", 2: "en"}
+    rows = frame(spark, [(None, "a", None, None, 0)])
+    assert rows.select(langid.held_out(), quality_model.held_out()).first() == (False, False)
+    many = [(i, "text", f"l{i}", None, 0) for i in range(langid.MOST_LANGS + 1)]
+    with pytest.raises(ValueError):
+        langid.learn(frame(spark, many))
