@@ -7,9 +7,10 @@ positions give the place of the match.
 
 A text is encoded with four bytes a code point, so that a gram is a constant-time slice, and
 is cut into slices of ``SLICE`` window starts, so that the arrays of one slice are all that is
-held besides the text and the chosen grams.  A gram is one long: 32 bits of its hash, then the
-complement of its position, whose minimum is the rightmost smallest hash.  The minimum over a
-window is taken by doubling: windows of 1, 2, 4, ... ``w`` grams.
+held besides the text and the chosen grams.  A gram is one long: 31 bits of its XXH64, times
+2^32, less its place in the encoded text (4 * position + 1); the smallest such long is the
+rightmost smallest hash.  The minimum over a window is taken by doubling: windows of 1, 2, 4,
+... ``w`` grams.
 
 ``compare_with_next`` fingerprints each document, the text whose last quarter is replaced by the
 start of the next document, and the next document.  Rows are cut into runs of ids with the
@@ -33,10 +34,11 @@ from parley.llm.common import checked_broadcast, let, materialise
 
 GRAM = 16          # code points of a gram
 WINDOW = 32        # grams of a window, a power of two
-SLICE = 2048       # window starts that are worked on at a time
+SLICE = 1024       # window starts that are worked on at a time
 RUN_ROWS = 256     # rows of a run of ids
 MOST_RUNS = 100_000   # bound on the runs, whose borders are sent to every task
-_POSITION = 0x7FFFFFFF
+_HASH = 0x7FFFFFFF00000000
+_PLACES = 0xFFFFFFFF
 
 
 def code_points(text: Column) -> Column:
@@ -48,12 +50,10 @@ def _length(points: Column) -> Column:
     return (F.length(points) / 4).cast("int")
 
 
-def _grams(points: Column, offset: Column, k: int) -> Column:
+def _grams(points: Column, k: int) -> Column:
     """The grams of a slice as packed longs; a slice of fewer than ``k`` points is one gram."""
-    def packed(i):
-        gram = F.xxhash64(F.substring(points, i * 4 + 1, 4 * k)).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.shiftleft(gram, 31).bitwiseOR((F.lit(_POSITION) - offset - i).cast("bigint"))
-    return F.transform(F.sequence(F.lit(0), F.greatest(_length(points) - k, F.lit(0))), packed)
+    places = F.sequence(F.lit(1), F.greatest(F.length(points) - (4 * k - 1), F.lit(1)), F.lit(4))
+    return F.transform(places, lambda i: F.xxhash64(F.substring(points, i, 4 * k)).bitwiseAND(F.lit(_HASH)) - i)
 
 
 def _window_minima(grams: Column, w: int, step: int = 1) -> Column:
@@ -72,31 +72,37 @@ def winnow(points: Column, k: int = GRAM, w: int = WINDOW, first: Column | int =
     if w & (w - 1):
         raise ValueError("the window must be a power of two")
     first = F.lit(first) if isinstance(first, int) else first
+    # encoded once, not for every slice
+    return let(points, lambda p: _winnow(p, k, w, first, last))
+
+
+def _winnow(points: Column, k: int, w: int, first: Column, last: Column | None) -> Column:
     end = F.greatest(_length(points) - (k + w - 1), F.lit(0))   # the last start of a window
     last = end if last is None else F.least(last, end)
 
     def chosen(start):
         here = F.least(F.lit(SLICE), last - start + 1)           # window starts of this slice
         piece = F.substring(points, start * 4 + 1, (here + (k + w - 2)) * 4)
-        return let(piece, lambda p: F.array_distinct(F.slice(
-            let(_grams(p, start, k), lambda g: _window_minima(g, w)), F.lit(1), here)))
+        smallest = let(piece, lambda p: F.array_distinct(F.slice(
+            let(_grams(p, k), lambda g: _window_minima(g, w)), F.lit(1), here)))
+        return F.transform(smallest, lambda g: g - start * 4)    # places in the text
 
     starts = F.when((_length(points) > 0) & (first <= last), F.sequence(first, last, F.lit(SLICE)))
     return F.array_distinct(F.flatten(F.transform(F.coalesce(starts, F.array().cast("array<int>")), chosen)))
 
 
-def position(gram: Column) -> Column:
-    return (F.lit(_POSITION) - gram.bitwiseAND(F.lit(_POSITION))).cast("int")
+def gram_hash(gram: Column) -> Column:
+    return F.shiftright(gram + F.lit(_PLACES), 32)
 
 
-def gram_hash(gram: Column) -> Column:
-    return F.shiftrightunsigned(gram, 31)
+def position(gram: Column) -> Column:
+    """Code point at which a chosen gram starts, from 0."""
+    return F.shiftright(F.shiftleft(gram_hash(gram), 32) - gram, 2).cast("int")
 
 
 def fingerprint_text(grams: Column) -> Column:
-    """``hash@position`` of the chosen grams (8 hex digits, decimal), space-joined."""
-    return F.array_join(F.transform(grams, lambda g: F.concat(
-        F.lower(F.lpad(F.hex(gram_hash(g)), 8, "0")), F.lit("@"), position(g).cast("string"))), " ")
+    """The chosen grams in decimal, space-joined, by position."""
+    return F.array_join(grams.cast("array<string>"), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -13,7 +13,7 @@ def chosen(text, k, w):
     """Winnowing by its definition: every window, the rightmost of the smallest hashes."""
     if not text:
         return []
-    grams = [xxhash.xxh64_intdigest(text[i:i + k].encode("utf-32-be"), 42) & 0xFFFFFFFF for i in range(max(1, len(text) - k + 1))]
+    grams = [xxhash.xxh64_intdigest(text[i:i + k].encode("utf-32-be"), 42) >> 32 & 0x7FFFFFFF for i in range(max(1, len(text) - k + 1))]
     out = []
     for s in range(max(1, len(grams) - w + 1)):
         window = grams[s:s + w]
@@ -31,7 +31,7 @@ def alike(a, b):
 def compared(rows, k, w):
     key = lambda d: (d[0] is not None, d[0] or 0, (lambda v: v - 2 ** 64 if v >> 63 else v)(xxhash.xxh64_intdigest((d[1] or "").encode(), 42)))
     ordered = sorted(rows, key=key)
-    say = lambda grams: " ".join(f"{h:08x}@{p}" for h, p in grams)
+    say = lambda grams: " ".join(str((h << 32) - 4 * p - 1) for h, p in grams)
     out = []
     for d, e in zip(ordered, ordered[1:] + ordered[:1]):
         t, n = d[1] or "", e[1] or ""
