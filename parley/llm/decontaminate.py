@@ -28,6 +28,7 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 K = 5
 BROADCAST_HASHES = 1 << 20   # 64-bit hashes that one broadcast may hold (8 MB)
+BROADCAST_GRAMS = 200_000    # grams of ten words or fewer in one broadcast
 
 
 def plain_words(text: Column) -> Column:
@@ -98,6 +99,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
 
     seen = (met.filter(F.col("kept").isNotNull()).groupBy("doc_id", "text_key").agg(F.collect_set("kept").alias("met"))
             .withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}))
+    # rows without a met hash leave before a text is moved
+    named = materialise(seen.select(F.col("_id").alias("_i"), F.col("_key").alias("_k")), "decon-seen")
+    rows = rows.join(checked_broadcast(named), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("text_key") == F.col("_k")), "left_semi")
     again = rows.join(seen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     again = again.select("doc_id", "text_key", plain_words(F.col("text")).alias("words"), "met")
     again = again.withColumn("grams", _gram_hashes(F.col("words"), k))
@@ -117,7 +121,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: in
     tried = [at_places(starts, window)]
     tried += [at_places(places(_gram_hashes(F.col("words"), n)), n) for n in lengths]
     tried = again.select("doc_id", "text_key", F.explode(F.concat(*tried)).alias("w")).select("doc_id", "text_key", "w.*")
-    hits = materialise(tried.join(grams.select("n", "gram").distinct(), ["n", "gram"]).distinct(), "decon-hits")
+    # a short item may hit at very many places: no shuffle on the gram while the benchmark is small
+    every = checked_broadcast(materialise(grams.select("n", "gram").distinct(), "bench-grams"), BROADCAST_GRAMS)
+    hits = materialise(tried.join(every, ["n", "gram"]).distinct(), "decon-hits")
 
     spans = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))))
     covered = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("upto")), lambda acc, s: F.struct(
