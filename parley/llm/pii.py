@@ -132,7 +132,8 @@ def read_spans(docs: DataFrame) -> DataFrame:
 
 FEATURES = ("is_email", "is_ip", "is_card", "is_phone", "length", "n_digits", "n_groups", "longest_group", "n_spaces", "n_marks",
             "plus", "parens", "checksum", "octets", "top_level", "left_letter", "left_digit", "right_letter", "right_digit",
-            "says_mail", "says_phone", "says_card", "says_host", "says_number")
+            "says_mail", "says_phone", "says_card", "says_host", "says_number", "at_sign", "at_bracket", "dot_word", "local_length",
+            "zeros", "trunk")
 
 
 def features(spans: DataFrame) -> DataFrame:
@@ -154,6 +155,10 @@ def features(spans: DataFrame) -> DataFrame:
         "right_letter": after.rlike(r"^\p{L}"), "right_digit": after.rlike(r"^[.,:/-]?[0-9]"),
         "says_mail": before.rlike("mail|contact|write|correo|courriel"), "says_phone": before.rlike("phone|tel|call|mobil|fax"),
         "says_card": before.rlike("card|visa|credit|karte|carte|tarjeta|pay"), "says_host": before.rlike(r"\bip|host|server|addr"),
+        "at_sign": found.contains("@"), "at_bracket": (kind == "email") & found.rlike(r"[(\[]at[)\]]"),
+        "dot_word": (kind == "email") & found.rlike(r"dot[)\]]?\x20?[A-Za-z0-9-]+$"),
+        "local_length": F.when(kind == "email", F.length(F.regexp_extract(found, rf"^[{_LOCAL}]*", 0))).otherwise(F.lit(0)),
+        "zeros": found.startswith("00"), "trunk": found.rlike("^0[1-9]"),
         "says_number": before.rlike(r"vers|page|isbn|order|invoice|chapter|section|no\.|id\b"),
     }
     return spans.select("*", *[told[f].cast("double").alias(f) for f in FEATURES])
@@ -175,18 +180,31 @@ def rendered_spans(scanned: DataFrame) -> DataFrame:
     base = scanned.select("doc_id", F.explode("base").alias("s")).select("doc_id", "s.*").select("*", *_drawn_by("base"))
     f, k, key = F.col("found"), F.col("kind"), F.col("key")
     digit = F.pmod(F.substring(digits_of(f), -1, 1).try_cast("int") + 1 + key % 9, F.lit(10)).cast("string")
+    # forms vary what the addresses of one corpus may have in common, such as the number of their parts
+    bare = F.regexp_replace(f, r"^.*?([A-Za-z0-9]+)@.*?([A-Za-z0-9-]+\.[A-Za-z]+)$", "$1@$2")
     loose = F.when(k == "email", F.element_at(F.array(
-        f, F.regexp_replace(f, "@", " at "), F.regexp_replace(F.regexp_replace(f, "@", " (at) "), r"\.(?=[^.]*$)", " (dot) ")), (key % 3 + 1).cast("int")))
+        f, F.regexp_replace(f, "@", " at "), F.regexp_replace(F.regexp_replace(f, "@", " (at) "), r"\.(?=[^.]*$)", " (dot) "),
+        bare, F.regexp_replace(bare, "@", " at "), F.regexp_replace(F.regexp_replace(bare, "@", " at "), r"\.", " dot "),
+        F.regexp_replace(F.regexp_replace(bare, "@", "[at]"), r"\.", "[dot]")), (key % 7 + 1).cast("int")))
     loose = loose.when(k == "ip", F.element_at(F.array(f, F.regexp_replace(f, r"\.", "[.]"), F.regexp_replace(f, r"\.", " . ")), (key % 3 + 1).cast("int")))
     loose = loose.when(k == "card", F.element_at(F.array(
         digits_of(f), F.regexp_replace(digits_of(f), "(.{4})(?=.)", "$1 "), F.regexp_replace(digits_of(f), "(.{4})(?=.)", "$1."),
         F.regexp_replace(digits_of(f), "(.{4})(?=.)", "$1/")), (key % 4 + 1).cast("int")))
+    grouped = [("^(.{1,2})(.{2,3})(.+)$", "$1 $2 $3"), ("^(.{2})(.{2})(.+)$", "$1 $2 $3"), ("^(.{2})(.{3})(.{2})(.+)$", "$1 $2 $3 $4"),
+               ("^(.{2})(.+)$", "$1 $2")]
+    spaced = F.element_at(F.array(*[F.regexp_replace(digits_of(f), a, b) for a, b in grouped]), (F.floor(key / 7) % 4 + 1).cast("int"))
     loose = loose.otherwise(F.element_at(F.array(
-        f, F.regexp_replace(f, r"^\+[0-9]{1,2}\x20?", ""), F.regexp_replace(f, r"^\+", "00"), F.regexp_replace(f, r"[\x20()-]+", ".")), (key % 4 + 1).cast("int")))
-    broken = F.when(k == "email", F.regexp_replace(f, r"^[^@]*@", " at "))
+        f, F.regexp_replace(f, r"^\+[0-9]{1,2}\x20?", ""), F.regexp_replace(f, r"^\+", "00"), F.regexp_replace(f, r"[\x20()-]+", "."),
+        F.concat(F.lit("00"), spaced), F.concat(F.lit("+"), spaced)), (key % 6 + 1).cast("int")))
+    # what the generator proposes in prose: a word, at, the end of a sentence or a time of day
+    broken = F.when(k == "email", F.element_at(F.array(
+        F.regexp_replace(f, r"@([^.]*)\..*$", " at $1. Then"), F.regexp_replace(f, r"@.*$", " at 10.30"),
+        F.regexp_replace(f, r"@(.*)\.[^.]*$", " at $1. Then"), F.regexp_replace(f, r"@(.*)\.[^.]*$", " at $1 . so"),
+        F.regexp_replace(bare, r"@([^.]*)\..*$", " at $1. Then")), (key % 5 + 1).cast("int")))
     broken = broken.when(k == "ip", F.concat(F.lit("7"), F.lpad(F.regexp_extract(f, "^[0-9]+", 0), 2, "0"), F.regexp_extract(f, r"\..*$", 0)))
     broken = broken.when(k == "card", F.concat(F.expr("substring(found, 1, length(found) - 1)"), digit))
-    broken = broken.otherwise(F.expr("substring(found, 2, 8)"))
+    # no mark of a phone number is left: a part, or all digits in groups
+    broken = broken.otherwise(F.element_at(F.array(F.expr("substring(found, 2, 8)"), F.regexp_replace(spaced, "^0+", "1")), (key % 2 + 1).cast("int")))
     forms = F.explode(F.array(F.struct(F.lit("loose").alias("sort"), loose.alias("found"), F.lit(1.0).alias("label")),
                               F.struct(F.lit("broken").alias("sort"), broken.alias("found"), F.lit(0.0).alias("label"))))
     return base.select("kind", "before", "after", "key", "part", forms.alias("f")).select(

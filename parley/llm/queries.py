@@ -31,7 +31,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = in_order(F.concat("base", "added"))
     counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
-                        spans_text(every).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
+                        spans_text(every).alias("spans"), F.size("added").cast("bigint").alias("n_added"),
+                        (F.size("base") + F.size("added")).cast("bigint").alias("n_spans"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

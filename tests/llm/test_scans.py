@@ -2,7 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
-from brute import DOC, awkward, frame, pii, rules, secrets, sha
+from brute import DOC, awkward, frame, luhn, pii, rules, secrets, sha
 from pyspark.sql import functions as F
 
 from parley.llm import licenses, pii as pii_op, quality_rules, secret_scan, tokens
@@ -43,6 +43,37 @@ def test_pii_base_spans(spark, docs):
     assert pii_op.find_pii(frame(spark, [])).count() == 0
 
 
+def test_pii_finds_every_taught_form(spark):
+    """60 of each form, with parts that the base spans of the corpus do not have."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    number = lambda n: "".join(str(r.randint(0, 9)) for _ in range(n))
+
+    def card():
+        while True:
+            c = "4" + number(15)
+            if luhn(c):
+                return c
+    octets = lambda: [str(r.randint(1, 255)) for _ in range(4)]
+    base = [lambda: f"{word()}.{word()}@{word()}.{word()}.com", lambda: ".".join(octets()), card,
+            lambda: f"+1 ({r.randint(200, 999)}) 555-{number(4)}"]
+    rows = [(i, f"{prose(12)} {base[i % 4]()} {prose(9)}", "en", "s", 0) for i in range(1600)]
+    rows += [(2000 + i, f"{prose(6)} look at {word()}. {word().title()} {prose(5)} at 10.30 {number(r.randint(1, 11))} {prose(4)} {number(3)} {number(4)}",
+              "en", "s", 0) for i in range(200)]
+    forms = {
+        "bare at": lambda: f"{word()} at {word()}.com", "marked at": lambda: f"{word()} (at) {word()} (dot) org", "spoken": lambda: f"{word()} at {word()} dot net",
+        "marked dots": lambda: "[.]".join(octets()), "spaced dots": lambda: " . ".join(octets()),
+        "card in dots": lambda: (lambda c: ".".join(c[k:k + 4] for k in (0, 4, 8, 12)))(card()), "card in slashes": lambda: (lambda c: "/".join(c[k:k + 4] for k in (0, 4, 8, 12)))(card()),
+        "zeros": lambda: f"0049 30 {number(7)}", "plain plus": lambda: f"({r.randint(200, 999)}) 555-{number(4)}"}
+    for k, form in enumerate(forms.values()):
+        rows += [(10_000 * (k + 1) + i, f"{prose(9)} {form()} {prose(9)}", "en", "s", 0) for i in range(60)]
+    got = {x.doc_id: len(x.added) for x in pii_op.find_pii(frame(spark, rows)).collect()}
+    caught = {name: sum(got[10_000 * (k + 1) + i] > 0 for i in range(60)) for k, name in enumerate(forms)}
+    assert min(caught.values()) >= 54, caught
+    assert sum(got[2000 + i] > 0 for i in range(200)) <= 10       # the precision aimed at; prose with at, times of day and plain numbers
+
+
 def test_pii_method_adds_loose_forms(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8)))
@@ -223,3 +254,15 @@ def test_counts_of_kinds(spark):
     df = spark.createDataFrame([(["a", "b", "a"],)], "k array<string>").select(F.transform("k", lambda k: F.struct(k.alias("kind"))).alias("s"))
     assert df.select(count_kind(F.col("s"), "a").alias("n")).first()["n"] == 2
     assert DOC.names[0] == "doc_id"
+
+
+def test_private_key_goes_with_its_body(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "q7/+" * 12 for _ in range(3000))
+    texts = [f"see -----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY----- after. ",
+             f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n{body[:60]}\n-----END PGP PRIVATE KEY BLOCK-----", f"-----BEGIN PRIVATE KEY-----\n{body[:70]}",
+             "the line -----BEGIN PRIVATE KEY----- opens a key. Nothing else is one."]
+    docs = frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    ledger = secret_scan.BlobLedger(spark, scratch_path(spark, "keys"))
+    secret_scan.scan(docs, ledger)
+    clean = {x["doc_id"]: x["text"] for x in secret_scan.redact(docs, secret_scan.findings_by_path(docs, ledger, ["doc_id"])).collect()}
+    assert clean == {0: "see [SECRET] after. ", 1: "[SECRET]", 2: "[SECRET]", 3: "the line [SECRET]. Nothing else is one."}
