@@ -10,7 +10,8 @@ the prediction is the largest of the selected set, refitted.
 
 Defined cases: texts that are null or have no letter are ``und`` with score 0, and so
 is everything where no labelled text was given; null labels are never learned; rows are
-predicted one by one (repeats get equal results); an empty table gives no rows.  Texts are
+predicted one by one (repeats get equal results); a row without an id is never held out; a
+table with more than ``MOST_LANGS`` values of lang is refused; an empty table gives no rows.  Texts are
 worked off in slices of bounded size; of a very long text only its distinct words are held.
 """
 
@@ -36,12 +37,27 @@ PENALTY = 4.0
 SLICE_CHARS = 2_000_000
 SLICE_WORDS = 400_000
 MEMO_WORDS = 300_000
+MOST_LANGS = 512             # learned languages: the model holds BUCKETS numbers for each
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _numeral(c: str) -> bool:
+    """A fraction, Roman numeral or the like: a word character that is neither letter nor digit."""
+    return c.isnumeric() and not c.isalpha() and not c.isdecimal()
+
+
+_NUMERALS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x10000)) if _numeral(c)) + "]")
+_ASTRAL = re.compile("[\U00010000-\U0010FFFF]")
+
+
 def words_of(text: str):
     """Lower-cased runs of letters, in bounded lists."""
     text = text.lower()
+    if not text.isascii():
+        if _NUMERALS.search(text):
+            text = _NUMERALS.sub(" ", text)
+        if _ASTRAL.search(text):
+            text = "".join(" " if _numeral(c) else c for c in text)
     if len(text) <= SLICE_CHARS:
         yield _LETTERS.findall(text)
     else:
@@ -70,6 +86,8 @@ def learn(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], n
     docs = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} values of lang: at most {MOST_LANGS} languages can be learned")
     if not langs:
         return [], np.zeros((BUCKETS, 0))
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))]), F.col("lang"))
@@ -77,14 +95,23 @@ def learn(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], n
     number = {k: i for i, k in enumerate(langs)}
 
     def grams(parts):
+        held: dict[int, np.ndarray] = {}
+
+        def flush():
+            for lang, table in held.items():
+                bucket = np.flatnonzero(table)
+                yield pd.DataFrame({"l": lang, "bucket": bucket, "n": table[bucket]})
+            held.clear()
+
         for part in parts:
-            table = np.zeros((len(langs), BUCKETS), dtype=np.int64)
             for text, lang in zip(part["text"], part["lang"], strict=True):
+                table = held.setdefault(number[lang], np.zeros(BUCKETS, dtype=np.int64))
                 for words in words_of(text):
                     if words:
-                        table[number[lang]] += np.bincount(trigram_buckets(words)[0], minlength=BUCKETS)
-            lang, bucket = np.nonzero(table)
-            yield pd.DataFrame({"l": lang, "bucket": bucket, "n": table[lang, bucket]})
+                        table += np.bincount(trigram_buckets(words)[0], minlength=BUCKETS)
+                if len(held) > 64:
+                    yield from flush()
+        yield from flush()
 
     counted = (docs.filter(chance < share).select("text", "lang").mapInPandas(grams, "l long, bucket long, n long")
                .groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas())
@@ -241,4 +268,4 @@ def predict_languages(docs: DataFrame, langs: list[str], logp: np.ndarray) -> Da
 
 
 def held_out(folds: int = 4, fold: int = 2):
-    return crc_fold(F.col("doc_id"), folds) == fold
+    return F.coalesce(crc_fold(F.col("doc_id"), folds) == fold, F.lit(False))

@@ -9,7 +9,7 @@ The fit uses a bounded sample, ``TRAIN_ROWS`` labelled documents by hash of the
 sample is the only thing that is collected or cached, and scoring covers every row.
 
 Defined cases: null and empty texts have statistics of 0 and a score like any other; labels
-that are null are not learned; an id that repeats is scored row by row; without labelled
+that are null are not learned; a row without an id is never held out (and has no label); an id that repeats is scored row by row; without labelled
 rows the score is 0.5, with one class only its share; an empty table gives no rows; other
 columns are never read for a score.
 """
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 
 def held_out(folds: int = 5) -> Column:
-    return crc_fold(F.col("doc_id"), folds) == 0
+    return F.coalesce(crc_fold(F.col("doc_id"), folds) == 0, F.lit(False))
 
 
 def score(docs: DataFrame, model: RuleModel, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
