@@ -25,14 +25,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import materialise
+from parley.llm.common import checked_broadcast, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
 MAX_WIDTH = 8
 BANDS = 6
 ROWS_PER_BAND = 2
-MAX_TEMPLATES = 20_000     # templates are a curated list; their sketches are broadcast
+MAX_TEMPLATES = 20_000     # templates are a curated list, which the driver holds
 WORDS = r"[\p{L}\p{N}]+"
 
 # --- fixed values: public license notices ---------------------------------------
@@ -47,6 +47,20 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
                      "provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    # the version stands far from what tells these three apart
+    ("GPL", "under the terms of the GNU General Public License as published by"),
+    ("LGPL", "under the terms of the GNU Lesser General Public License as published by"),
+    ("AGPL", "under the terms of the GNU Affero General Public License as published by"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable "
+             "for any damages arising from the use of this software"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
 )
 # ---------------------------------------------------------------------------------
 
@@ -133,17 +147,18 @@ def find_licenses(spark: SparkSession, docs: DataFrame, templates=TEMPLATES, thr
         part = known.filter(F.col("template").isin(own)).select(
             "template", "n", F.explode(F.flatten(_windows(F.col("shingles"), F.col("n") - w, 1, w))).alias("b"))
         index = part if index is None else index.unionAll(part)
-    index = index.select("template", "n", "b.width", "b.band", "b.key").distinct()
+    index = materialise(index.select("template", "n", "b.width", "b.band", "b.key").distinct(), "license-index")
 
-    held = rows.filter(F.size("shingles") > 0)
+    # dealt out anew: what is left is few bytes, but sketching it is most of the work
+    held = rows.filter(F.size("shingles") > 0).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     sketch = [F.when(F.size("shingles") >= w, F.flatten(_windows(F.col("shingles"), F.size("shingles") - w, _step(w), w)))
               .otherwise(F.array().cast("array<struct<width:int,band:int,key:bigint,start:int>>")) for w in widths]
     windows = held.select("row", F.explode(F.concat(*sketch)).alias("b")).select("row", "b.*")
     # regions of three template lengths around a collision, one per template length of text
-    met = (windows.join(F.broadcast(index), ["width", "band", "key"])
+    met = (windows.join(checked_broadcast(index), ["width", "band", "key"])
            .select("row", "template", F.floor(F.col("start") / F.col("n")).cast("int").alias("g")).distinct())
     checked = (met.join(held.select("row", F.col("shingles").alias("own")), "row")
-               .join(F.broadcast(known), "template"))
+               .join(checked_broadcast(known, MAX_TEMPLATES), "template"))
     begin = F.greatest(F.lit(0), (F.col("g") - 1) * F.col("n"))
     region = F.slice("own", begin + 1, (F.col("g") + 2) * F.col("n") - begin)
     part = F.size(F.array_intersect(region, F.col("shingles"))) / F.size(F.array_distinct("shingles"))
