@@ -15,7 +15,8 @@ so reruns agree.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last in
 order; documents without words take 0 words; an empty table gives no rows; repeated rows
-are separate documents that share their random number; other columns are ignored.
+are separate documents that share their random number, which the text decides where the id
+is null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,33 +36,80 @@ SEED = "mix-1"
 
 def random_unit(doc_id: Column, seed: str) -> Column:
     """A number in (0, 1) from 52 bits of SHA-256 of seed and id."""
-    digest = F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"), 256)
+    digest = F.sha2(F.concat(F.lit(seed + ":"), doc_id.cast("string")).cast("binary"), 256)
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def ordered_blocks(rows: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """``rows`` as a written table cut by ranges of ``order``: ``block`` grows with the order."""
+    return materialise(rows.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), label)
+
+
+def sums_before(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` (with ``block``) and, per name, the sum of a column over all rows before.
+
+    Running sums inside every block, and behind them the totals of the blocks before, of
+    which there are as many as the range partitions that wrote ``rows``."""
+    totals = rows.groupBy("block").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("block", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(n) for n, c in sums.items()])
+            .join(F.broadcast(offsets), "block")
+            .select(*rows.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums]))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
                    max_copies: int = MAX_COPIES) -> DataFrame:
     """(source, source_size) -> the same with ``target``.
 
     Targets are ``least(max_copies * source_size, weight * level)`` for the one level
     that shares out all words; sources that reach their limit are a prefix in order of
-    limit over weight, so running sums over the (one row per source) table find it."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    limit over weight, so running sums in that order find it.  Both orders (of names, and
+    of limits) are cut into ranges, so any number of sources is spread over the tasks."""
+    named = [F.col("source").asc_nulls_last()]
+    per = sums_before(ordered_blocks(sizes.select("source", "source_size"), named, "mix-names"), named,
+                      {"place": F.lit(1).cast("bigint")})
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % F.lit(len(weights))).cast("int") + 1)
-    per = sizes.withColumn("place", place).withColumn("weight", weight.cast("bigint"))
+    per = per.drop("block").withColumn("weight", weight.cast("bigint"))
     per = per.withColumn("most", F.col("source_size") * F.lit(max_copies))
     per = per.withColumn("ratio", F.col("most") / F.col("weight"))
-    before = Window.orderBy("ratio", "place").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    per = per.withColumn("left_words", F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0)))
-    per = per.withColumn("left_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    per = per.withColumn("level", F.col("left_words") / F.col("left_weight"))
-    open_level = F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))
-    per = per.withColumn("cut", F.min(open_level).over(every)["level"])
-    target = F.least(F.col("most").cast("double"), F.col("weight") * F.coalesce(F.col("cut"), F.lit(float("inf"))))
+    limits = [F.col("ratio"), F.col("place")]
+    per = ordered_blocks(per, limits, "mix-limits")
+    whole = per.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(whole["words"]) - F.col("full_words")) / (F.lit(whole["weight"]) - F.col("full_weight"))
+    cut = (sums_before(per, limits, {"full_words": F.col("most"), "full_weight": F.col("weight")})
+           .withColumn("level", level).filter("level <= ratio")
+           .agg(F.min(F.struct("ratio", "place", "level")).alias("cut")).first()["cut"])
+    target = F.least(F.col("most").cast("double"), F.col("weight") * F.lit(float("inf") if cut is None else cut["level"]))
     return per.select("source", "source_size", target.alias("target"))
 
 
+def shared_again(narrow: DataFrame, per: DataFrame, max_copies: int) -> DataFrame:
+    """``per`` (source, source_size, target, weighted) with ``share``, the copies that a
+    weight of one expects, such that the expected words of a source, every document limited to
+    ``max_copies``, are its target.
+
+    Raising the share of what is left can only bring more documents to the limit, so a pass
+    (one aggregation per source) is repeated until none of them reaches it anew."""
+    share = F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(F.lit(0.0))
+    per = materialise(per.withColumn("share", share).withColumn("full", F.lit(0).cast("bigint")), "mix-share")
+    while True:
+        limited = F.col("w") * F.col("share") >= F.lit(float(max_copies))
+        now = attach_per_source(narrow, per.select("source", "share")).groupBy("source").agg(
+            F.sum(limited.cast("bigint")).alias("_full"), F.sum(F.when(limited, F.col("size")).otherwise(0)).alias("_words"),
+            F.sum(F.when(limited, F.lit(0.0)).otherwise(F.col("w") * F.col("size"))).alias("_left"))
+        now = now.withColumnRenamed("source", "_source")
+        again = F.when(F.col("_left") > 0, F.greatest(
+            F.col("share"), (F.col("target") - F.col("_words") * max_copies) / F.col("_left"))).otherwise(F.col("share"))
+        grown = materialise(per.join(now, F.col("source").eqNullSafe(F.col("_source"))).select(
+            "source", "source_size", "target", "weighted", again.alias("share"), F.col("_full").alias("full"),
+            (F.col("_full") > F.col("full")).alias("more")), "mix-share")
+        per = grown.drop("more")
+        if not grown.filter("more").limit(1).count():
+            return per.drop("full")
+
+
 def attach_per_source(rows: DataFrame, per: DataFrame) -> DataFrame:
     """``rows`` with the columns of the one-row-per-source table.
 
@@ -80,21 +128,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
         weight: Column | None = None, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source, source_size, target, copies, taken) of every document.
 
-    ``weight`` (positive, over the columns of ``docs``) makes expected copies inside a
-    source proportional to it, up to ``max_copies``; without it they are equal."""
+    ``weight`` (not negative, null as 0, over the columns of ``docs``) makes expected copies inside
+    a source proportional to it, up to ``max_copies``, and what documents at that limit leave
+    is shared again among the others of the source; without it they are equal."""
     size = F.size(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))).cast("bigint")
+    # without an id, the text decides
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
     narrow = materialise(docs.select(
-        "doc_id", "source", size.alias("size"), random_unit(F.col("doc_id"), seed).alias("u"),
-        (F.lit(1.0) if weight is None else weight.cast("double")).alias("w")), "mix-sizes")
+        "doc_id", "source", size.alias("size"), random_unit(drawn, seed).alias("u"),
+        (F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0))).alias("w")), "mix-sizes")
     totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"),
                                           F.sum(F.col("w") * F.col("size")).alias("weighted"))
     totals = materialise(totals, "mix-totals")
     per = materialise(source_targets(totals.select("source", "source_size"), weights, max_copies)
                       .join(totals.select(F.col("source").alias("_s"), "weighted"), F.col("source").eqNullSafe(F.col("_s")))
                       .drop("_s"), "mix-targets")
+    expected = F.when(F.col("weighted") > 0, F.col("target") * F.col("w") / F.col("weighted")).otherwise(F.lit(0.0))
+    if weight is not None:
+        per, expected = shared_again(narrow, per, max_copies), F.col("w") * F.col("share")
 
     rows = attach_per_source(narrow, per)
-    expected = F.when(F.col("weighted") > 0, F.col("target") * F.col("w") / F.col("weighted")).otherwise(F.lit(0.0))
     rows = rows.withColumn("expected", F.least(expected, F.lit(float(max_copies))))
     rows = rows.withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))

@@ -132,6 +132,50 @@ def test_mixture_targets(spark):
     assert got["b"] == pytest.approx(2 * level) and got["d"] == pytest.approx(5 * level) and got[None] == pytest.approx(2 * level)
 
 
+def test_mixture_targets_of_many_sources(spark):
+    r = random.Random(11)
+    rows = [(None if i == 5 else f"s{i}", r.choice([0, 1, 3, 50, 4000])) for i in range(700)]
+    sizes = spark.createDataFrame(rows, "source string, source_size long").repartition(7)
+    got = {x["source"]: x["target"] for x in mixture.source_targets(sizes).collect()}
+    names = sorted((s for s, _ in rows if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    size = dict(rows)
+    total, full = sum(size.values()), set()
+    while True:    # raise the level until no further source stops at three times its size
+        level = (total - sum(3 * size[s] for s in full)) / sum(weight[s] for s in names if s not in full)
+        more = {s for s in names if s not in full and 3 * size[s] < weight[s] * level}
+        if not more:
+            break
+        full |= more
+    assert len(got) == len(rows)
+    assert all(got[s] == pytest.approx(min(3 * size[s], weight[s] * level)) for s in names)
+    assert sum(got.values()) == pytest.approx(total)
+
+
+def test_mixture_by_weights(spark):
+    r = random.Random(8)
+    docs = [(i, prose(r, r.choice([20, 40, 80])), None, f"s{i % 3}", int(r.paretovariate(0.5))) for i in range(1500)]
+    docs += [(None, f"text {i} without an id", None, "s1", 3) for i in range(60)] + [(9000, "a b", None, "s1", None)]
+    df = frame(spark, docs)
+    rows = mixture.mix(df, weight=F.col("n_chars")).collect()
+    weight = {d[0]: d[4] for d in docs}
+    taken, target, largest = {}, {}, {}
+    for x in rows:
+        assert 0 <= x["copies"] <= 3
+        taken[x["source"]] = taken.get(x["source"], 0) + x["taken"]
+        target[x["source"]] = x["target"]
+        largest[x["source"]] = max(largest.get(x["source"], 0), x["size"])
+    # heavy weights stop at three copies; the others get what these leave
+    assert all(abs(taken[s] - target[s]) <= 2 * largest[s] for s in target)
+    assert next(x["copies"] for x in rows if x["doc_id"] == 9000) == 0
+    for s in target:
+        by = [(weight[x["doc_id"]], x["copies"]) for x in rows if x["source"] == s and x["doc_id"] is not None and x["size"] > 2]
+        heavy, light = [c for w, c in by if w >= 50], [c for w, c in by if w <= 2]
+        assert sum(heavy) / len(heavy) > sum(light) / len(light)
+    # rows without an id are drawn one by one
+    assert len({x["copies"] for x in rows if x["doc_id"] is None}) > 1
+
+
 def test_mixture(spark, monkeypatch):
     r = random.Random(4)
     docs = [(i, prose(r, r.choice([0, 5, 40, 80])), None, None if i % 9 == 0 else f"s{min(i % 7, 3)}", 0) for i in range(900)]
