@@ -13,14 +13,14 @@ verifies this for the given vocabulary when it is loaded.
 Defined cases: null and empty texts have 0 bytes and 0 tokens; every row is counted
 by itself, so repeated rows and ids keep their own counts; other columns of the input
 are ignored; an empty table gives no rows.  A text of any length is worked off in
-pieces of at most ``SLICE_TOKENS`` pre-tokens.
+pieces of at most ``SLICE_TOKENS`` pre-tokens and about ``SLICE_CHARS`` characters, and a
+single pre-token longer than ``LONG_RUN`` (a run of letters without end) in pieces of itself.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 
 SLICE_TOKENS = 200_000     # pre-tokens merged in one array
 SLICE_CHARS = 2_000_000    # characters of whole texts looked at together
+LONG_RUN = 1 << 18         # length from which one pre-token is merged piece by piece
+STEPS_BACK = 64            # earlier borders that a piece may begin at instead
 MEMO_CHUNKS = 400_000
 TOKEN_LIMIT = 512
 _NONE = np.int64(1) << 60
@@ -75,6 +77,8 @@ class BpeTables:
         keys = left * self.base + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], rank[order].astype(np.int64), made
+        self.length = np.zeros(int(self.base), dtype=np.int64)   # bytes of a symbol
+        self.length[list(vocab.values())] = [len(v) for v in vocab]
         self.special = sorted((t["content"] for t in spec.get("added_tokens") or []), key=len, reverse=True)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -83,8 +87,9 @@ class BpeTables:
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
 
-def surviving_symbols(tables: BpeTables, tokens: list[bytes]) -> np.ndarray:
-    """Number of BPE symbols of each (non-empty) pre-token."""
+def surviving_symbols(tables: BpeTables, tokens: list[bytes], last: list[np.ndarray] | None = None) -> np.ndarray:
+    """Number of BPE symbols of each (non-empty) pre-token; their symbols are appended to
+    ``last``, if given, as they leave the arrays."""
     counts = np.array([len(t) for t in tokens], dtype=np.int64)
     sym = tables.byte_symbol[np.frombuffer(b"".join(tokens), dtype=np.uint8)]
     seq = np.repeat(np.arange(len(tokens)), counts)
@@ -100,6 +105,8 @@ def surviving_symbols(tables: BpeTables, tokens: list[bytes]) -> np.ndarray:
         going = lowest < _NONE
         if not going.all():           # finished sequences leave the arrays
             keep = np.repeat(going, lens)
+            if last is not None:
+                last.append(sym[~keep])
             sym, seq, rank = sym[keep], seq[keep], rank[keep]
             lens, lowest = lens[going], lowest[going]
             if not len(sym):
@@ -124,6 +131,54 @@ def surviving_symbols(tables: BpeTables, tokens: list[bytes]) -> np.ndarray:
     return counts
 
 
+def symbols_of(tables: BpeTables, run: bytes) -> np.ndarray:
+    last: list[np.ndarray] = []
+    surviving_symbols(tables, [run], last)
+    return last[0]
+
+
+def long_run_symbols(tables: BpeTables, run: bytes, piece: int) -> int:
+    """Number of BPE symbols of one long pre-token, with arrays of ``piece`` bytes.
+
+    Two runs whose border no merge crosses keep their own symbols when they are joined, and
+    whether one crosses it shows in the two symbols at the border alone: by ranks, all that
+    happens inside a symbol is the same with and without its neighbours.  So the symbols of
+    the first half of a piece are kept, and the next piece starts behind them if the symbols
+    at that border, merged together, stay two; else at the border before.  A run in
+    which no such border is found is merged as a whole."""
+    cuts, done = [0], 0      # borders between kept symbols, and how many end at the last one
+    while True:
+        start = cuts[-1]
+        sym = symbols_of(tables, run[start:start + piece])
+        ends = start + np.cumsum(tables.length[sym])
+        if start:
+            pair = symbols_of(tables, run[cuts[-2]:ends[0]])
+            if len(pair) != 2 or tables.length[pair[0]] != start - cuts[-2]:
+                cuts.pop()
+                done -= 1
+                if len(cuts) < 2:
+                    return len(symbols_of(tables, run))
+                continue
+        if start + piece >= len(run):
+            return done + len(sym)
+        kept = max(1, int(np.searchsorted(ends, start + piece // 2, side="right")))
+        cuts = [start, *ends[:kept].tolist()][-STEPS_BACK:]
+        done += kept
+
+
+def bounded_parts(tokens):
+    """Lists of successive pre-tokens, bounded in number and length."""
+    part: list[str] = []
+    size = 0
+    for t in tokens:
+        part.append(t)
+        size += len(t)
+        if len(part) >= SLICE_TOKENS or size >= SLICE_CHARS:
+            yield part
+            part, size = [], 0
+    yield part
+
+
 class TokenCounter:
     """Counts the tokens of texts, slice by slice.
 
@@ -145,6 +200,7 @@ class TokenCounter:
         index: dict[str, int] = {}
         used: list[int] = []
         owners: list[tuple[int, int]] = []
+        size = 0
 
         def flush() -> None:
             if used:
@@ -154,16 +210,20 @@ class TokenCounter:
             index.clear(), used.clear(), owners.clear()
 
         for c, chunk in enumerate(chunks):
-            if len(chunk) <= SLICE_TOKENS:
+            if len(chunk) <= min(SLICE_TOKENS, LONG_RUN):
                 parts = [self.pre.findall(chunk)]
             else:
-                hits = (m[0] for m in self.pre.finditer(chunk))
-                parts = iter(lambda hits=hits: list(islice(hits, SLICE_TOKENS)), [])
+                parts = bounded_parts(m[0] for m in self.pre.finditer(chunk))
             for tokens in parts:
+                if len(chunk) > LONG_RUN:
+                    out[c] += sum(long_run_symbols(self.tables, t.encode("utf-8"), LONG_RUN) for t in tokens if len(t) > LONG_RUN)
+                    tokens = [t for t in tokens if len(t) <= LONG_RUN]
                 used.extend([index.setdefault(t, len(index)) for t in tokens])
                 owners.append((c, len(tokens)))
-                if len(used) >= SLICE_TOKENS:
+                size += sum(map(len, tokens))
+                if len(used) >= SLICE_TOKENS or size >= SLICE_CHARS:
                     flush()
+                    size = 0
         flush()
         return out
 

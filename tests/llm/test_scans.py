@@ -197,6 +197,45 @@ def test_policies_and_ablation(spark, docs):
     led.unpersist()
 
 
+def long_runs(r):
+    yield "a" * 3000
+    yield "".join(r.choice("ab") for _ in range(2500))
+    yield "".join(r.choice("etaoinshrdlu") for _ in range(4000))
+    yield "".join(r.choice(["the", "tion", "E", "e", "house", "aaaa"]) for _ in range(900))
+    yield "".join(r.choice(["\u65e5", "\u672c", "\u00e9", "\u0436", "n"]) for _ in range(1500))
+    yield "7" * 2000
+    yield "=" * 1777 + "-" * 900 + "=-" * 400
+    yield " " * 2001
+    yield "\n" * 1500 + "\t" * 700
+
+
+@pytest.mark.parametrize("piece", [96, 257, 1024])
+def test_tokens_of_long_runs(piece):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, tables = Tokenizer.from_file(path), tokens.BpeTables(path)
+    for run in long_runs(random.Random(piece)):
+        for t in tokens.TokenCounter(tables).pre.findall(run):
+            want = len(lib.encode(t, add_special_tokens=False).ids)
+            assert tokens.long_run_symbols(tables, t.encode(), piece) == want
+            assert len(tokens.symbols_of(tables, t.encode())) == want
+
+
+def test_tokens_in_slices(monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, r = Tokenizer.from_file(path), random.Random(5)
+    runs = list(long_runs(r))
+    texts = [*runs, " ".join(runs), "\n".join(f"word{i} {x[:300]}, " for i, x in enumerate(runs)), None, "", "x  y" * 500]
+    want = [len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    tables = tokens.BpeTables(path)
+    for slice_tokens, slice_chars, long_run in [(7, 50, 100), (1000, 400, 128), (200_000, 100, 1 << 18), (50, 100_000, 300)]:
+        monkeypatch.setattr(tokens, "SLICE_TOKENS", slice_tokens)
+        monkeypatch.setattr(tokens, "SLICE_CHARS", slice_chars)
+        monkeypatch.setattr(tokens, "LONG_RUN", long_run)
+        assert tokens.TokenCounter(tables).count(texts).tolist() == want
+
+
 def test_token_counts(spark, docs):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
