@@ -144,3 +144,32 @@ def test_export_fail_on_empty(spark):
     c2 = spark.createDataFrame([("f", 1, "x")], "source string, line_no long, text string")
     with pytest.raises(ValueError):
         rt.export_retrieval(c2, store, queries=[" "], fail_on_empty=True)
+
+
+def test_large_search_lists_no_query_and_cell_pairs(spark, monkeypatch):
+    c = _clusters(400, 8, 5, 11)
+    c[:60] = c[1]                                # a crowd of equal vectors
+    q = np.concatenate([c[:30], c[:5]])
+    names = [*range(30), *range(5)]              # query ids that repeat
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(names, q)], "query_id long, qvec array<float>")
+    corpus = _vecs(spark, c, "id", "vec").repartition(3)
+    s = q.astype(np.float64) @ c.astype(np.float64).T
+    want = {}
+    for i in range(30):
+        found = sorted((-round(s[n, j], 9), j) for n in range(len(q)) if names[n] == i for j in range(len(c)))[:4]
+        want |= {(i, r + 1): j for r, (_, j) in enumerate(found)}
+
+    def listed(*_args, **_kw):
+        raise AssertionError("a row per query and cell")
+
+    monkeypatch.setattr(rt, "cells_that_matter", listed)
+    monkeypatch.setattr(rt, "MAX_BROADCAST_QUERIES", 0)
+    got = rt.blocked_topk(queries, corpus, 4, block_rows=40, query_block_rows=2).collect()
+    assert {(r["query_id"], r["rank"]): r["id"] for r in got} == want
+    got = rt.blocked_topk(queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")), corpus, 4, block_rows=40, query_block_rows=2).collect()
+    assert {(r["query_id"], r["rank"]): r["id"] for r in got} == want
+    moved = []
+    monkeypatch.setattr(rt, "topk_in_cells", lambda *a, **k: moved.append(a))
+    store = corpus.select("id", F.col("vec").alias("embedding"))
+    near = {(r["query_id"], r["rank"]): r["id"] for r in rt.knn_approx(queries, store, 4, nlist=6, nprobe=100).collect()}
+    assert near == want and not moved
