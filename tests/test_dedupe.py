@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from parley.functions import hashing as H
@@ -193,3 +194,27 @@ def test_candidates_stay_few_and_planted_pairs_are_found(spark):
     assert found[0] < 12 * n and found[1] < 40 * n        # rows written and pairs compared
     pairs = dd.near_duplicate_pairs(every, max_hamming=6)
     assert pairs.filter(f"b = a + {n}").count() == n // 64
+
+
+def test_crowds_are_compared_in_chunks(spark, monkeypatch):
+    """Band values that all items share: as many rows as items times values, and every pair once."""
+    rng = np.random.default_rng(8)
+    low = rng.integers(0, 1 << 16, 1500)
+    hashes = sorted({int(0x1234_5678_9ABC_0000 | int(x)) for x in low})
+    nodes = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "node long, simhash long")
+    assert dd._chunks(dd._banded(nodes), 2, 100).agg(F.sum(F.size("m"))).first()[0] <= 4 * len(hashes)
+
+    def refined(*_args):
+        raise AssertionError("rows for refined keys")
+
+    monkeypatch.setattr(dd, "_blocks", refined)
+    monkeypatch.setattr(dd, "CHUNK", 100)
+    pairs = dd.near_duplicate_pairs(nodes, max_hamming=4).collect()
+    want = {(i, j): (a ^ b).bit_count() for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (a ^ b).bit_count() <= 4}
+    assert len(pairs) == len(want) and {(r["a"], r["b"]): r["distance"] for r in pairs} == want
+    kept = []
+    for i, h in enumerate(hashes):
+        if not any((hashes[k] ^ h).bit_count() <= 4 for k in kept):
+            kept.append(i)
+    gone = [r["n"] for r in dd.greedy_dropped_blocks(nodes, 4, small=16, front=50).collect()]
+    assert sorted(gone) == sorted(set(range(len(hashes))) - set(kept))
