@@ -32,6 +32,7 @@ MIN_SEQ_LEN = 16
 EVAL_MIN_SEQ_LEN = 8
 MAX_FRACTION = 0.5
 MAX_CODEPOINT = 0x110000
+SLICE_CHARS = 1 << 20           # characters that are worked on at once
 PAIR_EMPTY = "USER: \nYOU: \n"
 # ---------------------------------------------------------------------------
 
@@ -107,6 +108,28 @@ def _codepoints(texts: pa.Array):
     return cps, offs, texts.is_null()
 
 
+def row_slices(batch, sizes, most: int):
+    """Slices of a batch (or array) whose rows have ``most`` in all, or are single."""
+    ends, start = np.cumsum(np.asarray(sizes, dtype=np.int64)), 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def char_slices(batch, texts):
+    """Slices of ``batch`` with at most ``SLICE_CHARS`` characters of ``texts``, or of one row: what is
+    made of them by the character stays small, however long the batch."""
+    return row_slices(batch, pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), SLICE_CHARS)
+
+
+def _sliced(texts: pa.Array, one, kind: pa.DataType) -> pa.Array:
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    return pa.concat_arrays([pa.array([], kind), *[one(t) for t in char_slices(texts, texts)]])
+
+
 def _encode_batch(texts: pa.Array, chars: tuple[str, ...], oov_zero: bool) -> pa.Array:
     cps, offs, nulls = _codepoints(texts)
     ids = _lookup(chars)[cps]
@@ -148,14 +171,14 @@ def encode_chars(col, vocab_chars: list[str], oov: str = "drop") -> F.Column:
     """chars -> ids; ``oov='drop'`` removes unknown chars, ``'zero'`` maps them to 0."""
     chars = tuple(vocab_chars)
     zero = oov == "zero"
-    fn = F.arrow_udf(lambda t: _encode_batch(t, chars, zero), T.ArrayType(T.IntegerType()))
+    fn = F.arrow_udf(lambda t: _sliced(t, lambda part: _encode_batch(part, chars, zero), pa.list_(pa.int32())), T.ArrayType(T.IntegerType()))
     return fn(tx._col(col))
 
 
 def oov_count(col, vocab_chars: list[str]) -> F.Column:
     """Number of characters of ``col`` missing from the vocabulary."""
     chars = tuple(vocab_chars)
-    return F.arrow_udf(lambda t: _oov_batch(t, chars), T.LongType())(tx._col(col))
+    return F.arrow_udf(lambda t: _sliced(t, lambda part: _oov_batch(part, chars), pa.int64()), T.LongType())(tx._col(col))
 
 
 # B28
@@ -268,13 +291,25 @@ def sequences_at(blocks: DataFrame, starts: DataFrame, seq_len: int, block: int)
 
 
 def pack_sequences(id_lines: DataFrame, total: int, seq_len: int) -> DataFrame:
-    """Deterministic packed form: starts 0, T, 2T, ... while a full x/y pair fits."""
+    """Deterministic packed form: starts 0, T, 2T, ... while a full x/y pair fits.
+
+    Every line is cut into its pieces of the sequences (T + 1 ids each, the last one shared
+    with the next), so the ids are shuffled once, to their sequences."""
     T_ = int(seq_len)
     n = max(0, (int(total) - 1) // T_)
-    block = max(4096, 2 * (T_ + 1))
-    spark = id_lines.sparkSession
-    starts = spark.range(n).select(F.col("id").alias("seq_id"), (F.col("id") * T_).alias("start"))
-    return sequences_at(stream_blocks(id_lines, block), starts, T_, block)
+    size = F.size("ids")
+    seqs = F.sequence(F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("offset") - 1) / T_)),
+                      F.least(F.lit(n - 1).cast("bigint"), F.floor((F.col("offset") + size - 1) / T_)))
+
+    def piece(seq):
+        lo = F.greatest(F.col("offset"), seq * T_)
+        hi = F.least(F.col("offset") + size, seq * T_ + T_ + 1)
+        return F.struct(seq.alias("seq_id"), lo.alias("lo"), F.slice("ids", (lo - F.col("offset") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    pieces = id_lines.filter((size > 0) & (F.col("offset") < n * T_ + 1) & F.lit(n > 0)).select(F.explode(F.transform(seqs, piece)).alias("p"))
+    w = (pieces.groupBy("p.seq_id").agg(F.sort_array(F.collect_list(F.struct("p.lo", "p.part"))).alias("_p"))
+               .select("seq_id", F.flatten(F.transform("_p", lambda x: x["part"])).alias("w")))
+    return w.filter(F.size("w") == T_ + 1).select("seq_id", F.slice("w", 1, T_).alias("x"), F.slice("w", 2, T_).alias("y"))
 
 
 def sample_sequences(id_lines: DataFrame, total: int, n: int, seq_len: int, seed: int = 1337) -> DataFrame:
@@ -319,7 +354,7 @@ def _ngram_counts_kernel(order: int, boundary: int, head: bool, vocab_cps=None,
     vocab_arr = None if vocab_cps is None else np.asarray(vocab_cps, dtype=np.uint32)
 
     def run(batches):
-        for rb in batches:
+        for rb in (part for whole in batches for part in char_slices(whole, whole.column("text"))):
             cps, offs, _nulls = _codepoints(rb.column("text"))
             n = len(cps)
             if n == 0:

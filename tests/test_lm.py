@@ -135,3 +135,41 @@ def test_pairs_corpus_random(spark):
         else:
             exp = "".join(f"USER: {lines[i]}\nYOU: {lines[i + 1]}\n\n" for i in range(len(lines) - 1))
         assert "".join(b for _, b in sorted(got.get(s, []))) == exp, s
+
+
+def test_batches_are_worked_on_in_slices(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from parley.operators import lm, profile
+    seen, inner = [], lm._codepoints
+
+    def watched(texts):
+        out = inner(texts)
+        seen.append(len(out[0]))
+        return out
+
+    monkeypatch.setattr(lm, "_codepoints", watched)
+    monkeypatch.setattr(lm, "SLICE_CHARS", 100)
+    texts = [None, "", "a" * 250, *["abcé" * 5] * 40, None]
+    chars = tuple("abc")
+    got = lm._sliced(pa.array(texts), lambda t: lm._encode_batch(t, chars, False), pa.list_(pa.int32())).to_pylist()
+    assert got == [None if t is None else ["abc".index(c) for c in t if c in "abc"] for t in texts]
+    assert max(seen) == 250 and sorted(seen)[-2] <= 100
+    seen.clear()
+    rb = pa.RecordBatch.from_pydict({"source": [1] * len(texts), "line_no": list(range(len(texts))), "text": pa.array(texts)})
+    out = pa.Table.from_batches(profile._char_kernel(pa.int64())([rb])).to_pandas()
+    assert out.groupby("item").n.sum().to_dict() == {"a": 450, "b": 200, "c": 200, "é": 200}
+    assert max(seen) == 250 and sorted(seen)[-2] <= 100 and np.sum(seen) == 1050
+
+
+def test_packed_sequences_shuffle_the_ids_once(spark):
+    from parley.operators import lm
+    ids = list(range(1000))
+    cuts = [0, 1, 1, 5, 130, 131, 400, 1000]
+    lines = spark.createDataFrame([(a, ids[a:z]) for a, z in zip(cuts, cuts[1:])], "offset long, ids array<int>").repartition(3)
+    out = lm.pack_sequences(lines, 1000, 16)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0      # no blocks joined to sequences
+    got = {r["seq_id"]: (r["x"], r["y"]) for r in out.collect()}
+    assert got == {s: (ids[16 * s:16 * s + 16], ids[16 * s + 1:16 * s + 17]) for s in range(62)}
+    assert lm.pack_sequences(lines, 1, 16).count() == 0
