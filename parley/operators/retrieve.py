@@ -701,17 +701,26 @@ def knn_approx(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, nlist:
         return knn(queries, store, k, **blocking)
     assigned = assign_cells(vecs, cells)
     nprobe = int(nprobe) if nprobe else probes_for_recall(vecs, assigned, cells, k, recall, seed=seed)
-    held = cells.table.limit(MAX_BROADCAST_CELL_FLOATS // dim + 1).count() if (dim := (cells.table.select(F.size("vec")).first() or [0])[0]) else 0
-    if dim and held <= MAX_BROADCAST_CELL_FLOATS // dim:
-        q = queries.select("query_id", "qvec").filter(F.col("qvec").isNotNull()).withColumn("cell", F.lit(0).cast("bigint")) \
-                   .withColumn("kth", F.lit(float("-inf"))).checkpoint(eager=True)
+    queries = queries.select("query_id", "qvec").filter(F.col("query_id").isNotNull() & F.col("qvec").isNotNull()).checkpoint(eager=True)
+
+    def listed(some: DataFrame) -> DataFrame:       # a row per query and cell
+        probes = blocked_topk(some, cells.table.select(F.col("cell").alias("id"), "vec"), max(1, nprobe))
+        probed = probes.select("query_id", F.col("id").alias("cell")).join(some, "query_id")
+        return topk_in_cells(probed, assigned, k, **blocking)
+
+    dim = (cells.table.select(F.size("vec")).first() or [0])[0]
+    if dim and cells.table.limit(MAX_BROADCAST_CELL_FLOATS // dim + 1).count() <= MAX_BROADCAST_CELL_FLOATS // dim:
+        # rows of one query id share its probes: such ids go the longer way
+        again = queries.groupBy("query_id").count().filter("count > 1").select("query_id").checkpoint(eager=True)
+        repeated = not again.isEmpty()
+        once = queries.join(again, "query_id", "left_anti") if repeated else queries
+        q = once.withColumn("cell", F.lit(0).cast("bigint")).withColumn("kth", F.lit(float("-inf")))
         rows = assigned.select("id", F.col("vec").cast(vecs.schema["vec"].dataType).alias("vec"), "cell")
         hits = _merge(_scan_cells(q, rows, k, _probing(cells, max(1, nprobe)), **blocking), k)
+        if repeated:
+            hits = hits.unionByName(listed(queries.join(again, "query_id", "left_semi")))
     else:
-        probes = blocked_topk(queries.select("query_id", "qvec"), cells.table.select(F.col("cell").alias("id"), "vec"), max(1, nprobe))
-        probed = (probes.select("query_id", F.col("id").alias("cell"))
-                        .join(queries.select("query_id", "qvec"), "query_id"))
-        hits = topk_in_cells(probed, assigned, k, **blocking)
+        hits = listed(queries)
     return hits.join(store.drop("embedding"), "id", "inner")
 
 
