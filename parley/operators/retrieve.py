@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from parley.functions import text as tx
 from parley.functions.text import _col
 from parley.operators.embed import Embedder, hashed_embedder
+from parley.operators.joins import broadcast_checked
 from parley.operators.order import first_rows
 from parley.session import ensure_checkpoint_dir
 
@@ -58,7 +59,12 @@ RECALL_SAMPLE = 256                 # vectors of that sample
 SCORE_SLICE = 512                   # corpus rows scored at once against all queries
 PACK_FLOATS = 1 << 21               # floats of a packed block
 TASKS_PER_CORE = 4                  # of the scan of packed blocks
-EXACT_FLOATS = 1 << 22              # floats that are scored exactly at once
+PAIR_FLOATS = 1 << 16               # floats of single pairs that are scored at once
+TILE_QUERIES, TILE_ROWS = 512, 1024 # of one matrix product of the scan
+CROWD_QUERIES = 64                  # queries scored in double precision with all rows of a tile at once
+FOLD_WIDTHS = (48, 64, 96, 128, 160, 192, 256)  # of the bounds that the scan may choose
+PAIR_COST = 12000                   # of scoring a single pair, in dimensions of a product of a tile
+CHOOSE_BLOCKS = 4                   # the choice is made anew after so many blocks
 SCAN_ROWS = 1 << 18                 # corpus vectors that a task of the scan reads at most, or about
 BOUND_ROWS = 64                     # queries whose cells are listed at once
 SCORE_MARGIN = 1e-8                 # above the rounding of a score
@@ -77,14 +83,17 @@ def cosine(a, b) -> Column:
     return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
 
 
+def _nth(ranked: np.ndarray) -> np.ndarray:
+    """The number of every entry among those of its query; they follow one another."""
+    at = np.arange(len(ranked))
+    return at - np.maximum.accumulate(np.where(np.r_[True, ranked[1:] != ranked[:-1]], at, 0)) if len(at) else at
+
+
 def _first_k(q: np.ndarray, rounded: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the first ``k`` entries of every query, by rounded score descending, then id."""
     _, place = np.unique(ids, return_inverse=True)
     order = np.lexsort((place, -rounded, q))
-    ranked = q[order]
-    start = np.r_[True, ranked[1:] != ranked[:-1]]
-    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
-    return order[nth < k]
+    return order[_nth(q[order]) < k]
 
 
 def _reach(rounded: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -273,74 +282,191 @@ def _packed(rows: DataFrame, id_col: str, vec_col: str, extra: list[str], kind,
     return rows.select(id_col, vec_col, *extra).mapInArrow(pack, schema)
 
 
-def _scores(qm: np.ndarray, cm: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
-    """Exact scores of single (query, row) pairs, some at a time."""
-    out, step = np.empty(len(qi)), max(1, EXACT_FLOATS // max(1, qm.shape[1]))
+def _scores(qm: np.ndarray, cm: np.ndarray, qi: np.ndarray, ci: np.ndarray, kind=np.float64) -> np.ndarray:
+    """Scores of single (query, row) pairs in ``kind``, so many at a time that they stay in a core's cache."""
+    out, step = np.empty(len(qi), kind), max(1, PAIR_FLOATS // max(1, qm.shape[1]))
     for a in range(0, len(qi), step):
-        out[a:a + step] = np.einsum("ij,ij->i", qm[qi[a:a + step]], cm[ci[a:a + step]].astype(np.float64))
+        out[a:a + step] = np.einsum("ij,ij->i", qm[qi[a:a + step]].astype(kind, copy=False), cm[ci[a:a + step]].astype(kind, copy=False))
     return out
 
 
+class _Fold:
+    """Short vectors whose products bound the scores: some dimensions as they are, the others in groups of which
+    only the length is kept (Cauchy-Schwarz in every group).  Close for sparse vectors, as a group seldom holds more
+    than one value of both sides."""
+
+    def __init__(self, order: np.ndarray, width: int):
+        single, dim = width // 5, len(order)
+        groups, at = width - single, np.arange(dim - single)
+        nth = at % (2 * groups)
+        self.width, self.single = width, order[:single]
+        self.groups = np.zeros((dim, groups), np.float32)
+        self.groups[order[single:], np.where(nth < groups, nth, 2 * groups - 1 - nth)] = 1.0    # there and back: even groups
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), self.width), np.float32)
+        for a in range(0, len(x), QUERY_BLOCK_ROWS):
+            part = x[a:a + QUERY_BLOCK_ROWS]
+            out[a:a + QUERY_BLOCK_ROWS, :len(self.single)] = part[:, self.single]
+            np.sqrt((part * part) @ self.groups, out=out[a:a + QUERY_BLOCK_ROWS, len(self.single):])
+        return out
+
+
 class _Best:
     """The best ``k`` rows so far of every query of a block."""
 
     def __init__(self, k: int, ids, vecs: np.ndarray, floor: np.ndarray):
-        self.k, self.ids, self.qm, self.floor = k, ids, vecs.astype(np.float64), floor - SCORE_MARGIN
-        self.q32, self.norm = self.qm.astype(np.float32), np.linalg.norm(self.qm, axis=1)
-        n = len(self.qm)
+        self.k, self.ids, self.qm, self.floor = k, ids, vecs, floor - SCORE_MARGIN
+        self.q32 = self.qm.astype(np.float32, copy=False)
+        n, self.dim = self.qm.shape
+        self.norm = np.concatenate([np.zeros(0), *[np.linalg.norm(self.qm[a:a + SCORE_SLICE].astype(np.float64), axis=1) for a in range(0, n, SCORE_SLICE)]])
         self.rounded, self.score = np.full((n, k), -np.inf), np.zeros((n, k))
         self.row, self.place = np.full((n, k), -1, np.int64), np.zeros((n, k), np.int64)
         self.seen, self.first = [], [0]      # ids of the corpus blocks, and the number of their first rows
-
-    def block(self, ids) -> int:
-        self.seen.append(ids)
-        self.first.append(self.first[-1] + len(ids))
-        return self.first[-2]
+        self.folds, self.fold, self.qf, self.balls = None, None, self.q32, True
+        self.out = np.empty(TILE_QUERIES * TILE_ROWS, np.float32)
 
     def wanted(self) -> np.ndarray:
         """A score below this cannot count."""
         return np.maximum(self.rounded[:, -1] - SCORE_MARGIN, self.floor)
 
-    def add(self, cm: np.ndarray, place: np.ndarray, first: int, mine: np.ndarray | None = None) -> None:
-        """Score the queries (``mine``: only these) with rows of one cell, numbered from ``first``."""
-        wide = cm.astype(np.float64)
-        centre, least = wide.mean(axis=0), self.wanted()
-        reach = np.linalg.norm(wide - centre, axis=1).max()
+    def _margin(self, width: int) -> float:
+        """Above the rounding of single-precision products of unit vectors."""
+        return 1.5e-7 * (width + 4) + 1e-6
+
+    def _choose(self, c32: np.ndarray, longest: float) -> None:
+        """The width of the bounds for rows like these, by what would be left to score of a sample."""
+        if self.folds is None:
+            # the dimensions by their weight in the products
+            weight = np.sqrt(np.mean(np.square(self.q32[::8]), axis=0) * np.mean(np.square(c32[::8]), axis=0))
+            order = np.argsort(-np.where(np.isnan(weight), np.inf, weight), kind="stable")
+            self.folds = [_Fold(order, w) for w in FOLD_WIDTHS if w < self.dim]
+        if not self.folds:
+            return
+        qs = np.linspace(0, len(self.q32) - 1, min(128, len(self.q32))).astype(np.int64)
+        cs = np.linspace(0, len(c32) - 1, min(256, len(c32))).astype(np.int64)
+        q, c, least = self.q32[qs], c32[cs], self.wanted()[qs]
+        best, at = self.dim + 0.0, None
+        for fold in self.folds:
+            bar = least - SCORE_MARGIN - self._margin(fold.width) * self.norm[qs] * longest
+            cost = fold.width + PAIR_COST * np.mean(~(fold(q) @ fold(c).T < bar[:, None]))
+            if cost < best:
+                best, at = cost, fold
+        if at is not self.fold:
+            self.fold, self.qf = at, at(self.q32) if at else self.q32
+
+    def add(self, ids, cm: np.ndarray, cell: np.ndarray, place: np.ndarray, segment: int, mine=None) -> None:
+        """Score the queries with a block of rows in the order of their cells (``mine``: of a cell, only these)."""
+        first = self.first[-1]
+        self.seen.append(ids)
+        self.first.append(first + len(ids))
+        c32 = cm.astype(np.float32, copy=False)
         with np.errstate(invalid="ignore", over="ignore"):
-            slack = SCORE_MARGIN + 1e-12 * self.norm * (np.linalg.norm(centre) + reach)
-            can = ~(self.qm @ centre + self.norm * reach + slack < least)      # a NaN stays
+            length = np.linalg.norm(c32, axis=1)
+            longest = float(length.max()) * (1 + 1e-5)
+            again = len(self.seen) <= CHOOSE_BLOCKS or len(self.seen) % CHOOSE_BLOCKS == 0
+            if again:
+                self._choose(c32, longest)
+            cf = self.fold(c32) if self.fold else c32
+            cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+            cuts = np.unique(np.concatenate([cuts, *[np.arange(a, z, segment) for a, z in zip(cuts[:-1], cuts[1:])]]))
+            if again or self.balls:
+                can = self._in_reach(c32, cuts, longest)
+                self.balls = can.mean() < 0.95       # where balls rule out next to nothing, the next blocks go without
+            else:
+                can = np.ones((len(self.qm), len(cuts) - 1), dtype=bool)
             if mine is not None:
-                can &= mine
-            sel = np.flatnonzero(can)
-            if not len(sel):
-                return
-            every = len(sel) == len(can)
-            # single precision tells what cannot count; what is left is scored exactly
-            near = (self.q32 if every else self.q32[sel]) @ cm.astype(np.float32).T
-            margin = SCORE_MARGIN + 1.5e-7 * (cm.shape[1] + 4) * self.norm[sel] * np.linalg.norm(wide, axis=1).max()
-            bar = least[sel] - margin
-            hit = ~(near < bar[:, None])
-            crowd = np.flatnonzero(hit.sum(axis=1) > 4 * self.k) if near.shape[1] > 4 * self.k else []
-            if len(crowd):
-                kth = -np.partition(-near[crowd], self.k - 1, axis=1)[:, self.k - 1] - 2 * margin[crowd]
-                hit[crowd] &= ~(near[crowd] < np.where(np.isfinite(kth), kth, -np.inf)[:, None])
-        qi, ci = np.nonzero(hit)
-        qi = qi if every else sel[qi]
-        s = _scores(self.qm, cm, qi, ci)
+                can &= np.stack([mine(int(cell[a])) for a in cuts[:-1]], axis=1)
+            if can.mean() > 0.5:         # most pieces are to be read: rows of some cells at once
+                runs = [(lo, min(lo + TILE_ROWS, len(cm))) for lo in range(0, len(cm), TILE_ROWS)]
+            else:
+                runs = [(lo, min(lo + TILE_ROWS, z)) for a, z in zip(cuts[:-1], cuts[1:]) for lo in range(a, z, TILE_ROWS)]
+            of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            for lo, hi in runs:
+                part = can[:, of[lo]:of[hi - 1] + 1]
+                sel = np.flatnonzero(part.any(axis=1))
+                if len(sel):
+                    self._scan(cm, c32, cf, place, first, lo, hi, longest, sel, None if part.all() else (can, of))
+
+    def _in_reach(self, c32: np.ndarray, cuts: np.ndarray, longest: float) -> np.ndarray:
+        """Of every query, which pieces of the block can hold a score that counts: their ball says so."""
+        centre = np.add.reduceat(c32, cuts[:-1], axis=0, dtype=np.float64) / np.diff(cuts)[:, None]
+        reach = np.array([np.linalg.norm(c32[a:z] - m, axis=1).max() for a, z, m in zip(cuts[:-1], cuts[1:], centre)])
+        least = (self.wanted() - SCORE_MARGIN - self._margin(self.dim) * self.norm * longest)[:, None]
+        return ~(self.q32 @ centre.astype(np.float32).T + self.norm[:, None] * (reach * (1 + 1e-5)) < least)      # a NaN stays
+
+    def _scan(self, cm, c32, cf, place, first, lo, hi, longest, sel, allowed) -> None:
+        n, least, found = hi - lo, self.wanted(), []
+        every = len(sel) == len(self.qm)
+        bar = least - SCORE_MARGIN - self._margin(max(self.dim, cf.shape[1])) * self.norm * longest
+        low = bar.astype(np.float32)
+        for a in range(0, len(sel), TILE_QUERIES):
+            q = sel[a:a + TILE_QUERIES]
+            near = np.matmul(self.qf[a:a + TILE_QUERIES] if every else self.qf[q], cf[lo:hi].T, out=self.out[:len(q) * n].reshape(len(q), n))
+            qi, ci = np.divmod(np.flatnonzero(~(near < low[q, None])), n)
+            if self.fold and len(qi):
+                # for queries that many rows are left for, the product of all of them is less work
+                many = np.bincount(qi, minlength=len(q)) > max(8, n // 32)
+                if many.any():
+                    at = np.flatnonzero(many)
+                    near = np.matmul(self.q32[q[at]], c32[lo:hi].T, out=self.out[:len(at) * n].reshape(len(at), n))
+                    more, cj = np.divmod(np.flatnonzero(~(near < low[q[at], None])), n)
+                    few = ~many[qi]
+                    qi, ci = qi[few], ci[few]
+                if len(qi):
+                    ok = ~(_scores(self.q32, c32, q[qi], lo + ci, np.float32) < low[q[qi]])
+                    qi, ci = qi[ok], ci[ok]
+                if many.any():
+                    qi, ci = np.concatenate([qi, at[more]]), np.concatenate([ci, cj])
+            if not len(qi):
+                continue
+            crowd = np.bincount(qi, minlength=len(q)) > 4 * self.k
+            if crowd.any():
+                found += self._crowd(cm[lo:hi], place[lo:hi], lo, q[crowd], longest, allowed)
+                few = ~crowd[qi]
+                qi, ci = qi[few], ci[few]
+            qi, ci = q[qi], lo + ci
+            if allowed is not None:
+                ok = allowed[0][qi, allowed[1][ci]]
+                qi, ci = qi[ok], ci[ok]
+            found.append((qi, ci))
+        qi, ci = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, np.int64) for n in (0, 1))
+        if len(qi):
+            self._merge(qi, ci, _scores(self.qm, cm, qi, ci), place[ci], first + ci)
+
+    def _crowd(self, cm, place, lo, q, longest, allowed) -> list:
+        """(query, row) pairs among which the best ``k`` of these queries are; equal scores go by place."""
+        wide, found = cm.astype(np.float64), []
+        for a in range(0, len(q), CROWD_QUERIES):
+            mine = q[a:a + CROWD_QUERIES]
+            s = self.qm[mine].astype(np.float64) @ wide.T
+            slack = 1e-12 * (1 + self.norm[mine] * longest)[:, None]
+            low, high = np.round(s - slack, SCORE_DIGITS), np.round(s + slack, SCORE_DIGITS)
+            last = self.rounded[mine, -1:]
+            hit = ~(high < np.maximum(last, np.round(self.floor[mine, None] - SCORE_MARGIN, SCORE_DIGITS)))
+            hit &= ~((high == last) & (place > self.place[mine, -1:]))
+            if allowed is not None:
+                hit &= allowed[0][mine][:, allowed[1][lo:lo + len(cm)]]
+            qi, ci = np.nonzero(hit)
+            r, unsure = low[qi, ci], low[qi, ci] != high[qi, ci]
+            order = np.lexsort((place[ci], -r, qi))
+            order = order[(_nth(qi[order]) < self.k) | unsure[order]]
+            found.append((mine[qi[order]], lo + ci[order]))
+        return found
+
+    def _merge(self, qi, ci, s, place, rows) -> None:
         r = np.round(s, SCORE_DIGITS)
         ok = (r >= self.rounded[qi, -1]) & (s >= self.floor[qi])
         if not ok.any():
             return
-        qi, ci, s, r = qi[ok], ci[ok], s[ok], r[ok]
+        qi, s, r, place, rows = qi[ok], s[ok], r[ok], place[ok], rows[ok]
         u = np.unique(qi)
         held = self.row[u].ravel() >= 0
         q = np.concatenate([np.repeat(u, self.k)[held], qi])
         s, r = np.concatenate([self.score[u].ravel()[held], s]), np.concatenate([self.rounded[u].ravel()[held], r])
-        place, row = np.concatenate([self.place[u].ravel()[held], place[ci]]), np.concatenate([self.row[u].ravel()[held], first + ci])
+        place, row = np.concatenate([self.place[u].ravel()[held], place]), np.concatenate([self.row[u].ravel()[held], rows])
         order = np.lexsort((place, -r, q))
-        ranked = q[order]
-        at = np.arange(len(order))
-        nth = at - np.maximum.accumulate(np.where(np.r_[True, ranked[1:] != ranked[:-1]], at, 0))
+        nth = _nth(q[order])
         keep = nth < self.k
         order, nth = order[keep], nth[keep]
         for mine, value in ((self.rounded, r), (self.score, s), (self.place, place), (self.row, row)):
@@ -374,7 +500,7 @@ def _scan_pairs(queries: DataFrame, corpus: DataFrame, k: int, segment: int, qid
         for rb in batches:
             for n in range(rb.num_rows):
                 key = rb.column("block")[n].as_py()
-                if key not in best:
+                if key not in best:          # its vectors come with the first corpus block only
                     ids = _own(rb.column("ids")[n].values)
                     vecs = np.frombuffer(rb.column("vecs")[n].as_buffer(), q_kind).reshape(len(ids), -1)
                     held = _Best(k, ids, vecs, np.frombuffer(rb.column("extra")[n].as_buffer(), np.float64))
@@ -385,19 +511,17 @@ def _scan_pairs(queries: DataFrame, corpus: DataFrame, k: int, segment: int, qid
                 if cm.shape[1] != held.qm.shape[1]:
                     raise ValueError(f"query vectors have {held.qm.shape[1]} dimensions, stored vectors {cm.shape[1]}")
                 cell, place = np.frombuffer(rb.column("c_extra")[n].as_buffer(), np.int64).reshape(-1, 2).T
-                first = held.block(_own(ids))
-                cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
-                for a, z in zip(cuts[:-1], cuts[1:]):
-                    for lo in range(a, z, segment):
-                        hi = min(z, lo + segment)
-                        held.add(cm[lo:hi], place[lo:hi], first + lo, None if mine is None else mine(int(cell[a])))
+                held.add(_own(ids), cm, cell, place, segment, mine)
         for held, _mine in best.values():
             yield from held.hits(qid_arrow, id_arrow)
 
     schema = T.StructType([T.StructField("query_id", qid_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
-    c = corpus.select(*[F.col(x).alias(f"c_{x}") for x in ("ids", "vecs", "extra")])
+    lead = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    c = corpus.select(lead.alias("lead"), *[F.col(x).alias(f"c_{x}") for x in ("ids", "vecs", "extra")])
     # the corpus is streamed, a partition of queries (a block) is held: a product of partitions, nothing is broadcast
-    return c.hint("shuffle_replicate_nl").crossJoin(queries.hint("shuffle_replicate_nl")).mapInArrow(run, schema)
+    pairs = c.hint("shuffle_replicate_nl").crossJoin(queries.hint("shuffle_replicate_nl"))
+    once = [F.when(F.col("lead"), F.col(x)).alias(x) for x in ("ids", "vecs", "extra")]
+    return pairs.select("block", *once, "c_ids", "c_vecs", "c_extra").mapInArrow(run, schema)
 
 
 def _scan_cells(queries: DataFrame, assigned: DataFrame, k: int, probes=None, block_rows: int = BLOCK_ROWS,
@@ -626,15 +750,26 @@ def cells_that_matter(queries: DataFrame, assigned: DataFrame, cells: Cells, k:
     return first, _with_kth(nearest, first, k).mapInArrow(bound, nearest.schema)
 
 
+def _first_of_equals(corpus: DataFrame, k: int) -> DataFrame:
+    """``corpus(id, vec)``, written, without what cannot be a hit: of equal vectors only the first ``k`` ids can.
+    Only vectors whose hash is met more than ``k`` times are compared."""
+    hashed = corpus.withColumn("_h", F.xxhash64("vec"))
+    crowded = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > k).select("_h").checkpoint(eager=True)
+    if crowded.isEmpty():
+        return corpus
+    crowded = broadcast_checked(crowded)
+    nth = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    firsts = hashed.join(crowded, "_h", "left_semi").select("id", "vec").withColumn("_n", nth).filter(F.col("_n") <= k).drop("_n")
+    return hashed.join(crowded, "_h", "left_anti").select("id", "vec").unionByName(firsts).checkpoint(eager=True)
+
+
 def pruned_topk(queries: DataFrame, corpus: DataFrame, k: int, cells: Cells | None = None, **blocking) -> DataFrame:
     """Exact top-k of ``queries(query_id, qvec)`` against ``corpus(id, vec)``, for query tables of any
     size: blocks of a cell that cannot hold a hit are not scored."""
     ensure_checkpoint_dir(queries.sparkSession)
     single = corpus.schema["vec"].dataType
     queries = queries.select("query_id", "qvec").filter(F.col("qvec").isNotNull()).checkpoint(eager=True)
-    # of equal vectors only the first k ids can be hits
-    nth = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    corpus = corpus.select("id", "vec").filter(F.col("vec").isNotNull()).withColumn("_n", nth).filter(F.col("_n") <= k).drop("_n").checkpoint(eager=True)
+    corpus = _first_of_equals(corpus.select("id", "vec").filter(F.col("vec").isNotNull()).checkpoint(eager=True), k)
     cells = cells or quantise(corpus)
     if cells.table.isEmpty() or corpus.isEmpty() or queries.isEmpty():
         return queries.select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(corpus.schema["id"].dataType).alias("id"),

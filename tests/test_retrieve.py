@@ -174,3 +174,51 @@ def test_large_search_lists_no_query_and_cell_pairs(spark, monkeypatch):
     monkeypatch.setattr(rt, "topk_in_cells", listed)
     near = rt.knn_approx(once, store, 4, nlist=6, nprobe=100).collect()
     assert {(r["query_id"], r["rank"]): r["id"] for r in near} == {at: j for at, j in want.items() if at[0] >= 5}
+
+
+def test_sparse_vectors_are_scored_by_short_bounds():
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    dim, k = 384, 4
+
+    def words(n):                                # word counts, as of the hashed embedder
+        x = np.zeros((n, dim), np.float32)
+        for row in x:
+            np.add.at(row, (dim * rng.random(rng.integers(3, 40)) ** 2).astype(int), 1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    c, q = words(6000), words(300)
+    c[3000:3020] = c[17]                         # exact ties
+    q[:60] = c[:60]
+    q[100:103] = 0                               # every score is a tie
+    s = np.round(q.astype(np.float64) @ c.astype(np.float64).T, 9)
+    place, cell = rng.permutation(len(c)), np.sort(rng.integers(0, 9, len(c)))
+    floor = np.full(len(q), -np.inf)
+    floor[:150] = -np.partition(-s[:150, :500], k - 1, axis=1)[:, k - 1]
+    want = np.array([np.lexsort((place, -row))[:k] for row in s])
+    best = rt._Best(k, pa.array(range(len(q))), q, floor)
+    for at in range(0, len(c), 1000):
+        part = slice(at, at + 1000)
+        best.add(pa.array(range(at, at + 1000)), c[part], cell[part], place[part], 250)
+    assert best.fold is not None and best.fold.width < dim
+    assert (best.row == want).all()
+    # bounds never lie below a score
+    for fold in best.folds:
+        assert (fold(q) @ fold(c).T + 1e-5 > s).all()
+    # only the cells that a query probes
+    some = rt._Best(k, pa.array(range(len(q))), q, np.full(len(q), -np.inf))
+    probe = rng.random((9, len(q))) < 0.4
+    probe[0] = True
+    for at in range(0, len(c), 1000):
+        part = slice(at, at + 1000)
+        some.add(pa.array(range(at, at + 1000)), c[part], cell[part], place[part], 250, lambda name: probe[name])
+    masked = np.where(probe[cell].T, s, -np.inf)
+    assert (some.row == np.array([np.lexsort((place, -row))[:k] for row in masked])).all()
+
+
+def test_equal_vectors_are_found_by_their_hash(spark):
+    c = np.concatenate([np.tile([[0.6, 0.8]], (50, 1)), np.random.default_rng(1).normal(size=(40, 2))])
+    left = rt._first_of_equals(_vecs(spark, c, "id", "vec").repartition(3), 4)
+    assert sorted(r["id"] for r in left.collect()) == [0, 1, 2, 3, *range(50, 90)]
+    plain = _vecs(spark, c[50:], "id", "vec")
+    assert rt._first_of_equals(plain, 4) is plain
