@@ -548,6 +548,12 @@ def _scan_cells(queries: DataFrame, assigned: DataFrame, k: int, probes=None, bl
                        (_singles(queries.schema["qvec"].dataType), _singles(assigned.schema["vec"].dataType)), probes)
 
 
+def _few_hits(queries: DataFrame, k: int) -> bool:
+    """Whether ``k`` hits of every query are few enough for a broadcast."""
+    return (k * MAX_BROADCAST_QUERIES <= MAX_BROADCAST_HITS
+            and queries.select("query_id").limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES)
+
+
 # V2
 def knn(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, with_payload: bool = True,
         **blocking) -> DataFrame:
@@ -559,9 +565,8 @@ def knn(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, with_payload:
     if not with_payload:
         return hits
     payload = store.drop("embedding")
-    few = queries.select("query_id").limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
     # at most k rows per query: few queries bound the hits, so the payload is not shuffled
-    return (F.broadcast(hits) if few and k * MAX_BROADCAST_QUERIES <= MAX_BROADCAST_HITS else hits).join(payload, "id", "inner")
+    return (F.broadcast(hits) if _few_hits(queries, k) else hits).join(payload, "id", "inner")
 
 
 # --- cells ---------------------------------------------------------------------
@@ -860,21 +865,52 @@ def knn_approx(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, nlist:
 
 
 # V4 default scorer
+def _words(text: Column) -> Column:
+    """The distinct lower-cased word tokens."""
+    return F.array_distinct(tx.word_tokens(F.lower(text)))
+
+
+def _word_overlap(a: Column, b: Column) -> Column:
+    # the common words are counted once: the lambda only refers to their number
+    share = F.transform(F.array(F.size(F.array_intersect(a, b))),
+                        lambda n: F.when((n >= 0) & (F.size(a) + F.size(b) > 0), n / (F.size(a) + F.size(b) - n)))[0]
+    return F.coalesce(share.cast("double"), F.lit(0.0))
+
+
 def token_overlap(query: Column, text: Column) -> Column:
     """Jaccard overlap of lower-cased word-token sets (0.0 when both are empty)."""
-    a = F.array_distinct(tx.word_tokens(F.lower(query)))
-    b = F.array_distinct(tx.word_tokens(F.lower(text)))
-    u = F.size(F.array_union(a, b))
-    return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(F.lit(0.0)).cast("double")
+    return _word_overlap(_words(query), _words(text))
+
+
+def _reranked(scored: DataFrame) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.asc("rank"))
+    return scored.withColumn("rank", F.row_number().over(w).cast("int"))
+
+
+def _score(scorer, query: str, text: str) -> Column:
+    return F.coalesce(scorer(F.col(query), F.col(text)).cast("double"), F.lit(0.0)).alias("rerank_score")
 
 
 def rerank(hits: DataFrame, queries: DataFrame, scorer=token_overlap) -> DataFrame:
     """Add ``rerank_score`` (unscorable -> 0.0) and re-rank each query's
     hits by it, descending, stable on the previous rank."""
     j = hits.join(queries.select("query_id", F.col("query").alias("_q")), "query_id", "inner")
-    j = j.withColumn("rerank_score", F.coalesce(scorer(F.col("_q"), F.col("text")).cast("double"), F.lit(0.0)))
-    w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.asc("rank"))
-    return j.withColumn("rank", F.row_number().over(w).cast("int")).drop("_q")
+    return _reranked(j.withColumn("rerank_score", _score(scorer, "_q", "text")).drop("_q"))
+
+
+def _rerank_payload(hits: DataFrame, queries: DataFrame, payload: DataFrame, scorer=token_overlap) -> DataFrame:
+    """``rerank`` of ``hits(query_id, rank, id, score)`` whose texts are in ``payload(id, text, ...)``.
+
+    The queries, the shorter texts, go to the hits first, and the scores are made where these meet
+    their payload, so what is not asked for is moved no further.  The default scorer splits every text once,
+    not once per hit."""
+    cols, text = ["query_id", "id", "rank", "score", *[c for c in payload.columns if c != "id"]], "text"
+    q = queries.select("query_id", F.col("query").alias("_q"))
+    if scorer is token_overlap:
+        q, payload = q.withColumn("_q", _words(F.col("_q"))), payload.withColumn("_t", _words(F.col("text")))
+        scorer, text = _word_overlap, "_t"
+    j = hits.join(q, "query_id", "inner").join(payload, "id", "inner")
+    return _reranked(j.select(*cols, _score(scorer, "_q", text)))
 
 
 def embed_queries(queries: DataFrame, embedder: Embedder | None = None) -> DataFrame:
@@ -891,6 +927,8 @@ def retrieve(queries: DataFrame, store: DataFrame, k: int = DEFAULT_K, rerank_hi
     k = int(k)
     first = max(k, int(rerank_top_k)) if (rerank_top_k is not None and rerank_hits) else k
     q = embed_queries(queries, embedder)
+    if rerank_hits and not approx and not _few_hits(queries, first):
+        return _rerank_payload(knn(q, store, first, with_payload=False), queries, store.drop("embedding"), scorer).filter(F.col("rank") <= k)
     hits = knn_approx(q, store, first, **approx) if approx else knn(q, store, first)
     if rerank_hits:
         hits = rerank(hits, queries, scorer)

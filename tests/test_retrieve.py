@@ -222,3 +222,22 @@ def test_equal_vectors_are_found_by_their_hash(spark):
     assert sorted(r["id"] for r in left.collect()) == [0, 1, 2, 3, *range(50, 90)]
     plain = _vecs(spark, c[50:], "id", "vec")
     assert rt._first_of_equals(plain, 4) is plain
+
+
+def test_rerank_of_many_queries_splits_texts_once(spark, monkeypatch):
+    texts = ["red apple pie", "green apple", "blue sky", "apple", "pie pie red", "!!", "sky apple"]
+    store, emb = _store(spark, texts), hashed_embedder(32)
+    q = spark.createDataFrame([("q1", "apple pie"), ("q3", "?")], "query_id string, query string")
+    ask = dict(k=3, rerank_hits=True, rerank_top_k=6, embedder=emb)
+    few = rt.retrieve(q, store, **ask)
+    want = {(r["query_id"], r["rank"], r["id"], r["score"], r["text"], r["rerank_score"]) for r in few.collect()}
+    monkeypatch.setattr(rt, "MAX_BROADCAST_QUERIES", 0)
+    many = rt.retrieve(q, store, **ask)
+    assert {(r["query_id"], r["rank"], r["id"], r["score"], r["text"], r["rerank_score"]) for r in many.collect()} == want
+    assert many.columns == few.columns
+    plan = many.select("query_id", "rank", "id", "rerank_score")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[:plan.index("Join")]
+    assert "regexp_extract_all" not in top and plan.count("regexp_extract_all") == 2, plan
+    longest = rt.retrieve(q.filter("query_id = 'q1'"), store, k=2, rerank_hits=True, rerank_top_k=7, embedder=emb,
+                          scorer=lambda _q, text: F.char_length(text)).orderBy("rank").collect()
+    assert [r["text"] for r in longest] == ["red apple pie", "pie pie red"]
