@@ -92,14 +92,15 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _said(hits: DataFrame, corpus: DataFrame, cut: bool = True) -> DataFrame:
-    """``(query_id, rank, score, _u, _a)``: the cleaned text of every usable hit, and the cleaned message that followed.
+    """``(query_id, rank, score, _u, _a)``: the cleaned text of every hit with a line, and the cleaned message
+    that followed (NULL if none did).
 
     A text is cleaned once per hit, a message once, whatever is asked of them."""
     hits = _cut(hits) if cut else hits
     nxt = _once(_next_of(hits, corpus).filter(F.col("next_text").isNotNull()), "_a", tx.clean_answer("next_text")).drop("next_text")
     h = _placed(hits).filter(F.col("metadata").isNotNull() & F.col("_line").isNotNull())
     h = _once(h.select("query_id", "rank", "score", "_src", "_line", "text"), "_u", tx.clean_answer("text")).drop("text")
-    return h.join(nxt, ["_src", "_line"], "inner").select("query_id", "rank", "score", "_u", "_a")
+    return h.join(nxt, ["_src", "_line"], "left").select("query_id", "rank", "score", "_u", "_a")
 
 
 def _said_of(next_hits: DataFrame) -> DataFrame:
